@@ -52,11 +52,12 @@ DATE_WORDS = (
     "dob", "birth", "expiry", "expires", "valid", "start", "end",
 )
 
-# Text shapes that tell which layouts can match at all.  Each text is tested against one short
-# pattern first and then only against the layouts of that shape, so a row costs two or three
-# parse attempts instead of one per layout.
+# Text shapes that tell which layouts can match at all.  Each text is tested against short patterns
+# first and then only against the layouts of its shape with as many colons, so a row costs one or
+# two parse attempts instead of one per layout (a failed attempt is dear).
+ISO_LAYOUTS = ("yyyy-M-d",)
 _SHAPES = (
-    (r"^\d{4}-", ("yyyy-M-d",)),
+    (r"^\d{4}-", ISO_LAYOUTS),
     (r"^\d{1,2}/", ("M/d/yyyy", "d/M/yyyy")),
     (r"^\d{1,2}-\d", ("M-d-yyyy", "d-M-yyyy")),
     (r"^\d{4}/", ("yyyy/M/d",)),
@@ -73,24 +74,30 @@ def _wall_clock(instant: Column) -> Column:
 
 
 def _free_form(text: Column) -> Column:
-    """ISO text such as ``2024-01-15T10:30:00Z``; a text with an offset is read as UTC."""
-    parsed = _wall_clock(F.try_to_timestamp(text))
+    """ISO date and time such as ``2024-01-15T10:30:00Z``; one with an offset is read as UTC.
+
+    Spark's own reading also takes bare years of any length, so other shapes are kept out.
+    """
+    parsed = _wall_clock(F.try_to_timestamp(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), text)))
     in_utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), parsed)
-    return F.when(text.rlike(r"T.*(Z|[+-]\d{2}:?\d{2})$"), in_utc).otherwise(parsed)
+    return F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), in_utc).otherwise(parsed)
 
 
 def parse_date(c: Column) -> Column:
     """Date text to a wall-clock timestamp, trying every layout in order; null when none fits."""
     text = stripped(c.cast("string"))
+    colons = F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
     choice = F
     for shape, prefixes in _SHAPES:
         layouts = [p for p in DATE_LAYOUTS if p.startswith(prefixes)]
-        parsed = F.coalesce(
-            *[_wall_clock(F.try_to_timestamp(text, F.lit(p))) for p in layouts], _free_form(text)
-        )
-        choice = choice.when(text.rlike(shape), parsed)
-    parsed = choice.otherwise(_free_form(text))
-    return F.when(~F.lower(text).isin(*NO_DATE, ""), parsed)
+        last = _free_form(text) if prefixes == ISO_LAYOUTS else F.lit(None)
+        by_time = F
+        for count in sorted({p.count(":") for p in layouts}):
+            fitting = [p for p in layouts if p.count(":") == count]
+            attempts = [_wall_clock(F.try_to_timestamp(text, F.lit(p))) for p in fitting]
+            by_time = by_time.when(colons == count, F.coalesce(*attempts, last))
+        choice = choice.when(text.rlike(shape), by_time.otherwise(last))
+    return F.when(~F.lower(text).isin(*NO_DATE, ""), choice)
 
 
 def parse_with_hints(c: Column, hints: Sequence[str]) -> Column:
