@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.keys import key_head
 from tallybook.functions.text import field, quoted
-from tallybook.operators.skew import HOT_ROWS, lookup_join
+from tallybook.operators.skew import HOT_ROWS, hot_keys, lookup_join
 from tallybook.operators.tables import latest_per_key
 
 _ID = "__order_id"
@@ -68,7 +68,9 @@ def resolve_fallback(
     """
     base = primary_keys.select(field(key))
     by_id = F.coalesce(order_id, key_head(field(key))) if order_id is not None else key_head(field(key))
-    rows = secondary.withColumn(_ID, by_id).join(
+    identified = secondary.withColumn(_ID, by_id)
+    hot = hot_keys(identified, [_ID], hot_rows)
+    rows = identified.join(
         base.withColumn("__matched", F.lit(True)), key, "left"
     )
     direct = rows.where(F.col("__matched")).drop("__matched", _ID).withColumn(_KEY, field(key))
@@ -83,7 +85,7 @@ def resolve_fallback(
     # All rows of one order id claim the same primary row, so only the last of them is needed and
     # a frequent id shrinks to one row per task before the shuffle.
     claims = latest_per_key(rest.where(F.col(_ID).isNotNull()), [_ID], order).join(free, _ID)
-    unclaimed = lookup_join(rest, free.select(_ID), [_ID], "left_anti", hot_rows)
+    unclaimed = lookup_join(rest, free.select(_ID), [_ID], "left_anti", hot=hot)
     return (
         direct.unionByName(claims.drop(_ID))
         .unionByName(unclaimed.drop(_ID).withColumn(_KEY, field(key)))
@@ -153,7 +155,7 @@ def chain_match(
         .when(close, FULL_CHAIN)
         .otherwise(AMOUNT_MISMATCH)
     )
-    return matched.drop("mpr_rows", "bank_rows").withColumn("level", level)
+    return matched.withColumn("level", level).drop("mpr_rows", "bank_rows")
 
 
 def settlement_match(
@@ -174,6 +176,5 @@ def settlement_match(
         .when(F.abs(variance) <= tolerance, "SETTLED")
         .otherwise("VARIANCE")
     )
-    return matched.drop("statement_rows").withColumns(
-        {"variance": variance, "settlement_status": status}
-    )
+    labelled = matched.withColumns({"variance": variance, "settlement_status": status})
+    return labelled.drop("statement_rows")

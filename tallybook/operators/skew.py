@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,24 +21,38 @@ HOT_ROWS = 1_000_000
 # Cut points used to split the rows of a hot key into ordered slices.
 SLICE_CUTS = 255
 
-_HASH = "__key_hash"
-_HOT = "__hot"
+
+@dataclass(frozen=True)
+class HotKeys:
+    """Hashes of the keys with very many rows, and whether rows without key are that many."""
+
+    hashes: tuple[int, ...] = ()
+    nulls: bool = False
+
+    def __bool__(self) -> bool:
+        return bool(self.hashes) or self.nulls
 
 
 def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[field(k) for k in keys])
 
 
-def hot_hashes(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Hashes of the keys with ``hot_rows`` rows or more: at most ``HOT_KEYS`` rows, column ``__hot``.
+def _no_key(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [field(k).isNull() for k in keys])
+
 
-    A frequent-items sketch is merged from one small buffer per task, so nothing is shuffled by key.
-    The sketch only decides which path a row takes; the results are exact whatever it says.
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> HotKeys:
+    """Keys with ``hot_rows`` rows or more, by one job over the key columns alone.
+
+    A frequent-items sketch is merged from one small buffer per task, so nothing is shuffled by key
+    and at most ``HOT_KEYS`` numbers reach the driver.  The sketch only decides which path a row
+    takes; results are exact whatever it says.
     """
-    hashes = df.select(key_hash(keys).alias(_HASH))
-    top = hashes.agg(F.expr(f"approx_top_k({_HASH}, {HOT_KEYS}, {TRACKED_KEYS})").alias("top"))
-    listed = top.select(F.explode("top").alias("t"))
-    return listed.where(F.col("t.count") >= hot_rows).select(F.col("t.item").alias(_HOT))
+    hashes = df.select(F.when(~_no_key(keys), key_hash(keys)).alias("h"))
+    top = f"approx_top_k(h, {HOT_KEYS}, {TRACKED_KEYS}) FILTER (WHERE h IS NOT NULL)"
+    found = hashes.agg(F.expr(top).alias("top"), F.count_if(F.col("h").isNull()).alias("nulls")).first()
+    hot = tuple(t["item"] for t in found["top"] or () if t["count"] >= hot_rows)
+    return HotKeys(hot, found["nulls"] >= hot_rows)
 
 
 def lookup_join(
@@ -46,24 +61,26 @@ def lookup_join(
     keys: Sequence[str],
     how: str = "left",
     hot_rows: int = HOT_ROWS,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Join ``left`` with ``right``, which holds each key at most once (key columns share names).
 
-    Rows of hot keys are not shuffled: the few right rows they need (one per hot key) are broadcast.
-    All other rows meet in an ordinary join.  Rows with a null key match nothing and take the first
-    path too, so they never pile up in one task.
+    Without hot keys this is an ordinary join.  Otherwise the rows of hot keys are not shuffled:
+    the right rows they need, one per hot key, are broadcast, and only the others meet in the
+    ordinary join.  Very many rows without key take that path too, as they match nothing.
+    ``hot`` may be given when known, also for a larger table than ``left``.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported lookup kind {how!r}")
     keys = list(keys)
-    hot = F.broadcast(hot_hashes(left, keys, hot_rows))
-    flagged = left.join(hot, key_hash(keys) == F.col(_HOT), "left")
-    no_key = reduce(lambda a, b: a | b, [field(k).isNull() for k in keys])
-    aside = F.col(_HOT).isNotNull() | no_key
-    hot_left = flagged.where(aside).drop(_HOT)
-    cold_left = flagged.where(~aside).drop(_HOT)
-    hot_right = F.broadcast(right.join(hot, key_hash(keys) == F.col(_HOT), "left_semi"))
-    return cold_left.join(right, keys, how).unionByName(hot_left.join(hot_right, keys, how))
+    if hot is None:
+        hot = hot_keys(left, keys, hot_rows)
+    if not hot:
+        return left.join(right, keys, how)
+    is_hot = key_hash(keys).isin(list(hot.hashes)) if hot.hashes else F.lit(False)
+    aside = is_hot | _no_key(keys) if hot.nulls else is_hot
+    few = F.broadcast(right.where(is_hot))
+    return left.where(~aside).join(right, keys, how).unionByName(left.where(aside).join(few, keys, how))
 
 
 def _cuttable(kind: T.DataType) -> bool:
@@ -77,30 +94,38 @@ def _as_number(name: str, kind: T.DataType) -> Column:
     return c.cast("double")
 
 
-def _slices(df: DataFrame, order: Sequence[str]) -> Column:
-    """Slice of a row as an array that orders like the order columns do.
+def _with_slice(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Add ``__slice``, an array that orders like the order columns do.
 
-    Cut points are percentiles of each order column.  A value equal to a cut point gets a slice of
-    its own, and only inside such a slice the next order column decides further, so a frequent
-    value is split as well.
+    Cut points are percentiles of each order column, at most ``SLICE_CUTS`` numbers.  A value equal
+    to a cut point gets a slice of its own, and only inside such a slice the next order column
+    decides further, so a frequent value is split as well.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    numbered = []
+    numbers: list[Column] = []
     for name in order:
         if not _cuttable(kinds[name]):
             break
-        numbered.append(_as_number(name, kinds[name]))
-    shares = F.array(*[F.lit(i / (SLICE_CUTS + 1)) for i in range(1, SLICE_CUTS + 1)])
+        numbers.append(_as_number(name, kinds[name]))
+    if not numbers:
+        return df.withColumn("__slice", F.array(F.lit(0)))
+    shares = [i / (SLICE_CUTS + 1) for i in range(1, SLICE_CUTS + 1)]
+    # Percentiles may vary from run to run, so they are taken once and become constants of the plan.
+    cuts = df.agg(*[F.percentile_approx(n, shares) for n in numbers]).first()
     parts: list[Column] = []
     on_cut = F.lit(True)
-    for number in numbered:
-        cuts = df.agg(F.array_distinct(F.percentile_approx(number, shares)).alias("cuts")).scalar()
-        below = F.size(F.filter(cuts, lambda cut, n=number: cut < n))
-        equal = F.coalesce(F.array_contains(cuts, number), F.lit(False))
+    for number, points in zip(numbers, cuts):
+        own = F.lit(sorted(set(points or [0.0])))
+        below = F.size(F.filter(own, _smaller_than(number)))
+        equal = F.coalesce(F.array_contains(own, number), F.lit(False))
         part = F.when(number.isNull(), F.lit(-1)).otherwise(below * 2 + equal.cast("int"))
         parts.append(F.when(on_cut, part).otherwise(F.lit(0)))
         on_cut = on_cut & equal
-    return F.array(*parts) if parts else F.array(F.lit(0))
+    return df.withColumn("__slice", F.array(*parts))
+
+
+def _smaller_than(number: Column) -> Callable[[Column], Column]:
+    return lambda cut: cut < number
 
 
 def _same_keys(a: str, b: str, keys: Sequence[str]) -> Column:
@@ -118,10 +143,11 @@ def numbered_copies(
     ``order`` must identify a row within its key and start with numeric or time columns.
     """
     keys, order = list(keys), list(order)
-    hot = F.broadcast(hot_hashes(df, keys, hot_rows))
-    flagged = df.join(hot, key_hash(keys) == F.col(_HOT), "left")
-    cold = flagged.where(F.col(_HOT).isNull()).drop(_HOT)
-    dense = flagged.where(F.col(_HOT).isNotNull()).drop(_HOT)
+    hot = hot_keys(df, keys, hot_rows)
+    is_hot = key_hash(keys).isin(list(hot.hashes)) if hot.hashes else F.lit(False)
+    if hot.nulls:
+        is_hot = is_hot | _no_key(keys)
+    cold = df.where(~is_hot) if hot else df
 
     by_key = Window.partitionBy(*[field(k) for k in keys]).orderBy(*[field(o) for o in order])
     whole = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -129,7 +155,10 @@ def numbered_copies(
         {"copies": F.count(F.lit(1)).over(whole), "copy_number": F.row_number().over(by_key)}
     )
 
-    sliced = dense.withColumn("__slice", _slices(dense, order))
+    if not hot:
+        return cold
+
+    sliced = _with_slice(df.where(is_hot), order)
     sizes = sliced.groupBy(*[field(k) for k in keys], "__slice").agg(F.count(F.lit(1)).alias("__n"))
     per_key = Window.partitionBy(*[field(k) for k in keys])
     before = per_key.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybook.functions.text import field, quoted
-from tallybook.operators.skew import HOT_ROWS, lookup_join, numbered_copies
+from tallybook.operators.skew import HOT_ROWS, hot_keys, lookup_join, numbered_copies
 
 # Stamps that do not count as a change.
 STAMPS = ("processed_at", "updated_at", "created_at")
@@ -163,9 +163,10 @@ def archive_processed(
 ) -> tuple[DataFrame, DataFrame]:
     """Split raw rows into those whose key is done (for the backup) and the remainder."""
     finished = done.select(field(key)).where(field(key).isNotNull()).distinct()
+    hot = hot_keys(raw, [key], hot_rows)
     return (
-        lookup_join(raw, finished, [key], "left_semi", hot_rows),
-        lookup_join(raw, finished, [key], "left_anti", hot_rows),
+        lookup_join(raw, finished, [key], "left_semi", hot=hot),
+        lookup_join(raw, finished, [key], "left_anti", hot=hot),
     )
 
 
