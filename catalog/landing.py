@@ -1 +1,242 @@
+"""Files in and out, and the same logic on streams."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from catalog.keyed import CONFIG
+from catalog.registry import query, table
+from tallybook.config import ReportDefinition
+from tallybook.operators.quality import enum_set, valid_range
+from tallybook.plans.load import load_file
+from tallybook.plans.report import report_columns
+from tallybook.sources.files import (
+    append_evolving,
+    landing_manifest,
+    read_any,
+    read_delimited,
+    read_inferred,
+    scratch_folder,
+    write_summary,
+)
+from tallybook.sources.landing import append_raw, classify_landing, header_gate, normalize_headers
+from tallybook.streaming.streams import (
+    ONCE,
+    file_source,
+    run_stream,
+    stream_quarantine,
+    stream_report,
+    stream_upsert,
+    upserted,
+)
+
+
+def written_csv(df: DataFrame, spark: SparkSession, label: str) -> str:
+    path = f"{scratch_folder(spark, label)}/landed.csv"
+    df.write.options(header=True, quote='"', escape='"').csv(path)
+    return path
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, lang, md5(text) AS text_hash FROM documents")
+def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with line breaks, quotes and commas survive."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    path = written_csv(docs.repartition(4), spark, "csv")
+    return read_delimited(spark, path).select("doc_id", "lang", F.md5("text").alias("text_hash"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def csv_inferred(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders").drop("o_orderdate")
+    found = read_inferred(spark, written_csv(orders, spark, "inferred"))
+    types = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double"}
+    if not set(types.items()) - {("o_orderkey", "bigint"), ("o_custkey", "bigint")} <= set(found.dtypes):
+        raise ValueError(f"unexpected inferred types {found.dtypes}")
+    return found.withColumns({n: F.col(n).cast(t) for n, t in types.items()})
+
+
+@query("""
+    SELECT p_partkey, p_name, p_retailprice, NULL::VARCHAR AS p_brand FROM part WHERE p_size <= 25
+    UNION ALL SELECT p_partkey, p_name, NULL, p_brand FROM part WHERE p_size > 25
+""")
+def evolving_append(spark: SparkSession, sf: str) -> DataFrame:
+    parts = table(spark, sf, "part")
+    path = f"{scratch_folder(spark, 'evolving')}/part"
+    append_evolving(parts.where("p_size <= 25").select("p_partkey", "p_name", "p_retailprice"), path)
+    return append_evolving(parts.where("p_size > 25").select("p_partkey", "p_name", "p_brand"), path)
+
+
+@query("""
+    SELECT c_custkey AS customer_key, c_name AS name_of_customer, c_acctbal AS balance_percentage,
+        c_mktsegment AS segment, c_mktsegment AS segment_1, true AS stamped FROM customer
+""")
+def landed_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Messy headers cleaned, checked against the registered ones, stamped and appended."""
+    messy = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("Customer-Key"),
+        F.col("c_name").alias(" Name of (Customer)"),
+        F.col("c_acctbal").alias("Balance %"),
+        F.col("c_mktsegment").alias("Segment"),
+        F.col("c_mktsegment").alias("SEGMENT "),
+    )
+    landed = normalize_headers(messy)
+    header_gate(landed, landed.columns)
+    path = f"{scratch_folder(spark, 'raw')}/customer"
+    append_raw(landed, path)
+    stored = spark.read.parquet(path)
+    stamped = F.col("created_at").isNotNull() & F.col("updated_at").isNotNull()
+    return stored.withColumn("stamped", stamped).drop("created_at", "updated_at")
+
+
+@query("""
+    SELECT 'json' AS fmt, l_returnflag, count(*) AS rows FROM lineitem GROUP BY ALL
+    UNION ALL SELECT 'csv', l_returnflag, count(*) FROM lineitem GROUP BY ALL
+""")
+def written_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    counts = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"))
+    folder = scratch_folder(spark, "summary")
+    parts = []
+    for fmt in ("json", "csv"):
+        write_summary(counts, f"{folder}/flags.{fmt}", fmt)
+        read = read_any(spark, f"{folder}/flags.{fmt}")
+        parts.append(read.select(F.lit(fmt).alias("fmt"), "l_returnflag", F.col("rows").cast("long").alias("rows")))
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT 'events' AS name, 'csv' AS file_type, 'has_rows' AS state, count(*) AS rows FROM events")
+def landed_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of all files that the manifest of a folder accepts."""
+    events = table(spark, sf, "events")
+    folder = scratch_folder(spark, "manifest")
+    events.repartition(3).write.option("header", True).csv(f"{folder}/in")
+    events.limit(0).write.mode("append").json(f"{folder}/in")
+    listed = landing_manifest(spark, f"{folder}/in", ["*.csv", "*.crc"], max_mb=10_000)
+    files = [r["path"] for r in listed.where("accepted").select("path").collect()]
+    rows = spark.read.option("header", True).csv(files)
+    state = classify_landing(rows)
+    counted = rows.agg(F.count(F.lit(1)).alias("rows"))
+    return counted.select(
+        F.lit("events").alias("name"), F.lit("csv").alias("file_type"), F.lit(state).alias("state"), "rows"
+    )
+
+
+LOAD_NAMES = {"o_orderkey": "payment_ref", "o_totalprice": "amount", "o_orderdate": "settled_on"}
+LOAD_TYPES = {"payment_ref": "bigint", "amount": "decimal(10,2)", "settled_on": "date"}
+
+
+def loaded_orders(spark: SparkSession, sf: str):
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey",
+        "o_totalprice",
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"),
+        F.when(F.col("o_orderstatus") == "F", "  ").otherwise(F.col("o_orderpriority")).alias("remark"),
+    )
+    path = written_csv(orders, spark, "settlements")
+    target = f"{scratch_folder(spark, 'loaded')}/orders"
+    return load_file(spark, path, target, LOAD_NAMES, LOAD_TYPES, multiline=False, stamp=False)
+
+
+LOADED = """(SELECT o_orderkey AS payment_ref, o_totalprice AS amount, o_orderdate AS settled_on,
+            CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS remark FROM orders)"""
+
+
+@query(f"""
+    SELECT *, CASE WHEN remark IS NULL THEN 0.75 ELSE 1.0 END::DOUBLE AS _data_quality_score FROM {LOADED}
+""")
+def load_settlements(spark: SparkSession, sf: str) -> DataFrame:
+    table_ = loaded_orders(spark, sf).table
+    return table_.withColumns({
+        "amount": F.col("amount").cast("double"), "settled_on": F.col("settled_on").cast("timestamp_ntz"),
+    })
+
+
+@query(f"""
+    SELECT 'payment_ref' AS column_name, count(payment_ref) AS non_null_count, count(*) - count(payment_ref) AS null_count,
+        count(DISTINCT payment_ref) AS distinct_count FROM {LOADED}
+    UNION ALL SELECT 'amount', count(amount), count(*) - count(amount), count(DISTINCT amount) FROM {LOADED}
+    UNION ALL SELECT 'settled_on', count(settled_on), count(*) - count(settled_on), count(DISTINCT settled_on) FROM {LOADED}
+    UNION ALL SELECT 'remark', count(remark), count(*) - count(remark), count(DISTINCT remark) FROM {LOADED}
+""")
+def load_profile(spark: SparkSession, sf: str) -> DataFrame:
+    profile = loaded_orders(spark, sf).profile
+    return profile.select("column_name", "non_null_count", "null_count", "distinct_count")
+
+
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = table(spark, sf, "events").schema
+    return file_source(spark, sf, schema, "events.parquet")
+
+
+@query("""
+    SELECT user_id || '_' || event_type AS unique_id, CAST(user_id AS VARCHAR) AS user_id, event_type, value,
+        date_trunc('second', ts) AS event_date, NULL::VARCHAR AS event_date_raw, NULL::VARCHAR AS channel
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events)
+    WHERE rn = 1
+""")
+def streamed_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch_folder(spark, "stream")
+    raw = event_stream(spark, sf).select(
+        "event_id",
+        F.col("user_id").cast("string").alias("user_id"),
+        F.concat(F.lit(" "), "event_type").alias("event_type"),
+        "value",
+        F.date_format("ts", "MM/dd/yyyy HH:mm:ss").alias("event_date"),
+    )
+    stream_upsert(raw, f"{folder}/table", CONFIG, f"{folder}/checkpoint").awaitTermination()
+    return upserted(spark, f"{folder}/table", CONFIG)
+
+
+EVENT_REPORT = ReportDefinition.from_dict({
+    "report_name": "events",
+    "formulas": [
+        {"logicNameKey": "GROSS", "formulaText": "events.value"},
+        {"logicNameKey": "FEE", "formulaText": "GROSS * 0.02"},
+        {"logicNameKey": "NET", "formulaText": "GROSS - FEE"},
+    ],
+    "mapping_keys": {"events": ["event_id"]},
+    "conditions": {"events": [{"column": "event_type", "operator": "not_in", "value": ["signup"]}]},
+    "delta_columns": [{"delta_column_name": "GAP", "value": "GROSS - 100"}],
+    "reasons": [{"reason": "LARGE", "delta_column": "GAP", "threshold": 90, "must_check": True}],
+})
+
+EVENT_ROWS = """
+    SELECT CAST(event_id AS VARCHAR) AS events_mapping_key, value AS gross, value * 0.02::DOUBLE AS fee,
+        value - value * 0.02::DOUBLE AS net, value - 100 AS gap,
+        CASE WHEN abs(value - 100) > 90 THEN 'LARGE' ELSE '' END AS reason,
+        CASE WHEN abs(value - 100) > 90 THEN 'UNRECONCILED' ELSE 'RECONCILED' END AS reconciliation_status
+    FROM events WHERE event_type <> 'signup'
+"""
+
+
+@query(EVENT_ROWS)
+def event_report(spark: SparkSession, sf: str) -> DataFrame:
+    return report_columns(table(spark, sf, "events"), EVENT_REPORT)
+
+
+@query(EVENT_ROWS)
+def streamed_report(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch_folder(spark, "stream")
+    started = run_stream(
+        event_stream(spark, sf),
+        lambda df: stream_report(df, EVENT_REPORT),
+        f"{folder}/checkpoint",
+        path=f"{folder}/report",
+        fmt="parquet",
+        trigger=ONCE,
+    )
+    started.awaitTermination()
+    return spark.read.parquet(f"{folder}/report")
+
+
+@query("""
+    SELECT event_id, CASE WHEN value BETWEEN 5 AND 150 AND event_type <> 'error' THEN 'good' ELSE 'bad' END AS part
+    FROM events
+""")
+def streamed_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch_folder(spark, "stream")
+    good, bad = f"{folder}/good", f"{folder}/bad"
+    rules = [valid_range("value", 5, 150), enum_set("event_type", ["view", "click", "purchase", "signup"])]
+    stream_quarantine(event_stream(spark, sf), rules, good, bad, f"{folder}/checkpoint").awaitTermination()
+    parts = [spark.read.parquet(p).select("event_id", F.lit(n).alias("part")) for p, n in ((good, "good"), (bad, "bad"))]
+    return parts[0].unionByName(parts[1])

@@ -1 +1,244 @@
+"""Data-quality rules and column profiles."""
 
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from catalog.registry import query, table
+from catalog.scalars import labelled_documents
+from tallybook.operators.profile import (
+    complexity_score,
+    describe_input,
+    load_summary,
+    null_fraction,
+    overall_quality,
+    profile_columns,
+    row_quality,
+)
+from tallybook.operators.quality import (
+    business_rule,
+    enum_set,
+    non_null,
+    quality_report,
+    quarantine,
+    require_columns,
+    rules_from_dict,
+    valid_dates,
+    valid_range,
+    violations,
+)
+
+TODAY = dt.date(1999, 12, 31)
+
+LINE_RULES = {
+    "require_columns": ["l_orderkey", "l_extendedprice"],
+    "non_null": ["l_orderkey", "flag"],
+    "valid_range": {
+        "l_extendedprice": {"min": 1000, "max": 50000},
+        "l_shipdate": {"min_date": "1996-01-01", "max_date": "today+1"},
+    },
+    "enum_sets": {"l_linestatus": ["F"]},
+    "business_rules": [{"name": "discount_limit", "rule": "l_extendedprice * l_discount <= 3000"}],
+}
+
+
+def lines_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items with a row id and a flag that some do not have."""
+    flag = F.when(F.col("l_returnflag") != "A", F.col("l_returnflag"))
+    row = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
+    return table(spark, sf, "lineitem").withColumns({"flag": flag, "row_id": row})
+
+
+GAPS = """(SELECT *, CASE WHEN l_returnflag <> 'A' THEN l_returnflag END AS flag,
+            concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber,
+                strftime(l_shipdate, '%Y-%m-%d %H:%M:%S')) AS row_id FROM lineitem)"""
+
+# rule, column, broken when, value as text
+BROKEN = f"""
+    WITH l AS (SELECT * FROM {GAPS}),
+         v AS (
+             SELECT row_id, 'non_null_flag' AS rule, 'flag' AS "column", NULL AS value FROM l WHERE flag IS NULL
+             UNION ALL SELECT row_id, 'range_l_extendedprice', 'l_extendedprice', CAST(l_extendedprice AS VARCHAR)
+                 FROM l WHERE l_extendedprice < 1000 OR l_extendedprice > 50000
+             UNION ALL SELECT row_id, 'dates_l_shipdate', 'l_shipdate', strftime(l_shipdate, '%Y-%m-%d %H:%M:%S')
+                 FROM l WHERE CAST(l_shipdate AS DATE) < DATE '1996-01-01' OR CAST(l_shipdate AS DATE) > DATE '2000-01-01'
+             UNION ALL SELECT row_id, 'enum_l_linestatus', 'l_linestatus', l_linestatus FROM l WHERE l_linestatus <> 'F'
+             UNION ALL SELECT row_id, 'discount_limit', NULL, NULL FROM l WHERE l_extendedprice * l_discount > 3000)
+"""
+
+
+@query(BROKEN + "SELECT * FROM v")
+def dq_violations(spark: SparkSession, sf: str) -> DataFrame:
+    return violations(lines_with_gaps(spark, sf), rules_from_dict(LINE_RULES), "row_id", TODAY)
+
+
+@query(BROKEN + """
+    SELECT l.row_id, CASE WHEN b.n IS NULL THEN 'good' ELSE 'bad' END AS part, coalesce(b.n, 0) AS failures
+    FROM l LEFT JOIN (SELECT row_id, count(DISTINCT rule) AS n FROM v GROUP BY row_id) b ON l.row_id = b.row_id
+""")
+def dq_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    good, bad = quarantine(lines_with_gaps(spark, sf), rules_from_dict(LINE_RULES), TODAY)
+    size = F.size("failed_rules").cast("long").alias("failures")
+    return good.select("row_id", F.lit("good").alias("part"), F.lit(0).cast("long").alias("failures")).unionByName(
+        bad.select("row_id", F.lit("bad").alias("part"), size)
+    )
+
+
+@query(BROKEN + """
+    , r AS (SELECT unnest(['require_l_orderkey', 'require_l_extendedprice', 'non_null_l_orderkey', 'non_null_flag',
+                'range_l_extendedprice', 'dates_l_shipdate', 'enum_l_linestatus', 'discount_limit']) AS rule)
+    SELECT r.rule, count(v.rule) AS failures,
+        count(v.rule) * 1.0::DOUBLE / (SELECT count(*) FROM lineitem) AS failure_rate
+    FROM r LEFT JOIN v ON r.rule = v.rule GROUP BY r.rule
+""")
+def dq_report(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_report(lines_with_gaps(spark, sf), rules_from_dict(LINE_RULES), TODAY)
+
+
+def failing(spark: SparkSession, sf: str, *rules) -> DataFrame:
+    return violations(table(spark, sf, "events"), rules, "event_id", dt.date(2024, 1, 20))
+
+
+@query("SELECT event_id, 'require_amount' AS rule, 'amount' AS \"column\", NULL::VARCHAR AS value FROM events")
+def dq_required(spark: SparkSession, sf: str) -> DataFrame:
+    return failing(spark, sf, *require_columns("amount", "value"))
+
+
+@query(
+    "SELECT doc_id, 'non_null_quality' AS rule, 'quality' AS \"column\", NULL::VARCHAR AS value"
+    " FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL)"
+)
+def dq_non_null(spark: SparkSession, sf: str) -> DataFrame:
+    return violations(labelled_documents(spark, sf), non_null("quality", "doc_id"), "doc_id")
+
+
+@query("""
+    SELECT event_id, 'range_value' AS rule, 'value' AS "column", CAST(value AS VARCHAR) AS value
+    FROM events WHERE NOT value BETWEEN 1 AND 100
+""")
+def dq_range(spark: SparkSession, sf: str) -> DataFrame:
+    return failing(spark, sf, valid_range("value", 1, 100))
+
+
+@query("""
+    SELECT event_id, 'dates_ts' AS rule, 'ts' AS "column", year(ts) || '' AS value FROM events
+    WHERE NOT CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-18'
+""")
+def dq_dates(spark: SparkSession, sf: str) -> DataFrame:
+    found = failing(spark, sf, valid_dates("ts", "2024-01-05", "today-2"))
+    return found.withColumn("value", F.substring("value", 1, 4))
+
+
+@query("""
+    SELECT event_id, 'enum_event_type' AS rule, 'event_type' AS "column", event_type AS value FROM events
+    WHERE event_type NOT IN ('view', 'click', 'purchase')
+""")
+def dq_enum(spark: SparkSession, sf: str) -> DataFrame:
+    return failing(spark, sf, enum_set("event_type", ["view", "click", "purchase"]))
+
+
+@query("""
+    SELECT event_id, 'cheap_errors' AS rule, NULL::VARCHAR AS "column", NULL::VARCHAR AS value FROM events
+    WHERE event_type = 'error' AND value > 50
+""")
+def dq_business(spark: SparkSession, sf: str) -> DataFrame:
+    return failing(spark, sf, business_rule("cheap_errors", "event_type <> 'error' OR value <= 50"))
+
+
+LINE_COLUMNS = {
+    "l_orderkey": "CAST({} AS VARCHAR)", "l_partkey": "CAST({} AS VARCHAR)", "l_suppkey": "CAST({} AS VARCHAR)",
+    "l_linenumber": "CAST({} AS VARCHAR)", "l_quantity": "CAST({} AS VARCHAR)",
+    "l_extendedprice": "CAST({} AS VARCHAR)", "l_discount": "CAST({} AS VARCHAR)", "l_tax": "CAST({} AS VARCHAR)",
+    "l_returnflag": "{}", "l_linestatus": "{}", "l_shipdate": "strftime({}, '%Y-%m-%d %H:%M:%S')", "flag": "{}",
+}
+
+
+def profile_sql() -> str:
+    parts = []
+    for i, (c, text) in enumerate(LINE_COLUMNS.items()):
+        low, high = text.format(f"min({c})"), text.format(f"max({c})")
+        parts.append(
+            f"SELECT {i} AS position, '{c}' AS column_name, count({c}) AS non_null_count,"
+            f" count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count,"
+            f" {low} AS min_value, {high} AS max_value,"
+            f" (count(*) - count({c})) * 1.0::DOUBLE / count(*) AS null_share FROM {GAPS}"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query(profile_sql())
+def profile_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    return profile_columns(lines_with_gaps(spark, sf).drop("row_id"))
+
+
+@query()
+def profile_lineitem_approx(spark: SparkSession, sf: str) -> DataFrame:
+    return profile_columns(lines_with_gaps(spark, sf).drop("row_id"), approx=True)
+
+
+LABELLED = """(SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
+        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+NULLS = "(quality IS NULL)::BIGINT + (toxic IS NULL)::BIGINT"
+
+
+@query(f"""
+    SELECT CAST(sum({NULLS}) AS BIGINT) AS null_cells, count(*) * 6 AS cells,
+        sum({NULLS})::DOUBLE / (count(*) * 6) AS null_fraction FROM {LABELLED}
+""")
+def null_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return null_fraction(labelled_documents(spark, sf))
+
+
+@query(f"SELECT doc_id, round(1 - ({NULLS}) / 6.0::DOUBLE, 9) AS score FROM {LABELLED}")
+def row_scores(spark: SparkSession, sf: str) -> DataFrame:
+    scored = row_quality(labelled_documents(spark, sf))
+    return scored.select("doc_id", F.round("_data_quality_score", 9).alias("score"))
+
+
+@query(f"SELECT round(avg(1 - ({NULLS}) / 6.0::DOUBLE), 9) AS overall_quality FROM {LABELLED}")
+def overall_score(spark: SparkSession, sf: str) -> DataFrame:
+    score = F.round("overall_quality", 9).alias("overall_quality")
+    return overall_quality(labelled_documents(spark, sf)).select(score)
+
+
+@query(f"""
+    SELECT round(least(1.0, 0.4 * 3 / 6 + 0.3 * 6 / 100 + 0.3 * sum({NULLS})::DOUBLE / (count(*) * 6)), 9)
+        AS complexity FROM {LABELLED}
+""")
+def complexity(spark: SparkSession, sf: str) -> DataFrame:
+    score = complexity_score(labelled_documents(spark, sf))
+    return score.select(F.round("complexity", 9).alias("complexity"))
+
+
+@query("""
+    SELECT count(*) AS rows, 6 AS columns, 'o_orderstatus, o_orderpriority' AS string_columns,
+        'o_orderkey, o_custkey, o_totalprice' AS numeric_columns,
+        round(count(*) * 6 * 50 / 1048576.0::DOUBLE, 6) AS estimated_mb FROM orders
+""")
+def described_input(spark: SparkSession, sf: str) -> DataFrame:
+    described = describe_input(table(spark, sf, "orders"))
+    return described.withColumn("estimated_mb", F.round("estimated_mb", 6))
+
+
+@query(f"""
+    SELECT count(*) AS rows, CAST(CAST(min(l_shipdate) AS DATE) AS VARCHAR) AS first_day,
+        CAST(CAST(max(l_shipdate) AS DATE) AS VARCHAR) AS last_day,
+        CAST(CAST(max(l_shipdate) AS DATE) - CAST(min(l_shipdate) AS DATE) AS INTEGER) AS days,
+        round(sum(l_extendedprice), 2) AS total_l_extendedprice, round(sum(l_quantity), 2) AS total_l_quantity,
+        100.0::DOUBLE AS fill_l_shipdate, 100.0::DOUBLE AS fill_l_extendedprice, 100.0::DOUBLE AS fill_l_quantity,
+        count(flag) * 100.0::DOUBLE / count(*) AS fill_flag
+    FROM {GAPS}
+""")
+def load_figures(spark: SparkSession, sf: str) -> DataFrame:
+    lines = lines_with_gaps(spark, sf).select("l_shipdate", "l_extendedprice", "l_quantity", "flag")
+    summary = load_summary(lines, "l_shipdate", ["l_extendedprice", "l_quantity"])
+    return summary.withColumns({
+        "first_day": F.col("first_day").cast("string"),
+        "last_day": F.col("last_day").cast("string"),
+        "total_l_extendedprice": F.round("total_l_extendedprice", 2),
+        "total_l_quantity": F.round("total_l_quantity", 2),
+    })
