@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.registry import query, table
-from tallybook.functions.dates import order_date, parse_date, parse_with_hints, sanitize
+from tallybook.functions.dates import order_date, parse_date_columns, parse_with_hints, sanitize
 from tallybook.functions.keys import key_head, mapping_key, unique_id
 from tallybook.functions.predicates import bucket_value, scan_filtered
 from tallybook.functions.text import (
@@ -215,7 +215,8 @@ def printed_orders(spark: SparkSession, sf: str) -> DataFrame:
     FROM orders
 """)
 def parsed_dates(spark: SparkSession, sf: str) -> DataFrame:
-    return printed_orders(spark, sf).select("o_orderkey", parse_date(F.col("printed")).alias("parsed"))
+    parsed = parse_date_columns(printed_orders(spark, sf), ["printed"])
+    return parsed.select("o_orderkey", F.col("printed").alias("parsed"))
 
 
 @query("""

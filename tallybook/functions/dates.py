@@ -52,9 +52,9 @@ DATE_WORDS = (
     "dob", "birth", "expiry", "expires", "valid", "start", "end",
 )
 
-# Text shapes that tell which layouts can match at all.  Each text is tested against short patterns
-# first and then only against the layouts of its shape with as many colons, so a row costs one or
-# two parse attempts instead of one per layout (a failed attempt is dear).
+# Text shapes that tell which layouts can match at all.  Each text gets a code from its shape and its
+# number of colons, and only the layouts of that code are tried, so a row costs one or two parse
+# attempts instead of one per layout (a failed attempt is dear).
 ISO_LAYOUTS = ("yyyy-M-d",)
 _SHAPES = (
     (r"^\d{4}-", ISO_LAYOUTS),
@@ -67,6 +67,7 @@ _SHAPES = (
     (r"^\d{1,2}\.", ("d.M.yyyy",)),
     (r"^\d{4}\.", ("yyyy.M.d",)),
 )
+_MANY_COLONS = 3
 
 
 def _wall_clock(instant: Column) -> Column:
@@ -78,26 +79,67 @@ def _free_form(text: Column) -> Column:
 
     Spark's own reading also takes bare years of any length, so other shapes are kept out.
     """
-    parsed = _wall_clock(F.try_to_timestamp(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), text)))
-    in_utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), parsed)
-    return F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), in_utc).otherwise(parsed)
+    parsed = F.try_to_timestamp(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), text))
+    in_utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), _wall_clock(parsed))
+    return F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), in_utc.cast("timestamp")).otherwise(parsed)
 
 
-def parse_date(c: Column) -> Column:
-    """Date text to a wall-clock timestamp, trying every layout in order; null when none fits."""
-    text = stripped(c.cast("string"))
+def _layout_code(text: Column) -> Column:
+    """Number of the shape and colon count of a text; null when no layout can match it."""
     colons = F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
+    shape = F
+    for i, (pattern, _) in enumerate(_SHAPES):
+        shape = shape.when(text.rlike(pattern), F.lit(i * (_MANY_COLONS + 1)))
+    return F.when(~F.lower(text).isin(*NO_DATE), shape) + F.least(colons, F.lit(_MANY_COLONS))
+
+
+def _by_code(text: Column, code: Column) -> Column:
+    """The text parsed by the layouts of its code, in layout order."""
     choice = F
-    for shape, prefixes in _SHAPES:
-        layouts = [p for p in DATE_LAYOUTS if p.startswith(prefixes)]
-        last = _free_form(text) if prefixes == ISO_LAYOUTS else F.lit(None)
-        by_time = F
-        for count in sorted({p.count(":") for p in layouts}):
-            fitting = [p for p in layouts if p.count(":") == count]
-            attempts = [_wall_clock(F.try_to_timestamp(text, F.lit(p))) for p in fitting]
-            by_time = by_time.when(colons == count, F.coalesce(*attempts, last))
-        choice = choice.when(text.rlike(shape), by_time.otherwise(last))
-    return F.when(~F.lower(text).isin(*NO_DATE, ""), choice)
+    for i, (_, prefixes) in enumerate(_SHAPES):
+        for colons in range(_MANY_COLONS + 1):
+            fitting = [p for p in DATE_LAYOUTS if p.startswith(prefixes) and p.count(":") == colons]
+            attempts = [F.try_to_timestamp(text, F.lit(p)) for p in fitting]
+            if prefixes == ISO_LAYOUTS:
+                attempts.append(_free_form(text))
+            if attempts:
+                choice = choice.when(code == i * (_MANY_COLONS + 1) + colons, F.coalesce(*attempts))
+    return _wall_clock(choice)
+
+
+def parse_date(c: Column) -> Column:
+    """Date text to a wall-clock timestamp, trying every layout in order; null when none fits.
+
+    ``parse_date_columns`` is faster where a frame is at hand.
+    """
+    text = stripped(c.cast("string"))
+    # A one-element array serves to compute text and code once instead of in every branch.
+    read = F.array(F.struct(text.alias("text"), _layout_code(text).alias("code")))
+    return F.transform(read, lambda r: _by_code(r["text"], r["code"]))[0]
+
+
+def parse_date_columns(df: DataFrame, names: Sequence[str], keep_unparsed: bool = False) -> DataFrame:
+    """Replace date texts by timestamps; the values of ``parse_date``.
+
+    Three plain projections: trimmed text, its layout code, the parsed value.  Each of them uses the
+    one before several times, so Catalyst keeps them apart and every step is computed once.
+    ``keep_unparsed`` adds ``<name>_raw`` with the texts that could not be parsed.
+    """
+    names = list(names)
+    if not names:
+        return df
+    texts = {n: f"__text_{n}" for n in names}
+    codes = {n: f"__code_{n}" for n in names}
+    step = df.withColumns({texts[n]: stripped(field(n).cast("string")) for n in names})
+    step = step.withColumns({codes[n]: _layout_code(field(texts[n])) for n in names})
+    step = step.withColumns({n: _by_code(field(texts[n]), field(codes[n])) for n in names})
+    out: list[Column] = []
+    for c in df.columns:
+        out.append(field(c))
+        if keep_unparsed and c in names:
+            left = F.when(field(c).isNull() & (field(texts[c]) != ""), field(texts[c]))
+            out.append(left.alias(f"{c}_raw"))
+    return step.select(*out)
 
 
 def parse_with_hints(c: Column, hints: Sequence[str]) -> Column:
@@ -124,22 +166,18 @@ def sanitize(
     """
     wanted = list(fields) if fields is not None else df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
-    out: list[Column] = []
+    dates, out = [], []
     for name in wanted:
         if name not in types:
             out.append(F.lit(None).cast("string").alias(name))
-            continue
-        is_text = isinstance(types[name], T.StringType)
-        is_date = name in date_fields if date_fields is not None else is_date_name(name)
-        if is_text and is_date:
-            parsed = parse_date(field(name))
-            out.append(parsed.alias(name))
-            out.append(F.when(parsed.isNull(), clean_text(field(name))).alias(f"{name}_raw"))
-        elif is_text:
-            out.append(clean_text(field(name)).alias(name))
-        else:
+        elif not isinstance(types[name], T.StringType):
+            out.append(field(name))
+        elif name in date_fields if date_fields is not None else is_date_name(name):
+            dates.append(name)
             out.append(field(name))
-    return df.select(*out)
+        else:
+            out.append(clean_text(field(name)).alias(name))
+    return parse_date_columns(df.select(*out), dates, keep_unparsed=True)
 
 
 def order_date(df: DataFrame) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybook.functions.text import field, stripped
+from tallybook.functions.text import clean_text, field
 
 
 def _double_text(c: Column) -> Column:
@@ -16,28 +16,30 @@ def _double_text(c: Column) -> Column:
 
     Magnitudes outside 1e-4 ... 1e16 keep Spark's scientific text.
     """
-    digits = F.rtrim(c.cast(T.DecimalType(38, 20)).cast("string"), F.lit("0"))
-    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    digits = c.cast(T.DecimalType(38, 20)).cast("string")
     size = F.abs(c)
     in_range = (size < 1e16) & ((size >= 1e-4) | (size == 0))
+    plain = F.regexp_replace(digits, r"(\.\d+?)0*$", "$1")
     return F.when(in_range, plain).otherwise(c.cast("string"))
 
 
 def _timestamp_text(c: Column) -> Column:
-    whole = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    micros = F.date_format(c, ".SSSSSS")
-    return F.when(micros == ".000000", whole).otherwise(F.concat(whole, micros))
+    """``yyyy-MM-dd HH:mm:ss``, with six decimals when there is a fraction."""
+    text = c.cast("string")
+    return F.when(F.contains(text, F.lit(".")), F.rpad(text, 26, "0")).otherwise(text)
 
 
 def key_text(c: Column, kind: T.DataType) -> Column:
     """Text of one key part by its type, trimmed; an empty text counts as absent."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        text = _double_text(c.cast("double"))
-    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        text = _timestamp_text(c)
-    elif isinstance(kind, T.BooleanType):
-        text = F.when(c, "True").when(~c, "False")
-    elif isinstance(kind, T.ArrayType):
+        return _double_text(c.cast("double"))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return _timestamp_text(c)
+    if isinstance(kind, (T.NumericType, T.DateType)):
+        return c.cast("string")
+    if isinstance(kind, T.BooleanType):
+        return F.when(c, "True").when(~c, "False")
+    if isinstance(kind, T.ArrayType):
         text = F.array_join(F.transform(c, lambda v: key_text(v, kind.elementType)), "_")
     elif isinstance(kind, T.StructType):
         names = sorted(kind.fieldNames())
@@ -46,7 +48,7 @@ def key_text(c: Column, kind: T.DataType) -> Column:
         text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))))
     else:
         text = c.cast("string")
-    return F.nullif(stripped(text), F.lit(""))
+    return clean_text(text)
 
 
 def _joined(df: DataFrame, fields: Sequence[str]) -> Column:
@@ -54,12 +56,11 @@ def _joined(df: DataFrame, fields: Sequence[str]) -> Column:
     parts = [
         key_text(field(n), types[n]) if n in types else F.lit(None).cast("string") for n in fields
     ]
-    if len(parts) == 1:
-        return parts[0]
-    present = parts[0].isNotNull()
+    # concat gives null as soon as one part is null
+    joined = [parts[0]]
     for part in parts[1:]:
-        present = present & part.isNotNull()
-    return F.when(present, F.concat_ws("_", *parts))
+        joined += [F.lit("_"), part]
+    return F.concat(*joined) if len(joined) > 1 else joined[0]
 
 
 def unique_id(df: DataFrame, fields: Sequence[str]) -> Column:

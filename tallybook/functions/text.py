@@ -16,7 +16,8 @@ def stripped(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Trim a text column; an empty text becomes null."""
-    return F.nullif(stripped(c), F.lit(""))
+    text = stripped(c)
+    return F.when(text != "", text)
 
 
 def string_columns(df: DataFrame) -> list[str]:

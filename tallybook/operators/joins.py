@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.keys import key_head
 from tallybook.functions.text import field, quoted
-from tallybook.operators.skew import HOT_ROWS, hot_keys, lookup_join
+from tallybook.operators.skew import HOT_ROWS, HotKeys, hot_keys, lookup_join
 from tallybook.operators.tables import latest_per_key
 
 _ID = "__order_id"
@@ -56,6 +56,7 @@ def resolve_fallback(
     order_id: Column | None = None,
     order: Sequence[str] = (),
     hot_rows: int = HOT_ROWS,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``__merge_key`` to secondary rows: the primary key they belong to.
 
@@ -64,32 +65,30 @@ def resolve_fallback(
     rows with one order id the smallest key is taken, and of several secondary rows claiming the same
     primary row the last by ``order`` is kept.  Rows that find nothing keep their own key.
 
-    ``primary_keys`` and ``secondary`` hold each key once.
+    ``primary_keys`` and ``secondary`` hold each key once.  ``source`` may be the frame that
+    ``secondary`` was reduced from, where frequent order ids are cheaper to look for.
     """
+    head = key_head(field(key))
+    by_id = F.coalesce(order_id, head) if order_id is not None else head
     base = primary_keys.select(field(key))
-    by_id = F.coalesce(order_id, key_head(field(key))) if order_id is not None else key_head(field(key))
-    identified = secondary.withColumn(_ID, by_id)
-    hot = hot_keys(identified, [_ID], hot_rows)
-    rows = identified.join(
-        base.withColumn("__matched", F.lit(True)), key, "left"
-    )
-    direct = rows.where(F.col("__matched")).drop("__matched", _ID).withColumn(_KEY, field(key))
-    rest = rows.where(F.col("__matched").isNull()).drop("__matched")
     free = (
-        base.join(secondary.select(field(key)), key, "left_anti")
-        .select(key_head(field(key)).alias(_ID), field(key).alias(_KEY))
+        base.join((secondary if source is None else source).select(field(key)), key, "left_anti")
+        .select(head.alias(_ID), field(key).alias(_KEY))
         .where(F.col(_ID).isNotNull())
         .groupBy(_ID)
         .agg(F.min(_KEY).alias(_KEY))
     )
-    # All rows of one order id claim the same primary row, so only the last of them is needed and
-    # a frequent id shrinks to one row per task before the shuffle.
-    claims = latest_per_key(rest.where(F.col(_ID).isNotNull()), [_ID], order).join(free, _ID)
-    unclaimed = lookup_join(rest, free.select(_ID), [_ID], "left_anti", hot=hot)
-    return (
-        direct.unionByName(claims.drop(_ID))
-        .unionByName(unclaimed.drop(_ID).withColumn(_KEY, field(key)))
-    )
+    rows = secondary.join(base.withColumn("__matched", F.lit(True)), key, "left")
+    # Rows that need no retry get an id of their own that matches nothing, so that they spread over
+    # all tasks instead of meeting at a null id.
+    retried = F.when(F.col("__matched").isNull(), by_id)
+    rows = rows.withColumn(_ID, F.coalesce(retried, F.concat(F.lit("\0"), field(key)))).drop("__matched")
+    hot = hot_keys((secondary if source is None else source).select(by_id.alias(_ID)), [_ID], hot_rows)
+    found = lookup_join(rows, free, [_ID], "left", hot=HotKeys(hot.hashes)).drop(_ID)
+    resolved = found.withColumn(_KEY, F.coalesce(_KEY, field(key)))
+    # All rows claiming one primary row shrink to one per task here, before the shuffle that the
+    # merge needs anyway.
+    return latest_per_key(resolved, [_KEY], order)
 
 
 def merge_with_fallback(

@@ -101,8 +101,11 @@ def _prepare(
     unique: bool,
     fallback: bool,
     order_id: str | None,
-) -> DataFrame:
-    """Filter, prune, one row per key, then the formulas that need nothing from other sources."""
+) -> tuple[DataFrame, DataFrame]:
+    """Filter, prune, one row per key, then the formulas that need nothing from other sources.
+
+    Also returns the pruned rows as they were before they became one per key.
+    """
     df = scan_filtered(df, _by_base(definition.conditions).get(source, ()))
     key_fields = _by_base(definition.mapping_keys).get(source, ())
     if on_numbers:
@@ -118,6 +121,7 @@ def _prepare(
         *[field(n).alias(_raw(source, n)) for n in wanted],
     )
     pruned = pruned.dropna(subset=list(join_columns))
+    all_rows = pruned
     if not unique:
         pruned = latest_per_key(pruned, join_columns, [_raw(source, o) for o in order])
     kinds = cells_of(pruned)
@@ -138,7 +142,7 @@ def _prepare(
     if fallback:
         needed_later |= {_raw(source, o) for o in order}
     kept = [c for c in pruned.columns if not c.startswith("__raw_") or c in needed_later]
-    return pruned.select(*[field(c) for c in kept])
+    return pruned.select(*[field(c) for c in kept]), all_rows
 
 
 def _key_text(columns: Sequence[str]) -> Column:
@@ -187,7 +191,7 @@ def build_report(
 
     merged: DataFrame | None = None
     for source in plan.sources:
-        prepared = _prepare(
+        prepared, all_rows = _prepare(
             source, frames[source], definition, plan, join_columns, on_numbers,
             order.get(source, ()), source in unique, fallback, order_ids.get(source),
         )
@@ -202,7 +206,7 @@ def build_report(
             ranks = [_raw(source, o) for o in order.get(source, ())]
             key = join_columns[0]
             known = merged.where(field(f"{plan.primary}_mapping_key").isNotNull()).select(field(key))
-            prepared = resolve_fallback(known, prepared, key, order_id, ranks, hot_rows)
+            prepared = resolve_fallback(known, prepared, key, order_id, ranks, hot_rows, all_rows)
             prepared = prepared.withColumnsRenamed({key: own_key, "__merge_key": key})
         else:
             prepared = prepared.withColumn(own_key, _key_text(join_columns))
