@@ -30,12 +30,17 @@ def stamp(df: DataFrame, name: str = "processed_at") -> DataFrame:
     return df.withColumn(name, F.current_timestamp())
 
 
+def _whole(c: Column, kind: T.DataType) -> Column:
+    """Whole number; decimals in a text are cut off."""
+    return F.coalesce(c.try_cast(kind), c.try_cast(T.DecimalType(38, 6)).try_cast(kind))
+
+
 def _typed(c: Column, declared: str) -> Column | None:
     declared = declared.lower()
     if "bigint" in declared or "long" in declared:
-        return c.try_cast(T.LongType())
+        return _whole(c, T.LongType())
     if "int" in declared:
-        return c.try_cast(T.IntegerType())
+        return _whole(c, T.IntegerType())
     if "decimal" in declared or "numeric" in declared:
         return c.try_cast(T.DecimalType(10, 2))
     if "timestamp" in declared or "datetime" in declared:

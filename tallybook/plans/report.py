@@ -120,7 +120,8 @@ def _prepare(
         *[k.alias(c) for k, c in zip(keys, join_columns)],
         *[field(n).alias(_raw(source, n)) for n in wanted],
     )
-    pruned = pruned.dropna(subset=list(join_columns))
+    for c in join_columns:
+        pruned = pruned.where(field(c).isNotNull())
     all_rows = pruned
     if not unique:
         pruned = latest_per_key(pruned, join_columns, [_raw(source, o) for o in order])
