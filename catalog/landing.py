@@ -104,21 +104,20 @@ def written_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@query("SELECT 'events' AS name, 'csv' AS file_type, 'has_rows' AS state, count(*) AS rows FROM events")
+@query("SELECT event_type, 'has_rows' AS state, count(*) AS rows FROM events GROUP BY event_type")
 def landed_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of all files that the manifest of a folder accepts."""
+    """Rows per event type in the files that the manifest of a folder accepts."""
     events = table(spark, sf, "events")
-    folder = scratch_folder(spark, "manifest")
-    events.repartition(3).write.option("header", True).csv(f"{folder}/in")
-    events.limit(0).write.mode("append").json(f"{folder}/in")
-    listed = landing_manifest(spark, f"{folder}/in", ["*.csv", "*.crc"], max_mb=10_000)
-    files = [r["path"] for r in listed.where("accepted").select("path").collect()]
-    rows = spark.read.option("header", True).csv(files)
+    folder = f"{scratch_folder(spark, 'manifest')}/in"
+    events.repartition(3).write.option("header", True).csv(folder)
+    events.limit(0).write.mode("append").json(folder)
+    listed = landing_manifest(spark, folder, ["*.csv", "*.crc"], max_mb=10_000).where("accepted")
+    rows = spark.read.option("header", True).csv(f"{folder}/*.csv")
     state = classify_landing(rows)
-    counted = rows.agg(F.count(F.lit(1)).alias("rows"))
-    return counted.select(
-        F.lit("events").alias("name"), F.lit("csv").alias("file_type"), F.lit(state).alias("state"), "rows"
-    )
+    named = rows.withColumn("file_name", F.col("_metadata.file_name"))
+    accepted = named.join(listed.select("file_name"), "file_name", "left_semi")
+    counted = accepted.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
+    return counted.withColumn("state", F.lit(state))
 
 
 LOAD_NAMES = {"o_orderkey": "payment_ref", "o_totalprice": "amount", "o_orderdate": "settled_on"}

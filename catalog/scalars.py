@@ -28,6 +28,7 @@ from tallybook.operators.projections import (
     select_fields,
     stamp,
 )
+from tallybook.sources.landing import detect_date_columns
 
 
 def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,6 +220,18 @@ def parsed_dates(spark: SparkSession, sf: str) -> DataFrame:
     return parsed.select("o_orderkey", F.col("printed").alias("parsed"))
 
 
+@query("SELECT o_orderkey, o_orderdate AS shipped, o_orderdate AS created, o_orderpriority FROM orders")
+def detected_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """The text columns that turn out to be dates, by content or by name, are parsed."""
+    texts = table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.date_format("o_orderdate", "yyyy/MM/dd HH:mm").alias("shipped"),
+        F.date_format("o_orderdate", "d MMM yyyy").alias("created"),
+        "o_orderpriority",
+    )
+    return parse_date_columns(texts, detect_date_columns(texts))
+
+
 @query("""
     SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN o_orderdate END AS parsed
     FROM orders

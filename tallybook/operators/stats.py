@@ -193,9 +193,11 @@ def recent_runs(
         runs = runs.where(F.col("job_id") == job_id)
     if status:
         runs = runs.where(F.col("status") == status)
-    started, completed = (F.col(c).cast("timestamp") for c in ("started_at", "completed_at"))
-    seconds = F.unix_micros(completed) - F.unix_micros(started)
-    timed = runs.withColumn("duration_seconds", seconds / 1_000_000)
+    # As an interval of wall-clock times this does not depend on the session time zone.
+    lasted = F.col("completed_at").cast("timestamp_ntz") - F.col("started_at").cast("timestamp_ntz")
+    units = {"DAY": 86_400, "HOUR": 3_600, "MINUTE": 60, "SECOND": 1}
+    parts = [F.extract(F.lit(u), lasted).cast("double") * F.lit(n) for u, n in units.items()]
+    timed = runs.withColumn("duration_seconds", reduce(lambda a, b: a + b, parts))
     ordered = timed.orderBy(F.desc_nulls_last("started_at"), F.desc("execution_id"))
     return ordered.limit(limit) if limit else ordered
 

@@ -39,6 +39,11 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()
     first = [o for o in order if o in rest]
     plain = [c for c in rest if c not in first and _orderable(kinds[c])]
     complete = first + plain
+    if len(rest) == 1 and isinstance(kinds[rest[0]], (T.NumericType, T.DatetimeType)):
+        # a single fixed-width value needs no struct, so this aggregates by hash
+        return df.groupBy(*[field(k) for k in keys]).agg(F.max(field(rest[0])).alias(rest[0])).select(
+            *[field(c) for c in df.columns]
+        )
     if len(complete) == len(rest):
         best = F.max(F.struct(*[field(c) for c in complete]))
     else:
