@@ -71,8 +71,9 @@ def resolve_fallback(
     head = key_head(field(key))
     by_id = F.coalesce(order_id, head) if order_id is not None else head
     base = primary_keys.select(field(key))
+    rows_of = secondary if source is None else source
     free = (
-        base.join((secondary if source is None else source).select(field(key)), key, "left_anti")
+        base.join(rows_of.select(field(key)).distinct(), key, "left_anti")
         .select(head.alias(_ID), field(key).alias(_KEY))
         .where(F.col(_ID).isNotNull())
         .groupBy(_ID)
@@ -83,7 +84,7 @@ def resolve_fallback(
     # all tasks instead of meeting at a null id.
     retried = F.when(F.col("__matched").isNull(), by_id)
     rows = rows.withColumn(_ID, F.coalesce(retried, F.concat(F.lit("\0"), field(key)))).drop("__matched")
-    hot = hot_keys((secondary if source is None else source).select(by_id.alias(_ID)), [_ID], hot_rows)
+    hot = hot_keys(rows_of.select(by_id.alias(_ID)), [_ID], hot_rows)
     found = lookup_join(rows, free, [_ID], "left", hot=HotKeys(hot.hashes)).drop(_ID)
     resolved = found.withColumn(_KEY, F.coalesce(_KEY, field(key)))
     # All rows claiming one primary row shrink to one per task here, before the shuffle that the

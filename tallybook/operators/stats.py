@@ -103,35 +103,45 @@ def recon_summary(
     """One line per exception kind and severity, and a line ``TOTAL``/``ALL`` for the whole report.
 
     ``matched`` says which rows are fine; ``kind`` is the column that classifies the others.  The
-    report is aggregated once to its few (kind, severity) groups and the total comes from those.
+    report is read once: lines and total both come from its few (kind, severity) groups.
     """
     label = F.when(matched, F.lit("MATCHED")).otherwise(F.coalesce(field(kind), F.lit("UNKNOWN")))
     severity = F.when(matched, F.lit("none")).otherwise(severity_of(field(amount), medium, high))
-    groups = report.groupBy(label.alias("exception_type"), severity.alias("severity")).agg(
-        _rows().alias("rows"),
-        F.sum(F.coalesce(field(amount), F.lit(0.0))).alias("amount"),
-        F.max(F.when(matched, 1).otherwise(0)).alias("__ok"),
+    fine = F.when(matched, 1).otherwise(0)
+    groups = report.groupBy(
+        label.alias("exception_type"), severity.alias("severity"), fine.alias("__fine")
+    ).agg(_rows().alias("__n"), F.sum(F.coalesce(field(amount), F.lit(0.0))).alias("__amount"))
+    # One group of no rows, so that an empty report has a total line as well.
+    none = report.sparkSession.range(1).select(
+        F.lit("MATCHED").alias("exception_type"),
+        F.lit("none").alias("severity"),
+        F.lit(1).alias("__fine"),
+        F.lit(0).cast("long").alias("__n"),
+        F.lit(0.0).alias("__amount"),
     )
-    fine = F.col("__ok") == 1
-    good = F.coalesce(F.sum(F.when(fine, F.col("rows"))), F.lit(0))
-    rows = F.coalesce(F.sum("rows"), F.lit(0))
-    total = groups.agg(
-        F.lit("TOTAL").alias("exception_type"),
-        F.lit("ALL").alias("severity"),
-        rows.alias("rows"),
-        F.coalesce(F.sum(F.when(~fine, F.col("amount"))), F.lit(0.0)).alias("amount_at_risk"),
-        (_ratio(good, rows) * 100).alias("match_rate"),
-        (rows - good).alias("exceptions"),
+    is_fine = F.col("__fine") == 1
+    sets = [["exception_type", "severity"], []]
+    lines = (
+        groups.unionByName(none)
+        .groupingSets(sets, "exception_type", "severity")
+        .agg(
+            (F.grouping_id() > 0).alias("__total"),
+            F.min("__fine").alias("__fine"),
+            F.sum("__n").alias("rows"),
+            F.coalesce(F.sum(F.when(is_fine, F.col("__n"))), F.lit(0)).alias("__good"),
+            F.coalesce(F.sum(F.when(~is_fine, F.col("__amount"))), F.lit(0.0)).alias("amount_at_risk"),
+        )
+        .where(F.col("__total") | (F.col("__fine") == 0))
     )
-    lines = groups.where(~fine).select(
-        "exception_type",
-        "severity",
+    total = F.col("__total")
+    return lines.select(
+        F.when(total, "TOTAL").otherwise(F.col("exception_type")).alias("exception_type"),
+        F.when(total, "ALL").otherwise(F.col("severity")).alias("severity"),
         "rows",
-        F.col("amount").alias("amount_at_risk"),
-        F.lit(None).cast("double").alias("match_rate"),
-        F.col("rows").alias("exceptions"),
+        "amount_at_risk",
+        F.when(total, _ratio(F.col("__good"), F.col("rows")) * 100).alias("match_rate"),
+        (F.col("rows") - F.col("__good")).alias("exceptions"),
     )
-    return lines.unionByName(total)
 
 
 def alert_flags(

@@ -165,7 +165,7 @@ def build_report(
 ) -> DataFrame:
     """One row per mapping key over all sources, with calculated columns, deltas and reasons.
 
-    Sources are merged in definition order by full outer join.  ``order`` names the columns that
+    The first source of the definition is the primary one.  ``order`` names the columns that
     decide which of several rows with one key is the last; ``unique`` lists sources known to hold
     each key once (already aggregated ones), which skips that step.  ``fallback`` retries rows
     without key match by order id: column ``order_ids[source]``, else the head of the key.
@@ -190,39 +190,26 @@ def build_report(
     )
     join_columns = [f"__key{i}" for i in range(widths.pop() if on_numbers else 1)]
 
-    merged: DataFrame | None = None
+    frames_by_key: list[DataFrame] = []
     for source in plan.sources:
         prepared, all_rows = _prepare(
             source, frames[source], definition, plan, join_columns, on_numbers,
             order.get(source, ()), source in unique, fallback, order_ids.get(source),
         )
         own_key = f"{source}_mapping_key"
-        if merged is None:
-            merged = prepared.withColumn(own_key, _key_text(join_columns))
-            continue
-        if fallback:
+        if fallback and frames_by_key:
             wanted = order_ids.get(source)
             column = _raw(source, wanted) if wanted else None
             order_id = field(column).cast("string") if column in prepared.columns else None
             ranks = [_raw(source, o) for o in order.get(source, ())]
             key = join_columns[0]
-            known = merged.where(field(f"{plan.primary}_mapping_key").isNotNull()).select(field(key))
-            prepared = resolve_fallback(known, prepared, key, order_id, ranks, hot_rows, all_rows)
-            prepared = prepared.withColumnsRenamed({key: own_key, "__merge_key": key})
+            prepared = resolve_fallback(
+                frames_by_key[0], prepared, key, order_id, ranks, hot_rows, all_rows
+            ).withColumnsRenamed({key: own_key, "__merge_key": key})
         else:
             prepared = prepared.withColumn(own_key, _key_text(join_columns))
-        # A row that only a later source has must not meet rows of the sources before it: only rows
-        # with a primary key can be matched.  The origin keeps them apart without null join keys.
-        in_primary = field(f"{plan.primary}_mapping_key").isNotNull()
-        position = plan.sources.index(source)
-        on = list(join_columns)
-        if position > 1:
-            on.append("__origin")
-            origin = F.when(in_primary, F.lit(0)).otherwise(F.lit(position))
-            merged = merged.withColumn("__origin", origin)
-            prepared = prepared.withColumn("__origin", F.lit(0))
-        merged = merged.join(prepared, on, "full_outer").drop("__origin")
-
+        frames_by_key.append(prepared)
+    merged = _merge(frames_by_key, join_columns)
     merged = _late_formulas(merged, plan)
     dates = [_raw(s, ORDER_DATE) for s in reversed(plan.sources)]
     kinds = cells_of(merged)
@@ -239,6 +226,28 @@ def build_report(
     return report.withColumn("processed_at", F.current_timestamp()) if stamp else report
 
 
+def _merge(frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
+    """Primary rows with what each other source has for them, and the rows only another source has.
+
+    Every frame holds a key once.  Two sources meet in one full outer join.  More of them are joined
+    to the primary one after the other, which keeps its partitioning, so each source is shuffled
+    once; their remaining rows follow from the same shuffled data.  A full outer chain would shuffle
+    the growing result for every source, and let rows meet that have no primary row.
+    """
+    primary, *others = frames
+    on = list(on)
+    if len(others) == 1:
+        return primary.join(others[0], on, "full_outer")
+    known = primary.select(*[field(c) for c in on])
+    merged = primary
+    for other in others:
+        merged = merged.join(other, on, "left")
+    for other in others:
+        rest = other.join(known, on, "left_anti")
+        merged = merged.unionByName(rest, allowMissingColumns=True)
+    return merged
+
+
 def _late_formulas(merged: DataFrame, plan: Assignment) -> DataFrame:
     """Formulas over calculated columns of other sources, on the merged rows.
 
