@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallybook.llm.common import table
+from tallybook.llm.decontam import leaks
 from tallybook.llm.neardup import near_duplicates
+from tallybook.llm.packing import pack
+from tallybook.llm.repeats import remove_repeats
+from tallybook.llm.tokenfile import read_tokens, write_tokens
+from tallybook.sources.files import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,3 +27,29 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Component of near copies of every document."""
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that stay when repeated 20-word windows go."""
+    return remove_repeats(table(spark, folder, "documents"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items that documents hold, one row per document and item."""
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document, written as Re-Pair shards and decoded again."""
+    path = scratch_folder(spark, "tokens")
+    write_tokens(table(spark, folder, "documents"), path)
+    return read_tokens(spark, path)
+
+
+@query
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in sequences of at most 2048 tokens."""
+    return pack(table(spark, folder, "documents"))
