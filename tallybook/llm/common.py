@@ -18,7 +18,7 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     """The frame, written as Parquet to the shared folder and read again: later steps survive lost executors."""
     spark = df.sparkSession
     path = scratch_folder(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

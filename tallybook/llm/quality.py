@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallybook.llm.words import groups, utf8, words_of
 
@@ -165,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
 def scored(docs: DataFrame, model: Network | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The rows of docs with their score as a last column."""
-    schema = docs.schema.add(score_col, "double")
+    schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
     place = docs.columns.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallybook.llm.common import table
 from tallybook.llm.decontam import leaks
 from tallybook.llm.neardup import near_duplicates
 from tallybook.llm.packing import pack
+from tallybook.llm.pagetext import main_texts
+from tallybook.llm.quality import quality_scores
 from tallybook.llm.repeats import remove_repeats
+from tallybook.llm.secrets import secrets
 from tallybook.llm.tokenfile import read_tokens, write_tokens
+from tallybook.llm.topk import top_k
+from tallybook.llm.urlfilter import url_verdicts
 from tallybook.sources.files import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +59,35 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in sequences of at most 2048 tokens."""
     return pack(table(spark, folder, "documents"))
+
+
+@query
+def op1_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 best candidates of every vector whose id is divisible by 50."""
+    vectors = table(spark, folder, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@query
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document; a source is an owner, its documents of one language are a repository."""
+    docs = table(spark, folder, "documents")
+    return secrets(docs, F.concat_ws("/", "source", "lang"), F.col("source"))
+
+
+@query
+def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return main_texts(table(spark, folder, "pages"))
+
+
+@query
+def op8_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    return url_verdicts(table(spark, folder, "pages"))

@@ -27,12 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import bitmap_of, in_bitmap, keep, lists
+from tallybook.llm.common import bitmap_of, in_bitmap, keep
 from tallybook.llm.words import SEPARATOR, Words, groups, utf8, window_hashes, words_of
 
 WINDOW = 20
 MINIMISER = 6
 HOT_STRINGS = 256
+HELD_BYTES = 2 << 20
+"""Whole buckets are sorted together up to about this size."""
+CUT_WINDOWS = 20_000
 
 
 def packed(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -155,7 +158,7 @@ def sort_buckets(size: int):
                 continue
             held.append(batch)
             size_held += batch.nbytes
-            if size_held < 8 << 20:
+            if size_held < HELD_BYTES:
                 continue
             rows = pa.Table.from_batches(held)
             buckets = rows.column("bucket").to_numpy()
@@ -176,19 +179,24 @@ def cut_windows(size: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, docs, starts = (batch.column(k) for k in ("digest", "doc_id", "start"))
+
+            def emit(rows, offsets, contents):
+                rows, offset = pa.array(rows, pa.int64()), np.array(offsets, np.int32)
+                place = pa.array(starts.take(rows).to_numpy() + offset)
+                columns = [digests.take(rows), pa.array(offset), docs.take(rows), place, pa.array(contents, pa.binary())]
+                return pa.RecordBatch.from_arrays(columns, names=["digest", "offset", "doc_id", "start", "content"])
+
             out: tuple[list, ...] = ([], [], [])
-            for row, string in enumerate(batch.column("packed").to_pylist()):
-                words = string.split(b" ")
+            for row, string in enumerate(batch.column("packed")):
+                words = string.as_py().split(b" ")
                 for offset in range(len(words) - size + 1):
                     out[0].append(row)
                     out[1].append(offset)
                     out[2].append(xxhash.xxh3_128_digest(b" ".join(words[offset : offset + size])))
-            rows = pa.array(out[0], pa.int64())
-            offset = np.array(out[1], np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [digests.take(rows), pa.array(offset), docs.take(rows), pa.array(starts.take(rows).to_numpy() + offset), pa.array(out[2], pa.binary())],
-                names=["digest", "offset", "doc_id", "start", "content"],
-            )
+                    if len(out[0]) >= CUT_WINDOWS:
+                        yield emit(*out)
+                        out = ([], [], [])
+            yield emit(*out)
 
     return cut
 
