@@ -28,6 +28,7 @@ KINDS = ("assign", "access", "hex", "live")
 PLACEHOLDERS = r"(?i)example|sample|changeme|placeholder|dummy|xxxx|your_?|1234567"
 EXAMPLE_OWNERS = 2
 DISTINCT_CHARACTERS = 8
+MASK = "<secret>"
 SPAN = "struct<start:int,kind:int,end:int,value_start:int,value:string>"
 
 
@@ -62,13 +63,14 @@ def looks_random(value: Column) -> Column:
     return (different >= DISTINCT_CHARACTERS) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDERS)
 
 
-def secrets(docs: DataFrame, repository: Column, owner: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example) per row of docs."""
+def scan(docs: DataFrame, repository: Column, owner: Column, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, owned): rows (row, doc, repository, owner, found) with the row of docs as a struct, and per row number with candidates
+    (row, live, own, n_example): spans of live-looking values, of all values of one owner, and how many are examples."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = F.concat(spans_of(text, ASSIGN, 0, 2, ASSIGN_LENGTH), spans_of(text, ACCESS, 1), spans_of(text, HEX, 2))
     scanned = keep(
         docs.select(
-            F.col(id_col).cast("long").alias("doc_id"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), found.alias("found")
+            F.struct(*(docs[c] for c in docs.columns)).alias("doc"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), found.alias("found")
         ).withColumn("row", F.monotonically_increasing_id()),
         "scanned",
     )
@@ -85,8 +87,8 @@ def secrets(docs: DataFrame, repository: Column, owner: Column, id_col: str = "d
         ),
         "owned",
     )
-    live = (F.col("owners") < EXAMPLE_OWNERS) & F.col("random")
-    added = F.struct(
+    example = F.col("owners") >= EXAMPLE_OWNERS
+    value = F.struct(
         F.col("span.value_start").alias("start"), F.lit(3).alias("kind"), F.col("span.end").alias("end"), F.col("span.value_start").alias("value_start"), F.col("span.value").alias("value")
     )
     per_row = (
@@ -94,12 +96,21 @@ def secrets(docs: DataFrame, repository: Column, owner: Column, id_col: str = "d
         .join(owned, "hash")
         .groupBy("row")
         .agg(
-            F.collect_list(F.when(live, added)).alias("live"),
-            F.count_if(F.col("owners") >= EXAMPLE_OWNERS).alias("n_example"),
+            F.array_distinct(F.collect_list(F.when(~example & F.col("random"), value))).alias("live"),
+            F.array_sort(F.array_distinct(F.collect_list(F.when(~example, value)))).alias("own"),
+            F.count_if(example).alias("n_example"),
         )
     )
+    return scanned, per_row
+
+
+def secrets(docs: DataFrame, repository: Column, owner: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example) per row of docs."""
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), repository.alias("repository"), owner.alias("owner"))
+    scanned, per_row = scan(plain, F.col("repository"), F.col("owner"), "text")
+    scanned = scanned.select("row", "doc.doc_id", "found")
     count = lambda k: F.size(F.filter("found", lambda s: s.kind == k)).cast("long")
-    with_spans = scanned.where(F.size("found") > 0).join(per_row, "row")
+    with_spans = scanned.where(F.size("found") > 0).join(per_row.drop("own"), "row")
     without = scanned.where(F.size("found") == 0).withColumns({"live": F.array().cast(f"array<{SPAN}>"), "n_example": F.lit(0).cast("long")})
     return with_spans.unionByName(without).select(
         "doc_id",
@@ -107,7 +118,31 @@ def secrets(docs: DataFrame, repository: Column, owner: Column, id_col: str = "d
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
         F.sha2(joined(F.col("found")), 256).alias("base_sha256"),
-        joined(F.concat("found", F.array_distinct("live"))).alias("spans"),
-        F.size(F.array_distinct("live")).cast("long").alias("n_live"),
+        joined(F.concat("found", "live")).alias("spans"),
+        F.size("live").cast("long").alias("n_live"),
         "n_example",
     )
+
+
+def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
+    """The text with the spans (sorted by start) replaced; spans that overlap become one."""
+
+    def add(state, s):
+        upto = F.greatest(s.start, state.at)
+        gap = F.concat(state.out, F.substr(text, state.at + 1, upto - state.at))
+        out = F.when(s.end <= state.at, state.out).when(s.start < state.at, gap).otherwise(F.concat(gap, F.lit(mask)))
+        return F.struct(F.greatest(s.end, state.at).alias("at"), out.alias("out"))
+
+    end = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add)
+    return F.concat(end.out, F.substr(text, end.at + 1, F.length(text)))
+
+
+def redacted(docs: DataFrame, repository: Column, owner: Column, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """docs with the values of one owner masked in the text, examples left; ``length_col``, where docs has it, is the new text's."""
+    scanned, per_row = scan(docs, repository, owner, text_col)
+    names = [f"doc.`{c}`" for c in docs.columns]
+    clean = scanned.where(F.size("found") == 0).select(*(F.col(c) for c in names))
+    text = F.col(f"doc.`{text_col}`")
+    met = scanned.where(F.size("found") > 0).join(per_row, "row").withColumn("masked", F.when(F.size("own") > 0, masked(text, F.col("own"))).otherwise(text))
+    new = {text_col: F.col("masked")} | ({length_col: F.when(F.size("own") > 0, F.length("masked")).otherwise(F.col(f"doc.`{length_col}`"))} if length_col in docs.columns else {})
+    return clean.union(met.select(*((new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns)))
