@@ -20,7 +20,13 @@ from tallybook.sources.files import (
     scratch_folder,
     write_summary,
 )
-from tallybook.sources.landing import append_raw, classify_landing, header_gate, normalize_headers
+from tallybook.sources.landing import (
+    HeadersNotRegistered,
+    append_raw,
+    classify_landing,
+    header_gate,
+    normalize_headers,
+)
 from tallybook.streaming.streams import (
     ONCE,
     file_source,
@@ -43,13 +49,59 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Texts with line breaks, quotes and commas survive."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
     path = written_csv(docs.repartition(4), spark, "csv")
-    return read_delimited(spark, path).select("doc_id", "lang", F.md5("text").alias("text_hash"))
+    read = read_delimited(spark, path, multiline=True)
+    return read.select("doc_id", "lang", F.md5("text").alias("text_hash"))
+
+
+@query("""
+    SELECT o_orderkey::VARCHAR AS a, CASE WHEN o_orderkey % 3 <> 1 THEN o_custkey::VARCHAR END AS b,
+        CASE o_orderkey % 3 WHEN 0 THEN o_orderkey || ',' || o_custkey || ',' || o_orderstatus
+            WHEN 1 THEN o_orderkey::VARCHAR END AS malformed
+    FROM orders
+""")
+def csv_ragged(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with a cell too many or too few keep their text."""
+    kind = F.col("o_orderkey") % 3
+    full = F.concat_ws(",", "o_orderkey", "o_custkey")
+    line = F.when(kind == 0, F.concat_ws(",", full, "o_orderstatus")).when(kind == 1, F.col("o_orderkey").cast("string")).otherwise(full)
+    path = f"{scratch_folder(spark, 'ragged')}/landed.csv"
+    table(spark, sf, "orders").select(line.alias("value")).write.text(path)
+    return read_delimited(spark, path, header=False, schema="a string, b string", malformed="malformed")
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 100 <> 7 THEN o_totalprice END AS amount,
+        CASE WHEN o_orderkey % 100 = 7 THEN o_orderkey || ',unknown' END AS _corrupt
+    FROM orders
+""")
+def csv_inferred_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """A number column with some words, read under the schema of a file without them: the words stay in the line."""
+    orders = table(spark, sf, "orders")
+    amount = F.when(F.col("o_orderkey") % 100 == 7, "unknown").otherwise(F.col("o_totalprice").cast("string"))
+    path = written_csv(orders.select("o_orderkey", amount.alias("amount")), spark, "mixed")
+    if dict(read_inferred(spark, path).dtypes)["amount"] != "string":
+        raise ValueError("a column with words was taken for numbers")
+    return read_delimited(spark, path, schema="o_orderkey bigint, amount double", malformed="_corrupt")
+
+
+@query("SELECT p_partkey::VARCHAR AS p_partkey, p_name FROM part")
+def read_tsv(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{scratch_folder(spark, 'tsv')}/part.tsv"
+    table(spark, sf, "part").select("p_partkey", "p_name").write.options(header=True, sep="\t", quote='"', escape='"').csv(path)
+    return read_any(spark, path)
+
+
+@query("SELECT p_partkey, p_name, p_size::BIGINT AS p_size FROM part")
+def read_xml(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{scratch_folder(spark, 'xml')}/part.xml"
+    table(spark, sf, "part").select("p_partkey", "p_name", "p_size").write.option("rowTag", "row").xml(path)
+    return read_any(spark, path)
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
 def csv_inferred(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").drop("o_orderdate")
-    found = read_inferred(spark, written_csv(orders, spark, "inferred"))
+    found = read_inferred(spark, written_csv(orders, spark, "inferred"), malformed=None)
     types = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double"}
     if not set(types.items()) - {("o_orderkey", "bigint"), ("o_custkey", "bigint")} <= set(found.dtypes):
         raise ValueError(f"unexpected inferred types {found.dtypes}")
@@ -67,6 +119,16 @@ def evolving_append(spark: SparkSession, sf: str) -> DataFrame:
     return append_evolving(parts.where("p_size > 25").select("p_partkey", "p_name", "p_brand"), path)
 
 
+def registered_headers(spark: SparkSession) -> dict[str, list[str]]:
+    """Headers by table, from a stored registry."""
+    path = f"{scratch_folder(spark, 'registry')}/headers"
+    names = {"customer": ["customer_key", "name_of_customer", "balance_percentage", "segment", "segment_1", "phone"], "supplier": ["supplier_key"]}
+    rows = [(t, c) for t, columns in names.items() for c in columns]
+    spark.createDataFrame(rows, "table_name string, header string").write.parquet(path)
+    stored = spark.read.parquet(path).groupBy("table_name").agg(F.collect_list("header").alias("headers"))
+    return {r["table_name"]: r["headers"] for r in stored.collect()}  # a registry: one row per table
+
+
 @query("""
     SELECT c_custkey AS customer_key, c_name AS name_of_customer, c_acctbal AS balance_percentage,
         c_mktsegment AS segment, c_mktsegment AS segment_1, true AS stamped FROM customer
@@ -80,8 +142,14 @@ def landed_customers(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_mktsegment").alias("Segment"),
         F.col("c_mktsegment").alias("SEGMENT "),
     )
-    landed = normalize_headers(messy)
-    header_gate(landed, landed.columns)
+    registered = registered_headers(spark)
+    landed = header_gate(normalize_headers(messy), registered["customer"])
+    try:
+        header_gate(landed, registered["supplier"])
+    except HeadersNotRegistered:
+        pass
+    else:
+        raise ValueError("columns that are not registered passed the gate")
     path = f"{scratch_folder(spark, 'raw')}/customer"
     append_raw(landed, path)
     stored = spark.read.parquet(path)

@@ -124,12 +124,44 @@ def dq_range(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    SELECT event_id, 'dates_ts' AS rule, 'ts' AS "column", year(ts) || '' AS value FROM events
+    SELECT event_id, 'dates_ts' AS rule, 'ts' AS "column",
+        rtrim(rtrim(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS value FROM events
     WHERE NOT CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-18'
 """)
 def dq_dates(spark: SparkSession, sf: str) -> DataFrame:
-    found = failing(spark, sf, valid_dates("ts", "2024-01-05", "today-2"))
-    return found.withColumn("value", F.substring("value", 1, 4))
+    return failing(spark, sf, valid_dates("ts", "2024-01-05", "today-2"))
+
+
+@query("""
+    SELECT event_id, 'range_amount' AS rule, 'amount' AS "column", amount AS value FROM (
+        SELECT event_id, CASE WHEN user_id % 7 = 0 THEN 'n/a' ELSE CAST(event_id % 200 AS VARCHAR) END AS amount FROM events)
+    WHERE amount = 'n/a' OR CAST(nullif(amount, 'n/a') AS DOUBLE) > 120
+""")
+def dq_text_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    """A range over text: what cannot be read breaks it and stops nothing."""
+    amount = F.when(F.col("user_id") % 7 == 0, "n/a").otherwise((F.col("event_id") % 200).cast("string"))
+    texts = table(spark, sf, "events").select("event_id", amount.alias("amount"))
+    return violations(texts, [valid_range("amount", 0, 120)], "event_id")
+
+
+@query("""
+    SELECT event_id, 'enum_user_id' AS rule, 'user_id' AS "column", CAST(user_id AS VARCHAR) AS value FROM events
+    WHERE user_id NOT IN (1, 2, 3)
+    UNION ALL SELECT event_id, 'enum_event_type', 'event_type', event_type FROM events WHERE event_type <> 'click'
+""")
+def dq_mixed_enum(spark: SparkSession, sf: str) -> DataFrame:
+    return violations(
+        table(spark, sf, "events"), [enum_set("user_id", ["x", "1", 2, 3.0]), enum_set("event_type", ["click", 5])], "event_id"
+    )
+
+
+@query("""
+    SELECT event_id, 'ratio' AS rule, NULL::VARCHAR AS "column", NULL::VARCHAR AS value FROM events
+    WHERE user_id % 10 <> 0 AND 12.0 / (user_id % 10) <= 2
+""")
+def dq_div_zero(spark: SparkSession, sf: str) -> DataFrame:
+    """A quotient by zero is unknown, which counts as holding."""
+    return failing(spark, sf, business_rule("ratio", "12 / (user_id % 10) > 2"))
 
 
 @query("""

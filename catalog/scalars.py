@@ -232,6 +232,23 @@ def detected_dates(spark: SparkSession, sf: str) -> DataFrame:
     return parse_date_columns(texts, detect_date_columns(texts))
 
 
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS seen,
+        CASE WHEN o_orderkey % 5 = 0 THEN 'order ' || o_orderkey END AS seen_raw,
+        CASE WHEN o_orderkey % 5 > 2 THEN strftime(o_orderdate, '%Y/%m/%d %H:%M') ELSE o_orderstatus END AS remark
+    FROM orders
+""")
+def detected_dates_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """A column that mostly holds dates is parsed and its other texts are kept; one that rarely does stays text."""
+    day, rest = F.date_format("o_orderdate", "yyyy/MM/dd HH:mm"), F.col("o_orderkey") % 5
+    texts = table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.when(rest != 0, day).otherwise(F.concat(F.lit("order "), "o_orderkey")).alias("seen"),
+        F.when(rest > 2, day).otherwise(F.col("o_orderstatus")).alias("remark"),
+    )
+    return parse_date_columns(texts, detect_date_columns(texts), keep_unparsed=True)
+
+
 @query("""
     SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN o_orderdate END AS parsed
     FROM orders

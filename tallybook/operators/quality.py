@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,8 +66,42 @@ def _day(text: str, today: dt.date) -> dt.date:
     return today + dt.timedelta(days=-days if relative[1] == "-" else days)
 
 
+@contextmanager
+def _null_on_error(spark: SparkSession) -> Iterator[None]:
+    """Expressions built inside give null where they could fail (division by zero, unreadable casts).
+
+    Spark fixes this when it analyses a DataFrame, so only rules built inside are concerned.
+    """
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def _is_number(value: Any) -> bool:
+    try:
+        float(value)
+    except (TypeError, ValueError):
+        return False
+    return not isinstance(value, bool)
+
+
+def _not_in(c: Column, kind: T.DataType, values: Sequence[Any]) -> Column:
+    """Values of the set are compared as numbers with a number column, else as text; others match nothing."""
+    if isinstance(kind, T.NumericType):
+        usable = [float(v) for v in values if _is_number(v)]
+        return ~c.cast("double").isin(*usable) if usable else c.isNotNull()
+    texts = [str(v).lower() if isinstance(v, bool) else str(v) for v in values]
+    return ~c.cast("string").isin(*texts) if texts else c.isNotNull()
+
+
 def _broken(df: DataFrame, rule: Rule, today: dt.date) -> Column:
-    """True where a row breaks the rule; a null value only breaks a non-null rule."""
+    """True where a row breaks the rule; a null value only breaks a non-null rule.
+
+    A text that cannot be read as a number breaks a range.
+    """
     if rule.kind == "predicate":
         return ~F.expr(rule.options["rule"])
     if rule.column not in df.columns:
@@ -77,11 +112,14 @@ def _broken(df: DataFrame, rule: Rule, today: dt.date) -> Column:
     if rule.kind == "non_null":
         return c.isNull()
     if rule.kind == "enum":
-        return ~c.isin(*rule.options["values"])
+        return _not_in(c, df.schema[rule.column].dataType, rule.options["values"])
     if rule.kind == "range":
         low, high = rule.options.get("min"), rule.options.get("max")
-        tests = [c < low] if low is not None else []
-        tests += [c > high] if high is not None else []
+        number = c if isinstance(df.schema[rule.column].dataType, T.NumericType) else c.cast("string").try_cast("double")
+        tests = [number < low] if low is not None else []
+        tests += [number > high] if high is not None else []
+        if tests:
+            return F.coalesce(tests[0] if len(tests) == 1 else tests[0] | tests[1], c.isNotNull() & number.isNull())
     elif rule.kind == "dates":
         first, last = rule.options.get("min_date"), rule.options.get("max_date")
         day = c.try_cast(T.DateType())
@@ -107,15 +145,17 @@ def _with_failures(df: DataFrame, rules: Sequence[Rule], today: dt.date | None)
         entries.append(F.when(_broken(df, rule, today), entry))
     kind = "array<struct<rule:string,column:string,value:string>>"
     failed = F.array_compact(F.array(*entries)) if entries else F.array().cast(kind)
-    return df.withColumn(_FAILED, failed)
+    with _null_on_error(df.sparkSession):
+        return df.withColumn(_FAILED, failed)
 
 
 def violations(
     df: DataFrame, rules: Sequence[Rule], key: str, today: dt.date | None = None
 ) -> DataFrame:
     """One row per broken rule and row: key, ``rule``, ``column``, ``value``."""
-    exploded = _with_failures(df, rules, today).select(field(key), F.explode(_FAILED).alias("v"))
-    return exploded.select(field(key), "v.rule", "v.column", "v.value")
+    # the outer form, so that Spark does not ask for the array's size first and build it twice
+    exploded = _with_failures(df, rules, today).select(field(key), F.explode_outer(_FAILED).alias("v"))
+    return exploded.where("v.rule is not null").select(field(key), "v.rule", "v.column", "v.value")
 
 
 def quarantine(
@@ -134,10 +174,11 @@ def quality_report(
 ) -> DataFrame:
     """Per rule: ``failures`` and ``failure_rate``.  All rules are counted in one aggregation."""
     today = today or dt.date.today()
-    counts = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(_broken(df, r, today)).alias(f"f{i}") for i, r in enumerate(rules)],
-    )
+    with _null_on_error(df.sparkSession):
+        counts = df.agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[F.count_if(_broken(df, r, today)).alias(f"f{i}") for i, r in enumerate(rules)],
+        )
     lines = F.array(
         *[
             F.struct(F.lit(r.name).alias("rule"), F.col(f"f{i}").alias("failures"))

@@ -35,7 +35,7 @@ def load_file(
     target: str,
     mapping: Mapping[str, str],
     types: Mapping[str, str],
-    multiline: bool = True,
+    multiline: bool = False,
     stamp: bool = True,
 ) -> Loaded:
     """Append a cleaned file to a table and profile the table as written.

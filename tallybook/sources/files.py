@@ -19,63 +19,62 @@ def read_delimited(
     delimiter: str = ",",
     encoding: str = "UTF-8",
     header: bool = True,
-    multiline: bool = True,
+    multiline: bool = False,
     schema: T.StructType | str | None = None,
+    malformed: str | None = None,
 ) -> DataFrame:
     """Header text file as text columns (or a given schema); ``"`` quotes and escapes.
 
-    Cells may span lines, which keeps one file in one task; pass ``multiline=False`` for large
-    files without such cells, so that Spark splits them.
+    ``malformed`` names a column that takes the whole line of rows with too few or too many cells, or with
+    cells that do not fit the schema; null for sound rows.  ``multiline=True`` allows line breaks in cells
+    but keeps one file in one task.
     """
     reader = spark.read.options(
         sep=delimiter, encoding=encoding, header=header, multiLine=multiline, quote='"', escape='"'
     )
+    if malformed is not None:
+        if schema is None:
+            schema = reader.csv(path).schema  # reads the header alone
+        elif isinstance(schema, str):
+            schema = T._parse_datatype_string(schema)
+        schema = T.StructType([*schema.fields, T.StructField(malformed, T.StringType())])
+        reader = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=malformed, columnPruning=False, enforceSchema=False)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def input_megabytes(spark: SparkSession, path: str) -> float:
-    """Total size of the files under ``path``, from their listing alone."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    total = files.select("length").agg(F.sum("length")).first()[0]
-    return (total or 0) / MEGABYTE
-
-
 def read_inferred(
     spark: SparkSession,
     path: str,
     delimiter: str = ",",
-    sampling_ratio: float | None = None,
-    infer_below_mb: float = 500.0,
-    sample_above_mb: float = 1000.0,
+    sampling_ratio: float = 1.0,
+    infer: bool = True,
+    multiline: bool = False,
+    malformed: str | None = "_corrupt",
 ) -> DataFrame:
-    """Delimited file with an inferred schema.
+    """Delimited file with a schema inferred from all rows, or from ``sampling_ratio`` of them, or text columns.
 
-    From ``infer_below_mb`` on no inference runs, since it would read the data twice, unless a
-    ratio is given.  Above ``sample_above_mb`` a given ratio is at most 0.1.
+    What happens depends on the arguments alone, never on the size of the file.  A row with a cell that
+    does not fit the inferred type (one outside the sample) keeps its line in ``malformed``.
     """
-    size = input_megabytes(spark, path)
-    if sampling_ratio is None and size >= infer_below_mb:
-        return read_delimited(spark, path, delimiter)
-    ratio = 1.0 if sampling_ratio is None else sampling_ratio
-    if size > sample_above_mb:
-        ratio = min(ratio, 0.1)
-    return (
-        spark.read.options(
-            sep=delimiter, header=True, quote='"', escape='"', multiLine=True,
-            inferSchema=True, samplingRatio=ratio,
-        ).csv(path)
-    )
+    if not infer:
+        return read_delimited(spark, path, delimiter, multiline=multiline, malformed=malformed)
+    guess = spark.read.options(
+        sep=delimiter, header=True, quote='"', escape='"', multiLine=multiline,
+        inferSchema=True, samplingRatio=sampling_ratio,
+    ).csv(path)
+    return read_delimited(spark, path, delimiter, multiline=multiline, schema=guess.schema, malformed=malformed)
 
 
-def read_any(spark: SparkSession, path: str, row_tag: str = "row") -> DataFrame:
+def read_any(
+    spark: SparkSession, path: str, row_tag: str = "row", multiline: bool = False, malformed: str | None = None
+) -> DataFrame:
     """Read a file by its extension: csv, tsv, txt, json, xml (also parquet)."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
-    if kind == "csv":
-        return read_delimited(spark, path)
-    if kind in ("tsv", "txt"):
-        return read_delimited(spark, path, delimiter="\t")
+    if kind in ("csv", "tsv", "txt"):
+        delimiter = "," if kind == "csv" else "\t"
+        return read_delimited(spark, path, delimiter, multiline=multiline, malformed=malformed)
     if kind == "json":
-        return spark.read.json(path)
+        return spark.read.option("multiLine", multiline).json(path)
     if kind == "xml":
         return spark.read.option("rowTag", row_tag).xml(path)
     if kind == "parquet":

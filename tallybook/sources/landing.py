@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Collection, Sequence
+from collections.abc import Collection, Iterator, Sequence
 from functools import reduce
+from itertools import chain, count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,20 +41,17 @@ def normalize_header(header: object) -> str:
 
 
 def normalize_names(headers: Sequence[object]) -> list[str]:
-    """Clean names for a header row; a repeated name gets ``_1``, ``_2`` ... in order of appearance."""
-    taken: dict[str, int] = {}
-    names: list[str] = []
-    for clean in map(normalize_header, headers):
-        number = taken.get(clean, -1) + 1
-        taken[clean] = number
-        name = f"{clean}_{number}" if number else clean
-        suffix = 2
-        candidate = name
-        while candidate in names:
-            candidate = f"{name}_{suffix}"
-            suffix += 1
-        names.append(candidate)
-    return names
+    """Clean, distinct names for a header row: a name that is taken becomes the first free of ``_1``, ``_2`` ..."""
+    used: set[str] = set()
+    spare: dict[str, Iterator[str]] = {}
+
+    def claim(clean: str) -> str:
+        choices = spare.setdefault(clean, chain([clean], (f"{clean}_{n}" for n in count(1))))
+        name = next(c for c in choices if c not in used)
+        used.add(name)
+        return name
+
+    return [claim(normalize_header(h)) for h in headers]
 
 
 def normalize_headers(df: DataFrame) -> DataFrame:
@@ -70,26 +68,24 @@ DATE_SHAPES = (
 )
 
 
-def detect_date_columns(df: DataFrame, sample: int = 10) -> list[str]:
-    """Columns that hold dates: by name, or when over 70 % of the first filled values look like one.
+def detect_date_columns(df: DataFrame, share: float = 0.7) -> list[str]:
+    """Columns that hold dates: by name, or when over ``share`` of all filled values look like one.
 
-    Runs one small job: each column's first filled values are taken with a limit.
+    One aggregation reads the columns whose name says nothing; one row reaches the driver.
+    Parse them with ``keep_unparsed``, so that the texts that are no dates survive.
     """
     by_name = {c for c in df.columns if any(w in c.lower() for w in DATE_COLUMN_WORDS)}
     rest = [c for c in df.columns if c not in by_name]
     looks: set[str] = set()
     if rest:
-        firsts = []
-        for name in rest:
+        shares = []
+        for place, name in enumerate(rest):
             text = stripped(field(name).cast("string"))
-            head = df.where(field(name).isNotNull()).limit(sample)
             shaped = reduce(lambda a, b: a | b, [text.rlike(p) for p in DATE_SHAPES])
-            usable = ~F.lower(text).isin(*NO_DATE, "")
-            firsts.append(
-                head.where(usable).agg(F.lit(name).alias("name"), F.avg(shaped.cast("int")).alias("share"))
-            )
-        shares = reduce(DataFrame.unionByName, firsts).where(F.col("share") > 0.7)
-        looks = {r["name"] for r in shares.collect()}  # at most one row per column
+            usable = text.isNotNull() & ~F.lower(text).isin(*NO_DATE, "")
+            shares.append(F.avg(F.when(usable, shaped.cast("int"))).alias(f"s{place}"))
+        found = df.agg(*shares).first()
+        looks = {name for place, name in enumerate(rest) if (found[f"s{place}"] or 0) > share}
     return [c for c in df.columns if c in by_name or c in looks]
 
 
@@ -105,9 +101,15 @@ class HeadersNotRegistered(ValueError):
 
 
 def header_gate(df: DataFrame, registered: Collection[str] | None) -> DataFrame:
-    """Let data through only when its table has registered headers; no job runs."""
+    """Let data through only when its table has registered headers and the data brings no other; no job runs.
+
+    Registered columns may be missing from a delivery.
+    """
     if not registered:
         raise HeadersNotRegistered("a file with the column headers has to be registered first")
+    unknown = [c for c in df.columns if c not in set(registered)]
+    if unknown:
+        raise HeadersNotRegistered(f"columns {unknown} are not registered")
     return df
 
 

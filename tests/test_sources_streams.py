@@ -57,7 +57,7 @@ def landed(tmp_path):
 
 
 def test_readers(spark, landed, tmp_path):
-    df = normalize_headers(read_delimited(spark, f"{landed}/a.csv"))
+    df = normalize_headers(read_delimited(spark, f"{landed}/a.csv", multiline=True))
     assert df.columns == ["order_id", "amount_dollar", "note"]
     assert rows(df, "order_id")[0] == {"order_id": "1", "amount_dollar": "1,000.5", "note": 'two\nlines "quoted"'}
     assert read_any(spark, f"{landed}/b.tsv").first().asDict() == {"x": "1", "y": "2"}
@@ -66,17 +66,26 @@ def test_readers(spark, landed, tmp_path):
     with pytest.raises(ValueError):
         read_any(spark, f"{landed}/e.exe")
     typed = read_inferred(spark, f"{landed}/b.tsv", delimiter="\t")
-    assert dict(typed.dtypes) == {"x": "int", "y": "int"}
-    large = read_inferred(spark, f"{landed}/b.tsv", delimiter="\t", infer_below_mb=0.0)
-    assert dict(large.dtypes) == {"x": "string", "y": "string"}
-    sampled = read_inferred(spark, f"{landed}/b.tsv", "\t", sampling_ratio=1.0, infer_below_mb=0.0)
-    assert dict(sampled.dtypes) == {"x": "int", "y": "int"}
+    assert dict(typed.dtypes) == {"x": "int", "y": "int", "_corrupt": "string"}
+    plain = read_inferred(spark, f"{landed}/b.tsv", delimiter="\t", infer=False, malformed=None)
+    assert dict(plain.dtypes) == {"x": "string", "y": "string"}
     write_summary(typed, f"{tmp_path}/out.json")
     assert read_any(spark, f"{tmp_path}/out.json").count() == 1
     with pytest.raises(ValueError):
         write_summary(typed, f"{tmp_path}/out", "xlsx")
 
 
+def test_no_cell_is_lost(spark, tmp_path):
+    (tmp_path / "ragged.csv").write_text("a,b\n1,2\n3,4,5\n6\n7,x\n")
+    got = {r["a"]: r["_corrupt"] for r in read_delimited(spark, f"{tmp_path}/ragged.csv", malformed="_corrupt").collect()}
+    assert got == {"1": None, "3": "3,4,5", "6": "6", "7": None}
+    (tmp_path / "mixed.csv").write_text("n\n" + "".join(f"{k}\n" for k in range(2000)) + "word\n")
+    whole = read_inferred(spark, f"{tmp_path}/mixed.csv")
+    assert dict(whole.dtypes)["n"] == "string" and whole.where("n = 'word'").count() == 1
+    typed = read_delimited(spark, f"{tmp_path}/mixed.csv", schema="n int", malformed="_corrupt")
+    assert [r["_corrupt"] for r in typed.where("n is null").collect()] == ["word"]
+
+
 def test_manifest(spark, landed):
     found = {r["file_name"]: r for r in landing_manifest(spark, str(landed), ["*.csv", "*.exe", "a*"]).collect()}
     assert set(found) == {"a.csv", "head.csv"}
@@ -91,8 +100,9 @@ def test_landing_checks(spark, landed, tmp_path):
     assert classify_landing(spark.createDataFrame([], "")) == "empty"
     df = spark.createDataFrame([(1,)], "a int")
     assert header_gate(df, ["a"]) is df
-    with pytest.raises(HeadersNotRegistered):
-        header_gate(df, [])
+    for other in ([], None, ["b"]):
+        with pytest.raises(HeadersNotRegistered):
+            header_gate(df, other)
     for _ in range(2):
         append_raw(df, f"{tmp_path}/raw")
     stored = spark.read.parquet(f"{tmp_path}/raw")
