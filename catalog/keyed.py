@@ -339,7 +339,7 @@ def three_books(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
 KEYS = {"trm": "o_orderkey", "mpr": "l_orderkey", "bank": "ref"}
 AMOUNTS = {"trm": "o_totalprice", "mpr": "net", "bank": "credited"}
 
-CHAIN = """(SELECT o.*, round(m.net, 2) AS mpr_amount, round(b.credited, 2) AS bank_amount,
+CHAIN = """(SELECT o.*, round(m.net, 4) AS mpr_amount, round(b.credited, 4) AS bank_amount,
             CASE WHEN m.l_orderkey IS NULL THEN 'MISSING_MPR' WHEN b.l_orderkey IS NULL THEN 'MISSING_BANK'
                  WHEN abs(o_totalprice - m.net) <= 100000 AND abs(o_totalprice - b.credited) <= 100000
                  THEN 'FULL_CHAIN' ELSE 'AMOUNT_MISMATCH' END AS level
@@ -350,11 +350,84 @@ CHAIN = """(SELECT o.*, round(m.net, 2) AS mpr_amount, round(b.credited, 2) AS b
             GROUP BY ALL) b ON o_orderkey = b.l_orderkey)"""
 
 
-@query(f"SELECT o_orderkey, o_totalprice, bank_amount, level FROM {CHAIN}")
+def rounded_chain(matched: DataFrame) -> DataFrame:
+    return matched.withColumns({c: F.round(c, 4) for c in ("mpr_amount", "bank_amount")})
+
+
+@query(f"SELECT * FROM {CHAIN}")
 def chain_levels(spark: SparkSession, sf: str) -> DataFrame:
-    matched = chain_match(*three_books(spark, sf), KEYS, AMOUNTS, tolerance=100_000)
-    bank = F.round("bank_amount", 2).alias("bank_amount")
-    return matched.select("o_orderkey", "o_totalprice", bank, "level")
+    return rounded_chain(chain_match(*three_books(spark, sf), KEYS, AMOUNTS, tolerance=100_000))
+
+
+def as_ints(books: tuple, *names: str) -> tuple:
+    """The same books with int keys in place of bigint ones, where named."""
+    return tuple(b.withColumns({n: F.col(n).cast("int") for n in names if n in b.columns}) for b in books)
+
+
+@query(f"SELECT * FROM {CHAIN}")
+def chain_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """Int keys of the books against bigint keys of the transactions, every key handled as a hot one."""
+    trm, mpr, bank = three_books(spark, sf)
+    books = (trm, *as_ints((mpr, bank), "l_orderkey", "ref"))
+    return rounded_chain(chain_match(*books, KEYS, AMOUNTS, tolerance=100_000, hot_rows=1))
+
+
+@query(f"""
+    SELECT o_orderkey, level, bank_amount FROM {CHAIN} WHERE o_orderkey % 4 <> 1
+    UNION ALL SELECT l_orderkey, 'MISSING_TRM', round(sum(l_extendedprice) FILTER (l_linestatus = 'F'), 4) FROM lineitem
+        WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 <> 1) GROUP BY l_orderkey
+""")
+def chain_orphans(spark: SparkSession, sf: str) -> DataFrame:
+    """Processor and bank rows of transactions that are not there."""
+    trm, mpr, bank = three_books(spark, sf)
+    matched = chain_match(trm.where("o_orderkey % 4 <> 1"), mpr, bank, KEYS, AMOUNTS, tolerance=100_000, orphans=True)
+    return rounded_chain(matched).select("o_orderkey", "level", "bank_amount")
+
+
+SETTLED = """
+    SELECT o_orderkey, CASE WHEN s.l_orderkey IS NULL THEN 'UNSETTLED' WHEN abs(o_totalprice - s.paid) <= 50000 THEN 'SETTLED'
+        ELSE 'VARIANCE' END AS settlement_status
+    FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice) AS paid FROM lineitem GROUP BY ALL) s
+        ON o_orderkey = s.l_orderkey
+"""
+
+
+@query(SETTLED)
+def settlement_hot(spark: SparkSession, sf: str) -> DataFrame:
+    payments = table(spark, sf, "orders").select(F.col("o_orderkey").cast("int").alias("order_id"), "o_totalprice")
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"), "l_extendedprice")
+    matched = settlement_match(payments, lines, "order_id", "o_totalprice", "l_extendedprice", tolerance=50_000, hot_rows=1)
+    return matched.select(F.col("order_id").cast("long").alias("o_orderkey"), "settlement_status")
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
+""")
+def present_keys_hot(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    known = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("int").alias("l_orderkey"))
+    return keys_present(lines, known, ["l_orderkey"], hot_rows=5)
+
+
+@query("""
+    SELECT event_id, CASE WHEN user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN 'backup' ELSE 'rest' END AS part FROM events
+""")
+def archive_split_hot(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events").select("event_id", F.col("user_id").cast("int").alias("user_id"))
+    done = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").cast("long").alias("user_id"))
+    backup, rest = archive_processed(events, done, "user_id", hot_rows=5)
+    return backup.select("event_id", F.lit("backup").alias("part")).unionByName(rest.select("event_id", F.lit("rest").alias("part")))
+
+
+@query("""
+    SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS copies,
+        CAST(row_number() OVER (PARTITION BY lang ORDER BY md5(source || doc_id), doc_id) AS INTEGER) AS copy_number
+    FROM documents
+""")
+def duplicate_hot_text_order(spark: SparkSession, sf: str) -> DataFrame:
+    """A few very frequent keys, numbered in the order of a text."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", F.md5(F.concat("source", "doc_id").cast("binary")).alias("mark"))
+    return duplicate_rows(docs, ["lang"], ["mark", "doc_id"], hot_rows=10).drop("mark")
 
 
 @query("""

@@ -27,8 +27,10 @@ from tallybook.sources.landing import (
     header_gate,
     normalize_headers,
 )
+from tallybook.plans.collection import UNIQUE_ID
 from tallybook.streaming.streams import (
     ONCE,
+    ChangeTable,
     file_source,
     run_stream,
     stream_quarantine,
@@ -235,22 +237,54 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return file_source(spark, sf, schema, "events.parquet")
 
 
-@query("""
+LAST_EVENTS = """
     SELECT user_id || '_' || event_type AS unique_id, CAST(user_id AS VARCHAR) AS user_id, event_type, value,
         date_trunc('second', ts) AS event_date, NULL::VARCHAR AS event_date_raw, NULL::VARCHAR AS channel
     FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events)
     WHERE rn = 1
-""")
+"""
+
+
+@query(LAST_EVENTS)
 def streamed_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Four files that land one after the other, one per micro-batch."""
     folder = scratch_folder(spark, "stream")
-    raw = event_stream(spark, sf).select(
+    land(table(spark, sf, "events"), f"{folder}/in", range(4), 4)
+    stream_upsert(raw_events(spark, sf, f"{folder}/in"), f"{folder}/table", CONFIG, f"{folder}/checkpoint").awaitTermination()
+    return upserted(spark, f"{folder}/table", CONFIG)
+
+
+def land(events: DataFrame, path: str, turns: range, of: int) -> None:
+    """Write the events as ``of`` files in the order of their ids; here those of ``turns``."""
+    last = events.agg(F.max("event_id")).first()[0] + 1
+    for turn in turns:
+        part = events.where((F.col("event_id") >= last * turn // of) & (F.col("event_id") < last * (turn + 1) // of))
+        part.coalesce(1).write.mode("append").parquet(path)
+
+
+def raw_events(spark: SparkSession, sf: str, path: str) -> DataFrame:
+    return file_source(spark, path, table(spark, sf, "events").schema, "*.parquet", files_per_batch=1).select(
         "event_id",
         F.col("user_id").cast("string").alias("user_id"),
         F.concat(F.lit(" "), "event_type").alias("event_type"),
         "value",
         F.date_format("ts", "MM/dd/yyyy HH:mm:ss").alias("event_date"),
     )
-    stream_upsert(raw, f"{folder}/table", CONFIG, f"{folder}/checkpoint").awaitTermination()
+
+
+@query(LAST_EVENTS)
+def streamed_restart(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream goes on with a new checkpoint after a compaction, on the files that came later."""
+    folder = scratch_folder(spark, "stream")
+    events = table(spark, sf, "events")
+    for turn in range(2):
+        land(events, f"{folder}/in{turn}", range(2 * turn, 2 * turn + 2), 4)
+        raw = raw_events(spark, sf, f"{folder}/in{turn}")
+        stream_upsert(raw, f"{folder}/table", CONFIG, f"{folder}/checkpoint{turn}").awaitTermination()
+        changes = ChangeTable(spark, f"{folder}/table", UNIQUE_ID, [f"__rank{i}" for i in range(len(CONFIG.order))])
+        if turn == 0:
+            changes.compact()
+            changes.clean()
     return upserted(spark, f"{folder}/table", CONFIG)
 
 

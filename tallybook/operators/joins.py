@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.keys import key_head
 from tallybook.functions.text import field, quoted
-from tallybook.operators.skew import HOT_ROWS, HotKeys, hot_keys, lookup_join
+from tallybook.operators.skew import HotKeys, distinct_keys, hot_keys, lookup_join, own_partitioning
 from tallybook.operators.tables import latest_per_key
 
 _ID = "__order_id"
@@ -25,25 +25,22 @@ def merge_on_key(primary: DataFrame, secondary: DataFrame, keys: Sequence[str])
 
 
 def keys_present(
-    df: DataFrame, known: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
+    df: DataFrame, known: DataFrame, keys: Sequence[str], hot_rows: int | None = None
 ) -> DataFrame:
     """Rows of ``df`` whose keys exist in ``known``."""
-    have = known.select(*[field(k) for k in keys]).distinct()
-    return lookup_join(df, have, keys, "left_semi", hot_rows)
+    return lookup_join(df, distinct_keys(known, keys), keys, "left_semi", hot_rows)
 
 
 def unmatched(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     labels: tuple[str, str] = ("left_only", "right_only"),
 ) -> DataFrame:
     """Rows found on one side only, with their ``side``; columns may differ between the sides."""
-    left_keys = left.select(*[field(k) for k in keys]).distinct()
-    right_keys = right.select(*[field(k) for k in keys]).distinct()
-    only_left = lookup_join(left, right_keys, keys, "left_anti", hot_rows)
-    only_right = lookup_join(right, left_keys, keys, "left_anti", hot_rows)
+    only_left = lookup_join(left, distinct_keys(right, keys), keys, "left_anti", hot_rows)
+    only_right = lookup_join(right, distinct_keys(left, keys), keys, "left_anti", hot_rows)
     return only_left.withColumn("side", F.lit(labels[0])).unionByName(
         only_right.withColumn("side", F.lit(labels[1])), allowMissingColumns=True
     )
@@ -55,7 +52,7 @@ def resolve_fallback(
     key: str,
     order_id: Column | None = None,
     order: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``__merge_key`` to secondary rows: the primary key they belong to.
@@ -76,15 +73,14 @@ def resolve_fallback(
         base.join(rows_of.select(field(key)).distinct(), key, "left_anti")
         .select(head.alias(_ID), field(key).alias(_KEY))
         .where(F.col(_ID).isNotNull())
-        .groupBy(_ID)
-        .agg(F.min(_KEY).alias(_KEY))
     )
+    free = free.groupBy(*own_partitioning(free, [_ID])).agg(F.min(_KEY).alias(_KEY)).drop("__dealt")
     rows = secondary.join(base.withColumn("__matched", F.lit(True)), key, "left")
     # Rows that need no retry get an id of their own that matches nothing, so that they spread over
     # all tasks instead of meeting at a null id.
     retried = F.when(F.col("__matched").isNull(), by_id)
     rows = rows.withColumn(_ID, F.coalesce(retried, F.concat(F.lit("\0"), field(key)))).drop("__matched")
-    hot = hot_keys(rows_of.select(by_id.alias(_ID)), [_ID], hot_rows)
+    hot = HotKeys() if hot_rows is None else hot_keys(rows_of.select(by_id.alias(_ID)), [_ID], hot_rows)
     found = lookup_join(rows, free, [_ID], "left", hot=HotKeys(hot.hashes)).drop(_ID)
     resolved = found.withColumn(_KEY, F.coalesce(_KEY, field(key)))
     # All rows claiming one primary row shrink to one per task here, before the shuffle that the
@@ -98,7 +94,7 @@ def merge_with_fallback(
     key: str,
     order_id: Column | None = None,
     order: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     secondary_key: str = "secondary_key",
 ) -> DataFrame:
     """``merge_on_key`` after the order-id fallback; the row's own key stays as ``secondary_key``."""
@@ -112,15 +108,16 @@ FULL_CHAIN = "FULL_CHAIN"
 AMOUNT_MISMATCH = "AMOUNT_MISMATCH"
 MISSING_BANK = "MISSING_BANK"
 MISSING_MPR = "MISSING_MPR"
+MISSING_TRM = "MISSING_TRM"
 
 
 def _totals(df: DataFrame, key: str, amount: str, name: str) -> DataFrame:
     """Amount and row count per key, combined in each task before the shuffle."""
-    return (
-        df.where(field(key).isNotNull())
-        .groupBy(field(key).alias(key))
-        .agg(F.sum(field(amount)).alias(f"{name}_amount"), F.count(F.lit(1)).alias(f"{name}_rows"))
+    keyed = df.where(field(key).isNotNull())
+    sums = keyed.groupBy(*own_partitioning(keyed, [key])).agg(
+        F.sum(field(amount)).alias(f"{name}_amount"), F.count(F.lit(1)).alias(f"{name}_rows")
     )
+    return sums.drop("__dealt")
 
 
 def chain_match(
@@ -130,13 +127,16 @@ def chain_match(
     keys: Mapping[str, str],
     amounts: Mapping[str, str],
     tolerance: float = 0.0,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
+    orphans: bool = False,
+    claims: DataFrame | None = None,
 ) -> DataFrame:
     """Match transactions to processor and bank rows; adds their amounts and the ``level``.
 
     ``keys`` and ``amounts`` name the columns of ``trm``, ``mpr`` and ``bank``.  Processor and bank
     rows are summed per key first, so each transaction stays one row.  A transaction without
-    processor row is ``MISSING_MPR`` whatever the bank says.
+    processor row is ``MISSING_MPR`` whatever the bank says.  ``orphans`` adds one ``MISSING_TRM`` row for
+    each key of processor or bank that no transaction has; ``claims`` may hold more transactions to look in.
     """
     key = keys["trm"]
     processor = _totals(mpr, keys["mpr"], amounts["mpr"], "mpr").withColumnRenamed(keys["mpr"], key)
@@ -155,7 +155,12 @@ def chain_match(
         .when(close, FULL_CHAIN)
         .otherwise(AMOUNT_MISMATCH)
     )
-    return matched.withColumn("level", level).drop("mpr_rows", "bank_rows")
+    levels = matched.withColumn("level", level).drop("mpr_rows", "bank_rows")
+    if not orphans:
+        return levels
+    claimed_keys = distinct_keys(trm if claims is None else claims, [key])
+    alone = chain.join(claimed_keys, key, "left_anti").withColumn("level", F.lit(MISSING_TRM)).drop("mpr_rows", "bank_rows")
+    return levels.unionByName(alone, allowMissingColumns=True)
 
 
 def settlement_match(
@@ -165,7 +170,7 @@ def settlement_match(
     amount: str,
     statement_amount: str,
     tolerance: float,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Payments against bank statements: variance and whether it is within the tolerance."""
     totals = _totals(statements, key, statement_amount, "statement")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -18,8 +19,9 @@ HOT_KEYS = 4096
 TRACKED_KEYS = 65536
 # A key below this many rows fits one task and is not worth special treatment.
 HOT_ROWS = 1_000_000
-# Cut points used to split the rows of a hot key into ordered slices.
-SLICE_CUTS = 255
+# Rows of a slice of a hot key, and how many cut points there are at least and at most.
+SLICE_ROWS = 1_000_000
+LEAST_CUTS, MOST_CUTS = 63, 1023
 
 
 @dataclass(frozen=True)
@@ -55,61 +57,96 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Ho
     return HotKeys(hot, found["nulls"] >= hot_rows)
 
 
+def own_partitioning(df: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """Columns to group by when the result meets a larger table on ``keys``: the keys and a hash of them.
+
+    A result dealt out by the keys alone would be joined where it lies, and Spark splits a hot key of the other
+    side only where both sides are shuffled for the join.
+    """
+    return [*[field(k) for k in keys], key_hash(keys).alias("__dealt")]
+
+
+def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each key once, for a lookup."""
+    return df.select(*own_partitioning(df, keys)).distinct().drop("__dealt")
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     hot: HotKeys | None = None,
 ) -> DataFrame:
     """Join ``left`` with ``right``, which holds each key at most once (key columns share names).
 
-    Without hot keys this is an ordinary join.  Otherwise the rows of hot keys are not shuffled:
-    the right rows they need, one per hot key, are broadcast, and only the others meet in the
-    ordinary join.  Very many rows without key take that path too, as they match nothing.
-    ``hot`` may be given when known, also for a larger table than ``left``.
+    This is an ordinary join, in which Spark splits hot keys of ``left`` as it runs, unless the caller asks for more:
+    with ``hot_rows`` one job looks for keys of that many rows (``hot`` gives them when known), and their rows are
+    not shuffled: the right rows they need, one per hot key, are broadcast.  Very many rows without key take that path
+    too.  Keys are always compared as the ordinary join compares them, whatever their types.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported lookup kind {how!r}")
     keys = list(keys)
-    if hot is None:
+    if hot is None and hot_rows is not None:
         hot = hot_keys(left, keys, hot_rows)
     if not hot:
         return left.join(right, keys, how)
     is_hot = key_hash(keys).isin(list(hot.hashes)) if hot.hashes else F.lit(False)
     aside = is_hot | _no_key(keys) if hot.nulls else is_hot
-    few = F.broadcast(right.where(is_hot))
+    wanted = left.where(is_hot).select(*[field(k) for k in keys]).distinct()  # at most HOT_KEYS rows
+    few = F.broadcast(right.join(F.broadcast(wanted), keys, "left_semi"))
     return left.where(~aside).join(right, keys, how).unionByName(left.where(aside).join(few, keys, how))
 
 
-def _cuttable(kind: T.DataType) -> bool:
-    return isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+TEXT_BYTES, TEXT_PARTS = 6, 4
 
 
-def _as_number(name: str, kind: T.DataType) -> Column:
+def _numbers(name: str, kind: T.DataType) -> list[Column] | None:
+    """Numbers that order like a column, one after the other; None when the column cannot be cut.
+
+    Wall-clock times are read off the clock, whatever the session's zone.  A text counts by its first bytes, which
+    leaves texts with one beginning in one slice.
+    """
     c = field(name)
+    if isinstance(kind, T.NumericType):
+        return [c.cast("double")]
+    if isinstance(kind, T.TimestampType):
+        return [F.unix_micros(c).cast("double")]
     if isinstance(kind, (T.DateType, T.TimestampNTZType)):
-        c = c.cast("timestamp")
-    return c.cast("double")
+        days = F.date_diff(c.cast("date"), F.lit(dt.date(1970, 1, 1)))
+        if isinstance(kind, T.DateType):
+            return [days.cast("double")]
+        seconds = F.hour(c) * 3600 + F.minute(c) * 60 + F.date_part(F.lit("SECOND"), c).cast("double")
+        return [days * 86400.0 + seconds]
+    if isinstance(kind, T.StringType):
+        part = lambda i: F.substring(c.cast("binary"), 1 + i * TEXT_BYTES, TEXT_BYTES)
+        digits = lambda i: F.rpad(F.hex(part(i)), 2 * TEXT_BYTES, "0")
+        return [F.conv(digits(i), 16, 10).cast("double") for i in range(TEXT_PARTS)]
+    return None
 
 
 def _with_slice(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Add ``__slice``, an array that orders like the order columns do.
 
-    Cut points are percentiles of each order column, at most ``SLICE_CUTS`` numbers.  A value equal
-    to a cut point gets a slice of its own, and only inside such a slice the next order column
-    decides further, so a frequent value is split as well.
+    Cut points are percentiles of each order column, one for about ``SLICE_ROWS`` rows.  A value equal
+    to a cut point gets a slice of its own, and only inside such a slice the next number decides
+    further, so a frequent value is split as well.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     numbers: list[Column] = []
     for name in order:
-        if not _cuttable(kinds[name]):
+        found = _numbers(name, kinds[name])
+        if found is None:
             break
-        numbers.append(_as_number(name, kinds[name]))
+        numbers += found
+        if isinstance(kinds[name], T.StringType):
+            break  # texts with one beginning may differ further on
     if not numbers:
         return df.withColumn("__slice", F.array(F.lit(0)))
-    shares = [i / (SLICE_CUTS + 1) for i in range(1, SLICE_CUTS + 1)]
+    count = min(MOST_CUTS, max(LEAST_CUTS, df.count() // SLICE_ROWS))
+    shares = [i / (count + 1) for i in range(1, count + 1)]
     # Percentiles may vary from run to run, so they are taken once and become constants of the plan.
     cuts = df.agg(*[F.percentile_approx(n, shares) for n in numbers]).first()
     parts: list[Column] = []
@@ -140,7 +177,7 @@ def numbered_copies(
 
     Ordinary keys are numbered in one window.  The rows of a hot key are cut into ordered slices;
     each slice is numbered on its own and shifted by the number of rows in the slices before it.
-    ``order`` must identify a row within its key and start with numeric or time columns.
+    ``order`` must identify a row within its key and start with a number, time or text.
     """
     keys, order = list(keys), list(order)
     hot = hot_keys(df, keys, hot_rows)

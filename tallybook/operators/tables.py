@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybook.functions.text import field, quoted
-from tallybook.operators.skew import HOT_ROWS, hot_keys, lookup_join, numbered_copies
+from tallybook.operators.skew import HOT_ROWS, distinct_keys, hot_keys, lookup_join, numbered_copies
 
 # Stamps that do not count as a change.
 STAMPS = ("processed_at", "updated_at", "created_at")
@@ -47,8 +47,9 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()
     if len(complete) == len(rest):
         best = F.max(F.struct(*[field(c) for c in complete]))
     else:
-        rank = F.struct(*[field(c) for c in complete]) if complete else F.lit(0)
-        best = F.max_by(F.struct(*[field(c) for c in rest]), rank)
+        # what cannot be ordered decides ties by its printed form, so that no run differs
+        printed = [F.to_json(F.struct(field(c))) for c in rest if not _orderable(kinds[c])]
+        best = F.max_by(F.struct(*[field(c) for c in rest]), F.struct(*[field(c) for c in complete], *printed))
     grouped = df.groupBy(*[field(k) for k in keys]).agg(best.alias("__row"))
     return grouped.select(
         *[field(c) if c in keys else F.col(f"__row.{quoted(c)}").alias(c) for c in df.columns]
@@ -164,11 +165,11 @@ def change_counts(labels: DataFrame) -> DataFrame:
 
 
 def archive_processed(
-    raw: DataFrame, done: DataFrame, key: str, hot_rows: int = HOT_ROWS
+    raw: DataFrame, done: DataFrame, key: str, hot_rows: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Split raw rows into those whose key is done (for the backup) and the remainder."""
-    finished = done.select(field(key)).where(field(key).isNotNull()).distinct()
-    hot = hot_keys(raw, [key], hot_rows)
+    finished = distinct_keys(done.where(field(key).isNotNull()), [key])
+    hot = None if hot_rows is None else hot_keys(raw, [key], hot_rows)
     return (
         lookup_join(raw, finished, [key], "left_semi", hot=hot),
         lookup_join(raw, finished, [key], "left_anti", hot=hot),

@@ -26,7 +26,7 @@ from tallybook.functions.predicates import scan_filtered
 from tallybook.functions.reasons import with_reasons
 from tallybook.functions.text import field
 from tallybook.operators.joins import resolve_fallback
-from tallybook.operators.skew import HOT_ROWS
+from tallybook.operators.skew import distinct_keys
 from tallybook.operators.tables import latest_per_key, upsert
 
 ORDER_DATE = "order_date"
@@ -161,7 +161,7 @@ def build_report(
     fallback: bool = False,
     order_ids: Mapping[str, str] | None = None,
     stamp: bool = True,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """One row per mapping key over all sources, with calculated columns, deltas and reasons.
 
@@ -307,14 +307,17 @@ def refresh_report(
 ) -> DataFrame:
     """Rebuild a report onto its stored rows: recalculated columns are replaced, others survive.
 
-    Stored rows whose key no longer occurs in the sources stay as they are.
+    A stored row is replaced when any of its source keys occurs in the fresh report, also in a row that has
+    another primary key now.  Rows whose keys no longer occur stay as they are.
     """
     fresh = build_report(sources, definition, **options)
     key = "__report_key"
-    merged = upsert(
-        stored.withColumn(key, report_key(stored)), fresh.withColumn(key, report_key(fresh)), key
-    )
-    return merged.drop(key)
+    named, new = stored.withColumn(key, report_key(stored)), fresh.withColumn(key, report_key(fresh))
+    same = named.join(distinct_keys(new.where(field(key).isNotNull()), [key]), key, "left_semi").select(*named.columns)
+    rest = stored
+    for name in (c for c in stored.columns if c.endswith("_mapping_key") and c in fresh.columns):
+        rest = rest.join(distinct_keys(fresh.where(field(name).isNotNull()), [name]), name, "left_anti").select(*[field(c) for c in stored.columns])
+    return upsert(same, new, key).drop(key).unionByName(rest, allowMissingColumns=True)
 
 
 def build_dashboard(

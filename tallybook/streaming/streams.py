@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,37 +69,64 @@ def run_stream(
     return writer.start(path) if path else writer.start()
 
 
+def run_of(spark: SparkSession) -> str:
+    """Id of the running streaming query, which its checkpoint keeps; a new checkpoint has a new one."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "manual"
+
+
 class ChangeTable:
     """Keyed table kept as a base plus the changes of each micro-batch.
 
-    A micro-batch writes only its own rows, one per key, into a folder named after its id, so a
+    A micro-batch writes only its own rows, one per key, into a folder named after its run and id, so a
     batch costs what it brings and not the size of the table, and a replayed batch overwrites
-    itself.  Reading puts the last change per key over the base; ``compact`` folds the changes into
-    a new base.  A base counts once its number is in the log, so an interrupted compaction is void.
+    itself.  A log gives each folder its place in the order, whatever run wrote it.  Reading puts the last change
+    per key over the base; ``compact`` folds the changes into a new base, ``clean`` removes what is folded.  A base counts
+    once its number is in the log, so an interrupted compaction is void.  One stream writes at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str, order: Sequence[str] = ()) -> None:
         self.spark, self.path, self.key, self.order = spark, path.rstrip("/"), key, list(order)
 
+    def _folder(self, run: str, batch: int) -> str:
+        return f"{self.path}/changes/{run}/{batch}"
+
     def write_batch(self, rows: DataFrame, batch_id: int) -> None:
+        run = run_of(self.spark)
         keyed = latest_per_key(rows.where(field(self.key).isNotNull()), [self.key], self.order)
         keyless = rows.where(field(self.key).isNull())
-        changes = keyed.unionByName(keyless)
-        changes.write.mode("overwrite").parquet(f"{self.path}/changes/{_BATCH}={batch_id}")
+        keyed.unionByName(keyless).write.mode("overwrite").parquet(self._folder(run, batch_id))
+        log = self._log()
+        if not any((r["run"], r["batch"]) == (run, batch_id) for r in log):
+            place = max((r["place"] for r in log), default=self._base_version()) + 1
+            entry = self.spark.createDataFrame([(run, batch_id, place)], "run string, batch long, place long")
+            entry.coalesce(1).write.mode("append").parquet(f"{self.path}/batch_log")
 
     def _read(self, folder: str) -> DataFrame | None:
+        """A table of this path, or None when nothing was written there yet; other problems are raised."""
         try:
             return self.spark.read.parquet(f"{self.path}/{folder}")
-        except AnalysisException:
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
+    def _log(self) -> list:
+        """Entries (run, batch, place) in order: one row per micro-batch that was written."""
+        log = self._read("batch_log")
+        return [] if log is None else sorted(log.collect(), key=lambda r: r["place"])
+
     def _base_version(self) -> int:
         log = self._read("base_log")
         return -1 if log is None else log.agg(F.max("version")).first()[0]
 
     def _changes_after(self, version: int) -> DataFrame | None:
-        changes = self._read("changes")
-        return None if changes is None else changes.where(F.col(_BATCH) > version)
+        """Rows of the batches behind a base, with their place; columns may come and go between batches."""
+        parts = [
+            self.spark.read.parquet(self._folder(r["run"], r["batch"])).withColumn(_BATCH, F.lit(r["place"]))
+            for r in self._log()
+            if r["place"] > version
+        ]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
     def current(self) -> DataFrame:
         """The table as of now."""
@@ -115,17 +143,32 @@ class ChangeTable:
         return last if base is None else upsert(base, last, self.key, unique=True)
 
     def compact(self) -> int:
-        """Write the current state as a new base; returns its version (the last batch it holds)."""
+        """Write the current state as a new base; returns its version (the place of the last batch it holds)."""
         version = self._base_version()
-        changes = self._changes_after(version)
-        newest = None if changes is None else changes.agg(F.max(_BATCH)).first()[0]
-        if newest is None:
+        newest = max((r["place"] for r in self._log()), default=version)
+        if newest == version:
             return version
         self.current().write.mode("overwrite").parquet(f"{self.path}/base/version={newest}")
         log = self.spark.range(1).select(F.lit(int(newest)).alias("version"))
         log.write.mode("append").parquet(f"{self.path}/base_log")
         return newest
 
+    def clean(self) -> int:
+        """Remove folded changes and older bases; returns the number of folders.  Nobody may read an older state meanwhile."""
+        version = self._base_version()
+        folders = [self._folder(r["run"], r["batch"]) for r in self._log() if r["place"] <= version]
+        versions = self._read("base_log")
+        if versions is not None:
+            old = {r["version"] for r in versions.distinct().collect()} - {version}
+            folders += [f"{self.path}/base/version={v}" for v in sorted(old)]
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        conf = self.spark._jsc.hadoopConfiguration()
+        removed = 0
+        for folder in folders:
+            place = hadoop.Path(folder)
+            removed += place.getFileSystem(conf).delete(place, True)
+        return removed
+
 
 def stream_upsert(
     df: DataFrame,
@@ -165,13 +208,14 @@ def stream_quarantine(
     checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Split a stream by quality rules into two tables; a replayed batch overwrites itself."""
+    """Split a stream by quality rules into two tables, in folders by run and batch; a replayed batch overwrites itself."""
 
     def split(rows: DataFrame, batch_id: int) -> None:
         rows.persist()  # both sinks read the batch, which may come from a non-file source
         good, bad = quarantine(rows, rules)
-        good.write.mode("overwrite").parquet(f"{good_path}/{_BATCH}={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{bad_path}/{_BATCH}={batch_id}")
+        place = f"__run={run_of(df.sparkSession)}/{_BATCH}={batch_id}"
+        good.write.mode("overwrite").parquet(f"{good_path}/{place}")
+        bad.write.mode("overwrite").parquet(f"{bad_path}/{place}")
         rows.unpersist()
 
     return (
