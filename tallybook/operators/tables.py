@@ -14,7 +14,7 @@ from tallybook.operators.skew import HOT_ROWS, distinct_keys, hot_keys, lookup_j
 # Stamps that do not count as a change.
 STAMPS = ("processed_at", "updated_at", "created_at")
 
-_PRESENT = "__present"
+_PRESENT, _DEALT = "__present", "__dealt"
 
 
 def _orderable(kind: T.DataType) -> bool:
@@ -63,14 +63,30 @@ def duplicate_rows(
     return numbered_copies(df, keys, order, hot_rows).where(F.col("copies") > 1)
 
 
+def _spread(df: DataFrame, key: str, side: int) -> Column:
+    """Second join column: 0 with a key; without one a hash of the row, so that such rows spread over all tasks.
+
+    A null key matches nothing, so rows without key keep to themselves in an outer join.
+    """
+    printable = [field(c) for c in df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
+    return F.when(field(key).isNotNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit(side), *printable))
+
+
+def _marked(df: DataFrame, key: str, side: int) -> DataFrame:
+    return df.withColumns({_PRESENT: F.lit(True), _DEALT: _spread(df, key, side)})
+
+
+def _same_key(key: str) -> Column:
+    return (F.col(f"e.{quoted(key)}") == F.col(f"i.{quoted(key)}")) & (F.col(f"e.{_DEALT}") == F.col(f"i.{_DEALT}"))
+
+
 def _merged(
     existing: DataFrame, incoming: DataFrame, key: str, insert_only: Sequence[str]
 ) -> DataFrame:
-    """Full outer join of two keyed tables; incoming values win where an incoming row exists."""
-    marked = incoming.withColumn(_PRESENT, F.lit(True))
-    both = existing.alias("e").join(marked.alias("i"), F.col(f"e.{quoted(key)}") == F.col(f"i.{quoted(key)}"), "full_outer")
+    """Full outer join of two tables, one row per key; incoming values win where an incoming row exists."""
+    both = _marked(existing, key, 1).alias("e").join(_marked(incoming, key, 2).alias("i"), _same_key(key), "full_outer")
     arrived = F.col(f"i.{_PRESENT}").isNotNull()
-    known = F.col(f"e.{quoted(key)}").isNotNull()
+    known = F.col(f"e.{_PRESENT}").isNotNull()
     out: list[Column] = []
     for name in dict.fromkeys([*existing.columns, *incoming.columns]):
         old = F.col(f"e.{quoted(name)}") if name in existing.columns else None
@@ -88,6 +104,14 @@ def _merged(
     return both.select(*out)
 
 
+def _last_rows(incoming: DataFrame, key: str, order: Sequence[str], unique: bool) -> DataFrame:
+    """One row per key, and every row without key."""
+    if unique:
+        return incoming
+    keyed = latest_per_key(incoming.where(field(key).isNotNull()), [key], order)
+    return keyed.unionByName(incoming.where(field(key).isNull()))
+
+
 def upsert(
     existing: DataFrame,
     incoming: DataFrame,
@@ -101,16 +125,9 @@ def upsert(
     Of several incoming rows with one key the last by ``order`` wins.  Columns the update does not
     carry survive.  A row without key is always appended.  ``insert_only`` columns are set only when
     the row is new; ``unique`` says that ``incoming`` holds each key once already.  Both sides hold
-    each key once when they meet, so no key is ever hot in the join, and keyless rows stay out of it.
+    each key once when they meet, so no key is ever hot in the join; rows without key pass it spread by a hash.
     """
-    last = incoming.where(field(key).isNotNull())
-    if not unique:
-        last = latest_per_key(last, [key], order)
-    merged = _merged(existing.where(field(key).isNotNull()), last, key, insert_only)
-    keyless = existing.where(field(key).isNull()).unionByName(
-        incoming.where(field(key).isNull()), allowMissingColumns=True
-    )
-    return merged.unionByName(keyless, allowMissingColumns=True)
+    return _merged(existing, _last_rows(incoming, key, order, unique), key, insert_only)
 
 
 def change_labels(
@@ -125,15 +142,11 @@ def change_labels(
 
     Stamp columns do not count as changes.  A row without key is an insert.
     """
-    last = incoming.where(field(key).isNotNull())
-    if not unique:
-        last = latest_per_key(last, [key], order)
+    last = _last_rows(incoming, key, order, unique)
     compared = [c for c in incoming.columns if c != key and c not in ignore]
     shared = [c for c in compared if c in existing.columns]
-    old = existing.where(field(key).isNotNull()).select(
-        field(key), *[field(c) for c in shared], F.lit(True).alias(_PRESENT)
-    )
-    both = last.alias("i").join(old.alias("e"), F.col(f"i.{quoted(key)}") == F.col(f"e.{quoted(key)}"), "left")
+    old = _marked(existing.where(field(key).isNotNull()).select(field(key), *[field(c) for c in shared]), key, 1)
+    both = _marked(last, key, 2).alias("i").join(old.alias("e"), _same_key(key), "left")
     known = F.col(f"e.{_PRESENT}").isNotNull()
     tests = []
     for c in compared:
@@ -147,11 +160,7 @@ def change_labels(
         .when(F.size("changed_fields") > 0, "update")
         .otherwise("unchanged")
     )
-    labelled = labelled.select(field(key), label.alias("change"), "changed_fields")
-    keyless = incoming.where(field(key).isNull()).select(
-        field(key), F.lit("insert").alias("change"), F.array().cast("array<string>").alias("changed_fields")
-    )
-    return labelled.unionByName(keyless)
+    return labelled.select(field(key), label.alias("change"), "changed_fields")
 
 
 def change_counts(labels: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def process_collection(
     last = latest_per_key(keyed, [UNIQUE_ID], ranks)
     last = last.unionByName(incoming.where(field(UNIQUE_ID).isNull())).drop(*ranks)
     if existing is None:
-        existing = last.limit(0)
+        existing = raw.sparkSession.createDataFrame([], last.schema)
     labels = change_labels(existing, last, UNIQUE_ID, unique=True)
     if stamp:
         last = last.withColumn("processed_at", F.current_timestamp())

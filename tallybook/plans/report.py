@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallybook.config import Formula, ReportDefinition
 from tallybook.functions.dates import order_date
@@ -24,7 +26,7 @@ from tallybook.functions.formula import (
 from tallybook.functions.keys import integral_fields, mapping_key
 from tallybook.functions.predicates import scan_filtered
 from tallybook.functions.reasons import with_reasons
-from tallybook.functions.text import field
+from tallybook.functions.text import field, quoted
 from tallybook.operators.joins import resolve_fallback
 from tallybook.operators.skew import distinct_keys
 from tallybook.operators.tables import latest_per_key, upsert
@@ -229,23 +231,34 @@ def build_report(
 def _merge(frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
     """Primary rows with what each other source has for them, and the rows only another source has.
 
-    Every frame holds a key once.  Two sources meet in one full outer join.  More of them are joined
-    to the primary one after the other, which keeps its partitioning, so each source is shuffled
-    once; their remaining rows follow from the same shuffled data.  A full outer chain would shuffle
-    the growing result for every source, and let rows meet that have no primary row.
+    Every frame holds a key once.  Two sources meet in one full outer join.  More of them are put under each other, a
+    struct per source, and meet in one grouping by key, so each source is computed once.  A key without primary row
+    gives one row per source that has it: only the primary source brings others together.
     """
-    primary, *others = frames
     on = list(on)
-    if len(others) == 1:
-        return primary.join(others[0], on, "full_outer")
-    known = primary.select(*[field(c) for c in on])
-    merged = primary
-    for other in others:
-        merged = merged.join(other, on, "left")
-    for other in others:
-        rest = other.join(known, on, "left_anti")
-        merged = merged.unionByName(rest, allowMissingColumns=True)
-    return merged
+    if len(frames) == 2:
+        return frames[0].join(frames[1], on, "full_outer")
+    cells = [[c for c in frame.columns if c not in on] for frame in frames]
+    kinds = [T.StructType([frame.schema[c] for c in names]) for frame, names in zip(frames, cells)]
+    places = range(len(frames))
+    parts = [
+        frame.select(
+            *[field(c) for c in on],
+            *[(F.struct(*[field(c) for c in cells[i]]) if i == j else F.lit(None).cast(kinds[j])).alias(f"__source{j}") for j in places],
+        )
+        for i, frame in enumerate(frames)
+    ]
+    met = reduce(DataFrame.union, parts).groupBy(*[field(c) for c in on]).agg(
+        *[F.first(f"__source{j}", ignorenulls=True).alias(f"__source{j}") for j in places]
+    )
+    at = [F.col(f"__source{j}") for j in places]
+
+    def row(wanted: Collection[int]) -> Column:
+        return F.struct(*[(at[j] if j in wanted else F.lit(None).cast(kinds[j])).alias(f"s{j}") for j in places])
+
+    alone = F.array_compact(F.array(*[F.when(at[j].isNotNull(), row((j,))) for j in places[1:]]))
+    rows = met.select(*[field(c) for c in on], F.explode(F.when(at[0].isNotNull(), F.array(row(places))).otherwise(alone)).alias("row"))
+    return rows.select(*[field(c) for c in on], *[F.col(f"row.s{j}.{quoted(c)}").alias(c) for j in places for c in cells[j]])
 
 
 def _late_formulas(merged: DataFrame, plan: Assignment) -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallybook.config import ReportDefinition
 from tallybook.plans.report import (
@@ -230,3 +231,28 @@ def test_definition_checks():
     })
     with pytest.raises(ValueError, match="circle"):
         assign_formulas(circle)
+
+
+def test_refresh_leaves_no_stale_rows(spark):
+    """Half of the stored rows are one-sided and have found their partner since."""
+    definition = ReportDefinition.from_dict({
+        "report_name": "r",
+        "formulas": [{"logicNameKey": "A", "formulaText": "one.a"}, {"logicNameKey": "B", "formulaText": "two.b"}],
+        "mapping_keys": {"one": ["k"], "two": ["k"]},
+        "delta_columns": [{"delta_column_name": "D", "value": "A - B"}],
+    })
+    one = spark.range(1, 9).selectExpr("id AS k", "id * 10.0D AS a")
+    two = spark.range(3, 12).selectExpr("id AS k", "id * 1.0D AS b")
+    early = build_report({"one": one.where("k > 5"), "two": two}, definition, stamp=False)
+    stored = early.withColumn("note", F.lit("kept")).unionByName(
+        spark.sql("SELECT '99' AS one_mapping_key, 'left' AS note"), allowMissingColumns=True
+    )
+    got = rows(refresh_report(stored, {"one": one, "two": two}, definition, stamp=False))
+    fresh = rows(build_report({"one": one, "two": two}, definition, stamp=False))
+    assert len(got) == len(fresh) + 1
+    assert sum(r["d"] or 0 for r in got) == sum(r["d"] for r in fresh)
+    for name in ("one_mapping_key", "two_mapping_key"):
+        keys = [r[name] for r in got if r[name] is not None]
+        assert len(keys) == len(set(keys))
+    notes = {r["one_mapping_key"]: r["note"] for r in got}
+    assert notes["7"] == "kept" and notes["99"] == "left" and notes["3"] is None

@@ -220,3 +220,26 @@ def test_kafka_options():
     assert kafka_options("h:9092", "t") == {
         "kafka.bootstrap.servers": "h:9092", "subscribe": "t", "startingOffsets": "latest",
     }
+
+
+def test_change_table_outlives_its_checkpoint(spark, tmp_path):
+    """Batch ids start at 0 again with a new checkpoint; columns may come later; what is folded can be removed."""
+    folder = str(tmp_path)
+    table = ChangeTable(spark, f"{folder}/table", "k", ["n"])
+
+    def stream(rows_, kinds, turn):
+        spark.createDataFrame(rows_, kinds).coalesce(1).write.parquet(f"{folder}/in{turn}")
+        source = file_source(spark, f"{folder}/in{turn}", kinds, "*.parquet")
+        writer = source.writeStream.foreachBatch(table.write_batch).option("checkpointLocation", f"{folder}/checkpoint{turn}")
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    stream([("a", 1), ("b", 1)], "k string, n int", 0)
+    stream([("b", 2), (None, 7)], "k string, n int", 1)
+    assert table.compact() == 1 and table.clean() == 2
+    stream([("c", 3, "new"), ("a", 3, "x")], "k string, n int, later string", 2)
+    got = [(r["k"], r["n"], r["later"]) for r in rows(table.current(), "k")]
+    assert got == [(None, 7, None), ("a", 3, "x"), ("b", 2, None), ("c", 3, "new")]
+    assert table.compact() == 2 and table.clean() == 2
+    assert [(r["k"], r["n"]) for r in rows(table.current(), "k")] == [(None, 7), ("a", 3), ("b", 2), ("c", 3)]
+    with pytest.raises(ValueError):
+        ChangeTable(spark, f"{folder}/none", "k").current()

@@ -236,3 +236,96 @@ def test_process_collection(spark):
     assert second.processed.where("processed_at is not null").count() == 3
     no_ids = process_collection(raw, None, CollectionConfig(("id",)), stamp=False)
     assert no_ids.processed.count() == 4
+
+
+TYPE_PAIRS = [
+    ("int", "long"), ("long", "int"), ("short", "decimal(12,2)"), ("decimal(10,1)", "decimal(14,3)"), ("float", "double"),
+    ("string", "int"), ("int", "string"), ("date", "timestamp_ntz"), ("timestamp", "date"),
+]
+
+
+@pytest.mark.parametrize("left_type, right_type", TYPE_PAIRS)
+def test_hot_keys_of_other_types_match_as_in_a_plain_join(spark, left_type, right_type):
+    day = lambda c: F.date_add(F.lit("2024-01-01").cast("date"), c.cast("int"))
+    dated = "date" in (left_type, right_type)
+    key = lambda c, kind: (day(c) if dated else c).cast(kind)
+    n = F.col("id")
+    left = spark.range(900).select(key(F.when(n < 500, 3).otherwise(n % 40), left_type).alias("k"), n.alias("n"))
+    right = spark.range(20).select(key(n, right_type).alias("k"), (n * 2).alias("v"))
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        got, want = lookup_join(left, right, ["k"], how, hot_rows=100), left.join(right, ["k"], how)
+        assert got.dtypes == want.dtypes
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert hot_keys(left, ["k"], 100)
+
+
+def test_mixed_types_in_archive_and_settlement(spark):
+    raw = spark.range(1000).selectExpr("5 AS k", "id AS n")
+    backup, rest = archive_processed(raw, spark.sql("SELECT 5L AS k"), "k", hot_rows=10)
+    assert (backup.count(), rest.count()) == (1000, 0)
+    payments = spark.range(200).selectExpr("7 AS k", "10.0D AS paid")
+    statements = spark.sql("SELECT 7L AS k, 10.0D AS credited")
+    found = settlement_match(payments, statements, "k", "paid", "credited", 0.5, hot_rows=10)
+    assert {r["settlement_status"] for r in found.collect()} == {"SETTLED"}
+
+
+def test_no_job_runs_while_a_lookup_is_planned_and_spark_splits_its_hot_key(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        left = spark.range(0, 20000, 1, 8).selectExpr("IF(id < 15000, 1, id) AS k", "uuid() AS n")
+        known = spark.range(40000).selectExpr("id % 20000 AS k")
+        tracker = spark.sparkContext.statusTracker()
+        jobs = len(tracker.getJobIdsForGroup(None))
+        found = keys_present(left, known, ["k"])
+        assert len(tracker.getJobIdsForGroup(None)) == jobs
+        assert found.count() == 20000
+        found.write.format("noop").mode("overwrite").save()
+        ran = found._jdf.queryExecution()
+        ran.executedPlan().execute().count()
+        assert "skew=true" in ran.executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_copy_numbers_where_clocks_change(spark, kind):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        start = F.lit("2024-03-10 00:00:00").cast(kind)
+        df = spark.range(480).select(F.lit(1).alias("k"), (start + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("id") * 3).cast("int"), F.lit(0))).alias("at"), "id")
+        from pyspark.sql import Window
+
+        want = df.withColumn("copy_number", F.row_number().over(Window.partitionBy("k").orderBy("at", "id")))
+        got = numbered_copies(df, ["k"], ["at", "id"], hot_rows=10).drop("copies")
+        assert got.exceptAll(want).count() == 0 and got.count() == 480
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_copy_numbers_in_text_order(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(3000).selectExpr("id % 2 AS k", "concat('same beginning of all ', IF(id % 3 = 0, 'é', ''), md5(cast(id AS string))) AS t", "id")
+    df = df.union(spark.range(600).selectExpr("id % 2", "IF(id % 2 = 0, '', NULL)", "id + 10000"))
+    want = df.withColumn("copy_number", F.row_number().over(Window.partitionBy("k").orderBy("t", "id")))
+    got = numbered_copies(df, ["k"], ["t", "id"], hot_rows=10).drop("copies")
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_rows_without_key_stay_apart(spark):
+    old = spark.createDataFrame([(None, 1, "a"), (None, 1, "a"), (5, 2, "b")], "k int, n int, note string")
+    new = spark.createDataFrame([(None, 1), (None, 1), (5, 3), (6, 4)], "k int, n int")
+    for unique in (True, False):
+        got = rows(upsert(old, new, "k", unique=unique))
+        assert sorted(((r["k"], r["n"], r["note"]) for r in got), key=str) == sorted(
+            [(None, 1, "a"), (None, 1, "a"), (None, 1, None), (None, 1, None), (5, 3, "b"), (6, 4, None)], key=str
+        )
+        assert sorted(r["change"] for r in rows(change_labels(old, new, "k", unique=unique))) == ["insert", "insert", "insert", "update"]
