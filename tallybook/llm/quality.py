@@ -3,7 +3,9 @@
 Trusted positives (label 1) and unlabelled text train a small network under the non-negative unbiased risk
     pi * E_p[l(f)] + max(0, E_u[l(-f)] - pi * E_p[l(-f)])
 with the logistic loss l. The prior pi of positives is estimated from a first model that tells positives from unlabelled text: the
-smallest ratio of unlabelled to positive shares above any score. Labels of 0 are never used.
+smallest ratio of unlabelled to positive shares above any score. Three networks are fitted, each without a third of the sample; the
+values of the third it has not seen give the prior, and the cut of least estimated error, which becomes a score of 0.7. Labels of 0 are
+never used.
 
 Only the fit looks at a sample: at most SAMPLE positives and SAMPLE unlabelled documents, those of the smallest hashes, all from
 rows whose crc32(doc_id as text) mod 4 is not 2. Every document is scored from its whole text: counts of characters, words,
@@ -27,7 +29,8 @@ SAMPLE = 10_000
 """Bound of the sample that the fit gathers on the driver (positives, and as many unlabelled documents)."""
 THRESHOLD = 0.7
 HIDDEN = 16
-STEPS = 400
+STEPS = 120
+FOLDS = 3
 FOLD, HELD_OUT = 4, 2
 _CLASSES = np.zeros((256, 9))
 for _k, _codes in enumerate((range(65, 91), range(97, 123), range(48, 58), (32,), (10,), (44, 46), (33, 63), (35, 36, 37, 38, 42, 43, 60, 62, 64, 94, 95, 96, 124, 126), range(128, 256))):
@@ -90,7 +93,7 @@ class Network:
         h = np.tanh(z @ self.parts[0] + self.parts[1])
         return h @ self.parts[2] + self.parts[3][0], h
 
-    def step(self, z: np.ndarray, h: np.ndarray, slope: np.ndarray, rate: float = 0.02, decay: float = 1e-4) -> None:
+    def step(self, z: np.ndarray, h: np.ndarray, slope: np.ndarray, rate: float = 0.02, decay: float = 1e-2) -> None:
         """One Adam step; slope is the derivative of the risk by each output."""
         inner = np.outer(slope, self.parts[2]) * (1 - h**2)
         gradients = [z.T @ inner + decay * self.parts[0], inner.sum(axis=0), h.T @ slope + decay * self.parts[2], slope.sum(keepdims=True)]
@@ -114,34 +117,65 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(((above(unlabelled) + spread) / share).min(), 0.02, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[Network, float]:
-    """The network and the estimated prior."""
-    x = np.concatenate([positive, unlabelled])
-    p, u = slice(0, len(positive)), slice(len(positive), len(x))
-    n_p, n_u = len(positive), len(unlabelled)
-    first = Network(x)
-    z = first.inputs(x)
-    for _ in range(STEPS // 2):  # positives against unlabelled text
-        f, h = first.value(z)
-        slope = np.concatenate([(sigmoid(f[p]) - 1) / n_p, sigmoid(f[u]) / n_u])
-        first.step(z, h, slope)
-    f, _ = first.value(z)
-    prior = class_prior(f[p], f[u])
-    model = Network(x, 1)
+class Model:
+    """Mean of networks, moved so that a score of THRESHOLD is the cut of least estimated error."""
+
+    def __init__(self, networks: list[Network], cut: float):
+        self.networks, self.cut = networks, cut
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        value = np.mean([n.value(n.inputs(x))[0] for n in self.networks], axis=0)
+        return sigmoid(value - self.cut + np.log(THRESHOLD / (1 - THRESHOLD)))
+
+
+def descend(model: Network, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> None:
+    """STEPS down the non-negative risk; without a prior, positives are told from unlabelled text."""
+    n, m = len(positive), len(unlabelled)
+    z = model.inputs(np.concatenate([positive, unlabelled]))
     for _ in range(STEPS):
         f, h = model.value(z)
-        negative = np.logaddexp(0, f[u]).mean() - prior * np.logaddexp(0, f[p]).mean()
-        slope = np.zeros(len(x))
-        slope[u], slope[p] = sigmoid(f[u]) / n_u, -prior * sigmoid(f[p]) / n_p
-        if negative < 0:
-            slope = -slope  # lift the part of the risk that fell below zero
+        p, u = sigmoid(f[:n]), sigmoid(f[n:])
+        if prior is None:
+            slope = np.concatenate([(p - 1) / n, u / m])
         else:
-            slope[p] += prior * (sigmoid(f[p]) - 1) / n_p
+            slope = np.concatenate([-prior * p / n, u / m])
+            if np.logaddexp(0, f[n:]).mean() < prior * np.logaddexp(0, f[:n]).mean():
+                slope = -slope  # lift the part of the risk that fell below zero
+            else:
+                slope[:n] += prior * (p - 1) / n
         model.step(z, h, slope)
-    return model, prior
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "quality", sample: int = SAMPLE) -> Network | None:
+def least_error_cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The value whose estimated error prior * missed + (accepted unlabelled - prior * accepted positives) is smallest."""
+    cuts = np.unique(np.quantile(positive, np.linspace(0, 0.3, 301)))
+    accepted = lambda s: 1 - np.searchsorted(np.sort(s), cuts) / len(s)
+    return float(cuts[np.argmax(2 * prior * accepted(positive) - accepted(unlabelled))])
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0) -> tuple[Model, float]:
+    """The model and the estimated prior. Prior and cut come from values of rows that a network has not seen."""
+    rng = np.random.default_rng(seed)
+    folds = FOLDS if min(len(positive), len(unlabelled)) >= 10 * FOLDS else 1
+    of_p, of_u = rng.integers(0, folds, len(positive)), rng.integers(0, folds, len(unlabelled))
+
+    def crossed(prior: float | None) -> tuple[list[Network], np.ndarray, np.ndarray]:
+        networks, p_values, u_values = [], np.zeros(len(positive)), np.zeros(len(unlabelled))
+        for k in range(folds):
+            p, u = (positive, unlabelled) if folds == 1 else (positive[of_p != k], unlabelled[of_u != k])
+            model = Network(np.concatenate([p, u]), k + (0 if prior is None else folds))
+            descend(model, p, u, prior)
+            networks.append(model)
+            p_values[of_p == k] = model.value(model.inputs(positive[of_p == k]))[0]
+            u_values[of_u == k] = model.value(model.inputs(unlabelled[of_u == k]))[0]
+        return networks, p_values, u_values
+
+    prior = class_prior(*crossed(None)[1:])
+    networks, p_values, u_values = crossed(prior)
+    return Model(networks, least_error_cut(p_values, u_values, prior)), prior
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "quality", sample: int = SAMPLE) -> Model | None:
     """Fit on the bounded sample; None without positives or documents."""
     learnable = lambda c: F.coalesce(F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(FOLD)) != HELD_OUT, F.lit(False))
     ids = lambda df, c, role: df.where(learnable(F.col(c))).select(F.col(c).cast("long").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample).withColumn("role", F.lit(role))
@@ -164,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return fit(x[role == 1], x[role == 0])[0]
 
 
-def scored(docs: DataFrame, model: Network | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
+def scored(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The rows of docs with their score as a last column."""
     schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
     place = docs.columns.index(text_col)
@@ -174,7 +208,7 @@ def scored(docs: DataFrame, model: Network | None, text_col: str = "text", score
             if model is None:
                 value = np.full(batch.num_rows, 0.5)
             else:
-                value = sigmoid(model.value(model.inputs(features(batch.column(place))))[0])
+                value = model.score(features(batch.column(place)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], names=[*batch.schema.names, score_col])
 
     return docs.mapInArrow(score, schema)
