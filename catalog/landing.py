@@ -220,16 +220,19 @@ def load_settlements(spark: SparkSession, sf: str) -> DataFrame:
     })
 
 
-@query(f"""
-    SELECT 'payment_ref' AS column_name, count(payment_ref) AS non_null_count, count(*) - count(payment_ref) AS null_count,
-        count(DISTINCT payment_ref) AS distinct_count FROM {LOADED}
-    UNION ALL SELECT 'amount', count(amount), count(*) - count(amount), count(DISTINCT amount) FROM {LOADED}
-    UNION ALL SELECT 'settled_on', count(settled_on), count(*) - count(settled_on), count(DISTINCT settled_on) FROM {LOADED}
-    UNION ALL SELECT 'remark', count(remark), count(*) - count(remark), count(DISTINCT remark) FROM {LOADED}
-""")
+def loaded_profile_sql() -> str:
+    texts = {"payment_ref": "CAST({} AS VARCHAR)", "amount": "CAST(CAST({} AS DECIMAL(10,2)) AS VARCHAR)", "settled_on": "strftime({}, '%Y-%m-%d')", "remark": "{}"}
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count({c}) AS non_null_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count,"
+        f" {t.format(f'min({c})')} AS min_value, {t.format(f'max({c})')} AS max_value, (count(*) - count({c}))::DOUBLE / count(*) AS null_share FROM {LOADED}"
+        for c, t in texts.items()
+    )
+
+
+@query(loaded_profile_sql())
 def load_profile(spark: SparkSession, sf: str) -> DataFrame:
-    profile = loaded_orders(spark, sf).profile
-    return profile.select("column_name", "non_null_count", "null_count", "distinct_count")
+    """Every figure of every column of the table as written."""
+    return loaded_orders(spark, sf).profile.drop("position")
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:

@@ -57,18 +57,24 @@ def parse_amount(c: Column, locale: str = "en_IN", precision: int = 18, scale: i
     return F.when(plain, text).try_cast(T.DecimalType(precision, scale))
 
 
+# Signs of a file name that become ``_``, signs that are dropped, and the lengths of long names.
+RESERVED_SIGNS = r'[<>:"/\\|?*]'
+OTHER_SIGNS = r"(?U)[^\w\s.-]"
+LONGEST_NAME, KEPT_STEM = 100, 95
+
+
 def safe_name(c: Column) -> Column:
     """File name that is safe to store: reserved signs become ``_``, other symbols are dropped.
 
     A name of over 100 characters keeps its first 95 characters before the extension.
     """
-    name = F.regexp_replace(c, r'[<>:"/\\|?*]', "_")
-    name = F.regexp_replace(name, r"(?U)[^\w\s.-]", "")
+    name = F.regexp_replace(c, RESERVED_SIGNS, "_")
+    name = F.regexp_replace(name, OTHER_SIGNS, "")
     name = stripped(name)
     extension = F.regexp_extract(name, r"^.*[^.].*?(\.[^.]*)$", 1)
     stem = F.substring(name, F.lit(1), F.length(name) - F.length(extension))
-    short = F.concat(F.substring(stem, 1, 95), extension)
-    return F.when(F.length(name) > 100, short).otherwise(name)
+    short = F.concat(F.substring(stem, 1, KEPT_STEM), extension)
+    return F.when(F.length(name) > LONGEST_NAME, short).otherwise(name)
 
 
 def file_type(c: Column) -> Column:

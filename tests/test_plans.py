@@ -1,11 +1,13 @@
 """Checks on the plans that the queries give, on the smallest tables."""
 
+import datetime as dt
 import os
 
 import pytest
 
 from catalog import ORACLES, QUERIES
 from catalog.reports import order_report
+from tallybook.plans.match import match_sources
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -30,8 +32,29 @@ def test_query_equals_sql_and_stays_in_the_jvm(spark, con, name):
         assert node not in plan
 
 
-def test_every_query_but_the_approximate_profile_has_sql():
-    assert set(QUERIES) - set(ORACLES) == {"profile_lineitem_approx"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
+
+
+@pytest.mark.parametrize(
+    "name, scans", [("collection_processed", 4), ("upsert_orders", 5), ("report_three_sources", 4), ("report_fallback_key", 5), ("dq_violations", 1)]
+)
+def test_inputs_are_not_read_again_and_again(spark, name, scans):
+    assert plan_of(QUERIES[name](spark, FOLDER)).count("FileScan") <= scans
+
+
+def test_the_period_reaches_all_three_scans(spark):
+    days = spark.read.parquet(f"{FOLDER}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderdate")
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").select("l_orderkey", "l_extendedprice", "l_shipdate")
+    start, end = dt.date(1996, 1, 1), dt.date(1996, 3, 31)
+    found = match_sources(
+        days, lines, lines, {"trm": "o_orderkey", "mpr": "l_orderkey", "bank": "l_orderkey"},
+        {"trm": "o_totalprice", "mpr": "l_extendedprice", "bank": "l_extendedprice"}, "o_orderdate", start, end,
+        mpr_date="l_shipdate", bank_date="l_shipdate", margin_days=30, orphans=True,
+    )
+    for line in plan_of(found.matches).splitlines():
+        if "FileScan" in line:
+            assert "GreaterThanOrEqual(" in line and ("o_orderdate" in line or "l_shipdate" in line)
 
 
 def test_report_shuffles_each_source_once_and_prunes(spark):
