@@ -11,6 +11,7 @@ from tallybook.config import ReportDefinition
 from tallybook.operators.quality import enum_set, valid_range
 from tallybook.plans.load import load_file
 from tallybook.plans.report import report_columns
+from tallybook.plans.source import SourceConfig, load_source
 from tallybook.sources.files import (
     append_evolving,
     landing_manifest,
@@ -235,6 +236,80 @@ def load_profile(spark: SparkSession, sf: str) -> DataFrame:
     return loaded_orders(spark, sf).profile.drop("position")
 
 
+ORDER_SOURCE = {
+    "registered": ["order_ref", "settlement_amount", "ordered_on", "state", "remark"],
+    "mapping": {"Order Ref.": "payment_ref", "Settlement Amount": "amount", "Ordered On": "settled_on"},
+    "types": {"payment_ref": "bigint", "amount": "decimal", "settled_on": "date"},
+    "date_format_hints": ["dd-MM-yyyy", "yyyy-MM-dd"],
+    "dq_rules": {
+        "require_columns": ["payment_ref"], "valid_range": {"amount": {"min": 0, "max": 300000}},
+        "enum_sets": {"state": ["F", "O", "P"]}, "business_rules": [{"name": "ratio", "rule": "100 / (payment_ref % 10) > 0"}],
+    },
+    "load": {"dedupe_keys": ["payment_ref", "settled_on"], "upsert_key": ["payment_ref"]},
+}
+DELIVERED = """(SELECT *, o_orderkey % 40 = 5 AS ragged, o_orderkey % 50 = 3 AS keyless, o_orderkey % 40 <> 5 AND
+            (o_totalprice > 300000 OR o_orderkey % 45 = 2) AS refused FROM orders)"""
+STORED = "(SELECT o_orderkey, o_totalprice - o_orderkey % 2 AS amount, o_orderdate, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0)"
+
+
+def loaded_source(spark: SparkSession, sf: str):
+    """Orders as a messy file (grouped amounts, two date layouts, repeats, ragged and keyless lines) into a table of a third of them."""
+    orders, key = table(spark, sf, "orders"), F.col("o_orderkey")
+    day = F.when(key % 2 == 0, F.date_format("o_orderdate", "dd-MM-yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    line = F.concat(
+        F.when(key % 50 == 3, " ").otherwise(key.cast("string")), F.lit(',"'), F.format_number("o_totalprice", 2), F.lit('",'), day,
+        F.lit(","), F.when(key % 45 == 2, "?").otherwise(F.col("o_orderstatus")), F.when(key % 40 == 5, ",surplus,cell").otherwise(""),
+    )
+    folder = scratch_folder(spark, "source")
+    lines = orders.union(orders.where(key % 6 == 0)).select(line.alias("Order Ref.,Settlement Amount,Ordered On,State"))
+    lines.repartition(3).write.options(header=True, quote="", escapeQuotes=False, sep="\x01").csv(f"{folder}/in")
+    existing = orders.where("o_orderkey % 3 = 0").select(
+        key.alias("payment_ref"), (F.col("o_totalprice") - key % 2).cast("decimal(18,2)").alias("amount"), F.col("o_orderdate").cast("date").alias("settled_on"),
+        F.col("o_orderstatus").alias("state"),
+    )
+    return load_source(spark, f"{folder}/in", SourceConfig.from_dict(ORDER_SOURCE), existing, folder)
+
+
+@query(f"""
+    SELECT coalesce(d.o_orderkey, s.o_orderkey) AS payment_ref, coalesce(d.o_totalprice, s.amount) AS amount,
+        coalesce(d.o_orderdate, s.o_orderdate) AS settled_on, coalesce(d.o_orderstatus, s.o_orderstatus) AS state
+    FROM (SELECT * FROM {DELIVERED} WHERE NOT ragged AND NOT keyless AND NOT refused) d FULL JOIN {STORED} s ON d.o_orderkey = s.o_orderkey
+""")
+def source_load(spark: SparkSession, sf: str) -> DataFrame:
+    return loaded_source(spark, sf).table.withColumns({
+        "amount": F.col("amount").cast("double"), "settled_on": F.col("settled_on").cast("timestamp_ntz"),
+    })
+
+
+REPEATED = "(CASE WHEN o_orderkey % 6 = 0 THEN 2 ELSE 1 END)"
+
+
+@query(f"""
+    WITH d AS (SELECT *, {REPEATED} AS times FROM {DELIVERED}),
+         ok AS (SELECT d.*, s.o_orderkey AS old, s.amount FROM d LEFT JOIN {STORED} s ON d.o_orderkey = s.o_orderkey
+                WHERE NOT ragged AND NOT keyless AND NOT refused)
+    SELECT CAST((SELECT sum(times) FROM d) AS BIGINT) AS read, CAST((SELECT sum(times) FILTER (ragged) FROM d) AS BIGINT) AS malformed,
+        CAST((SELECT sum(times) FILTER (keyless AND NOT ragged AND NOT refused) FROM d) AS BIGINT) AS keyless,
+        CAST((SELECT sum(times) FILTER (refused) FROM d) AS BIGINT) AS quarantined,
+        count(*) FILTER (old IS NULL) AS inserted, count(*) FILTER (old IS NOT NULL AND amount <> o_totalprice) AS updated,
+        count(*) FILTER (old IS NOT NULL AND amount = o_totalprice) AS skipped FROM ok
+""")
+def source_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return loaded_source(spark, sf).counts
+
+
+@query(f"""
+    SELECT DISTINCT o_totalprice AS amount, o_orderdate AS settled_on, concat_ws('+',
+        CASE WHEN o_totalprice > 300000 THEN 'range_amount' END, CASE WHEN o_orderkey % 45 = 2 THEN 'enum_state' END) AS failed
+    FROM {DELIVERED} WHERE refused
+""")
+def source_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    bad = loaded_source(spark, sf).quarantined
+    return bad.select(
+        F.col("amount").cast("double").alias("amount"), F.col("settled_on").cast("timestamp_ntz").alias("settled_on"), F.array_join("failed_rules", "+").alias("failed")
+    ).distinct()
+
+
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "events").schema
     return file_source(spark, sf, schema, "events.parquet")

@@ -38,6 +38,7 @@ from tallybook.streaming.streams import (
     stream_upsert,
     upserted,
 )
+from tallybook.plans.source import SourceConfig, load_source
 from tests.conftest import rows
 
 CSV = 'Order ID,Amount $,Note\n1,"1,000.5","two\nlines ""quoted"""\n2,,\n'
@@ -243,3 +244,23 @@ def test_change_table_outlives_its_checkpoint(spark, tmp_path):
     assert [(r["k"], r["n"]) for r in rows(table.current(), "k")] == [(None, 7), ("a", 3), ("b", 2), ("c", 3)]
     with pytest.raises(ValueError):
         ChangeTable(spark, f"{folder}/none", "k").current()
+
+
+def test_source_load(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("Ref,Amt ,Day\n1,\"1,200.50\",05-02-2024\n1,7,2024-02-06\n2,bad,2024-02-07\n,3,2024-02-08\n3,4\n4,99999,2024-02-09\n,,\n")
+    config = SourceConfig.from_dict({
+        "mapping": {"Ref": "ref", "Amt": "amount", "Day": "day"}, "types": {"ref": "int", "amount": "decimal", "day": "date"},
+        "registered": ["ref", "amt", "day"], "date_format_hints": ["dd-MM-yyyy", "yyyy-MM-dd"],
+        "dq_rules": {"valid_range": {"amount": {"max": 50000}}}, "load": {"upsert_key": ["ref"], "order": ["day"]},
+    })
+    old = spark.sql("SELECT 2 AS ref, CAST(1 AS DECIMAL(18,2)) AS amount, DATE'2020-01-01' AS day")
+    found = load_source(spark, f"{tmp_path}/in.csv", config, old, f"{tmp_path}/work")
+    assert rows(found.counts) == [{"read": 7, "malformed": 1, "keyless": 1, "quarantined": 1, "inserted": 1, "updated": 1, "skipped": 0}]
+    assert [(r["ref"], str(r["amount"]), r["day"]) for r in rows(found.table, "ref")] == [
+        (1, "7.00", dt.date(2024, 2, 6)), (2, "None", dt.date(2024, 2, 7)),
+    ]
+    assert [r["failed_rules"] for r in found.quarantined.collect()] == [["range_amount"]]
+    assert [r["_malformed"] for r in found.malformed.collect()] == ["3,4"]
+    refused = SourceConfig(mapping={}, types={}, upsert_key="ref", registered=("other",))
+    with pytest.raises(HeadersNotRegistered):
+        load_source(spark, f"{tmp_path}/in.csv", refused, folder=f"{tmp_path}/none")
