@@ -4,7 +4,8 @@ Tokens are words without the ASCII punctuation around them, lower-cased; words o
 becomes the placeholder of numbers, a capitalised word inside a sentence that of names, a unit behind a number that of units. A
 window is 8 consecutive tokens of the template (the whole item where it is shorter; items of fewer than 4 tokens cannot be told
 from other text and take no part); with fewer than 3 literal tokens its own
-tokens stand in it, so that tables of numbers match only exactly. Windows of documents whose hash may be in the benchmark (a
+tokens stand in it, so that tables of numbers match only exactly. A window with placeholders also stands with its own tokens,
+so that a copy is found where capitals or sentence starts hide a name. Windows of documents whose hash may be in the benchmark (a
 bitmap of fixed size) are joined with the benchmark's by hash.
 
 A document holds an item when the windows on one alignment cover at least 30 % of the item's windows and the slots agree: each
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +49,8 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _IN_NUMBER = _DIGIT.copy()
 _IN_NUMBER[[ord(c) for c in ".,:/-"]] = True
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-_LOWERS = np.zeros(256, bool)
-_LOWERS[97:123] = True
+_SMALL = np.zeros(256, bool)
+_SMALL[97:123] = True
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?:"]] = True
 
@@ -71,24 +71,43 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
-def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def lower_bytes(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Lower-cased bytes of the texts, place by place; characters whose length changes with their case stay as they are."""
+    small, small_offsets = utf8(pc.utf8_lower(column.cast(pa.large_string()).fill_null("")))
+    out = LOWER[data]
+    same = np.diff(small_offsets) == np.diff(offsets)
+    if same.all():
+        out[offsets[0] : offsets[-1]] = small[small_offsets[0] : small_offsets[-1]]
+    else:
+        for k, fits in enumerate(same.tolist()):
+            if fits:
+                own = small[small_offsets[k] : small_offsets[k + 1]]
+            else:
+                text = data[offsets[k] : offsets[k + 1]].tobytes().decode()
+                kept = "".join(low if len((low := c.lower()).encode()) == len(c.encode()) else c for c in text)
+                own = np.frombuffer(kept.encode(), np.uint8)
+            out[offsets[k] : offsets[k + 1]] = own
+    return out
+
+
+def templates(data: np.ndarray, offsets: np.ndarray, lowered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of consecutive texts: own hash and template hash of each token, and per text the range of its tokens."""
     words = words_of(data, offsets)
-    data = words.data
+    data, lowered = words.data, lowered[offsets[0] : offsets[-1]]
     solid = _before(_ALNUM[data])
     has = solid[words.end] > solid[words.start]
     places = np.flatnonzero(_ALNUM[data])
     start = places[solid[words.start[has]]]
     end = places[solid[words.end[has]] - 1] + 1
     bounds = np.concatenate([[0], np.cumsum(has)])[words.bounds]
-    own = range_hashes(LOWER[data], start, end)
+    own = range_hashes(lowered, start, end)
     if not len(own):
         return own, own, bounds
-    digits, numeric, lowers = (_before(mask[data]) for mask in (_DIGIT, _IN_NUMBER, _LOWERS))
+    digits, numeric, lowers = (_before(mask[data]) for mask in (_DIGIT, _IN_NUMBER, _SMALL))
     number = (digits[end] > digits[start]) & (numeric[end] - numeric[start] == end - start)
-    first, second = data[start], data[np.minimum(start + 1, len(data) - 1)]
-    latin = (first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
-    capital = (_UPPER[first] | latin) & (lowers[end] > lowers[start])
+    changed = data != lowered
+    second = np.minimum(start + 1, len(data) - 1)
+    capital = (changed[start] | (changed[second] & (data[start] >= 128))) & (lowers[end] > lowers[start])
     last, lines = words.end[has], _before(data == 10)
     ends = _before(_ENDS[data])
     opens = np.ones(len(own), bool)  # at the start of a sentence, line or text
@@ -110,44 +129,45 @@ def windows(size: int, lengths: tuple[int, ...], bitmap=None, whole: bool = Fals
         for batch in batches:
             ids = batch.column(0)
             data, offsets = utf8(batch.column(1))
+            lowered = lower_bytes(batch.column(1), data, offsets)
             for i, j in groups(offsets):
-                own, template, bounds = templates(data, offsets[i : j + 1])
+                own, template, bounds = templates(data, offsets[i : j + 1], lowered)
                 slot = own != template
                 slots_before = _before(slot)
                 slot_values = own[slot].view(np.int64)
                 for length in lengths:
                     if len(own) < length:
                         continue
-                    keys = window_hashes(template, length)
-                    few = length - (slots_before[length:] - slots_before[: len(keys)]) < LITERALS
-                    keys = mix(np.where(few, window_hashes(own, length), keys) + np.uint64(length))
-                    at = np.arange(len(keys))
-                    if bitmap is not None:
-                        at = at[in_bitmap(bitmap.value, keys)]
-                    text = np.searchsorted(bounds, at, "right") - 1
-                    inside = at + length <= bounds[text + 1]
-                    if whole:
-                        count = bounds[text + 1] - bounds[text]
-                        inside &= np.minimum(count, size) == length
-                    at, text = at[inside], text[inside]
-                    if not len(at):
-                        continue
-                    from_, to = slots_before[at], slots_before[at + length]
-                    n = to - from_
-                    flat = np.repeat(from_ - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    digests = {k: hashlib.md5(data[offsets[i + k] : offsets[i + k + 1]].tobytes()).hexdigest() for k in np.unique(text).tolist()}
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.take(pa.array(i + text)),
-                            pa.array([digests[k] for k in text.tolist()], pa.string()),
-                            pa.array((at - bounds[text]).astype(np.int32)),
-                            pa.array(keys[at].view(np.int64)),
-                            lists(slot_values[flat], n),
-                            pa.array((bounds[text + 1] - bounds[text] - length + 1).astype(np.int32)),
-                            pa.array(np.full(len(at), length, np.int32)),
-                        ],
-                        names=["id", "digest", "place", "key", "slots", "n", "length"],
-                    )
+                    exact = mix(window_hashes(own, length) + np.uint64(length))
+                    keys = mix(window_hashes(template, length) + np.uint64(length))
+                    held = slots_before[length:] - slots_before[: len(keys)]
+                    keys = np.where(length - held < LITERALS, exact, keys)
+                    for key, slots in ((keys, True), (exact, False)):  # a window with slots also stands for itself
+                        at = np.arange(len(key)) if slots else np.flatnonzero(keys != exact)
+                        if bitmap is not None:
+                            at = at[in_bitmap(bitmap.value, key[at])]
+                        text = np.searchsorted(bounds, at, "right") - 1
+                        inside = at + length <= bounds[text + 1]
+                        if whole:
+                            inside &= np.minimum(bounds[text + 1] - bounds[text], size) == length
+                        at, text = at[inside], text[inside]
+                        if not len(at):
+                            continue
+                        n = held[at] if slots else np.zeros(len(at), np.int64)
+                        flat = np.repeat(slots_before[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                        digests = {k: hashlib.md5(data[offsets[i + k] : offsets[i + k + 1]].tobytes()).hexdigest() for k in np.unique(text).tolist()}
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                ids.take(pa.array(i + text)),
+                                pa.array([digests[k] for k in text.tolist()], pa.string()),
+                                pa.array((at - bounds[text]).astype(np.int32)),
+                                pa.array(key[at].view(np.int64)),
+                                lists(slot_values[flat], n),
+                                pa.array((bounds[text + 1] - bounds[text] - length + 1).astype(np.int32)),
+                                pa.array(np.full(len(at), length, np.int32)),
+                            ],
+                            names=["id", "digest", "place", "key", "slots", "n", "length"],
+                        )
 
     return cut
 

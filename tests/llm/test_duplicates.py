@@ -122,12 +122,15 @@ def test_leaks(spark, nothing):
     pad = "Some other words stand here before anything of interest comes along in this text. "
     docs = [
         (10, pad + item + " " + pad), (11, pad + changed), (12, pad), (13, None), (14, ""), (15, pad + torn), (16, "3 4 5 6 7 8 9 10 11 12"), (None, item),
-        (17, "name the CAPITAL of (France) please, now"), (10, pad + item + " " + pad), (18, "0 1 2 3 4 5 6 7 8 9 10 11"), (19, "yes"),
+        (17, "name the CAPITAL of (France) please, now"), (10, pad + item + " " + pad), (18, "0 1 2 3 4 5 6 7 8 9 10 11"), (19, "yes"), (20, pad.upper() + item.upper()),
+        (21, "ÉTÉ À L'ÎLE: ÖL, ÑANDÚ ET ÇA ΣΑΜΟΣ МИР İ"),
     ]
+    items.append((7, "Été à l'île: öl, ñandú et ça σαμοσ мир İ"))
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark)
+    more = [(21, 7, False), (20, 1, False)]
     assert sorted(((r.doc_id, r.item_id, r.reparameterised) for r in got.collect()), key=str) == sorted(
-        [(10, 1, False), (11, 1, True), (None, 1, False), (17, 2, False), (16, 5, False), (18, 5, False)], key=str
+        [(10, 1, False), (11, 1, True), (None, 1, False), (17, 2, False), (16, 5, False), (18, 5, False)] + more, key=str
     )
     assert leaks(nothing, benchmark).count() == 0
     assert leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark.limit(0)).count() == 0
