@@ -2,7 +2,7 @@
 
 A shard holds up to SHARD_IDS ids (or one longer document) of documents in ascending id order. Re-Pair replaces frequent pairs of
 neighbours by new symbols: a round counts all pairs inside documents and replaces those that occur MIN_COUNT times or more, where
-pairs overlap the more frequent one; rounds repeat on the shorter sequence until no pair is frequent. A pair never crosses the end
+pairs overlap the more frequent one; rounds repeat on the shorter sequence until no pair is frequent or a round saves less than 0.5 %. A pair never crosses the end
 of a document.
 
 A shard is one self-describing block of bytes (little endian), stored as one row of a Parquet table so that Spark can write it to
@@ -27,7 +27,8 @@ from tallybook.llm.tokens import encode_column, vocabulary
 END_ID = 2
 SHARD_IDS = 1 << 20
 MIN_COUNT = 16
-MAX_ROUNDS = 24
+MIN_GAIN = 0.005
+"""Rounds end when one saves less than this share of the ids: its rules would take the room it gains."""
 MAGIC = 0x3152494150455242
 _BUCKETS = 20
 _HEADER = 8
@@ -41,31 +42,45 @@ def compress(ids: np.ndarray, starts: np.ndarray, min_count: int = MIN_COUNT) ->
     ends[starts[1:] - 1] = True  # a document has one id at least, its end
     terminals = int(symbols.max()) + 1 if len(symbols) else 0
     following, rounds = terminals, []
-    while len(symbols) > 1 and len(rounds) < MAX_ROUNDS:
-        pair = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
+    open_ = ~ends  # places whose pair with the next symbol may be frequent; an infrequent pair never becomes frequent
+    saved = len(ids)
+    while saved >= MIN_GAIN * len(ids):
+        at = np.flatnonzero(open_)
+        pair = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
         bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int64)
+        maybe = np.bincount(bucket, minlength=1 << _BUCKETS)[bucket] >= min_count
+        at, pair, bucket = at[maybe], pair[maybe], bucket[maybe]
+        open_ = np.zeros(len(symbols), bool)
+        open_[at] = True
         holder = np.zeros(1 << _BUCKETS, np.uint64)
         holder[bucket] = pair  # a bucket counts one of its pairs; the others have their turn in a later round
-        counted = (holder[bucket] == pair) & ~ends[:-1]
-        at = np.flatnonzero(counted)
-        counts = np.bincount(bucket[at], minlength=1 << _BUCKETS)
-        frequent = counts >= min_count
-        if not frequent.any():
+        mine = holder[bucket] == pair
+        at, bucket = at[mine], bucket[mine]
+        counts = np.bincount(bucket, minlength=1 << _BUCKETS)
+        mine = counts[bucket] >= min_count
+        at, bucket = at[mine], bucket[mine]
+        if not len(at):
             break
-        at = at[frequent[bucket[at]]]
-        rank = np.zeros(len(symbols) + 1, np.int64)
-        rank[at + 1] = counts[bucket[at]] << _BUCKETS | bucket[at]
-        near = rank[at + 1]
-        at = at[(near > rank[at]) & (near >= rank[np.minimum(at + 2, len(rank) - 1)])]
-        chosen, which = np.unique(bucket[at], return_inverse=True)
-        rounds.append(np.stack([holder[chosen] >> np.uint64(32), holder[chosen] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        symbols = symbols.copy()
-        symbols[at] = following + which.ravel()
+        rank = np.zeros(len(symbols) + 2, np.int64)
+        own = counts[bucket] << _BUCKETS | bucket
+        rank[at + 1] = own
+        wins = (own > rank[at]) & (own >= rank[at + 2])
+        at, bucket = at[wins], bucket[wins]
+        used = np.zeros(1 << _BUCKETS, bool)
+        used[bucket] = True
+        number = np.cumsum(used) - 1
+        pairs = holder[used]
+        rounds.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        symbols[at] = following + number[bucket]
         ends[at] = ends[at + 1]
+        open_[at] = True
+        open_[at[at > 0] - 1] = True
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
         symbols, ends = symbols[stay], ends[stay]
-        following += len(chosen)
+        open_ = open_[stay] & ~ends
+        following += len(pairs)
+        saved = len(at)
     return symbols, np.concatenate([[0], np.flatnonzero(ends) + 1]), rounds, terminals
 
 
