@@ -35,49 +35,63 @@ PACKED = "bucket long, ids binary, vectors binary"
 HITS = "query_id long, vec_id long, score long"
 
 
+def whole_numbers(bound: float, size: int) -> type:
+    """The fastest type in which inner products of vectors up to ``bound`` stay whole."""
+    most = bound * bound * size
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+
+
 class SortedLists:
     """A block's lists: per dimension the rows by falling value."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.order = np.argsort(-self.vectors, axis=0, kind="stable").T.astype(np.int32)
-        self.sorted = np.take_along_axis(self.vectors, self.order.T.astype(np.int64), axis=0).T
-        self.backwards, self.sorted_backwards = self.order[:, ::-1], self.sorted[:, ::-1]
-        bound = float(np.abs(self.vectors).max(initial=0))
-        self.exact = self.vectors.astype(np.float64) if bound < 2**22 else self.vectors  # sums stay whole in 53 bits
+        self.order = np.ascontiguousarray(np.argsort(-self.vectors, axis=0, kind="stable").T)
+        self.sorted = np.take_along_axis(self.vectors.T, self.order, axis=1)
+        self.bound = float(np.abs(self.vectors).max(initial=0))
+        self.tables: dict[type, np.ndarray] = {}
+
+    def table(self, kind: type) -> np.ndarray:
+        if kind not in self.tables:
+            self.tables[kind] = self.vectors.astype(kind)
+        return self.tables[kind]
 
     def top(self, query_id: int, query: np.ndarray, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray, int]:
         """(ids, scores, list entries read) of the k best of this block that are not below ``floor``, ties to smaller ids."""
-        n = len(self.ids)
-        used = np.flatnonzero(query)
-        weight = query[used]
-        lists = np.where((weight > 0)[:, None], self.order[used], self.backwards[used])
-        values = np.where((weight > 0)[:, None], self.sorted[used], self.sorted_backwards[used])
-        own = query.astype(self.exact.dtype) if np.abs(query).max(initial=0) < 2**22 else query
-        table = self.exact if own.dtype == self.exact.dtype else self.vectors
+        n, size = self.vectors.shape
+        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        kind = whole_numbers(max(self.bound, float(np.abs(query).max(initial=0))), size)
+        table, own = self.table(kind), query.astype(kind)
         seen = np.zeros(n, bool)
-        seen[self.ids == query_id] = True
+        seen[np.searchsorted(self.ids, query_id, "left") : np.searchsorted(self.ids, query_id, "right")] = True
         rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         depth = 0
         while depth < n:
-            stop = min(n, max(FIRST_STEP, 4 * depth)) if len(used) else n
+            stop = min(n, max(FIRST_STEP, 4 * depth)) if len(up) + len(down) else n
             fresh = np.zeros(n, bool)
-            fresh[lists[:, depth:stop].ravel() if len(used) else slice(None)] = True
+            fresh[self.order[up, depth:stop]] = True  # from the top
+            fresh[self.order[down, n - stop : n - depth]] = True  # from the bottom
+            if stop == n:
+                fresh[:] = True
             fresh &= ~seen
             seen |= fresh
             new = np.flatnonzero(fresh)
             rows = np.concatenate([rows, new])
             scores = np.concatenate([scores, (table[new] @ own).astype(np.int64)])
+            if len(rows) > 4 * k:  # ties of the k-th score stay for the order by id
+                high = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                rows, scores = rows[high], scores[high]
             best = np.lexsort((self.ids[rows], -scores))[:k]
             rows, scores, depth = rows[best], scores[best], stop
             least = scores[-1] if len(scores) == k else None
             if floor is not None:
                 least = floor if least is None else max(least, floor)
-            if least is not None and int((weight * values[:, stop - 1]).sum()) < least:
+            last = (query[up] * self.sorted[up, stop - 1]).sum() + (query[down] * self.sorted[down, n - stop]).sum()
+            if least is not None and int(last) < least:
                 break
         good = scores >= floor if floor is not None else slice(None)
-        return self.ids[rows][good], scores[good], depth * len(used)
+        return self.ids[rows][good], scores[good], depth * (len(up) + len(down))
 
 
 def packed(rows: DataFrame, buckets: int) -> DataFrame:
