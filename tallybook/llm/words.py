@@ -12,9 +12,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 """Texts are worked on in groups of about this many bytes, so that the arrays stay small; a longer text is its own group."""
 
+KEPT_POWERS = 1 << 21
+"""A longer table of powers is made for its text alone."""
 _BASE = 0x9E3779B97F4A7C15 | 3
 _WORD_BASE = 0xD6E8FEB86659FD93 | 3
 SEPARATOR = np.zeros(256, dtype=bool)
@@ -35,7 +37,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]), dtype=np.uint64)
             for b in (base, inverse)
         )
-        if size <= 2 * CHUNK_BYTES:
+        if size <= KEPT_POWERS:
             _powers[base] = known
     return known
 
