@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from tallybook.llm.tokens import encode_column, vocabulary
 
 END_ID = 2
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 19
 MIN_COUNT = 16
 MIN_GAIN = 0.005
 """Rounds end when one saves less than this share of the ids: its rules would take the room it gains."""
 MAGIC = 0x3152494150455242
-_BUCKETS = 20
+_BUCKETS = 18
 _HEADER = 8
 SHARDS = "part int, shard int, n_docs long, n_ids long, block binary"
 

@@ -15,9 +15,9 @@ import pyarrow as pa
 
 from tallybook.llm.words import LOWER, groups, range_hashes, utf8, words_of
 
-SLOTS = 1 << 21
-ENTRIES = 1 << 20
-"""A worker forgets its words when it holds this many, so its memory is bounded (some 60 MB)."""
+SLOTS = 1 << 20
+ENTRIES = 1 << 19
+"""A worker forgets its words when it holds this many, so its memory is bounded (some 30 MB)."""
 _LETTER, _DIGIT, _SIGN = 1, 2, 3
 _CLASS = np.full(256, _SIGN, np.uint8)
 _CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
