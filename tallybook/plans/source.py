@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -130,8 +131,6 @@ def load_source(
 
 
 def _side_by_side(rows: Sequence[DataFrame]) -> DataFrame:
-    """One row from several frames of one row each."""
-    out = rows[0].withColumn("__one", F.lit(1))
-    for row in rows[1:]:
-        out = out.join(row.withColumn("__one", F.lit(1)), "__one")
-    return out.drop("__one")
+    """One row from several frames of one row each, whose columns differ."""
+    under = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return under.agg(*[F.max(field(c)).alias(c) for c in under.columns])
