@@ -140,7 +140,7 @@ def links_in_block(percent: int):
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         left = np.flatnonzero(block["outside"].to_numpy())
         right = np.flatnonzero(~block["outside"].to_numpy())
-        sets = [np.asarray(s, np.int64) for s in block["shingles"]]
+        sets = [np.asarray(s, np.int64).view(np.uint64) for s in block["shingles"]]  # in the order that shingle_sets sorts by
         labels, group = np.unique([bytes(c) for c in block["label"]], return_inverse=True)
         bits = np.unpackbits(np.stack(block["sketch"].to_numpy()).astype(np.int64).view(np.uint8), axis=1).astype(np.float32)
         weight = bits.sum(axis=1)

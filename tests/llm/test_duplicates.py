@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tallybook.llm import common, neardup, repeats
@@ -57,6 +58,23 @@ def test_links_that_hubs_do_not_show(spark, monkeypatch):
     assert found(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == components_of(rows)
 
 
+def test_links_in_a_block_whose_hub_shows_none():
+    """Sets of 20 to 1000 hashes from the whole 64-bit range: the pairs of 76 % are linked, with the hub and with others nobody is."""
+    rng = np.random.default_rng(4)
+    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    sets, linked = [draw(300)], set()
+    for n in (20, 27, 400, 1000):
+        a = draw(n)
+        sets += [a, np.concatenate([a[: n - n // 8], draw(n // 8)])]
+        linked.add((len(sets) - 2, len(sets) - 1))
+    sets += [np.concatenate([sets[-1][:700], draw(300)])]  # under 75 %
+    rows = [(b"%d" % k, s) for k, s in enumerate(sets)]
+    shown = [(outside, d, np.sort(s).view(np.int64), neardup.odd_sketch(neardup.samples(s)).view(np.int64)) for outside in (True, False) for d, s in rows if d != b"0" or not outside]
+    block = pd.DataFrame([{"outside": o, "digest": d, "label": d, "shingles": s, "sketch": k} for o, d, s, k in shown])
+    links = neardup.links_in_block(neardup.PERCENT)(block)
+    assert {tuple(sorted((int(a), int(b)))) for a, b in zip(links["a"], links["b"])} == linked
+
+
 def test_screen_lets_similar_sets_through():
     rng = np.random.default_rng(2)
     for _ in range(200):
