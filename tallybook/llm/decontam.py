@@ -2,14 +2,16 @@
 
 Tokens are words without the ASCII punctuation around them, lower-cased; words of punctuation alone do not count. A number
 becomes the placeholder of numbers, a capitalised word inside a sentence that of names, a unit behind a number that of units. A
+capitalised word that opens a sentence may be a name or not, so each text is read in two ways: such words as they are, and as names. A
 window is 8 consecutive tokens of the template (the whole item where it is shorter; items of fewer than 4 tokens cannot be told
 from other text and take no part); with fewer than 3 literal tokens its own
 tokens stand in it, so that tables of numbers match only exactly. A window with placeholders also stands with its own tokens,
 so that a copy is found where capitals or sentence starts hide a name. Windows of documents whose hash may be in the benchmark (a
 bitmap of fixed size) are joined with the benchmark's by hash.
 
-A document holds an item when the windows on one alignment cover at least 30 % of the item's windows and the slots agree: each
-slot value of the item stands for one value everywhere in the document's copy. All texts and windows count; nothing is sampled.
+A document holds an item when the windows on one alignment cover at least 30 % of the item's windows and the slots agree: in one
+reading of the item, each slot value stands for one value everywhere in the document's copy. All texts and windows count; nothing is
+sampled.
 
 Rows with a null text or without ``doc_id`` are looked at like others (their id is null in the result). Equal rows give one result.
 """
@@ -90,8 +92,8 @@ def lower_bytes(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.n
     return out
 
 
-def templates(data: np.ndarray, offsets: np.ndarray, lowered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of consecutive texts: own hash and template hash of each token, and per text the range of its tokens."""
+def templates(data: np.ndarray, offsets: np.ndarray, lowered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of consecutive texts: own hash of each token, its template hash in both readings, and per text the range of its tokens."""
     words = words_of(data, offsets)
     data, lowered = words.data, lowered[offsets[0] : offsets[-1]]
     solid = _before(_ALNUM[data])
@@ -102,7 +104,7 @@ def templates(data: np.ndarray, offsets: np.ndarray, lowered: np.ndarray) -> tup
     bounds = np.concatenate([[0], np.cumsum(has)])[words.bounds]
     own = range_hashes(lowered, start, end)
     if not len(own):
-        return own, own, bounds
+        return own, own, own, bounds
     digits, numeric, lowers = (_before(mask[data]) for mask in (_DIGIT, _IN_NUMBER, _SMALL))
     number = (digits[end] > digits[start]) & (numeric[end] - numeric[start] == end - start)
     changed = data != lowered
@@ -113,17 +115,20 @@ def templates(data: np.ndarray, offsets: np.ndarray, lowered: np.ndarray) -> tup
     opens = np.ones(len(own), bool)  # at the start of a sentence, line or text
     opens[1:] = (ends[last[:-1]] > ends[end[:-1]]) | (lines[start[1:]] > lines[end[:-1]])
     opens[bounds[:-1][bounds[:-1] < len(own)]] = True
-    template = own.copy()
+    template, named = own.copy(), own.copy()
     template[capital & ~opens] = NAME
+    named[capital] = NAME
     behind = np.flatnonzero(number[:-1]) + 1
     at = np.minimum(np.searchsorted(_UNIT_HASHES, own[behind]), len(_UNIT_HASHES) - 1)
-    template[behind[_UNIT_HASHES[at] == own[behind]]] = UNIT
-    template[number] = NUMBER
-    return own, template, bounds
+    for reading in (template, named):
+        reading[behind[_UNIT_HASHES[at] == own[behind]]] = UNIT
+        reading[number] = NUMBER
+    return own, template, named, bounds
 
 
 def windows(size: int, lengths: tuple[int, ...], bitmap=None, whole: bool = False):
-    """Template windows: (id, digest, place, key, slots, n). whole: only windows of the text's own length, if shorter than size."""
+    """Template windows: (id, digest, place, key, slots, n, length, readings, literal). readings: bits of the readings
+    of the text that have the window; literal: it stands with its own tokens. whole: only windows of the text's own length, if shorter than size."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,19 +136,23 @@ def windows(size: int, lengths: tuple[int, ...], bitmap=None, whole: bool = Fals
             data, offsets = utf8(batch.column(1))
             lowered = lower_bytes(batch.column(1), data, offsets)
             for i, j in groups(offsets):
-                own, template, bounds = templates(data, offsets[i : j + 1], lowered)
-                slot = own != template
-                slots_before = _before(slot)
-                slot_values = own[slot].view(np.int64)
+                own, *readings, bounds = templates(data, offsets[i : j + 1], lowered)
+                slots_before = [_before(own != template) for template in readings]
+                slot_values = [own[own != template].view(np.int64) for template in readings]
                 for length in lengths:
                     if len(own) < length:
                         continue
                     exact = mix(window_hashes(own, length) + np.uint64(length))
-                    keys = mix(window_hashes(template, length) + np.uint64(length))
-                    held = slots_before[length:] - slots_before[: len(keys)]
-                    keys = np.where(length - held < LITERALS, exact, keys)
-                    for key, slots in ((keys, True), (exact, False)):  # a window with slots also stands for itself
-                        at = np.arange(len(key)) if slots else np.flatnonzero(keys != exact)
+                    keys, held = [], []
+                    for template, before in zip(readings, slots_before):
+                        held.append(before[length:] - before[: len(exact)])
+                        keys.append(np.where(length - held[-1] < LITERALS, exact, mix(window_hashes(template, length) + np.uint64(length))))
+                    # The window in the first reading, in the second where it differs, and (with slots) by its own tokens.
+                    for key, k, at in (
+                        (keys[0], 0, np.arange(len(exact))),
+                        (keys[1], 1, np.flatnonzero((keys[1] != keys[0]) & (keys[1] != exact))),
+                        (exact, None, np.flatnonzero(keys[0] != exact)),
+                    ):
                         if bitmap is not None:
                             at = at[in_bitmap(bitmap.value, key[at])]
                         text = np.searchsorted(bounds, at, "right") - 1
@@ -153,26 +162,29 @@ def windows(size: int, lengths: tuple[int, ...], bitmap=None, whole: bool = Fals
                         at, text = at[inside], text[inside]
                         if not len(at):
                             continue
-                        n = held[at] if slots else np.zeros(len(at), np.int64)
-                        flat = np.repeat(slots_before[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                        digests = {k: hashlib.md5(data[offsets[i + k] : offsets[i + k + 1]].tobytes()).hexdigest() for k in np.unique(text).tolist()}
+                        n = np.zeros(len(at), np.int64) if k is None else held[k][at]
+                        flat = np.repeat(slots_before[k or 0][at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                        both = sum((keys[bit][at] == key[at]).astype(np.int32) << bit for bit in (0, 1))
+                        digests = {t: hashlib.md5(data[offsets[i + t] : offsets[i + t + 1]].tobytes()).hexdigest() for t in np.unique(text).tolist()}
                         yield pa.RecordBatch.from_arrays(
                             [
                                 ids.take(pa.array(i + text)),
-                                pa.array([digests[k] for k in text.tolist()], pa.string()),
+                                pa.array([digests[t] for t in text.tolist()], pa.string()),
                                 pa.array((at - bounds[text]).astype(np.int32)),
                                 pa.array(key[at].view(np.int64)),
-                                lists(slot_values[flat], n),
+                                lists(slot_values[k or 0][flat], n),
                                 pa.array((bounds[text + 1] - bounds[text] - length + 1).astype(np.int32)),
                                 pa.array(np.full(len(at), length, np.int32)),
+                                pa.array(both),
+                                pa.array(key[at] == exact[at]),
                             ],
-                            names=["id", "digest", "place", "key", "slots", "n", "length"],
+                            names=["id", "digest", "place", "key", "slots", "n", "length", "readings", "literal"],
                         )
 
     return cut
 
 
-WINDOWS = "id long, digest string, place int, key long, slots array<long>, n int, length int"
+WINDOWS = "id long, digest string, place int, key long, slots array<long>, n int, length int, readings int, literal boolean"
 
 
 def leaks(
@@ -200,22 +212,25 @@ def leaks(
     found = plain.mapInArrow(windows(WINDOW, used or (WINDOW,), bitmap), WINDOWS)
     item = known.select(
         F.col("id").alias("item_id"), F.col("digest").alias("item"), F.col("place").alias("item_place"), "key",
-        F.col("slots").alias("item_slots"), F.col("n").alias("item_n"),
+        F.col("slots").alias("item_slots"), F.col("n").alias("item_n"), F.col("readings").alias("item_readings"),
     ).distinct()
     met = found.join(F.broadcast(item) if total <= BROADCAST_WINDOWS else item, "key")
+    # A window that matches by its own tokens counts in both readings; slots only in the readings that have them.
+    reads = [F.col("item_readings").bitwiseAND(F.lit(1 << k)) > 0 for k in (0, 1)]
+    pairs = lambda k: F.array_distinct(F.flatten(F.collect_set(F.when(reads[k], F.arrays_zip("item_slots", "slots")))))
     aligned = met.groupBy("id", "digest", "item_id", "item", "item_n", (F.col("place") - F.col("item_place")).alias("shift")).agg(
-        F.countDistinct("item_place").alias("n_windows"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs"),
+        *(F.countDistinct(F.when(reads[k] | F.col("literal"), F.col("item_place"))).alias(f"n{k}") for k in (0, 1)),
+        *(pairs(k).alias(f"pairs{k}") for k in (0, 1)),
     )
-    stands_for_one = F.size("pairs") == F.size(F.array_distinct("pairs.item_slots"))
-    share = F.col("n_windows") / F.col("item_n")
+    stands_for_one = [F.size(f"pairs{k}") == F.size(F.array_distinct(f"pairs{k}.item_slots")) for k in (0, 1)]
+    differs = [F.exists(f"pairs{k}", lambda p: p.item_slots != p.slots) for k in (0, 1)]
+    best = [F.when(stands_for_one[k], F.struct(F.col(f"n{k}").alias("n_windows"), (~differs[k]).alias("same"))) for k in (0, 1)]
+    most = F.greatest(*best)
+    share = most.n_windows / F.col("item_n")
     return (
-        aligned.where(stands_for_one & (share >= min_share))
-        .select(
-            "id", "digest", "item_id", "n_windows", share.alias("share"),
-            F.exists("pairs", lambda p: p.item_slots != p.slots).alias("reparameterised"),
-        )
+        aligned.where((stands_for_one[0] | stands_for_one[1]) & (share >= min_share))
+        .select("id", "digest", "item_id", most.n_windows.alias("n_windows"), share.alias("share"), most.same.alias("same"))
         .groupBy(F.col("id").alias("doc_id"), "item_id", F.col("digest").alias("text_md5"))
-        .agg(F.max(F.struct("n_windows", "share", (~F.col("reparameterised")).alias("same"))).alias("best"))
+        .agg(F.max(F.struct("n_windows", "share", "same")).alias("best"))
         .select("doc_id", "item_id", "best.n_windows", "best.share", (~F.col("best.same")).alias("reparameterised"), "text_md5")
     )

@@ -154,5 +154,14 @@ def test_leaks(spark, nothing):
     assert leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark.limit(0)).count() == 0
 
 
+def test_leaks_of_items_that_open_with_names(spark):
+    item = "Tom has 5 red apples. Tom buys 3 more apples. Tom eats 2 of them. How many are left?"
+    ann = item.replace("Tom", "Ann").replace("5", "8").replace("3", "4").replace("2", "6")
+    docs = [(1, "Some words before. " + ann), (2, ann.replace("Ann", "Eve", 1)), (3, "Question: " + item), (4, "so " + ann[0].lower() + ann[1:])]
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {(r.doc_id, r.n_windows, r.reparameterised) for r in got.where("doc_id in (1, 3)").collect()} == {(1, 12, True), (3, 12, False)}
+    assert got.where("doc_id = 2").count() == 0
+
+
 def test_no_rows(nothing):
     assert near_duplicates(nothing).count() == 0 and remove_repeats(nothing).count() == 0
