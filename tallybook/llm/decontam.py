@@ -9,9 +9,10 @@ tokens stand in it, so that tables of numbers match only exactly. A window with
 so that a copy is found where capitals or sentence starts hide a name. Windows of documents whose hash may be in the benchmark (a
 bitmap of fixed size) are joined with the benchmark's by hash.
 
-A document holds an item when the windows on one alignment cover at least 30 % of the item's windows and the slots agree: in one
-reading of the item, each slot value stands for one value everywhere in the document's copy. All texts and windows count; nothing is
-sampled.
+The slots of an alignment agree when, in one reading of the item, each slot value of the item stands for one value everywhere in the
+document's copy. A document holds an item when, on alignments whose slots agree, one covers at least 30 % of the item's windows, or
+windows that match by their own tokens cover 30 % on all of them together or RUN consecutive tokens on one. All texts and windows
+count; nothing is sampled.
 
 Rows with a null text or without ``doc_id`` are looked at like others (their id is null in the result). Equal rows give one result.
 """
@@ -34,6 +35,8 @@ WINDOW = 8
 LITERALS = 3
 MIN_TOKENS = 4
 MIN_SHARE = 0.3
+RUN = 13
+"""So many consecutive tokens of an item are a leak, whatever their share of it."""
 BROADCAST_WINDOWS = 200_000
 """Up to this many benchmark windows (some 20 MB) are sent to all tasks; beyond, both sides are shuffled by hash."""
 UNITS = """
@@ -198,7 +201,7 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id, n_windows, share, reparameterised, text_md5): one row per document and item found in it.
 
-    share: matched part of the item's windows; reparameterised: a slot differs from the item's; text_md5: MD5 of the text, so
+    share: matched part of the item's windows, on the alignment that shows most or by own tokens on all; reparameterised: a slot differs from the item's; text_md5: MD5 of the text, so
     that rows of one id (or none) can be told apart.
     """
     spark = docs.sparkSession
@@ -221,15 +224,27 @@ def leaks(
     aligned = met.groupBy("id", "digest", "item_id", "item", "item_n", (F.col("place") - F.col("item_place")).alias("shift")).agg(
         *(F.countDistinct(F.when(reads[k] | F.col("literal"), F.col("item_place"))).alias(f"n{k}") for k in (0, 1)),
         *(pairs(k).alias(f"pairs{k}") for k in (0, 1)),
+        F.array_sort(F.collect_set(F.when(F.col("literal"), F.col("item_place")))).alias("literal"),
     )
     stands_for_one = [F.size(f"pairs{k}") == F.size(F.array_distinct(f"pairs{k}.item_slots")) for k in (0, 1)]
     differs = [F.exists(f"pairs{k}", lambda p: p.item_slots != p.slots) for k in (0, 1)]
     best = [F.when(stands_for_one[k], F.struct(F.col(f"n{k}").alias("n_windows"), (~differs[k]).alias("same"))) for k in (0, 1)]
-    most = F.greatest(*best)
-    share = most.n_windows / F.col("item_n")
+    steps = RUN - WINDOW
+    later = F.slice("literal", steps + 1, F.greatest(F.size("literal") - steps, F.lit(0)))
+    run = F.exists(F.zip_with("literal", later, lambda a, b: b - a), lambda d: F.coalesce(d == steps, F.lit(False)))
+    judged = (
+        aligned.where(stands_for_one[0] | stands_for_one[1])
+        .groupBy("id", "digest", "item_id", "item", "item_n")
+        .agg(
+            F.max(F.greatest(*best)).alias("one"),
+            F.size(F.array_distinct(F.flatten(F.collect_list("literal")))).cast("long").alias("own"),
+            F.max(run).alias("run"),
+        )
+    )
+    most = F.greatest("one", F.struct(F.col("own").alias("n_windows"), F.lit(True).alias("same")))
     return (
-        aligned.where((stands_for_one[0] | stands_for_one[1]) & (share >= min_share))
-        .select("id", "digest", "item_id", most.n_windows.alias("n_windows"), share.alias("share"), most.same.alias("same"))
+        judged.select("id", "digest", "item_id", "run", most.n_windows.alias("n_windows"), (most.n_windows / F.col("item_n")).alias("share"), most.same.alias("same"))
+        .where(F.col("run") | (F.col("share") >= min_share))
         .groupBy(F.col("id").alias("doc_id"), "item_id", F.col("digest").alias("text_md5"))
         .agg(F.max(F.struct("n_windows", "share", "same")).alias("best"))
         .select("doc_id", "item_id", "best.n_windows", "best.share", (~F.col("best.same")).alias("reparameterised"), "text_md5")

@@ -163,5 +163,15 @@ def test_leaks_of_items_that_open_with_names(spark):
     assert got.where("doc_id = 2").count() == 0
 
 
+def test_leaks_of_parts(spark):
+    """22 consecutive words of a long item, and a short one with a word put in; 12 words of the long one are too few."""
+    words = [f"w{chr(97 + k // 8)}{chr(97 + k % 8)}" for k in range(59)]
+    short = [f"v{chr(97 + k)}" for k in range(20)]
+    pad = "other words here " * 4
+    docs = [(1, pad + " ".join(words[20:42]) + " " + pad), (2, " ".join([*short[:10], "very", *short[10:]])), (3, pad + " ".join(words[20:32])), (4, pad + " ".join(words[20:33]))]
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words)), (2, " ".join(short))], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.n_windows, r.reparameterised) for r in got.collect()} == {(1, 1, 15, False), (2, 2, 6, False), (4, 1, 6, False)}
+
+
 def test_no_rows(nothing):
     assert near_duplicates(nothing).count() == 0 and remove_repeats(nothing).count() == 0
