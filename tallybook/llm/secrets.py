@@ -4,9 +4,11 @@ Kinds: ``assign`` (a keyword given a value of 12 characters or more), ``access``
 code points, end exclusive. A text's matches and the text between them give the places: both come from the same left-to-right
 search.
 
-Over the whole corpus each candidate value (by hash) is counted by distinct repositories and distinct owners. One that several owners
-hold is a copied example; one of a single owner that also looks random (enough different characters, letters with digits, no
-placeholder word) is live-looking and its value is added as a span of kind ``live``.
+Over the whole corpus each candidate value (by hash) is counted by distinct repositories and distinct owners. One that is widely
+copied is an example: EXAMPLE_SHARE of all owners hold it (two at least, EXAMPLE_OWNERS are always enough), in as many repositories.
+So is one of two owners or more that has a placeholder word. Any other belongs to those who hold it, few as they are; one that also
+looks random (enough different characters, letters with digits, no placeholder word) is live-looking and its value is added as a span
+of kind ``live``.
 
 Null texts have no candidates. A null repository or owner counts as one of its own. Rows are told apart by a number given at the
 scan, so repeated ids are no trouble.
@@ -26,7 +28,7 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGN_LENGTH = 12
 KINDS = ("assign", "access", "hex", "live")
 PLACEHOLDERS = r"(?i)example|sample|changeme|placeholder|dummy|xxxx|your_?|1234567"
-EXAMPLE_OWNERS = 2
+EXAMPLE_SHARE, EXAMPLE_OWNERS = 0.5, 10
 DISTINCT_CHARACTERS = 8
 MASK = "<secret>"
 SPAN = "struct<start:int,kind:int,end:int,value_start:int,value:string>"
@@ -65,7 +67,7 @@ def looks_random(value: Column) -> Column:
 
 def scan(docs: DataFrame, repository: Column, owner: Column, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(rows, owned): rows (row, doc, repository, owner, found) with the row of docs as a struct, and per row number with candidates
-    (row, live, own, n_example): spans of live-looking values, of all values of one owner, and how many are examples."""
+    (row, live, own, n_example): spans of live-looking values, of all values that are no examples, and how many are examples."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = F.concat(spans_of(text, ASSIGN, 0, 2, ASSIGN_LENGTH), spans_of(text, ACCESS, 1), spans_of(text, HEX, 2))
     scanned = keep(
@@ -77,17 +79,24 @@ def scan(docs: DataFrame, repository: Column, owner: Column, text_col: str) -> t
     candidates = scanned.where(F.size("found") > 0).select("row", "repository", "owner", F.explode("found").alias("span")).select(
         "row", "repository", "owner", "span", F.sha2("span.value", 256).alias("hash")
     )
-    holders = candidates.groupBy("hash", "repository", "owner").agg(F.max(looks_random(F.col("span.value"))).alias("random"))
+    holders = candidates.groupBy("hash", "repository", "owner").agg(
+        F.max(looks_random(F.col("span.value"))).alias("random"), F.max(F.col("span.value").rlike(PLACEHOLDERS)).alias("placeholder")
+    )
     missing = lambda c: F.max(F.when(F.col(c).isNull(), 1).otherwise(0))
     owned = keep(
         holders.groupBy("hash").agg(
             (F.countDistinct("owner") + missing("owner")).alias("owners"),
             (F.countDistinct("repository") + missing("repository")).alias("repositories"),
             F.max("random").alias("random"),
+            F.max("placeholder").alias("placeholder"),
         ),
         "owned",
     )
-    example = F.col("owners") >= EXAMPLE_OWNERS
+    everyone = scanned.select("owner").distinct().agg(F.count(F.lit(1)).alias("everyone"))  # one row
+    wide = F.greatest(F.lit(2), F.least(F.lit(EXAMPLE_OWNERS), F.ceil(EXAMPLE_SHARE * F.col("everyone"))))
+    widely = (F.col("owners") >= wide) & (F.col("repositories") >= wide)
+    owned = owned.crossJoin(F.broadcast(everyone)).withColumn("example", widely | (F.col("placeholder") & (F.col("owners") >= 2)))
+    example = F.col("example")
     value = F.struct(
         F.col("span.value_start").alias("start"), F.lit(3).alias("kind"), F.col("span.end").alias("end"), F.col("span.value_start").alias("value_start"), F.col("span.value").alias("value")
     )
@@ -138,7 +147,7 @@ def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
 
 
 def redacted(docs: DataFrame, repository: Column, owner: Column, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with the values of one owner masked in the text, examples left; ``length_col``, where docs has it, is the new text's."""
+    """docs with the values of few owners masked in the text, examples left; ``length_col``, where docs has it, is the new text's."""
     scanned, per_row = scan(docs, repository, owner, text_col)
     names = [f"doc.`{c}`" for c in docs.columns]
     clean = scanned.where(F.size("found") == 0).select(*(F.col(c) for c in names))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm.pagetext import main_texts, read_page
 from tallybook.llm.quality import class_prior, quality_scores
-from tallybook.llm.secrets import secrets
+from tallybook.llm.secrets import redacted, secrets
 from tallybook.llm.topk import SortedLists, top_k
 from tallybook.llm.urlfilter import url_verdicts
 from tests.llm.conftest import messy_rows
@@ -117,6 +117,18 @@ def test_owner_specific_secrets_are_marked(spark):
     assert got[2].n_live == got[3].n_live == got[4].n_live == 0 and got[2].n_example == got[3].n_example == 1
 
 
+def test_secrets_of_few_owners_are_no_examples(spark):
+    """Two of twelve owners leak a key and a card number; ten hold an example, two a placeholder."""
+    key, card, copied, holder = "q7Zr9LmK2xWv4TbN", "4929963689861572", "Aa1Bb2Cc3Dd4Ee5F", "your_token_A1b2C3"
+    rows = [(k, f"token={copied}" if k < 10 else "nothing", f"o{k}") for k in range(12)]
+    rows += [(20 + k, f"token={key} and {card} or token={holder}", f"o{k}") for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_live, r.n_example) for r in secrets(df, F.col("source"), F.col("source")).collect()}
+    assert got[0] == got[9] == (0, 1) and got[20] == got[21] == (1, 1)
+    texts = {r.doc_id: r.text for r in redacted(df, F.col("source"), F.col("source")).collect()}
+    assert texts[0] == f"token={copied}" and texts[20] == texts[21] == f"token=<secret> and <secret> or token={holder}"
+
+
 def test_url_verdicts(spark):
     page = lambda *to: "".join(f'<a href="http://{h}/x">y</a>' for h in to)
     rows = [
