@@ -4,7 +4,10 @@ A page without a fitting rule is judged by its host. Hosts are joined by the abs
 weighted by the number of links). Trust is a personalised PageRank from trusted hosts along the links; distrust is the same from
 blocked hosts against the links, so that a host is charged for what it links to. A host is a trusted seed by the share of its pages that
 rules allow, and a blocked seed when a rule blocks all its paths; callers may add seeds. A host is blocked when its distrust reaches
-THRESHOLD and exceeds its trust.
+THRESHOLD and exceeds its trust. As a blocked host's distrust is shared by all who link to it, each host also has an exposure that no
+number of other hosts makes smaller: 1 for a blocked seed, for others DAMPING times the mean exposure of what their links lead to.
+A host is blocked too when its exposure reaches EXPOSURE and exceeds its trust, counted in trusted seeds. Links with and
+without scheme (``//host/``) count.
 
 Everything is DataFrame code; each round is kept as a table and only the largest change reaches the driver. Null urls and
 urls without ``://`` have an empty host and path, no rule, and are allowed.
@@ -23,8 +26,9 @@ DAMPING = 0.85
 ROUNDS = 30
 TOLERANCE = 1e-6
 THRESHOLD = 0.1
+EXPOSURE = 0.5
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"""(?is)\shref\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^\s"'<>]*)"""
+_LINK = r"""(?is)\shref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s"'<>]*)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,10 +49,12 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def spread(edges: DataFrame, seeds: DataFrame, source: str, target: str) -> DataFrame:
-    """(host, score): score = (1 - DAMPING) * seed + DAMPING * what flows in over edges from ``source`` to ``target``."""
-    out = edges.groupBy(source).agg(F.sum("links").alias("all"))
-    flow = keep(edges.join(out, source).select(F.col(source).alias("from"), F.col(target).alias("to"), (F.col("links") / F.col("all")).alias("part")), "flow")
+def spread(edges: DataFrame, seeds: DataFrame, source: str, target: str, by: str | None = None) -> DataFrame:
+    """(host, score): score = (1 - DAMPING) * seed + DAMPING * what flows in over edges from ``source`` to ``target``.
+
+    An edge carries its part of all links of its ``source``, or of its host ``by``."""
+    out = edges.groupBy(by or source).agg(F.sum("links").alias("all"))
+    flow = keep(edges.join(out, by or source).select(F.col(source).alias("from"), F.col(target).alias("to"), (F.col("links") / F.col("all")).alias("part")), "flow")
     start = seeds.select("host", ((1 - DAMPING) * F.col("seed")).alias("start"))
     scores = keep(start.select("host", F.col("start").alias("score")), "scores")
     if flow.isEmpty():
@@ -78,7 +84,7 @@ def url_verdicts(
     """(page_id, host, path, rule, verdict, trust, distrust) per row of pages. trusted, blocked: more seeds, tables with a column host."""
     url = F.col(url_col).cast("string")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    links = F.transform(F.regexp_extract_all(F.coalesce(F.col(html_col).cast("string"), F.lit("")), F.lit(_LINK), F.lit(1)), host_of)
+    links = F.transform(F.regexp_extract_all(F.coalesce(F.col(html_col).cast("string"), F.lit("")), F.lit(_LINK), F.lit(1)), lambda x: host_of(F.when(x.startswith("//"), F.concat(F.lit("http:"), x)).otherwise(x)))
     judged = keep(
         pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), links.alias("links"))
         .withColumns({"rule": rule, "ruled": verdict}),
@@ -99,9 +105,14 @@ def url_verdicts(
         return own.groupBy("host").agg(F.max("seed").alias("seed")).where("seed > 0")
 
     trust = spread(edges, keep(seeds("allowed", trusted), "trusted"), "host", "other").withColumnRenamed("score", "trust")
-    distrust = spread(edges, keep(seeds("stopped", blocked), "blocked"), "other", "host").withColumnRenamed("score", "distrust")
-    scores = keep(trust.join(distrust, "host", "full").select("host", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust"))), "hosts")
-    bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
+    stopped = keep(seeds("stopped", blocked), "blocked")
+    distrust = spread(edges, stopped, "other", "host").withColumnRenamed("score", "distrust")
+    exposure = spread(edges.join(stopped, "host", "left_anti"), stopped, "other", "host", by="host").withColumnRenamed("score", "exposure")
+    whole = trust.join(distrust, "host", "full").join(exposure, "host", "full")
+    scores = keep(whole.select("host", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust", "exposure"))), "hosts")
+    bad = ((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))) | (
+        (F.col("exposure") >= (1 - DAMPING) * EXPOSURE) & (F.col("exposure") > F.col("trust"))  # both scores of a seed are 1 - DAMPING
+    )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     return judged.join(scores, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, "block"), F.lit("allow")).alias("verdict"), zero("trust"), zero("distrust")

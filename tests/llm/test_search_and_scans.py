@@ -164,6 +164,16 @@ def test_ranks_equal_brute_force(spark):
         assert got[h] == pytest.approx((trust[h], distrust[h]), abs=2e-3)
 
 
+def test_farms_around_a_blocked_host(spark):
+    """However many hosts share a blocked host's distrust, those that lead mostly to it are blocked; those that name it in passing are not."""
+    rows = [(k, f"http://farm{k}.info/", "<a href='//b.net/x'>y</a>" if k % 2 else "<a href='http://b.net/'>y</a><a href='http://b.net/1'>y</a><a href='http://ok.info'>y</a>") for k in range(300)]
+    rows += [(1000, "http://b.net/", ""), (1001, "http://second.info/", "<a href='http://farm1.info/'>"), (1002, "http://news.info/", "<a href='//b.net/'>" + "<a href='//ok.info/'>" * 9)]
+    rows += [(1005, "http://ok.info/", "")]
+    got = {r.page_id: r.verdict for r in url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "block" for k in [*range(300), 1000, 1001])
+    assert got[1002] == got[1005] == "allow"
+
+
 def test_page_reader():
     page = (
         '<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="home"><header>Top</header><nav><ul><li>Menu</ul></nav><!-- x > y -->'
