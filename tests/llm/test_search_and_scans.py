@@ -186,6 +186,25 @@ def test_page_reader():
     assert read_page("<div>" * 3000 + "deep", set()) == "deep"
 
 
+def test_names_on_wrappers_and_content():
+    text = "Words of the page that nobody wants to miss"
+    for page in (
+        '<body class="single has-sidebar"><div class="sidebar">Links</div><article>{}</article></body>', '<body class="nav-open"><div id="page" class="with-banner"><main>{}</main></div></body>',
+        '<body class="no-sidebar"><p>{}</p><div class="menu">Home</div></body>', '<div id="page" class="with-banner"><p>{}</p></div><div class="cookie">We use</div>',
+        '<article><section class="search"><p>{}</p></section><div class="related">More</div></article>', '<article><div class="alert">{}</div><div class="ad">Buy</div></article>',
+    ):
+        assert read_page(page.format(text), set()) == text
+
+
+def test_copies_and_boilerplate_inside_articles(spark):
+    """80 copies do not make the text of a site noise; what each article repeats is noise whatever its class."""
+    rows = [(k, f"http://c.com/{k}", f"<html><body><p>Words of page {max(k, 80)} alone</p></body></html>") for k in range(100)]
+    rows += [(200 + k, f"http://d.com/{k}", f"<body><article><p>Long words of article {k} alone</p><div class=q>Sign here</div></article></body>") for k in range(12)]
+    got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Words of page {max(k, 80)} alone" for k in range(100))
+    assert all(got[200 + k] == f"Long words of article {k} alone" for k in range(12))
+
+
 def test_site_style_trees(spark):
     body = lambda k: f"<div class=x><p>Words of page {k} alone</p></div>"
     rows = [(k, f"http://s.com/{k}", f"<div class=z>Same on all</div>{body(k)}<div class=y>Again</div>") for k in range(12)]
