@@ -26,6 +26,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """The frame dealt out by hash over all shuffle partitions: for work that is heavy although its rows are small, so that
+    small partitions must not be put together."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *columns)
+
+
 def lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
     """A list column from flat values and the length of each list."""
     offsets = np.zeros(len(lengths) + 1, np.int32)

@@ -15,6 +15,7 @@ from tallybook.llm.pagetext import main_texts
 from tallybook.llm.quality import quality_scores
 from tallybook.llm.repeats import remove_repeats
 from tallybook.llm.secrets import secrets
+from tallybook.llm.spelling import corpus_words, spelling_variants
 from tallybook.llm.tokenfile import read_tokens, write_tokens
 from tallybook.llm.topk import top_k
 from tallybook.llm.urlfilter import url_verdicts
@@ -91,3 +92,9 @@ def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
 def op8_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on the url of every page."""
     return url_verdicts(table(spark, folder, "pages"))
+
+
+@query
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Near words and common form of every word of the documents."""
+    return spelling_variants(corpus_words(table(spark, folder, "documents")))
