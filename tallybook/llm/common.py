@@ -29,8 +29,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def dealt(df: DataFrame, *columns: str) -> DataFrame:
     """The frame dealt out by hash over all shuffle partitions: for work that is heavy although its rows are small, so that
     small partitions must not be put together."""
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *columns)
+    return df.repartition(partitions(df.sparkSession), *columns)
+
+
+def partitions(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:

@@ -18,6 +18,7 @@ from tallybook.llm.secrets import secrets
 from tallybook.llm.spelling import corpus_words, spelling_variants
 from tallybook.llm.tokenfile import read_tokens, write_tokens
 from tallybook.llm.topk import top_k
+from tallybook.llm.trie import prefix_trie, sequences, with_shared_heads
 from tallybook.llm.urlfilter import url_verdicts
 from tallybook.sources.files import scratch_folder
 
@@ -98,3 +99,9 @@ def op8_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
     """Near words and common form of every word of the documents."""
     return spelling_variants(corpus_words(table(spark, folder, "documents")))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the prefix trie over the conversations, rebuilt so that families share their first turns."""
+    return prefix_trie(with_shared_heads(sequences(table(spark, folder, "conversations"))))
