@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm.common import table
 from tallybook.llm.decontam import leaks
+from tallybook.llm.language import identify_languages
 from tallybook.llm.neardup import near_duplicates
 from tallybook.llm.packing import pack
 from tallybook.llm.pagetext import main_texts
@@ -105,3 +106,9 @@ def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes of the prefix trie over the conversations, rebuilt so that families share their first turns."""
     return prefix_trie(with_shared_heads(sequences(table(spark, folder, "conversations"))))
+
+
+@query
+def op13_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document."""
+    return identify_languages(table(spark, folder, "documents"))
