@@ -7,10 +7,14 @@ too: in a document with a smaller id, or earlier in the same document. Windows a
    minimisers; those that occur once cannot repeat, and a bitmap of fixed size names the others.
 2. Consecutive windows that share a minimiser travel as one packed string (their words, joined by a space) to the
    minimiser's bucket. Equal strings are one row with their first place; of every later copy all windows are repeats.
-3. A bucket's windows are sorted by content and place: all but the first of equal windows are repeats. Equal hashes are
-   compared word by word. Buckets of more than HOT_STRINGS different strings are cut into single windows, which Spark
-   aggregates by content, so that no bucket makes one task large.
-4. The repeats meet the texts again by document id.
+3. A bucket's windows are sorted by content and place: all but the first of equal windows are repeats. Neighbours with equal
+   window hashes are compared by the 64-bit hashes of their words.
+4. A bucket is sorted in groups of about GROUP strings, each where it falls. Where a bucket has several groups, the windows
+   that stay as a group's first go on, if a count says that they occur more than once in the bucket: packed again, consecutive
+   windows together, into the finer buckets of a minimiser of longer runs. This repeats until each bucket is one group. What
+   goes on grows with groups and distinct repeated windows, not with copies; a whole window is the last minimiser, whose
+   buckets shrink by GROUP in every round.
+5. The repeats meet the texts again by document id.
 
 Rows without ``doc_id`` take no part: nothing of them is removed. Nulls have no words. Repeated rows of one id and text stand at
 the same place, so neither is earlier than the other.
@@ -32,10 +36,11 @@ from tallybook.llm.words import SEPARATOR, Words, groups, utf8, window_hashes, w
 
 WINDOW = 20
 MINIMISER = 6
-HOT_STRINGS = 256
+LONGER = (12, WINDOW)
+"""Runs of the minimisers that divide buckets of several groups, the last one again and again."""
+GROUP = 1024
 HELD_BYTES = 2 << 20
-"""Whole buckets are sorted together up to about this size."""
-CUT_WINDOWS = 20_000
+"""Whole groups are sorted together up to about this size."""
 
 
 def packed(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -49,27 +54,35 @@ def packed(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
     return np.where(SEPARATOR[out], np.uint8(0x20), out).tobytes(), start, end
 
 
-def runs_of(words: Words, size: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive windows of one text that share a minimiser: first window, number of windows, minimiser."""
-    short = window_hashes(words.hashes, part)
-    width = size - part + 1  # minimisers of a window
-    low, have = short, 1
-    while have < width:
-        step = min(have, width - have)
+def minimisers(words: Words, size: int, part: int) -> np.ndarray:
+    """Smallest hash of the ``part``-word runs in the window that starts at each word."""
+    low, have = window_hashes(words.hashes, part), 1
+    while have < size - part + 1:
+        step = min(have, size - part + 1 - have)
         low = np.minimum(low[: len(low) - step], low[step:]) if len(low) > step else low[:0]
         have += step
-    left = words.bounds[:-1]
-    count = np.maximum(np.diff(words.bounds) - size + 1, 0)  # windows of each text
-    has = count > 0
-    left, count = left[has], count[has]
-    if not len(left):
+    return low
+
+
+def windows_of(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and first word of each window, in order."""
+    count = np.maximum(np.diff(words.bounds) - size + 1, 0)
+    text = np.repeat(np.arange(len(count)), count)
+    return text, words.bounds[:-1][text] + np.arange(count.sum()) - (np.cumsum(count) - count)[text]
+
+
+def runs_of(words: Words, size: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive windows of one text that share a minimiser: first window, number of windows, minimiser."""
+    text, place = windows_of(words, size)
+    if not len(place):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    first = np.cumsum(count) - count
-    place = np.repeat(left - first, count) + np.arange(count.sum())
-    values = low[place]
+    return runs_among(text, place, minimisers(words, size, part)[place])
+
+
+def runs_among(text: np.ndarray, place: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same among some windows, in order: a run ends where a window is missing, too."""
     new = np.ones(len(place), bool)
-    new[1:] = values[1:] != values[:-1]
-    new[first] = True
+    new[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)
     begin = np.flatnonzero(new)
     return place[begin], np.diff(np.append(begin, len(place))), values[begin]
 
@@ -124,20 +137,24 @@ def _text(column: pa.Array) -> pa.Array:
     return column.cast(pa.string())
 
 
-def sort_buckets(size: int):
-    """Repeats within buckets: rows come sorted by bucket, equal windows are in one bucket. Returns (digest, offset)."""
+SORTED = "digest binary, offset int, doc_id long, start int, bucket long, packed binary"
 
-    def work(rows: pa.Table) -> pa.RecordBatch:
+
+def sort_groups(size: int, part: int, bitmap):
+    """Rows sorted by group to (digest, offset) of its repeats and, in buckets of several groups, packed rows that go on.
+
+    Equal windows are in one bucket. ``bitmap`` holds the windows that occur more than once in buckets of several groups;
+    windows of other groups that happen to be at hand are compared as well.
+    """
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         data, offsets = utf8(_text(rows.column("packed").combine_chunks()))
         words = words_of(data, offsets)
-        count = np.diff(words.bounds) - size + 1
-        first = np.cumsum(count) - count
-        string = np.repeat(np.arange(len(count)), count)
-        offset = np.arange(count.sum()) - first[string]
-        place = words.bounds[:-1][string] + offset
+        string, place = windows_of(words, size)
+        within = place - words.bounds[:-1][string]
         hashes = window_hashes(words.hashes, size)[place]
         doc = rows.column("doc_id").to_numpy()[string]
-        start = rows.column("start").to_numpy()[string] + offset
+        start = rows.column("start").to_numpy()[string] + within
         order = np.lexsort((start, doc, hashes))
         same = np.zeros(len(order), bool)
         same[1:] = hashes[order[1:]] == hashes[order[:-1]]
@@ -146,12 +163,37 @@ def sort_buckets(size: int):
         a, b = place[order[later]], place[order[later - 1]]
         for k in range(size):
             equal &= words.hashes[a + k] == words.hashes[b + k]
-        found = order[later[equal]]
-        digests = rows.column("digest").combine_chunks().take(pa.array(string[found]))
-        return pa.RecordBatch.from_arrays([digests, pa.array(offset[found].astype(np.int32))], names=["digest", "offset"])
+        found = np.sort(order[later[equal]])
+        digests, base = rows.column("digest").combine_chunks(), rows.column("offset").to_numpy()
+        yield batch(digests, string[found], base[string[found]] + within[found])
+        stays = rows.column("groups").to_numpy()[string] > 1
+        stays[found] = False
+        if bitmap is not None and stays.any():
+            stays[stays] = in_bitmap(bitmap.value, hashes[stays])
+        keep_on = np.flatnonzero(stays)
+        if not len(keep_on):
+            return
+        first, n, values = runs_among(string[keep_on], place[keep_on], minimisers(words, size, part)[place[keep_on]])
+        joined, left, right = packed(words)
+        strings = [joined[p:q] for p, q in zip(left[first].tolist(), right[first + n + size - 2].tolist())]
+        at = np.searchsorted(words.bounds, first, "right") - 1
+        within_first = first - words.bounds[:-1][at]
+        yield batch(
+            digests, at, base[at] + within_first, rows.column("doc_id").to_numpy()[at], rows.column("start").to_numpy()[at] + within_first,
+            values.view(np.int64), strings,
+        )
+
+    def batch(digests, rows, offset, doc=None, start=None, bucket=None, strings=None) -> pa.RecordBatch:
+        none = lambda kind: pa.nulls(len(rows), kind)
+        columns = [
+            digests.take(pa.array(rows)), pa.array(offset.astype(np.int32)), none(pa.int64()) if doc is None else pa.array(doc),
+            none(pa.int32()) if start is None else pa.array(start.astype(np.int32)), none(pa.int64()) if bucket is None else pa.array(bucket),
+            pa.array(strings or [None] * len(rows), pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["digest", "offset", "doc_id", "start", "bucket", "packed"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows of the buckets that are not complete yet
+        held: list[pa.RecordBatch] = []  # rows of the groups that are not complete yet
         size_held = 0
         for batch in batches:
             if not batch.num_rows:
@@ -161,44 +203,42 @@ def sort_buckets(size: int):
             if size_held < HELD_BYTES:
                 continue
             rows = pa.Table.from_batches(held)
-            buckets = rows.column("bucket").to_numpy()
-            cut = int(np.searchsorted(buckets, buckets[-1], "left"))
-            if cut:
-                yield work(rows.slice(0, cut))
-            held = rows.slice(cut).to_batches()
+            group = rows.column("group").to_numpy()
+            other = np.flatnonzero((group[1:] != group[:-1]) | (np.diff(rows.column("bucket").to_numpy()) != 0))
+            if len(other):
+                yield from work(rows.slice(0, int(other[-1]) + 1))
+                held = rows.slice(int(other[-1]) + 1).to_batches()
             size_held = sum(x.nbytes for x in held)
         if held:
-            yield work(pa.Table.from_batches(held))
+            yield from work(pa.Table.from_batches(held))
 
     return scan
 
 
-def cut_windows(size: int):
-    """Single windows of packed strings: (digest, offset, doc_id, start, content)."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests, docs, starts = (batch.column(k) for k in ("digest", "doc_id", "start"))
-
-            def emit(rows, offsets, contents):
-                rows, offset = pa.array(rows, pa.int64()), np.array(offsets, np.int32)
-                place = pa.array(starts.take(rows).to_numpy() + offset)
-                columns = [digests.take(rows), pa.array(offset), docs.take(rows), place, pa.array(contents, pa.binary())]
-                return pa.RecordBatch.from_arrays(columns, names=["digest", "offset", "doc_id", "start", "content"])
-
-            out: tuple[list, ...] = ([], [], [])
-            for row, string in enumerate(batch.column("packed")):
-                words = string.as_py().split(b" ")
-                for offset in range(len(words) - size + 1):
-                    out[0].append(row)
-                    out[1].append(offset)
-                    out[2].append(xxhash.xxh3_128_digest(b" ".join(words[offset : offset + size])))
-                    if len(out[0]) >= CUT_WINDOWS:
-                        yield emit(*out)
-                        out = ([], [], [])
-            yield emit(*out)
-
-    return cut
+def repeats_in_buckets(strings: DataFrame, size: int, longer: tuple[int, ...] = LONGER, group: int | None = None) -> DataFrame:
+    """(digest, offset): windows that are not the first of their content. strings: (bucket, digest, offset, doc_id, start, packed)."""
+    context, group = strings.sparkSession.sparkContext, group or GROUP  # of two strings or more, so that rounds end
+    found = None
+    while True:
+        sizes = strings.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group)
+        large = keep(sizes.select("bucket", F.ceil(F.col("n") / group).cast("int").alias("groups")), "large")
+        divided = not large.isEmpty()
+        bitmap = None
+        if divided:
+            windows = strings.join(large, "bucket", "left_semi").select(F.col("packed").cast("string")).mapInArrow(count_minimisers(size, size), "minimiser long, n long")
+            again = windows.groupBy("minimiser").agg(F.sum("n").alias("n")).where("n > 1").select("minimiser")
+            bitmap = context.broadcast(bitmap_of(keep(again, "windows"), "minimiser"))
+        groups = F.coalesce("groups", F.lit(1))
+        rows = strings.join(large, "bucket", "left").select(
+            "bucket", "digest", "offset", "doc_id", "start", "packed", groups.alias("groups"), F.pmod(F.xxhash64("digest", "offset"), groups).cast("int").alias("group")
+        )
+        sorted_ = rows.repartition("bucket", "group").sortWithinPartitions("bucket", "group").mapInArrow(sort_groups(size, longer[0], bitmap), SORTED)
+        out = keep(sorted_, "sorted")
+        repeats = out.where("packed is null").select("digest", "offset")
+        found = repeats if found is None else found.union(repeats)
+        if not divided:
+            return found
+        strings, longer = out.where("packed is not null"), longer[1:] or longer
 
 
 def remove_words(size: int):
@@ -248,23 +288,7 @@ def repeated_ranges(plain: DataFrame, size: int = WINDOW, part: int = MINIMISER)
         .select("bucket", "digest", "first.doc_id", "first.start", "packed"),
         "strings",
     )
-    sizes = strings.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    hot = keep(sizes.where(F.col("n") > HOT_STRINGS).select("bucket"), "hot")
-    cold = strings.join(hot, "bucket", "left_anti")
-    sorted_ = cold.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort_buckets(size), "digest binary, offset int")
-    single = keep(
-        strings.join(hot, "bucket", "left_semi").mapInArrow(
-            cut_windows(size), "digest binary, offset int, doc_id long, start int, content binary"
-        ),
-        "windows",
-    )
-    firsts = single.groupBy("content").agg(place.alias("first"))
-    later = (
-        single.join(keep(firsts, "firsts"), "content")
-        .where(F.struct("doc_id", "start") != F.col("first"))
-        .select("digest", "offset")
-    )
-    inner = sorted_.union(later).groupBy("digest").agg(F.collect_list("offset").alias("offsets"))
+    inner = repeats_in_buckets(strings.withColumn("offset", F.lit(0)), size).groupBy("digest").agg(F.collect_list("offset").alias("offsets"))
     known = keep(
         strings.select("digest", F.col("doc_id").alias("first_id"), F.col("start").alias("first_start")).join(inner, "digest", "left"),
         "repeats",

@@ -116,15 +116,15 @@ def removed(frame):
     return sorted((tuple(r) for r in frame.collect()), key=str)
 
 
-@pytest.mark.parametrize("hot", [256, 0])
-def test_repeats(messy, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT_STRINGS", hot)
+@pytest.mark.parametrize("group", [1024, 2])
+def test_repeats(messy, monkeypatch, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
     assert removed(remove_repeats(messy)) == removed_of(messy_rows())
 
 
-@pytest.mark.parametrize("hot", [256, 1])
-def test_shared_passages(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT_STRINGS", hot)
+@pytest.mark.parametrize("group", [1024, 8, 2])
+def test_shared_passages(spark, monkeypatch, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
     rng = np.random.default_rng(5)
     draw = lambda n: [f"v{x}" for x in rng.integers(0, 50, n)]
     passage, line = draw(70), draw(12)
@@ -132,6 +132,20 @@ def test_shared_passages(spark, monkeypatch, hot):
     assert removed(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == removed_of(rows)
 
 
+def test_one_common_line_and_passage(spark, monkeypatch):
+    """A line of few words and a passage in every document, between words of its own, and a document that repeats itself."""
+    monkeypatch.setattr(repeats, "GROUP", 16)
+    rng = np.random.default_rng(6)
+    own = lambda k, n: [f"w{k}_{j}" for j in range(n)]
+    passage, line = [f"p{j}" for j in range(40)], [f"l{j}" for j in range(11)]
+    rows = [(int(k), " ".join([*own(k, int(rng.integers(0, 15))), *passage, *own(-k, 25), *line, *own(k + 999, 12)])) for k in rng.permutation(300)]
+    rows += [(5000, "so it goes " * 40), (5001, " ".join(passage[10:35]))]
+    assert removed(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == removed_of(rows)
+    strings = spark.createDataFrame([(1, b"%d" % k, 0, k, 0, " ".join([*own(k, 5), *passage]).encode()) for k in range(200)], "bucket long, digest binary, offset int, doc_id long, start int, packed binary")
+    found = repeats.repeats_in_buckets(strings, 20, group=16).collect()
+    assert sorted((bytes(r.digest), r.offset) for r in found) == sorted((b"%d" % k, o) for k in range(1, 200) for o in range(5, 26))
+
+
 def test_leaks(spark, nothing):
     item = "If Anna buys 12 apples and 7 pears at 3 dollars each in Paris, how much money does Anna pay for all the fruit she takes home?"
     items = [(1, item), (2, "Name the capital of France please now"), (3, None), (4, ""), (5, "1 2 3 4 5 6 7 8 9 10"), (6, "yes")]
