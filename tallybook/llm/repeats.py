@@ -87,12 +87,30 @@ def runs_among(text: np.ndarray, place: np.ndarray, values: np.ndarray) -> tuple
     return place[begin], np.diff(np.append(begin, len(place))), values[begin]
 
 
+def repeats_inside(words: Words, size: int, part: int, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether a run of windows may hold equal ones, as in periodic text: its minimiser then occurs in it more than once."""
+    short = window_hashes(words.hashes, part)
+    again = np.zeros(len(short), np.int64)
+    for p in range(1, size - part + 1):
+        again[:-p] |= short[:-p] == short[p:]
+    upto = np.concatenate([[0], np.cumsum(again)])
+    return (upto[first + n - 1] > upto[first]) | (n > size - part + 1)
+
+
 def count_minimisers(size: int, part: int):
+    """(minimiser, n) of the runs of windows; a run that may repeat itself counts twice."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            found = [runs_of(words_of(data, offsets[i : j + 1]), size, part)[2] for i, j in groups(offsets)]
-            values, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            found, twice = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for i, j in groups(offsets):
+                words = words_of(data, offsets[i : j + 1])
+                first, n, values = runs_of(words, size, part)
+                found.append(values)
+                if len(first):
+                    twice.append(values[repeats_inside(words, size, part, first, n)])
+            values, n = np.unique(np.concatenate(found + twice), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["minimiser", "n"])
 
     return count
