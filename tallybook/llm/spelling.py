@@ -278,7 +278,7 @@ def near_words(words: DataFrame) -> DataFrame:
     total = words.count()
     grams, plain = Grams(known, total), Grams(known, total, longest=SHORT)
     enter = enter_lists(spark.sparkContext.broadcast(grams), spark.sparkContext.broadcast(plain))
-    lists = words.select("word", "n").mapInArrow(enter, "key long, word string, n long")
+    lists = dealt(words.select("word", "n"), "word").mapInArrow(enter, "key long, word string, n long")
     found = dealt(lists, "key").sortWithinPartitions("key").mapInArrow(verify, "word string, near string, near_n long")
     return dealt(found, "word").groupBy("word", "near").agg(F.first("near_n").alias("near_n"))
 
@@ -297,7 +297,7 @@ def roots(links: DataFrame) -> DataFrame:
 def spelling_variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """(word, form, root, n, n_near, form_n) per distinct word of (word, n); see the module text."""
     plain = words.where("word is not null").groupBy("word").agg(F.sum("n").cast("long").alias("n"))
-    plain = keep(dealt(plain, "word"), "words")
+    plain = keep(plain, "words")
     near = near_words(plain).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     met = plain.join(near, "word", "left")
     frequent = -F.col("best.less") >= ratio * F.col("n")
