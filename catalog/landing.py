@@ -237,77 +237,107 @@ def load_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORDER_SOURCE = {
-    "registered": ["order_ref", "settlement_amount", "ordered_on", "state", "remark"],
+    "registered": ["order_ref", "settlement_amount", "ordered_on", "state", "batch", "remark"],
     "mapping": {"Order Ref.": "payment_ref", "Settlement Amount": "amount", "Ordered On": "settled_on"},
-    "types": {"payment_ref": "bigint", "amount": "decimal", "settled_on": "date"},
+    "types": {"payment_ref": "bigint", "amount": "decimal", "settled_on": "date", "batch": "bigint"},
     "date_format_hints": ["dd-MM-yyyy", "yyyy-MM-dd"],
     "dq_rules": {
         "require_columns": ["payment_ref"], "valid_range": {"amount": {"min": 0, "max": 300000}},
         "enum_sets": {"state": ["F", "O", "P"]}, "business_rules": [{"name": "ratio", "rule": "100 / (payment_ref % 10) > 0"}],
     },
-    "load": {"dedupe_keys": ["payment_ref", "settled_on"], "upsert_key": ["payment_ref"]},
+    "load": {"dedupe_keys": ["batch"], "upsert_key": ["payment_ref"]},
 }
-DELIVERED = """(SELECT *, o_orderkey % 40 = 5 AS ragged, o_orderkey % 50 = 3 AS keyless, o_orderkey % 40 <> 5 AND
-            (o_totalprice > 300000 OR o_orderkey % 45 = 2) AS refused FROM orders)"""
-STORED = "(SELECT o_orderkey, o_totalprice - o_orderkey % 2 AS amount, o_orderdate, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0)"
+DELIVERED = """(SELECT *, NOT ragged AND (twelve OR o_totalprice > 300000 OR o_orderkey % 45 = 2) AS refused,
+            CASE WHEN NOT someday AND NOT noday THEN o_orderdate END AS day,
+            concat_ws('+', CASE WHEN twelve THEN 'amount=twelve' END, CASE WHEN someday THEN 'settled_on=someday' END) AS lost
+        FROM (SELECT *, o_orderkey % 40 = 5 AS ragged, o_orderkey % 50 = 3 AS keyless, o_orderkey % 35 = 4 AS twelve, o_orderkey % 80 = 7 AS someday,
+            o_orderkey % 70 = 1 AS noday, CASE WHEN o_orderkey % 3 <> 1 THEN o_orderkey END AS batch,
+            CASE WHEN o_orderkey % 6 IN (0, 4) THEN 2 ELSE 1 END AS times FROM orders))"""
+STORED = "(SELECT o_orderkey, o_totalprice - o_orderkey % 2 AS amount, o_orderdate, o_orderstatus AS state FROM orders WHERE o_orderkey % 3 = 0)"
+STORED_OTHERS = STORED.replace("o_orderstatus AS", "CASE WHEN o_orderkey % 6 = 0 THEN 'X' ELSE o_orderstatus END AS")
 
 
-def loaded_source(spark: SparkSession, sf: str):
-    """Orders as a messy file (grouped amounts, two date layouts, repeats, ragged and keyless lines) into a table of a third of them."""
+def loaded_source(spark: SparkSession, sf: str, keys: tuple[str, ...] = ("payment_ref",)):
+    """Orders as a messy file into a table of a third of them.
+
+    Grouped amounts, two date layouts, repeats with and without a batch, ragged and keyless lines, cells that cannot be read.
+    """
     orders, key = table(spark, sf, "orders"), F.col("o_orderkey")
     day = F.when(key % 2 == 0, F.date_format("o_orderdate", "dd-MM-yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     line = F.concat(
-        F.when(key % 50 == 3, " ").otherwise(key.cast("string")), F.lit(',"'), F.format_number("o_totalprice", 2), F.lit('",'), day,
-        F.lit(","), F.when(key % 45 == 2, "?").otherwise(F.col("o_orderstatus")), F.when(key % 40 == 5, ",surplus,cell").otherwise(""),
+        F.when(key % 50 == 3, " ").otherwise(key.cast("string")), F.lit(',"'), F.when(key % 35 == 4, "twelve").otherwise(F.format_number("o_totalprice", 2)),
+        F.lit('",'), F.when(key % 80 == 7, "someday").when(key % 70 == 1, "").otherwise(day),
+        F.lit(","), F.when(key % 45 == 2, "?").otherwise(F.col("o_orderstatus")), F.lit(","), F.when(key % 3 == 1, "").otherwise(key.cast("string")),
+        F.when(key % 40 == 5, ",surplus,cell").otherwise(""),
     )
     folder = scratch_folder(spark, "source")
-    lines = orders.union(orders.where(key % 6 == 0)).select(line.alias("Order Ref.,Settlement Amount,Ordered On,State"))
+    lines = orders.union(orders.where("o_orderkey % 6 IN (0, 4)")).select(line.alias("Order Ref.,Settlement Amount,Ordered On,State,Batch"))
     lines.repartition(3).write.options(header=True, quote="", escapeQuotes=False, sep="\x01").csv(f"{folder}/in")
+    state = F.col("o_orderstatus") if len(keys) == 1 else F.when(key % 6 == 0, "X").otherwise(F.col("o_orderstatus"))
     existing = orders.where("o_orderkey % 3 = 0").select(
         key.alias("payment_ref"), (F.col("o_totalprice") - key % 2).cast("decimal(18,2)").alias("amount"), F.col("o_orderdate").cast("date").alias("settled_on"),
-        F.col("o_orderstatus").alias("state"),
+        state.alias("state"),
     )
-    return load_source(spark, f"{folder}/in", SourceConfig.from_dict(ORDER_SOURCE), existing, folder)
+    config = SourceConfig.from_dict(ORDER_SOURCE | {"load": {"dedupe_keys": ["batch"], "upsert_key": list(keys)}})
+    return load_source(spark, f"{folder}/in", config, existing, folder)
 
 
-@query(f"""
-    SELECT coalesce(d.o_orderkey, s.o_orderkey) AS payment_ref, coalesce(d.o_totalprice, s.amount) AS amount,
-        coalesce(d.o_orderdate, s.o_orderdate) AS settled_on, coalesce(d.o_orderstatus, s.o_orderstatus) AS state
-    FROM (SELECT * FROM {DELIVERED} WHERE NOT ragged AND NOT keyless AND NOT refused) d FULL JOIN {STORED} s ON d.o_orderkey = s.o_orderkey
-""")
+def _shown(rows: DataFrame) -> DataFrame:
+    """Types that both engines print alike, and the rescued cells as text."""
+    lost = F.array_join(F.transform("_rescued", lambda c: F.concat(c["field"], F.lit("="), c["value"])), "+")
+    return rows.withColumns({
+        "amount": F.col("amount").cast("double"), "settled_on": F.col("settled_on").cast("timestamp_ntz"), "lost": F.coalesce(lost, F.lit("")),
+        "batch": F.col("batch").cast("string"), "payment_ref": F.col("payment_ref").cast("string"),
+    }).drop("_rescued")
+
+
+def _loaded_sql(stored: str, on: str) -> str:
+    cell = lambda new, old, name: f"CASE WHEN d.o_orderkey IS NOT NULL THEN {new} ELSE {old} END AS {name}"
+    return f"""
+    SELECT CAST(coalesce(d.o_orderkey, s.o_orderkey) AS VARCHAR) AS payment_ref, {cell("d.o_totalprice", "s.amount", "amount")},
+        {cell("d.day", "s.o_orderdate", "settled_on")}, {cell("d.o_orderstatus", "s.state", "state")}, CAST(d.batch AS VARCHAR) AS batch, coalesce(d.lost, '') AS lost
+    FROM (SELECT * FROM {DELIVERED} WHERE NOT ragged AND NOT keyless AND NOT refused) d FULL JOIN {stored} s ON {on}
+"""
+
+
+@query(_loaded_sql(STORED, "d.o_orderkey = s.o_orderkey"))
 def source_load(spark: SparkSession, sf: str) -> DataFrame:
-    return loaded_source(spark, sf).table.withColumns({
-        "amount": F.col("amount").cast("double"), "settled_on": F.col("settled_on").cast("timestamp_ntz"),
-    })
+    return _shown(loaded_source(spark, sf).table)
 
 
-REPEATED = "(CASE WHEN o_orderkey % 6 = 0 THEN 2 ELSE 1 END)"
+@query(_loaded_sql(STORED_OTHERS, "d.o_orderkey = s.o_orderkey AND d.o_orderstatus = s.state"))
+def source_load_two_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that share the first key field but not the second do not replace each other."""
+    return _shown(loaded_source(spark, sf, ("payment_ref", "state")).table)
 
 
 @query(f"""
-    WITH d AS (SELECT *, {REPEATED} AS times FROM {DELIVERED}),
-         ok AS (SELECT d.*, s.o_orderkey AS old, s.amount FROM d LEFT JOIN {STORED} s ON d.o_orderkey = s.o_orderkey
-                WHERE NOT ragged AND NOT keyless AND NOT refused)
-    SELECT CAST((SELECT sum(times) FROM d) AS BIGINT) AS read, CAST((SELECT sum(times) FILTER (ragged) FROM d) AS BIGINT) AS malformed,
-        CAST((SELECT sum(times) FILTER (keyless AND NOT ragged AND NOT refused) FROM d) AS BIGINT) AS keyless,
-        CAST((SELECT sum(times) FILTER (refused) FROM d) AS BIGINT) AS quarantined,
-        count(*) FILTER (old IS NULL) AS inserted, count(*) FILTER (old IS NOT NULL AND amount <> o_totalprice) AS updated,
-        count(*) FILTER (old IS NOT NULL AND amount = o_totalprice) AS skipped FROM ok
+    WITH d AS (SELECT *, NOT ragged AND NOT keyless AND NOT refused AS good FROM {DELIVERED}),
+         ok AS (SELECT d.*, s.o_orderkey AS old, s.amount = d.o_totalprice AND s.o_orderdate IS NOT DISTINCT FROM d.day AND d.batch IS NULL AND lost = '' AS same
+                FROM d LEFT JOIN {STORED} s ON d.o_orderkey = s.o_orderkey WHERE good)
+    SELECT CAST(sum(times) AS BIGINT) AS read, CAST(sum(times) FILTER (ragged) AS BIGINT) AS malformed, CAST(0 AS BIGINT) AS empty,
+        CAST(sum(times) FILTER (refused) AS BIGINT) AS quarantined, CAST(sum(times) FILTER (keyless AND NOT ragged AND NOT refused) AS BIGINT) AS keyless,
+        CAST(sum(times - 1) FILTER (good AND batch IS NOT NULL) AS BIGINT) AS duplicates,
+        CAST(sum(times - 1) FILTER (good AND batch IS NULL) AS BIGINT) AS superseded,
+        CAST(sum(times * (twelve::INT + someday::INT)) FILTER (NOT ragged) AS BIGINT) AS rescued_cells,
+        (SELECT count(*) FILTER (old IS NULL) FROM ok) AS inserted, (SELECT count(*) FILTER (old IS NOT NULL AND NOT same) FROM ok) AS updated,
+        (SELECT count(*) FILTER (old IS NOT NULL AND same) FROM ok) AS skipped FROM d
 """)
 def source_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every delivered row under one heading."""
     return loaded_source(spark, sf).counts
 
 
 @query(f"""
-    SELECT DISTINCT o_totalprice AS amount, o_orderdate AS settled_on, concat_ws('+',
-        CASE WHEN o_totalprice > 300000 THEN 'range_amount' END, CASE WHEN o_orderkey % 45 = 2 THEN 'enum_state' END) AS failed
-    FROM {DELIVERED} WHERE refused
+    SELECT CASE WHEN NOT keyless THEN CAST(o_orderkey AS VARCHAR) END AS payment_ref, CASE WHEN NOT twelve THEN o_totalprice END AS amount, day AS settled_on,
+        CASE WHEN o_orderkey % 45 = 2 THEN '?' ELSE o_orderstatus END AS state, CAST(batch AS VARCHAR) AS batch, lost, concat_ws('+',
+        CASE WHEN twelve OR o_totalprice > 300000 THEN 'range_amount' END, CASE WHEN o_orderkey % 45 = 2 THEN 'enum_state' END) AS failed
+    FROM (SELECT * FROM {DELIVERED} UNION ALL SELECT * FROM {DELIVERED} WHERE times = 2) WHERE refused
 """)
 def source_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Every refused row, as often as it was delivered."""
     bad = loaded_source(spark, sf).quarantined
-    return bad.select(
-        F.col("amount").cast("double").alias("amount"), F.col("settled_on").cast("timestamp_ntz").alias("settled_on"), F.array_join("failed_rules", "+").alias("failed")
-    ).distinct()
+    return _shown(bad).withColumn("failed", F.array_join("failed_rules", "+")).drop("failed_rules")
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:

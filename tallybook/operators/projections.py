@@ -50,16 +50,36 @@ def _typed(c: Column, declared: str) -> Column | None:
     return None
 
 
-def cast_to_schema(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
+def cast_to_schema(df: DataFrame, types: Mapping[str, str], rescued: str | None = None) -> DataFrame:
     """Cast columns to their declared types; a value that does not fit becomes null.
 
     Types are recognised by name: long, int, decimal(10,2), timestamp, date.  Others are left alone.
+    ``rescued`` names a column that keeps such values, see ``replace_cells``.
     """
-    out = []
-    for name in df.columns:
-        typed = _typed(field(name), types[name]) if name in types else None
-        out.append(field(name) if typed is None else typed.alias(name))
-    return df.select(*out)
+    typed = {n: c for n in df.columns if n in types and (c := _typed(field(n), types[n])) is not None}
+    return replace_cells(df, typed, rescued)
+
+
+def replace_cells(df: DataFrame, typed: Mapping[str, Column], rescued: str | None = None) -> DataFrame:
+    """Replace columns by what a cast or parse makes of them.
+
+    ``rescued`` names a column for the cells that this empties: an array of (field, value), the value as it stood; null for a
+    row that lost nothing.  Cells that ``df`` holds there already are kept.
+    """
+    if rescued is None:
+        return df.select(*[typed[n].alias(n) if n in typed else field(n) for n in df.columns])
+    place = {n: f"__typed_{n}" for n in typed}
+    step = df.withColumns({place[n]: c for n, c in typed.items()})
+    kind = "array<struct<field:string,value:string>>"
+    lost = [
+        F.when(field(n).isNotNull() & field(place[n]).isNull(), F.struct(F.lit(n).alias("field"), field(n).cast("string").alias("value")))
+        for n in typed
+    ]
+    cells = F.array_compact(F.array(*lost)).cast(kind) if lost else F.array().cast(kind)
+    if rescued in df.columns:
+        cells = F.concat(F.coalesce(field(rescued), F.array().cast(kind)), cells)
+    out = [field(place.get(n, n)).alias(n) for n in df.columns if n != rescued]
+    return step.select(*out, cells.alias(rescued)).withColumn(rescued, F.when(F.size(field(rescued)) > 0, field(rescued)))
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:

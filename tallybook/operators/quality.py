@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tallybook.config import Rule
 from tallybook.functions.text import field
+from tallybook.sources.splits import counted, write_split
 
 _FAILED = "__failed"
 
@@ -39,6 +40,11 @@ def enum_set(column: str, values: Sequence[Any]) -> Rule:
     return Rule(f"enum_{column}", "enum", column, {"values": tuple(values)})
 
 
+def readable(*columns: str) -> list[Rule]:
+    """No cell of these columns was emptied because it could not be read (see ``rescued``)."""
+    return [Rule(f"readable_{c}", "readable", c) for c in columns]
+
+
 def business_rule(name: str, predicate: str) -> Rule:
     """A SQL predicate that must hold.  Unknown (null) counts as holding."""
     return Rule(name, "predicate", None, {"rule": predicate})
@@ -53,6 +59,7 @@ def rules_from_dict(config: Mapping[str, Any]) -> list[Rule]:
             rules.append(valid_dates(column, limits.get("min_date"), limits.get("max_date")))
         else:
             rules.append(valid_range(column, limits.get("min"), limits.get("max")))
+    rules += readable(*config.get("readable") or ())
     rules += [enum_set(c, v) for c, v in (config.get("enum_sets") or {}).items()]
     rules += [business_rule(r["name"], r["rule"]) for r in config.get("business_rules") or ()]
     return rules
@@ -97,11 +104,24 @@ def _not_in(c: Column, kind: T.DataType, values: Sequence[Any]) -> Column:
     return ~c.cast("string").isin(*texts) if texts else c.isNotNull()
 
 
-def _broken(df: DataFrame, rule: Rule, today: dt.date) -> Column:
+def _broken(df: DataFrame, rule: Rule, today: dt.date, rescued: str | None = None) -> Column:
     """True where a row breaks the rule; a null value only breaks a non-null rule.
 
-    A text that cannot be read as a number breaks a range.
+    A text that cannot be read as a number breaks a range.  A cell that typing emptied (it stands in ``rescued``) breaks every
+    rule of its column but ``require``.
     """
+    if rescued is None or rescued not in df.columns or rule.kind in ("predicate", "require") or rule.column not in df.columns:
+        return F.lit(False) if rule.kind == "readable" else _broken_value(df, rule, today)
+    lost = _rescued_text(rescued, rule.column).isNotNull()
+    return lost if rule.kind == "readable" else lost | F.coalesce(_broken_value(df, rule, today), F.lit(False))
+
+
+def _rescued_text(rescued: str, column: str) -> Column:
+    """The text that a cell held before typing emptied it."""
+    return F.get(F.filter(field(rescued), lambda c: c["field"] == column), F.lit(0))["value"]
+
+
+def _broken_value(df: DataFrame, rule: Rule, today: dt.date) -> Column:
     if rule.kind == "predicate":
         return ~F.expr(rule.options["rule"])
     if rule.column not in df.columns:
@@ -132,17 +152,20 @@ def _broken(df: DataFrame, rule: Rule, today: dt.date) -> Column:
     return tests[0] if len(tests) == 1 else tests[0] | tests[1]
 
 
-def _with_failures(df: DataFrame, rules: Sequence[Rule], today: dt.date | None) -> DataFrame:
+def with_failures(df: DataFrame, rules: Sequence[Rule], today: dt.date | None = None, rescued: str | None = None) -> DataFrame:
+    """Add ``__failed``: rule, column and value of each rule that a row breaks.  A rescued cell shows the text it held."""
     today = today or dt.date.today()
     entries = []
     for rule in rules:
         value = field(rule.column).cast("string") if rule.column in df.columns else F.lit(None).cast("string")
+        if rescued is not None and rule.column in df.columns:
+            value = F.coalesce(value, _rescued_text(rescued, rule.column))
         entry = F.struct(
             F.lit(rule.name).alias("rule"),
             F.lit(rule.column).cast("string").alias("column"),
             value.alias("value"),
         )
-        entries.append(F.when(_broken(df, rule, today), entry))
+        entries.append(F.when(_broken(df, rule, today, rescued), entry))
     kind = "array<struct<rule:string,column:string,value:string>>"
     failed = F.array_compact(F.array(*entries)) if entries else F.array().cast(kind)
     with _null_on_error(df.sparkSession):
@@ -150,34 +173,54 @@ def _with_failures(df: DataFrame, rules: Sequence[Rule], today: dt.date | None)
 
 
 def violations(
-    df: DataFrame, rules: Sequence[Rule], key: str, today: dt.date | None = None
+    df: DataFrame, rules: Sequence[Rule], key: str, today: dt.date | None = None, rescued: str | None = None
 ) -> DataFrame:
     """One row per broken rule and row: key, ``rule``, ``column``, ``value``."""
     # the outer form, so that Spark does not ask for the array's size first and build it twice
-    exploded = _with_failures(df, rules, today).select(field(key), F.explode_outer(_FAILED).alias("v"))
+    exploded = with_failures(df, rules, today, rescued).select(field(key), F.explode_outer(_FAILED).alias("v"))
     return exploded.where("v.rule is not null").select(field(key), "v.rule", "v.column", "v.value")
 
 
 def quarantine(
-    df: DataFrame, rules: Sequence[Rule], today: dt.date | None = None
+    df: DataFrame, rules: Sequence[Rule], today: dt.date | None = None, rescued: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows that pass every rule, and the others with the names of their ``failed_rules``."""
-    checked = _with_failures(df, rules, today)
+    """Rows that pass every rule, and the others with the names of their ``failed_rules``.
+
+    Both are lazy, so each computes ``df``; ``write_quarantine`` computes it once.
+    """
+    checked = with_failures(df, rules, today, rescued)
     good = checked.where(F.size(_FAILED) == 0).drop(_FAILED)
-    names = F.transform(F.col(_FAILED), lambda v: v["rule"])
-    bad = checked.where(F.size(_FAILED) > 0).withColumn("failed_rules", names).drop(_FAILED)
+    bad = checked.where(F.size(_FAILED) > 0).withColumn("failed_rules", failed_names()).drop(_FAILED)
     return good, bad
 
 
+def failed_names() -> Column:
+    return F.transform(F.col(_FAILED), lambda v: v["rule"])
+
+
+def judged(df: DataFrame, rules: Sequence[Rule], today: dt.date | None = None, rescued: str | None = None) -> DataFrame:
+    """Add ``failed_rules`` and ``verdict``, ``good`` or ``bad``."""
+    checked = with_failures(df, rules, today, rescued).withColumn("failed_rules", failed_names()).drop(_FAILED)
+    return checked.withColumn("verdict", F.when(F.size("failed_rules") == 0, "good").otherwise("bad"))
+
+
+def write_quarantine(
+    df: DataFrame, rules: Sequence[Rule], path: str, today: dt.date | None = None, rescued: str | None = None
+) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """``quarantine`` by one pass over the rows: both parts as written, and how many rows each has."""
+    split = write_split(judged(df, rules, today, rescued), path, "verdict", **counted("verdict", "good", "bad"))
+    return split.part("good").drop("failed_rules"), split.part("bad"), dict(split.figures)
+
+
 def quality_report(
-    df: DataFrame, rules: Sequence[Rule], today: dt.date | None = None
+    df: DataFrame, rules: Sequence[Rule], today: dt.date | None = None, rescued: str | None = None
 ) -> DataFrame:
     """Per rule: ``failures`` and ``failure_rate``.  All rules are counted in one aggregation."""
     today = today or dt.date.today()
     with _null_on_error(df.sparkSession):
         counts = df.agg(
             F.count(F.lit(1)).alias("rows"),
-            *[F.count_if(_broken(df, r, today)).alias(f"f{i}") for i, r in enumerate(rules)],
+            *[F.count_if(_broken(df, r, today, rescued)).alias(f"f{i}") for i, r in enumerate(rules)],
         )
     lines = F.array(
         *[

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,24 +26,31 @@ def _orderable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.VariantType))
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+def latest_per_key(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), copies: str | None = None, weight: str | None = None
+) -> DataFrame:
     """One row per key: the last by ``order``, ties broken by the other columns.
 
+    ``copies`` adds the number of rows the key had; where rows stand for several already, ``weight`` is the column that says so.
+
     Written as a ``max`` of a struct rather than a window: each task keeps one row per key before
     the shuffle, so a key that holds a third of the table sends one row per task.
     """
     keys = list(keys)
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    rest = [c for c in df.columns if c not in keys]
+    wanted = [c for c in df.columns if c != weight]
+    rest = [c for c in wanted if c not in keys]
+    counts = [(F.sum(field(weight)) if weight else F.count(F.lit(1))).alias(copies)] if copies else []
+    shown = [field(copies)] if copies else []
     if not rest:
-        return df.distinct()
+        return df.groupBy(*[field(c) for c in wanted]).agg(*counts) if counts else df.distinct()
     first = [o for o in order if o in rest]
     plain = [c for c in rest if c not in first and _orderable(kinds[c])]
     complete = first + plain
     if len(rest) == 1 and isinstance(kinds[rest[0]], (T.NumericType, T.DatetimeType)):
         # a single fixed-width value needs no struct, so this aggregates by hash
-        return df.groupBy(*[field(k) for k in keys]).agg(F.max(field(rest[0])).alias(rest[0])).select(
-            *[field(c) for c in df.columns]
+        return df.groupBy(*[field(k) for k in keys]).agg(F.max(field(rest[0])).alias(rest[0]), *counts).select(
+            *[field(c) for c in wanted], *shown
         )
     if len(complete) == len(rest):
         best = F.max(F.struct(*[field(c) for c in complete]))
@@ -50,12 +58,25 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()
         # what cannot be ordered decides ties by its printed form, so that no run differs
         printed = [F.to_json(F.struct(field(c))) for c in rest if not _orderable(kinds[c])]
         best = F.max_by(F.struct(*[field(c) for c in rest]), F.struct(*[field(c) for c in complete], *printed))
-    grouped = df.groupBy(*[field(k) for k in keys]).agg(best.alias("__row"))
+    grouped = df.groupBy(*[field(k) for k in keys]).agg(best.alias("__row"), *counts)
     return grouped.select(
-        *[field(c) if c in keys else F.col(f"__row.{quoted(c)}").alias(c) for c in df.columns]
+        *[field(c) if c in keys else F.col(f"__row.{quoted(c)}").alias(c) for c in wanted], *shown
     )
 
 
+def without_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), times: str = "times") -> DataFrame:
+    """The last row of each key; a row with a null in a key is no repeat of anything and passes.
+
+    Such rows are dealt out by two hashes of all they hold, so that they spread over all tasks; of equal ones there is one row
+    in the result, which says in ``times`` how often it came (1 for rows with a key).
+    """
+    printable = [field(c) for c in df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
+    whole = reduce(lambda a, b: a & b, [field(k).isNotNull() for k in keys])
+    own = {f"__own{i}": F.when(whole, F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit(i), *printable)) for i in (1, 2)}
+    last = latest_per_key(df.withColumns(own), [*keys, *own], order, copies=times)
+    return last.withColumn(times, F.when(whole, F.lit(1).cast("long")).otherwise(field(times))).drop(*own)
+
+
 def duplicate_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS
 ) -> DataFrame:

@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 from tallybook.config import Rule
 from tallybook.functions.dates import parse_with_hints
 from tallybook.functions.text import clean_strings, field, parse_amount
-from tallybook.operators.projections import cast_to_schema, drop_empty_rows, rename_columns
-from tallybook.operators.quality import quarantine, rules_from_dict
-from tallybook.operators.tables import change_counts, change_labels, latest_per_key, upsert
+from tallybook.operators.projections import cast_to_schema, rename_columns, replace_cells
+from tallybook.operators.quality import failed_names, rules_from_dict, with_failures
+from tallybook.operators.tables import change_counts, change_labels, latest_per_key, upsert, without_repeats
 from tallybook.sources.files import read_delimited, scratch_folder
 from tallybook.sources.landing import header_gate, normalize_header, normalize_headers
+from tallybook.sources.splits import counted, write_split, written
 
 _MALFORMED = "_malformed"
+_VERDICT, _FAILED, _KEY, _ROWS = "__verdict", "__failed", "__upsert_key", "__rows"
+VERDICTS = ("malformed", "empty", "quarantined", "keyless", "good")
 
 
 @dataclass(frozen=True)
@@ -28,12 +31,13 @@ class SourceConfig:
     """How the files of one source are read, named, typed, checked and stored.
 
     ``mapping`` goes from the file's headers (as written or cleaned) to fields; ``types`` declares date, timestamp, decimal, int or long
-    for fields that are no texts.  ``dedupe_keys`` and ``order`` choose among rows of one delivery, ``upsert_key`` the row they replace.
+    for fields that are no texts.  ``dedupe_keys`` and ``order`` choose among rows of one delivery, ``upsert_key`` (one field or
+    several) the row they replace.  ``rescued`` names the column that keeps cells which cannot be read as their type.
     """
 
     mapping: Mapping[str, str]
     types: Mapping[str, str]
-    upsert_key: str
+    upsert_key: str | tuple[str, ...]
     dedupe_keys: tuple[str, ...] = ()
     order: tuple[str, ...] = ()
     registered: tuple[str, ...] = ()
@@ -43,6 +47,11 @@ class SourceConfig:
     delimiter: str = ","
     encoding: str = "UTF-8"
     multiline: bool = False
+    rescued: str = "_rescued"
+
+    @property
+    def keys(self) -> tuple[str, ...]:
+        return (self.upsert_key,) if isinstance(self.upsert_key, str) else tuple(self.upsert_key)
 
     @classmethod
     def from_dict(cls, config: Mapping[str, Any]) -> SourceConfig:
@@ -51,7 +60,7 @@ class SourceConfig:
         return cls(
             mapping=(config.get("ai_mapping") or {}).get("forced_mappings") or config.get("mapping") or {},
             types=config.get("types") or {},
-            upsert_key=key if isinstance(key, str) else key[0],
+            upsert_key=key if isinstance(key, str) else tuple(key),
             dedupe_keys=tuple(load.get("dedupe_keys") or ()),
             order=tuple(load.get("order") or ()),
             registered=tuple(config.get("registered") or ()),
@@ -85,12 +94,33 @@ def _typed(name: str, declared: str, config: SourceConfig) -> Column | None:
 
 
 def typed_rows(df: DataFrame, config: SourceConfig) -> DataFrame:
-    """Fields named, trimmed and typed; rows without any value are left out."""
+    """Fields named, trimmed and typed; cells that cannot be read keep their text in the column ``config.rescued``."""
     clean = {normalize_header(source): target for source, target in config.mapping.items()}
-    rows = drop_empty_rows(clean_strings(rename_columns(df, clean)))
+    rows = clean_strings(rename_columns(df, clean))
     parsed = {n: c for n, t in config.types.items() if n in rows.columns and (c := _typed(n, t, config)) is not None}
     rest = {n: t for n, t in config.types.items() if n not in parsed}
-    return cast_to_schema(rows.withColumns(parsed), rest)
+    return cast_to_schema(replace_cells(rows, parsed, config.rescued), rest, config.rescued)
+
+
+def _judged(landed: DataFrame, config: SourceConfig, today: dt.date | None) -> DataFrame:
+    """Typed rows with ``failed_rules`` and the one verdict that says where a row goes."""
+    typed = typed_rows(landed, config)
+    cells = [c for c in typed.columns if c not in (_MALFORMED, config.rescued)]
+    nothing = reduce(lambda a, b: a & b, [field(c).isNull() for c in [*cells, config.rescued]])
+    keyless = reduce(lambda a, b: a | b, [field(k).isNull() if k in cells else F.lit(True) for k in config.keys])
+    checked = with_failures(typed, config.rules, today, config.rescued)
+    verdict = (
+        F.when(field(_MALFORMED).isNotNull(), "malformed").when(nothing, "empty").when(F.size(_FAILED) > 0, "quarantined")
+        .when(keyless, "keyless").otherwise("good")
+    )
+    return checked.withColumns({"failed_rules": failed_names(), _VERDICT: verdict}).drop(_FAILED)
+
+
+def _with_key(df: DataFrame, keys: Sequence[str], like: DataFrame) -> DataFrame:
+    """Add the key as one column: the field itself, or a struct of several, typed as in ``like``; null when a part is."""
+    parts = [field(k).cast(like.schema[k].dataType).alias(f"k{i}") for i, k in enumerate(keys)]
+    whole = reduce(lambda a, b: a & b, [field(k).isNotNull() for k in keys])
+    return df.withColumn(_KEY, F.when(whole, F.struct(*parts)))
 
 
 def load_source(
@@ -103,8 +133,13 @@ def load_source(
 ) -> SourceLoad:
     """Read, check headers, name, type, check rules, drop repeats and upsert into ``existing``.
 
-    The file is read once, into ``folder`` (by default one in the shared folder the cluster names), which the caller may remove
-    afterwards.  Refused headers raise before any row is read.  Rows without key are counted and left out.
+    The file is read once: each row is typed and judged, and written by its verdict into ``folder`` (by default one in the shared
+    folder the cluster names), which the caller may remove afterwards.  Refused headers raise before any row is read.
+
+    Nothing is lost without a number: read = malformed + empty + quarantined + keyless + duplicates + superseded + inserted +
+    updated + skipped.  ``duplicates`` fell to ``dedupe_keys`` (a row with a null in one of them is no duplicate), ``superseded`` to a
+    later row with their upsert key.  A cell that cannot be read keeps its text in ``config.rescued``, breaks the rules
+    of its field, and is counted in ``rescued_cells``.  Rows without key are left out of the table.
     """
     landed = read_delimited(
         spark, path, config.delimiter, config.encoding, multiline=config.multiline, malformed=_MALFORMED
@@ -112,25 +147,29 @@ def load_source(
     named = normalize_headers(landed.drop(_MALFORMED))
     if config.registered:
         header_gate(named, config.registered)
-    stored = f"{folder or scratch_folder(spark, 'source')}/landed"
-    landed.toDF(*named.columns, _MALFORMED).write.parquet(stored)
-    landed = spark.read.parquet(stored)
-    sound = typed_rows(landed.where(field(_MALFORMED).isNull()).drop(_MALFORMED), config)
-    good, bad = quarantine(sound, config.rules, today)
-    keyed = good.where(field(config.upsert_key).isNotNull())
-    if config.dedupe_keys:
-        keyed = latest_per_key(keyed, config.dedupe_keys, config.order)
-    last = latest_per_key(keyed, [config.upsert_key], config.order)
-    base = existing if existing is not None else spark.createDataFrame([], last.schema)
-    changes = change_counts(change_labels(base, last, config.upsert_key, unique=True)).select("inserted", "updated", "skipped")
-    read = landed.agg(F.count(F.lit(1)).alias("read"), F.count_if(field(_MALFORMED).isNotNull()).alias("malformed"))
-    keyless = good.agg(F.count_if(field(config.upsert_key).isNull()).alias("keyless"))
-    counts = _side_by_side([read, keyless, bad.agg(F.count(F.lit(1)).alias("quarantined")), changes])
-    table = upsert(base, last, config.upsert_key, unique=True)
-    return SourceLoad(table, bad, landed.where(field(_MALFORMED).isNotNull()).select(field(_MALFORMED)), counts)
-
-
-def _side_by_side(rows: Sequence[DataFrame]) -> DataFrame:
-    """One row from several frames of one row each, whose columns differ."""
-    under = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-    return under.agg(*[F.max(field(c)).alias(c) for c in under.columns])
+    folder = folder or scratch_folder(spark, "source")
+    judged = _judged(landed.toDF(*named.columns, _MALFORMED), config, today)
+    cells = F.when(field(_VERDICT) != "malformed", F.coalesce(F.size(field(config.rescued)), F.lit(0)))
+    split = write_split(judged, f"{folder}/judged", _VERDICT, rescued_cells=F.sum(F.greatest(cells, F.lit(0))), read=F.count(F.lit(1)), **counted(_VERDICT, *VERDICTS))
+    good = split.part("good").drop("failed_rules", _MALFORMED)
+    base = existing if existing is not None else spark.createDataFrame([], good.schema)
+    one = len(config.keys) == 1
+    key = config.keys[0] if one else _KEY
+    weight = _ROWS if config.dedupe_keys else None
+    if weight:
+        good = without_repeats(good, config.dedupe_keys, config.order, times=weight)
+    if not one:
+        good, base = (_with_key(df, config.keys, base) for df in (good, base))
+    last, reduced = written(
+        latest_per_key(good, [key], config.order, copies=_ROWS, weight=weight), f"{folder}/last", rows=F.sum(field(_ROWS)), keys=F.count(F.lit(1))
+    )
+    last = last.drop(_ROWS)
+    figures = split.figures
+    known = {v: figures[v] for v in ("read", "malformed", "empty", "quarantined", "keyless")} | {
+        "duplicates": figures["good"] - reduced["rows"], "superseded": reduced["rows"] - reduced["keys"], "rescued_cells": figures["rescued_cells"],
+    }
+    changes = change_counts(change_labels(base, last, key, unique=True)).select("inserted", "updated", "skipped")
+    counts = changes.select(*[F.lit(n).cast("long").alias(c) for c, n in known.items()], "inserted", "updated", "skipped")
+    table = upsert(base, last, key, unique=True)
+    bad = split.part("quarantined").drop(_MALFORMED)
+    return SourceLoad(table if one else table.drop(_KEY), bad, split.part("malformed").select(field(_MALFORMED)), counts)

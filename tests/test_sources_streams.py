@@ -39,6 +39,7 @@ from tallybook.streaming.streams import (
     upserted,
 )
 from tallybook.plans.source import SourceConfig, load_source
+from tallybook.sources.splits import counted, write_split
 from tests.conftest import rows
 
 CSV = 'Order ID,Amount $,Note\n1,"1,000.5","two\nlines ""quoted"""\n2,,\n'
@@ -247,20 +248,57 @@ def test_change_table_outlives_its_checkpoint(spark, tmp_path):
 
 
 def test_source_load(spark, tmp_path):
-    (tmp_path / "in.csv").write_text("Ref,Amt ,Day\n1,\"1,200.50\",05-02-2024\n1,7,2024-02-06\n2,bad,2024-02-07\n,3,2024-02-08\n3,4\n4,99999,2024-02-09\n,,\n")
+    (tmp_path / "in.csv").write_text("Ref,Amt ,Day\n1,\"1,200.50\",05-02-2024\n1,7,2024-02-06\n2,bad,2024-02-07\n,3,2024-02-08\n3,4\n4,99999,2024-02-09\n,,\n5,6,soon\n")
     config = SourceConfig.from_dict({
         "mapping": {"Ref": "ref", "Amt": "amount", "Day": "day"}, "types": {"ref": "int", "amount": "decimal", "day": "date"},
         "registered": ["ref", "amt", "day"], "date_format_hints": ["dd-MM-yyyy", "yyyy-MM-dd"],
         "dq_rules": {"valid_range": {"amount": {"max": 50000}}}, "load": {"upsert_key": ["ref"], "order": ["day"]},
     })
-    old = spark.sql("SELECT 2 AS ref, CAST(1 AS DECIMAL(18,2)) AS amount, DATE'2020-01-01' AS day")
+    old = spark.sql("SELECT 1 AS ref, CAST(1 AS DECIMAL(18,2)) AS amount, DATE'2020-01-01' AS day")
     found = load_source(spark, f"{tmp_path}/in.csv", config, old, f"{tmp_path}/work")
-    assert rows(found.counts) == [{"read": 7, "malformed": 1, "keyless": 1, "quarantined": 1, "inserted": 1, "updated": 1, "skipped": 0}]
-    assert [(r["ref"], str(r["amount"]), r["day"]) for r in rows(found.table, "ref")] == [
-        (1, "7.00", dt.date(2024, 2, 6)), (2, "None", dt.date(2024, 2, 7)),
+    counts = rows(found.counts)[0]
+    assert counts == {
+        "read": 8, "malformed": 1, "empty": 1, "keyless": 1, "quarantined": 2, "duplicates": 0, "superseded": 1, "inserted": 1, "updated": 1, "skipped": 0,
+        "rescued_cells": 2,
+    }
+    assert counts["read"] == sum(n for c, n in counts.items() if c not in ("read", "rescued_cells"))
+    assert [(r["ref"], str(r["amount"]), r["day"], r["_rescued"]) for r in rows(found.table, "ref")] == [
+        (1, "7.00", dt.date(2024, 2, 6), None), (5, "6.00", None, [{"field": "day", "value": "soon"}]),
     ]
-    assert [r["failed_rules"] for r in found.quarantined.collect()] == [["range_amount"]]
+    bad = rows(found.quarantined, "ref")
+    assert [r["failed_rules"] for r in bad] == [["range_amount"]] * 2 and [r["_rescued"] for r in bad] == [[{"field": "amount", "value": "bad"}], None]
     assert [r["_malformed"] for r in found.malformed.collect()] == ["3,4"]
     refused = SourceConfig(mapping={}, types={}, upsert_key="ref", registered=("other",))
     with pytest.raises(HeadersNotRegistered):
         load_source(spark, f"{tmp_path}/in.csv", refused, folder=f"{tmp_path}/none")
+
+
+def test_nothing_of_a_load_is_lost(spark, tmp_path):
+    """Payments not paid out yet have no utr: they are no repeats of each other. Two key fields, unreadable cells as a violation."""
+    (tmp_path / "in.csv").write_text("ref,part,utr,amount\n1,a,,5\n2,a,,6\n3,a,,7\n4,a,u,8\n4,a,u,8\n4,b,u2,9\n5,a,,twelve\n6,,u3,1\n1,a,,5\n")
+    config = SourceConfig.from_dict({
+        "types": {"ref": "int", "amount": "decimal"}, "dq_rules": {"readable": ["amount"]},
+        "load": {"upsert_key": ["ref", "part"], "dedupe_keys": ["utr"]},
+    })
+    old = spark.sql("SELECT 4 AS ref, 'a' AS part, 'u' AS utr, CAST(8 AS DECIMAL(18,2)) AS amount UNION ALL SELECT 4, 'c', 'w', 1")
+    found = load_source(spark, f"{tmp_path}/in.csv", config, old, f"{tmp_path}/work")
+    assert [(r["ref"], r["part"], int(r["amount"])) for r in rows(found.table, "ref", "part")] == [
+        (1, "a", 5), (2, "a", 6), (3, "a", 7), (4, "a", 8), (4, "b", 9), (4, "c", 1),
+    ]
+    assert [(r["ref"], r["failed_rules"], r["_rescued"][0]["value"]) for r in rows(found.quarantined)] == [(5, ["readable_amount"], "twelve")]
+    counts = rows(found.counts)[0]
+    assert counts["read"] == 9 == sum(n for c, n in counts.items() if c not in ("read", "rescued_cells"))
+    assert (counts["duplicates"] + counts["superseded"], counts["keyless"], counts["inserted"], counts["skipped"]) == (2, 1, 4, 1)
+    empty = load_source(spark, f"{tmp_path}/in.csv", SourceConfig.from_dict({"types": {"ref": "date"}, "load": {"upsert_key": "ref"}}), folder=f"{tmp_path}/none")
+    assert empty.table.count() == 0 and rows(empty.counts)[0]["keyless"] == 9
+
+
+def test_split_is_written_in_one_pass(spark, tmp_path):
+    numbers = spark.range(100).withColumn("part", F.when(F.col("id") % 3 == 0, "low").otherwise("high"))
+    split = write_split(numbers, f"{tmp_path}/split", "part", **counted("part", "low", "high", "none"), total=F.sum("id"))
+    assert split.figures == {"low": 34, "high": 66, "none": 0, "total": 4950}
+    assert split.part("low").count() == 34 and split.part("none").count() == 0 and split.part("low").columns == ["id"]
+    plan = split.part("high")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan
+    nothing = write_split(numbers.where("id < 0"), f"{tmp_path}/nothing", "part", **counted("part", "low"))
+    assert nothing.figures == {"low": 0} and nothing.part("low").count() == 0
