@@ -175,7 +175,7 @@ def latest_per_user(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
     SELECT * FROM (SELECT event_id, user_id, event_type,
         count(*) OVER (PARTITION BY user_id, event_type) AS copies,
-        CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS INTEGER) AS copy_number
+        row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS copy_number
         FROM events) WHERE copies > 1
 """)
 def duplicate_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,12 +187,12 @@ def duplicate_events(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
     SELECT event_id, event_type, copies, copy_number FROM (SELECT event_id, event_type,
         count(*) OVER (PARTITION BY event_type) AS copies,
-        CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS INTEGER) AS copy_number
+        row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS copy_number
         FROM events)
 """)
 def duplicate_hot_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Every key is far over the given limit, so all rows take the sliced path."""
-    copies = duplicate_rows(table(spark, sf, "events"), ["event_type"], ["ts", "event_id"], hot_rows=100)
+    """A few keys hold all rows."""
+    copies = duplicate_rows(table(spark, sf, "events"), ["event_type"], ["ts", "event_id"])
     return copies.select("event_id", "event_type", "copies", "copy_number")
 
 
@@ -421,13 +421,13 @@ def archive_split_hot(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
     SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS copies,
-        CAST(row_number() OVER (PARTITION BY lang ORDER BY md5(source || doc_id), doc_id) AS INTEGER) AS copy_number
+        row_number() OVER (PARTITION BY lang ORDER BY md5(source || doc_id), doc_id) AS copy_number
     FROM documents
 """)
 def duplicate_hot_text_order(spark: SparkSession, sf: str) -> DataFrame:
     """A few very frequent keys, numbered in the order of a text."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", F.md5(F.concat("source", "doc_id").cast("binary")).alias("mark"))
-    return duplicate_rows(docs, ["lang"], ["mark", "doc_id"], hot_rows=10).drop("mark")
+    return duplicate_rows(docs, ["lang"], ["mark", "doc_id"]).drop("mark")
 
 
 @query("""

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallybook.functions.text import field, quoted
+from tallybook.sources.files import scratch_folder
 
 # At most this many keys are treated as hot, so what is broadcast for them is bounded by it.
 HOT_KEYS = 4096
@@ -19,9 +18,6 @@ HOT_KEYS = 4096
 TRACKED_KEYS = 65536
 # A key below this many rows fits one task and is not worth special treatment.
 HOT_ROWS = 1_000_000
-# Rows of a slice of a hot key, and how many cut points there are at least and at most.
-SLICE_ROWS = 1_000_000
-LEAST_CUTS, MOST_CUTS = 63, 1023
 
 
 @dataclass(frozen=True)
@@ -100,122 +96,46 @@ def lookup_join(
     return left.where(~aside).join(right, keys, how).unionByName(left.where(aside).join(few, keys, how))
 
 
-TEXT_BYTES, TEXT_PARTS = 6, 4
-
-
-def _numbers(name: str, kind: T.DataType) -> list[Column] | None:
-    """Numbers that order like a column, one after the other; None when the column cannot be cut.
-
-    Wall-clock times are read off the clock, whatever the session's zone.  A text counts by its first bytes, which
-    leaves texts with one beginning in one slice.
-    """
-    c = field(name)
-    if isinstance(kind, T.NumericType):
-        return [c.cast("double")]
-    if isinstance(kind, T.TimestampType):
-        return [F.unix_micros(c).cast("double")]
-    if isinstance(kind, (T.DateType, T.TimestampNTZType)):
-        days = F.date_diff(c.cast("date"), F.lit(dt.date(1970, 1, 1)))
-        if isinstance(kind, T.DateType):
-            return [days.cast("double")]
-        seconds = F.hour(c) * 3600 + F.minute(c) * 60 + F.date_part(F.lit("SECOND"), c).cast("double")
-        return [days * 86400.0 + seconds]
-    if isinstance(kind, T.StringType):
-        part = lambda i: F.substring(c.cast("binary"), 1 + i * TEXT_BYTES, TEXT_BYTES)
-        digits = lambda i: F.rpad(F.hex(part(i)), 2 * TEXT_BYTES, "0")
-        return [F.conv(digits(i), 16, 10).cast("double") for i in range(TEXT_PARTS)]
-    return None
-
-
-def _with_slice(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Add ``__slice``, an array that orders like the order columns do.
-
-    Cut points are percentiles of each order column, one for about ``SLICE_ROWS`` rows.  A value equal
-    to a cut point gets a slice of its own, and only inside such a slice the next number decides
-    further, so a frequent value is split as well.
-    """
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    numbers: list[Column] = []
-    for name in order:
-        found = _numbers(name, kinds[name])
-        if found is None:
-            break
-        numbers += found
-        if isinstance(kinds[name], T.StringType):
-            break  # texts with one beginning may differ further on
-    if not numbers:
-        return df.withColumn("__slice", F.array(F.lit(0)))
-    count = min(MOST_CUTS, max(LEAST_CUTS, df.count() // SLICE_ROWS))
-    shares = [i / (count + 1) for i in range(1, count + 1)]
-    # Percentiles may vary from run to run, so they are taken once and become constants of the plan.
-    cuts = df.agg(*[F.percentile_approx(n, shares) for n in numbers]).first()
-    parts: list[Column] = []
-    on_cut = F.lit(True)
-    for number, points in zip(numbers, cuts):
-        own = F.lit(sorted(set(points or [0.0])))
-        below = F.size(F.filter(own, _smaller_than(number)))
-        equal = F.coalesce(F.array_contains(own, number), F.lit(False))
-        part = F.when(number.isNull(), F.lit(-1)).otherwise(below * 2 + equal.cast("int"))
-        parts.append(F.when(on_cut, part).otherwise(F.lit(0)))
-        on_cut = on_cut & equal
-    return df.withColumn("__slice", F.array(*parts))
-
-
-def _smaller_than(number: Column) -> Callable[[Column], Column]:
-    return lambda cut: cut < number
-
-
-def _same_keys(a: str, b: str, keys: Sequence[str]) -> Column:
-    tests = [F.col(f"{a}.{quoted(k)}").eqNullSafe(F.col(f"{b}.{quoted(k)}")) for k in keys]
-    return reduce(lambda x, y: x & y, tests)
+_PLACE, _PART = "__place", "__part"
+_PART_BITS = 33
+"""``monotonically_increasing_id`` counts the rows of a partition in its lower 33 bits; above them stands the partition."""
 
 
 def numbered_copies(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None = None, path: str | None = None
 ) -> DataFrame:
-    """Add ``copies`` (rows sharing the keys) and ``copy_number`` (1, 2, ... in ``order``).
-
-    Ordinary keys are numbered in one window.  The rows of a hot key are cut into ordered slices;
-    each slice is numbered on its own and shifted by the number of rows in the slices before it.
-    ``order`` must identify a row within its key and start with a number, time or text.
+    """Add ``copies`` (rows sharing the keys) and ``copy_number`` (1, 2, ... in ``order``), both long.
+
+    One global sort: rows are range partitioned by (keys, order), so a key with very many rows lies in order over as many
+    partitions as it fills, whatever its values look like.  The sorted rows are written once, to ``path`` or a scratch folder, each
+    with its place in its partition.  A row's number is its distance from its key's first row in the partition plus the
+    key's rows in the partitions before: prefix sums over one row per partition and key.  Nothing depends on estimates or on
+    lists of frequent keys (``hot_rows`` is accepted for older callers and not needed), and no key is gathered in one task.
+    ``order`` must identify a row within its key.
     """
     keys, order = list(keys), list(order)
-    hot = hot_keys(df, keys, hot_rows)
-    is_hot = key_hash(keys).isin(list(hot.hashes)) if hot.hashes else F.lit(False)
-    if hot.nulls:
-        is_hot = is_hot | _no_key(keys)
-    cold = df.where(~is_hot) if hot else df
-
-    by_key = Window.partitionBy(*[field(k) for k in keys]).orderBy(*[field(o) for o in order])
-    whole = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cold = cold.withColumns(
-        {"copies": F.count(F.lit(1)).over(whole), "copy_number": F.row_number().over(by_key)}
-    )
-
-    if not hot:
-        return cold
-
-    sliced = _with_slice(df.where(is_hot), order)
-    sizes = sliced.groupBy(*[field(k) for k in keys], "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    by = [field(c) for c in [*keys, *order]]
+    ordered = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(_PLACE, F.monotonically_increasing_id())
+    stored = path or scratch_folder(df.sparkSession, "numbered")
+    ordered.write.parquet(stored)
+    placed = df.sparkSession.read.schema(ordered.schema).parquet(stored).withColumn(_PART, F.shiftright(_PLACE, _PART_BITS))
+    sizes = placed.groupBy(*[field(k) for k in keys], _PART).agg(F.count(F.lit(1)).alias("__n"), F.min(_PLACE).alias("__first"))
     per_key = Window.partitionBy(*[field(k) for k in keys])
-    before = per_key.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_key.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(
         *[field(k) for k in keys],
-        "__slice",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"),
+        _PART,
+        (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__shift"),
         F.sum("__n").over(per_key).alias("copies"),
     )
-    joined = sliced.alias("l").join(
-        shifts.alias("r"),
-        _same_keys("l", "r", keys) & (F.col("l.__slice") == F.col("r.__slice")),
-    )
-    by_slice = Window.partitionBy(
-        *[F.col(f"l.{quoted(k)}") for k in keys], F.col("l.__slice")
-    ).orderBy(*[F.col(f"l.{quoted(o)}") for o in order])
-    number = (F.row_number().over(by_slice) + F.col("r.__shift")).cast("int")
-    numbered = joined.select(
+    joined = placed.alias("l").join(shifts.alias("r"), _same_keys("l", "r", keys) & (F.col(f"l.{_PART}") == F.col(f"r.{_PART}")))
+    return joined.select(
         *[F.col(f"l.{quoted(c)}") for c in df.columns],
         F.col("r.copies").alias("copies"),
-        number.alias("copy_number"),
+        (F.col(f"l.{_PLACE}") + F.col("r.__shift")).alias("copy_number"),
     )
-    return cold.unionByName(numbered)
+
+
+def _same_keys(a: str, b: str, keys: Sequence[str]) -> Column:
+    tests = [F.col(f"{a}.{quoted(k)}").eqNullSafe(F.col(f"{b}.{quoted(k)}")) for k in keys]
+    return reduce(lambda x, y: x & y, tests)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybook.functions.text import field, quoted
-from tallybook.operators.skew import HOT_ROWS, distinct_keys, hot_keys, lookup_join, numbered_copies
+from tallybook.operators.skew import distinct_keys, hot_keys, lookup_join, numbered_copies
 
 # Stamps that do not count as a change.
 STAMPS = ("processed_at", "updated_at", "created_at")
@@ -78,7 +78,7 @@ def without_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (
 
 
 def duplicate_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None = None
 ) -> DataFrame:
     """Rows that share their keys with another row, with ``copies`` and ``copy_number``."""
     return numbered_copies(df, keys, order, hot_rows).where(F.col("copies") > 1)

@@ -329,3 +329,17 @@ def test_rows_without_key_stay_apart(spark):
             [(None, 1, "a"), (None, 1, "a"), (None, 1, None), (None, 1, None), (5, 3, "b"), (6, 4, None)], key=str
         )
         assert sorted(r["change"] for r in rows(change_labels(old, new, "k", unique=unique))) == ["insert", "insert", "insert", "update"]
+
+
+def test_one_key_with_all_rows_spreads_over_all_partitions(spark, tmp_path):
+    """Ordered by texts that share 40 characters: every range partition holds its share, and the numbers go on across them."""
+    df = spark.range(4000).selectExpr("'k' AS k", "concat(repeat('same ', 8), md5(cast(id AS string))) AS t", "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = numbered_copies(df, ["k"], ["t"], path=f"{tmp_path}/stored").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/stored").groupBy(F.expr("__place >> 33")).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2000
+    assert [r["copy_number"] for r in sorted(got, key=lambda r: r["t"])] == list(range(1, 4001)) and {r["copies"] for r in got} == {4000}
+    assert dict(numbered_copies(df, ["k"], ["t"]).dtypes)["copy_number"] == "bigint"
