@@ -28,6 +28,7 @@ from tallybook.operators.tables import (
     set_status,
     status_changes,
     upsert,
+    write_archive,
 )
 from tallybook.plans.collection import process_collection
 from tallybook.plans.match import match_sources
@@ -159,7 +160,7 @@ def change_totals(spark: SparkSession, sf: str) -> DataFrame:
 def archive_split(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
     done = events.where("event_type = 'signup' AND value > 300").select("user_id")
-    backup, rest = archive_processed(events, done, "user_id", hot_rows=70)
+    backup, rest, _ = write_archive(events, done, "user_id")
     parts = [backup.withColumn("part", F.lit("backup")), rest.withColumn("part", F.lit("raw"))]
     return combine_sources([p.select("event_id", "part") for p in parts])
 

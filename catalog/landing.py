@@ -34,8 +34,9 @@ from tallybook.streaming.streams import (
     ChangeTable,
     file_source,
     run_stream,
-    stream_quarantine,
+    split_part,
     stream_report,
+    stream_split,
     stream_upsert,
     upserted,
 )
@@ -444,8 +445,8 @@ def streamed_report(spark: SparkSession, sf: str) -> DataFrame:
 """)
 def streamed_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch_folder(spark, "stream")
-    good, bad = f"{folder}/good", f"{folder}/bad"
     rules = [valid_range("value", 5, 150), enum_set("event_type", ["view", "click", "purchase", "signup"])]
-    stream_quarantine(event_stream(spark, sf), rules, good, bad, f"{folder}/checkpoint").awaitTermination()
-    parts = [spark.read.parquet(p).select("event_id", F.lit(n).alias("part")) for p, n in ((good, "good"), (bad, "bad"))]
+    events = event_stream(spark, sf)
+    stream_split(events, rules, f"{folder}/events", f"{folder}/checkpoint").awaitTermination()
+    parts = [split_part(spark, f"{folder}/events", events.schema, n).select("event_id", F.lit(n).alias("part")) for n in ("good", "bad")]
     return parts[0].unionByName(parts[1])

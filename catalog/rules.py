@@ -23,13 +23,14 @@ from tallybook.operators.quality import (
     enum_set,
     non_null,
     quality_report,
-    quarantine,
     require_columns,
     rules_from_dict,
     valid_dates,
     valid_range,
     violations,
+    write_quarantine,
 )
+from tallybook.sources.files import scratch_folder
 
 TODAY = dt.date(1999, 12, 31)
 
@@ -80,7 +81,7 @@ def dq_violations(spark: SparkSession, sf: str) -> DataFrame:
     FROM l LEFT JOIN (SELECT row_id, count(DISTINCT rule) AS n FROM v GROUP BY row_id) b ON l.row_id = b.row_id
 """)
 def dq_quarantine(spark: SparkSession, sf: str) -> DataFrame:
-    good, bad = quarantine(lines_with_gaps(spark, sf), rules_from_dict(LINE_RULES), TODAY)
+    good, bad, _ = write_quarantine(lines_with_gaps(spark, sf), rules_from_dict(LINE_RULES), scratch_folder(spark, "quarantine") + "/rows", TODAY)
     size = F.size("failed_rules").cast("long").alias("failures")
     return good.select("row_id", F.lit("good").alias("part"), F.lit(0).cast("long").alias("failures")).unionByName(
         bad.select("row_id", F.lit("bad").alias("part"), size)

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from tallybook.functions.text import field, quoted
 from tallybook.operators.skew import distinct_keys, hot_keys, lookup_join, numbered_copies
+from tallybook.sources.files import scratch_folder
+from tallybook.sources.splits import counted, write_split
 
 # Stamps that do not count as a change.
 STAMPS = ("processed_at", "updated_at", "created_at")
@@ -70,13 +72,20 @@ def without_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (
     Such rows are dealt out by two hashes of all they hold, so that they spread over all tasks; of equal ones there is one row
     in the result, which says in ``times`` how often it came (1 for rows with a key).
     """
-    printable = [field(c) for c in df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
+    printable = [field(c) if _orderable(df.schema[c].dataType) else F.to_json(F.struct(field(c))) for c in df.columns]
     whole = reduce(lambda a, b: a & b, [field(k).isNotNull() for k in keys])
     own = {f"__own{i}": F.when(whole, F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit(i), *printable)) for i in (1, 2)}
     last = latest_per_key(df.withColumns(own), [*keys, *own], order, copies=times)
     return last.withColumn(times, F.when(whole, F.lit(1).cast("long")).otherwise(field(times))).drop(*own)
 
 
+def latest_and_keyless(df: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """The last row of each key and every row without key, from one grouping: equal rows without key are counted and then
+    multiplied again."""
+    last = without_repeats(df, [key], order, times="__times")
+    return last.withColumn("__times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).drop("__times")
+
+
 def duplicate_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None = None
 ) -> DataFrame:
@@ -129,8 +138,7 @@ def _last_rows(incoming: DataFrame, key: str, order: Sequence[str], unique: bool
     """One row per key, and every row without key."""
     if unique:
         return incoming
-    keyed = latest_per_key(incoming.where(field(key).isNotNull()), [key], order)
-    return keyed.unionByName(incoming.where(field(key).isNull()))
+    return latest_and_keyless(incoming, key, order)
 
 
 def upsert(
@@ -197,7 +205,10 @@ def change_counts(labels: DataFrame) -> DataFrame:
 def archive_processed(
     raw: DataFrame, done: DataFrame, key: str, hot_rows: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Split raw rows into those whose key is done (for the backup) and the remainder."""
+    """Split raw rows into those whose key is done (for the backup) and the remainder.
+
+    Both are lazy, so each reads and joins ``raw``; ``write_archive`` does it once.
+    """
     finished = distinct_keys(done.where(field(key).isNotNull()), [key])
     hot = None if hot_rows is None else hot_keys(raw, [key], hot_rows)
     return (
@@ -206,6 +217,23 @@ def archive_processed(
     )
 
 
+def write_archive(
+    raw: DataFrame, done: DataFrame, key: str, path: str | None = None
+) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """``archive_processed`` by one pass: raw is read once and joined once, and written split by what becomes of each row.
+
+    Returns the rows for the backup, the remainder, and how many rows each has.  Keys with very many rows are left to Spark's skew
+    join: the finished keys are one row each and shuffled for the join.
+    """
+    finished = distinct_keys(done.where(field(key).isNotNull()), [key]).withColumn("__done", F.lit(True))
+    met = raw.join(finished, key, "left").withColumn("verdict", F.when(F.col("__done"), "backup").otherwise("raw"))
+    split = write_split(
+        met.select(*[field(c) for c in raw.columns], "verdict"), path or scratch_folder(raw.sparkSession, "archive"), "verdict",
+        **counted("verdict", "backup", "raw"),
+    )
+    return split.part("backup"), split.part("raw"), dict(split.figures)
+
+
 def set_status(
     registry: DataFrame, datasource: str, status: str, stamp: Column | None = None
 ) -> DataFrame:

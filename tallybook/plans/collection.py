@@ -11,7 +11,7 @@ from tallybook.config import CollectionConfig
 from tallybook.functions.dates import is_date_name, sanitize
 from tallybook.functions.keys import unique_id
 from tallybook.functions.text import field
-from tallybook.operators.tables import change_counts, change_labels, latest_per_key, upsert
+from tallybook.operators.tables import change_counts, change_labels, latest_and_keyless, upsert
 
 UNIQUE_ID = "unique_id"
 _RANK = "__rank"
@@ -48,9 +48,7 @@ def process_collection(
     """
     incoming = prepare_rows(raw, config)
     ranks = [c for c in incoming.columns if c.startswith(_RANK)]
-    keyed = incoming.where(field(UNIQUE_ID).isNotNull())
-    last = latest_per_key(keyed, [UNIQUE_ID], ranks)
-    last = last.unionByName(incoming.where(field(UNIQUE_ID).isNull())).drop(*ranks)
+    last = latest_and_keyless(incoming, UNIQUE_ID, ranks).drop(*ranks)
     if existing is None:
         existing = raw.sparkSession.createDataFrame([], last.schema)
     labels = change_labels(existing, last, UNIQUE_ID, unique=True)

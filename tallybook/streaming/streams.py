@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +13,17 @@ from pyspark.sql.utils import AnalysisException
 
 from tallybook.config import CollectionConfig, ReportDefinition, Rule
 from tallybook.functions.text import field
-from tallybook.operators.quality import quarantine
-from tallybook.operators.tables import latest_per_key, upsert
+from tallybook.operators.quality import judged, quarantine
+from tallybook.operators.tables import latest_and_keyless, upsert
 from tallybook.plans.collection import UNIQUE_ID, prepare_rows
 from tallybook.plans.report import report_columns
 
 DEFAULT_TRIGGER = {"processingTime": "30 seconds"}
 ONCE = {"availableNow": True}
 _BATCH = "__batch_id"
+_PLACE, _STATE = "__place", "__state"
+REPLAYED, RUNS = 4, 64
+"""Batches of a run, and runs, whose places the log remembers: only a run's last batch can come again."""
 
 
 def kafka_options(servers: str, topic: str, starting: str = "latest") -> dict[str, str]:
@@ -77,97 +80,105 @@ def run_of(spark: SparkSession) -> str:
 class ChangeTable:
     """Keyed table kept as a base plus the changes of each micro-batch.
 
-    A micro-batch writes only its own rows, one per key, into a folder named after its run and id, so a
-    batch costs what it brings and not the size of the table, and a replayed batch overwrites
-    itself.  A log gives each folder its place in the order, whatever run wrote it.  Reading puts the last change
-    per key over the base; ``compact`` folds the changes into a new base, ``clean`` removes what is folded.  A base counts
-    once its number is in the log, so an interrupted compaction is void.  One stream writes at a time.
+    A micro-batch writes only its own rows, one per key, under one root into a folder named after its place in the order, so a
+    batch costs what it brings and not the size of the table.  Reading is one scan of that root, pruned to the places behind the
+    base, under the schema that the table declared with its newest batch: the plan is equally large after 4 and after 400
+    batches.  ``compact`` folds the changes into a new base, ``clean`` removes what is folded.
+
+    The log is one small file for each of these events, replaced as a whole: it names the base, the schema, the newest place, and the
+    last batch of each run.  A replayed batch finds itself there and overwrites its own folder; a batch whose write did not reach
+    the log takes the same place again.  One stream writes at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str, order: Sequence[str] = ()) -> None:
         self.spark, self.path, self.key, self.order = spark, path.rstrip("/"), key, list(order)
 
-    def _folder(self, run: str, batch: int) -> str:
-        return f"{self.path}/changes/{run}/{batch}"
-
-    def write_batch(self, rows: DataFrame, batch_id: int) -> None:
-        run = run_of(self.spark)
-        keyed = latest_per_key(rows.where(field(self.key).isNotNull()), [self.key], self.order)
-        keyless = rows.where(field(self.key).isNull())
-        keyed.unionByName(keyless).write.mode("overwrite").parquet(self._folder(run, batch_id))
-        log = self._log()
-        if not any((r["run"], r["batch"]) == (run, batch_id) for r in log):
-            place = max((r["place"] for r in log), default=self._base_version()) + 1
-            entry = self.spark.createDataFrame([(run, batch_id, place)], "run string, batch long, place long")
-            entry.coalesce(1).write.mode("append").parquet(f"{self.path}/batch_log")
-
-    def _read(self, folder: str) -> DataFrame | None:
-        """A table of this path, or None when nothing was written there yet; other problems are raised."""
+    def _state(self) -> dict:
+        """The newest state: version, base, newest place, schema, and for each run its last batches and their places."""
+        folder = f"{self.path}/log"
         try:
-            return self.spark.read.parquet(f"{self.path}/{folder}")
+            rows = self.spark.read.schema("version long, state string").json(folder).orderBy(F.desc("version")).limit(1).collect()
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return None
-
-    def _log(self) -> list:
-        """Entries (run, batch, place) in order: one row per micro-batch that was written."""
-        log = self._read("batch_log")
-        return [] if log is None else sorted(log.collect(), key=lambda r: r["place"])
+            rows = []
+        return json.loads(rows[0]["state"]) if rows else {"version": -1, "base": -1, "newest": -1, "schema": None, "runs": {}}
 
-    def _base_version(self) -> int:
-        log = self._read("base_log")
-        return -1 if log is None else log.agg(F.max("version")).first()[0]
+    def _save(self, state: dict) -> None:
+        """Write the next state; states that are two behind it are removed."""
+        state = state | {"version": state["version"] + 1}
+        entry = self.spark.range(1).select(F.lit(state["version"]).cast("long").alias("version"), F.lit(json.dumps(state)).alias("state"))
+        entry.coalesce(1).write.mode("overwrite").json(f"{self.path}/log/{_STATE}={state['version']}")
+        self._remove(f"{self.path}/log/{_STATE}={state['version'] - 2}")
 
-    def _changes_after(self, version: int) -> DataFrame | None:
-        """Rows of the batches behind a base, with their place; columns may come and go between batches."""
-        parts = [
-            self.spark.read.parquet(self._folder(r["run"], r["batch"])).withColumn(_BATCH, F.lit(r["place"]))
-            for r in self._log()
-            if r["place"] > version
-        ]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+    def write_batch(self, rows: DataFrame, batch_id: int) -> None:
+        run, state = run_of(self.spark), self._state()
+        known = state["runs"].get(run, {})
+        place = known.get(str(batch_id), state["newest"] + 1)
+        last = latest_and_keyless(rows, self.key, self.order)
+        last.write.mode("overwrite").parquet(f"{self.path}/changes/{_PLACE}={place}")
+        if str(batch_id) in known:
+            return
+        schema = merged_schema(state["schema"] and T.StructType.fromJson(state["schema"]), last.schema)
+        recent = dict(sorted((known | {str(batch_id): place}).items(), key=lambda item: int(item[0]))[-REPLAYED:])
+        runs = {r: b for r, b in state["runs"].items() if r != run} | {run: recent}
+        self._save(state | {"newest": place, "schema": schema.jsonValue(), "runs": dict(list(runs.items())[-RUNS:])})
+
+    def _changes_after(self, state: dict) -> DataFrame | None:
+        """Rows of the batches behind the base with their place: one scan, pruned by place."""
+        if state["newest"] <= state["base"]:
+            return None
+        schema = T.StructType([*T.StructType.fromJson(state["schema"]).fields, T.StructField(_PLACE, T.LongType())])
+        found = self.spark.read.schema(schema).parquet(f"{self.path}/changes")
+        return found.where((F.col(_PLACE) > state["base"]) & (F.col(_PLACE) <= state["newest"]))
 
     def current(self) -> DataFrame:
         """The table as of now."""
-        version = self._base_version()
-        base = self._read(f"base/version={version}") if version >= 0 else None
-        changes = self._changes_after(version)
+        state = self._state()
+        base = self.spark.read.parquet(f"{self.path}/base/version={state['base']}") if state["base"] >= 0 else None
+        changes = self._changes_after(state)
         if changes is None:
             if base is None:
                 raise ValueError(f"no table at {self.path}")
             return base
-        keyed = changes.where(field(self.key).isNotNull())
-        last = latest_per_key(keyed, [self.key], [_BATCH, *self.order])
-        last = last.unionByName(changes.where(field(self.key).isNull())).drop(_BATCH)
+        last = latest_and_keyless(changes, self.key, [_PLACE, *self.order]).drop(_PLACE)
         return last if base is None else upsert(base, last, self.key, unique=True)
 
     def compact(self) -> int:
         """Write the current state as a new base; returns its version (the place of the last batch it holds)."""
-        version = self._base_version()
-        newest = max((r["place"] for r in self._log()), default=version)
-        if newest == version:
-            return version
-        self.current().write.mode("overwrite").parquet(f"{self.path}/base/version={newest}")
-        log = self.spark.range(1).select(F.lit(int(newest)).alias("version"))
-        log.write.mode("append").parquet(f"{self.path}/base_log")
-        return newest
+        state = self._state()
+        if state["newest"] > state["base"]:
+            self.current().write.mode("overwrite").parquet(f"{self.path}/base/version={state['newest']}")
+            self._save(state | {"base": state["newest"]})
+        return state["newest"]
 
     def clean(self) -> int:
         """Remove folded changes and older bases; returns the number of folders.  Nobody may read an older state meanwhile."""
-        version = self._base_version()
-        folders = [self._folder(r["run"], r["batch"]) for r in self._log() if r["place"] <= version]
-        versions = self._read("base_log")
-        if versions is not None:
-            old = {r["version"] for r in versions.distinct().collect()} - {version}
-            folders += [f"{self.path}/base/version={v}" for v in sorted(old)]
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        conf = self.spark._jsc.hadoopConfiguration()
-        removed = 0
-        for folder in folders:
-            place = hadoop.Path(folder)
-            removed += place.getFileSystem(conf).delete(place, True)
-        return removed
+        base = self._state()["base"]
+        old = [f for f in self._folders("changes") if int(f.rsplit("=", 1)[1]) <= base]
+        old += [f for f in self._folders("base") if int(f.rsplit("=", 1)[1]) < base]
+        return sum(self._remove(f) for f in old)
+
+    def _folders(self, name: str) -> list[str]:
+        path, store = self._store(f"{self.path}/{name}")
+        return [str(f.getPath()) for f in store.listStatus(path) if f.isDirectory()] if store.exists(path) else []
+
+    def _remove(self, folder: str) -> bool:
+        path, store = self._store(folder)
+        return bool(store.delete(path, True))
+
+    def _store(self, folder: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+
+def merged_schema(known: T.StructType | None, new: T.StructType) -> T.StructType:
+    """Columns of both; a column keeps the type it was declared with."""
+    fields = {f.name: f for f in [*(known.fields if known else []), *new.fields]} | {f.name: f for f in (known.fields if known else [])}
+    for f in new.fields:
+        if fields[f.name].dataType != f.dataType:
+            raise ValueError(f"column {f.name!r} was {fields[f.name].dataType.simpleString()} and is {f.dataType.simpleString()} now")
+    return T.StructType([T.StructField(f.name, f.dataType) for f in fields.values()])
 
 
 def stream_upsert(
@@ -224,3 +235,35 @@ def stream_quarantine(
         .trigger(**(trigger or ONCE))
         .start()
     )
+
+
+def stream_split(
+    df: DataFrame,
+    rules: Sequence[Rule],
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """``stream_quarantine`` with one write for each micro-batch: the batch is read once and nothing is cached.
+
+    Both parts lie under one root, by verdict, run and batch; ``split_part`` reads one of them.  A replayed batch overwrites itself.
+    """
+
+    def split(rows: DataFrame, batch_id: int) -> None:
+        place = f"__run={run_of(df.sparkSession)}/{_BATCH}={batch_id}"
+        judged(rows, rules).write.mode("overwrite").partitionBy("verdict").parquet(f"{path}/{place}")
+
+    return (
+        df.writeStream.foreachBatch(split)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or ONCE))
+        .start()
+    )
+
+
+def split_part(spark: SparkSession, path: str, schema: T.StructType, verdict: str) -> DataFrame:
+    """The ``good`` or ``bad`` rows that ``stream_split`` has written; bad ones with their ``failed_rules``."""
+    rules = T.StructField("failed_rules", T.ArrayType(T.StringType()))
+    places = [T.StructField("__run", T.StringType()), T.StructField(_BATCH, T.LongType()), T.StructField("verdict", T.StringType())]
+    found = spark.read.schema(T.StructType([*schema.fields, rules, *places])).parquet(path).where(F.col("verdict") == verdict)
+    return found.drop("__run", _BATCH, "verdict", *(["failed_rules"] if verdict == "good" else []))

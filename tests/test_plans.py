@@ -8,6 +8,7 @@ import pytest
 from catalog import ORACLES, QUERIES
 from catalog.reports import order_report
 from tallybook.plans.match import match_sources
+from tallybook.streaming.streams import ChangeTable
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -37,7 +38,7 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.parametrize(
-    "name, scans", [("collection_processed", 4), ("upsert_orders", 5), ("report_three_sources", 4), ("report_fallback_key", 5), ("dq_violations", 1)]
+    "name, scans", [("collection_processed", 2), ("upsert_orders", 4), ("archive_split", 2), ("dq_quarantine", 2), ("report_three_sources", 4), ("report_fallback_key", 5), ("dq_violations", 1)]
 )
 def test_inputs_are_not_read_again_and_again(spark, name, scans):
     assert plan_of(QUERIES[name](spark, FOLDER)).count("FileScan") <= scans
@@ -83,3 +84,21 @@ def test_profile_reads_one_column_per_branch(spark):
     plan = plan_of(QUERIES["profile_lineitem"](spark, FOLDER))
     assert "Expand" not in plan
     assert plan.count("ReadSchema: struct<l_tax:double>") == 1
+
+
+def test_change_table_plan_does_not_grow_with_batches(spark, tmp_path):
+    table = ChangeTable(spark, f"{tmp_path}/t", "k", ["n"])
+    sizes = []
+    for batch in range(12):
+        table.write_batch(spark.createDataFrame([(batch % 5, batch)], "k long, n long"), batch)
+        if batch in (3, 11):
+            plan = plan_of(table.current())
+            sizes.append((plan.count("FileScan"), len(plan.splitlines())))
+    assert sizes[0] == sizes[1] and sizes[0][0] == 1
+    assert len(list((tmp_path / "t" / "log").iterdir())) <= 4
+    table.compact()
+    table.write_batch(spark.createDataFrame([(1, 99)], "k long, n long"), 12)
+    changed = [line for line in plan_of(table.current()).splitlines() if "/changes" in line]
+    assert changed and all("__place" in line and "GreaterThan" in line or "(__place" in line for line in changed)
+    assert {r["k"]: r["n"] for r in table.current().collect()} == {0: 10, 1: 99, 2: 7, 3: 8, 4: 9}
+    assert table.clean() == 12 and table.current().count() == 5

@@ -33,8 +33,10 @@ from tallybook.streaming.streams import (
     file_source,
     kafka_options,
     run_stream,
+    split_part,
     stream_quarantine,
     stream_report,
+    stream_split,
     stream_upsert,
     upserted,
 )
@@ -216,6 +218,10 @@ def test_stream_report_and_quarantine_equal_batch(spark, tmp_path):
     ).awaitTermination()
     assert spark.read.parquet(f"{folder}/good").count() == 8
     assert spark.read.parquet(f"{folder}/bad").count() == 12
+    stream_split(source, [valid_range("v", 3, 10)], f"{folder}/split", f"{folder}/cp3").awaitTermination()
+    good, bad = (split_part(spark, f"{folder}/split", df.schema, v) for v in ("good", "bad"))
+    assert rows(good) == rows(spark.read.parquet(f"{folder}/good").select("id", "v"))
+    assert bad.count() == 12 and {tuple(r["failed_rules"]) for r in bad.collect()} == {("range_v",)}
 
 
 def test_kafka_options():

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tallybook.config import CollectionConfig
@@ -18,12 +19,14 @@ from tallybook.operators.tables import (
     change_labels,
     combine_sources,
     duplicate_rows,
+    latest_and_keyless,
     latest_per_key,
     observed_fields,
     set_status,
     set_upload_status,
     status_changes,
     upsert,
+    write_archive,
 )
 from tallybook.plans.collection import process_collection
 from tests.conftest import rows
@@ -343,3 +346,17 @@ def test_one_key_with_all_rows_spreads_over_all_partitions(spark, tmp_path):
     assert len(sizes) == 4 and max(sizes) < 2000
     assert [r["copy_number"] for r in sorted(got, key=lambda r: r["t"])] == list(range(1, 4001)) and {r["copies"] for r in got} == {4000}
     assert dict(numbered_copies(df, ["k"], ["t"]).dtypes)["copy_number"] == "bigint"
+
+
+def test_archive_is_written_in_one_pass(spark, tmp_path):
+    raw = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, v string")
+    seen = Observation()
+    backup, rest, figures = write_archive(raw.observe(seen, F.count(F.lit(1)).alias("n")), raw.where("v = 'a'"), "k", f"{tmp_path}/a")
+    assert sorted(r["v"] for r in backup.collect()) == ["a", "b"] and sorted(r["v"] for r in rest.collect()) == ["c", "d"]
+    assert figures == {"backup": 2, "raw": 2} and seen.get == {"n": 4} and backup.columns == raw.columns
+
+
+def test_rows_without_key_that_differ_in_a_map(spark):
+    df = spark.sql("SELECT CAST(NULL AS INT) AS k, map('a', 1) AS m UNION ALL SELECT NULL, map('a', 2) UNION ALL SELECT NULL, map('a', 2) UNION ALL SELECT 1, map('b', 1) UNION ALL SELECT 1, map('b', 2)")
+    got = latest_and_keyless(df, "k").collect()
+    assert sorted(((r["k"], r["m"]) for r in got), key=str) == [(1, {"b": 2}), (None, {"a": 1}), (None, {"a": 2}), (None, {"a": 2})]
