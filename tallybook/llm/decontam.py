@@ -233,14 +233,14 @@ def leaks(
     later = F.slice("literal", steps + 1, F.greatest(F.size("literal") - steps, F.lit(0)))
     run = F.exists(F.zip_with("literal", later, lambda a, b: b - a), lambda d: F.coalesce(d == steps, F.lit(False)))
     judged = (
-        aligned.where(stands_for_one[0] | stands_for_one[1])
-        .groupBy("id", "digest", "item_id", "item", "item_n")
+        aligned.groupBy("id", "digest", "item_id", "item", "item_n")
         .agg(
             F.max(F.greatest(*best)).alias("one"),
             F.size(F.array_distinct(F.flatten(F.collect_list("literal")))).cast("long").alias("own"),
             F.max(run).alias("run"),
         )
     )
+    # Windows that match by their own tokens decide without slots: an alignment whose slots disagree only loses its templates.
     most = F.greatest("one", F.struct(F.col("own").alias("n_windows"), F.lit(True).alias("same")))
     return (
         judged.select("id", "digest", "item_id", "run", most.n_windows.alias("n_windows"), (most.n_windows / F.col("item_n")).alias("share"), most.same.alias("same"))

@@ -150,7 +150,7 @@ def test_leaks(spark, nothing):
     item = "If Anna buys 12 apples and 7 pears at 3 dollars each in Paris, how much money does Anna pay for all the fruit she takes home?"
     items = [(1, item), (2, "Name the capital of France please now"), (3, None), (4, ""), (5, "1 2 3 4 5 6 7 8 9 10"), (6, "yes")]
     changed = item.replace("Anna", "Boris").replace("12", "31").replace(" 3 dollars", " 9 euros").replace("Paris", "Rome")
-    torn = item.replace("Anna", "Boris", 1)  # one name, two values: not the same question
+    torn = item.replace("Anna", "Boris", 1)  # one name, two values: not the same question, but 25 of its words in a row
     pad = "Some other words stand here before anything of interest comes along in this text. "
     docs = [
         (10, pad + item + " " + pad), (11, pad + changed), (12, pad), (13, None), (14, ""), (15, pad + torn), (16, "3 4 5 6 7 8 9 10 11 12"), (None, item),
@@ -160,7 +160,7 @@ def test_leaks(spark, nothing):
     items.append((7, "Été à l'île: öl, ñandú et ça σαμοσ мир İ"))
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark)
-    more = [(21, 7, False), (20, 1, False)]
+    more = [(21, 7, False), (20, 1, False), (15, 1, False)]
     assert sorted(((r.doc_id, r.item_id, r.reparameterised) for r in got.collect()), key=str) == sorted(
         [(10, 1, False), (11, 1, True), (None, 1, False), (17, 2, False), (16, 5, False), (18, 5, False)] + more, key=str
     )
