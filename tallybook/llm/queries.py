@@ -79,9 +79,8 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    """Secrets in every document; a source is an owner, its documents of one language are a repository."""
-    docs = table(spark, folder, "documents")
-    return secrets(docs, F.concat_ws("/", "source", "lang"), F.col("source"))
+    """Secrets in every document; a source is an owner, a language, which many sources share, is a repository."""
+    return secrets(table(spark, folder, "documents"), F.col("lang"), F.col("source"))
 
 
 @query

@@ -5,7 +5,8 @@ code points, end exclusive. A text's matches and the text between them give the
 search.
 
 Over the whole corpus each candidate value (by hash) is counted by distinct repositories and distinct owners. One that is widely
-copied is an example: EXAMPLE_SHARE of all owners hold it (two at least, EXAMPLE_OWNERS are always enough), in as many repositories.
+copied is an example: EXAMPLE_SHARE of all owners hold it, two at least, and it stands in that share of all repositories, two at least
+where there are two. Owners and repositories are counted apart, so neither needs to be part of the other; no fixed number is enough.
 So is one of two owners or more that has a placeholder word. Any other belongs to those who hold it, few as they are; one that also
 looks random (enough different characters, letters with digits, no placeholder word) is live-looking and its value is added as a span
 of kind ``live``.
@@ -28,7 +29,7 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGN_LENGTH = 12
 KINDS = ("assign", "access", "hex", "live")
 PLACEHOLDERS = r"(?i)example|sample|changeme|placeholder|dummy|xxxx|your_?|1234567"
-EXAMPLE_SHARE, EXAMPLE_OWNERS = 0.5, 10
+EXAMPLE_SHARE = 0.5
 DISTINCT_CHARACTERS = 8
 MASK = "<secret>"
 SPAN = "struct<start:int,kind:int,end:int,value_start:int,value:string>"
@@ -92,9 +93,13 @@ def scan(docs: DataFrame, repository: Column, owner: Column, text_col: str) -> t
         ),
         "owned",
     )
-    everyone = scanned.select("owner").distinct().agg(F.count(F.lit(1)).alias("everyone"))  # one row
-    wide = F.greatest(F.lit(2), F.least(F.lit(EXAMPLE_OWNERS), F.ceil(EXAMPLE_SHARE * F.col("everyone"))))
-    widely = (F.col("owners") >= wide) & (F.col("repositories") >= wide)
+    everyone = scanned.select("owner", "repository").distinct().agg(  # one row
+        (F.countDistinct("owner") + missing("owner")).alias("all_owners"), (F.countDistinct("repository") + missing("repository")).alias("all_repositories")
+    )
+    share = lambda c: F.ceil(EXAMPLE_SHARE * F.col(c))
+    widely = (F.col("owners") >= F.greatest(F.lit(2), share("all_owners"))) & (
+        F.col("repositories") >= F.greatest(F.least(F.lit(2), F.col("all_repositories")), share("all_repositories"))
+    )
     owned = owned.crossJoin(F.broadcast(everyone)).withColumn("example", widely | (F.col("placeholder") & (F.col("owners") >= 2)))
     example = F.col("example")
     value = F.struct(

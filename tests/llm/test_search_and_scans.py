@@ -129,6 +129,17 @@ def test_secrets_of_few_owners_are_no_examples(spark):
     assert texts[0] == f"token={copied}" and texts[20] == texts[21] == f"token=<secret> and <secret> or token={holder}"
 
 
+def test_repositories_count_beside_owners(spark):
+    """Ten of ten owners hold a value, all in one of four repositories: no example. A million owners and ten forks: none either."""
+    key = "q7Zr9LmK2xWv4TbN"
+    rows = [(k, f"token={key}" if k < 10 else "nothing", f"o{k % 10}", "r0" if k < 10 else f"r{k % 4}") for k in range(20)]
+    schema = "doc_id long, text string, owner string, repository string"
+    found = lambda rows: {r.doc_id: r.n_example for r in secrets(spark.createDataFrame(rows, schema), F.col("repository"), F.col("owner")).collect()}
+    assert found(rows)[0] == 0
+    assert found([(i, t, o, "r1" if i < 5 else r) for i, t, o, r in rows])[0] == 1
+    assert found([(k, f"token={key}" if k < 10 else "", f"o{k}", f"r{k}") for k in range(500)])[0] == 0
+
+
 def test_url_verdicts(spark):
     page = lambda *to: "".join(f'<a href="http://{h}/x">y</a>' for h in to)
     rows = [
