@@ -3,7 +3,7 @@
 1. ``quality``: documents that the classifier scores below 0.7 go.
 2. ``near_dedup``: of each group of near copies the document with the smallest id stays.
 3. ``decontaminate``: documents that hold a benchmark item go.
-4. ``secrets``: values of secrets that few owners hold are masked; documents stay.
+4. ``secrets``: values of secrets that few owners (sources) or few repositories (languages) hold are masked; documents stay.
 5. ``pack``: documents become sequences of at most 2048 tokens.
 
 All but the last return the columns they get. Rows are judged by themselves, so repeated ids, null ids and null texts are
@@ -45,7 +45,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return redacted(docs, F.concat_ws("/", docs["source"], docs["lang"]), docs["source"])
+    return redacted(docs, docs["lang"], docs["source"])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
