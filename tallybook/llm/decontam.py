@@ -10,7 +10,7 @@ so that a copy is found where capitals or sentence starts hide a name. Windows o
 bitmap of fixed size) are joined with the benchmark's by hash.
 
 The slots of an alignment agree when, in one reading of the item, each slot value of the item stands for one value everywhere in the
-document's copy. A document holds an item when, on alignments whose slots agree, one covers at least 30 % of the item's windows, or
+document's copy. Windows that match by their own tokens need no slots. A document holds an item when, on alignments whose slots agree, one covers at least 30 % of the item's windows, or
 windows that match by their own tokens cover 30 % on all of them together or RUN consecutive tokens on one. All texts and windows
 count; nothing is sampled.
 

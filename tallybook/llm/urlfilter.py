@@ -23,8 +23,9 @@ from tallybook.llm.common import keep
 # Fixed values: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING = 0.85
-ROUNDS = 30
 TOLERANCE = 1e-6
+"""Rounds go on until no score changes by more. A change in all shrinks by DAMPING each round, so about 85 rounds are the most for
+seeds of weight 1 in all, and 14 more for each tenfold weight."""
 THRESHOLD = 0.1
 EXPOSURE = 0.5
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -59,7 +60,7 @@ def spread(edges: DataFrame, seeds: DataFrame, source: str, target: str, by: str
     scores = keep(start.select("host", F.col("start").alias("score")), "scores")
     if flow.isEmpty():
         return scores
-    for _ in range(ROUNDS):
+    while True:
         arriving = flow.join(scores, flow["from"] == scores.host).groupBy(F.col("to").alias("host")).agg(F.sum(F.col("part") * F.col("score")).alias("inflow"))
         step = (
             start.join(arriving, "host", "full")
@@ -74,8 +75,7 @@ def spread(edges: DataFrame, seeds: DataFrame, source: str, target: str, by: str
         change = step.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
         scores = step.select("host", "score")
         if change < TOLERANCE:
-            break
-    return scores
+            return scores
 
 
 def url_verdicts(

@@ -172,7 +172,7 @@ def test_ranks_equal_brute_force(spark):
         trust = {h: 0.15 * (h == "good.org") + 0.85 * sum(trust[a] * n / out[a] for (a, b), n in edge.items() if b == h) for h in hosts}
         distrust = {h: 0.15 * (h == "bad.net") + 0.85 * sum(distrust[b] * n / into[b] for (a, b), n in edge.items() if a == h) for h in hosts}
     for h in hosts:
-        assert got[h] == pytest.approx((trust[h], distrust[h]), abs=2e-3)
+        assert got[h] == pytest.approx((trust[h], distrust[h]), abs=2e-5)
 
 
 def test_farms_around_a_blocked_host(spark):
