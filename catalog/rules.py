@@ -280,3 +280,21 @@ def load_figures(spark: SparkSession, sf: str) -> DataFrame:
         "total_l_extendedprice": F.round("total_l_extendedprice", 2),
         "total_l_quantity": F.round("total_l_quantity", 2),
     })
+
+
+@query("""
+    WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, l_linenumber + 9007199254740992 AS big FROM lineitem)
+    SELECT row_id, 'enum_big' AS rule, CAST(big AS VARCHAR) AS value FROM l WHERE big NOT IN (9007199254740993, 9007199254740996)
+    UNION ALL SELECT row_id, 'int', NULL FROM l WHERE row_id % 7 = 3
+""")
+def dq_large_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules over whole numbers and decimals that overflow on most rows (and then hold), a set beyond 2^53."""
+    large = F.when(F.col("row_id") % 7 == 3, -5).otherwise(2147483647)
+    lines = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), (F.col("l_linenumber") + 9007199254740992).alias("big")
+    ).withColumns({"x": large, "y": F.lit(9223372036854775807), "z": F.lit("9e37").cast("decimal(38,0)")})
+    rules = [
+        enum_set("big", [9007199254740993, 9007199254740996.0, "9007199254740996"]), business_rule("int", "x * 2 > 0"),
+        business_rule("long", "y + 1 > 0"), business_rule("decimal", "z * z > z"),
+    ]
+    return violations(lines, rules, "row_id", TODAY).select("row_id", "rule", "value")

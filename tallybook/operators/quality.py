@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from collections.abc import Mapping, Sequence
+from decimal import Decimal, InvalidOperation
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybook.config import Rule
+from tallybook.functions.rule_text import safe_predicate
 from tallybook.functions.text import field
 from tallybook.sources.splits import counted, write_split
 
@@ -46,7 +47,7 @@ def readable(*columns: str) -> list[Rule]:
 
 
 def business_rule(name: str, predicate: str) -> Rule:
-    """A SQL predicate that must hold.  Unknown (null) counts as holding."""
+    """A SQL predicate that must hold.  Unknown (null) counts as holding: an overflow, a quotient by zero, an unreadable text."""
     return Rule(name, "predicate", None, {"rule": predicate})
 
 
@@ -73,33 +74,34 @@ def _day(text: str, today: dt.date) -> dt.date:
     return today + dt.timedelta(days=-days if relative[1] == "-" else days)
 
 
-@contextmanager
-def _null_on_error(spark: SparkSession) -> Iterator[None]:
-    """Expressions built inside give null where they could fail (division by zero, unreadable casts).
-
-    Spark fixes this when it analyses a DataFrame, so only rules built inside are concerned.
-    """
-    before = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", before)
-
-
-def _is_number(value: Any) -> bool:
+def _exact(value: Any) -> Decimal | None:
+    """The number that a value of a set stands for; None when it is none."""
+    if isinstance(value, bool):
+        return None
     try:
-        float(value)
-    except (TypeError, ValueError):
-        return False
-    return not isinstance(value, bool)
+        number = Decimal(str(value).strip())
+    except InvalidOperation:
+        return None
+    return number if number.is_finite() else None
 
 
 def _not_in(c: Column, kind: T.DataType, values: Sequence[Any]) -> Column:
-    """Values of the set are compared as numbers with a number column, else as text; others match nothing."""
+    """Values of the set are compared as numbers with a number column, else as text; others match nothing.
+
+    Whole numbers and decimals are compared exactly, whatever their size.
+    """
     if isinstance(kind, T.NumericType):
-        usable = [float(v) for v in values if _is_number(v)]
-        return ~c.cast("double").isin(*usable) if usable else c.isNotNull()
+        numbers = [n for n in map(_exact, values) if n is not None]
+        if isinstance(kind, T.IntegralType):
+            usable = [int(n) for n in numbers if n == n.to_integral_value() and -(2**63) <= n < 2**63]
+            c = c.cast("long")
+        elif isinstance(kind, T.DecimalType):
+            shift = Decimal(10) ** kind.scale
+            usable = [F.lit(n).cast(kind) for n in numbers if n * shift == (n * shift).to_integral_value() and abs(n * shift) < Decimal(10) ** kind.precision]
+        else:
+            usable = [float(n) for n in numbers]
+            c = c.cast("double")
+        return ~c.isin(*usable) if usable else c.isNotNull()
     texts = [str(v).lower() if isinstance(v, bool) else str(v) for v in values]
     return ~c.cast("string").isin(*texts) if texts else c.isNotNull()
 
@@ -123,7 +125,7 @@ def _rescued_text(rescued: str, column: str) -> Column:
 
 def _broken_value(df: DataFrame, rule: Rule, today: dt.date) -> Column:
     if rule.kind == "predicate":
-        return ~F.expr(rule.options["rule"])
+        return ~F.expr(safe_predicate(rule.options["rule"], df.schema))
     if rule.column not in df.columns:
         return F.lit(rule.kind in ("require", "non_null"))
     c = field(rule.column)
@@ -168,8 +170,7 @@ def with_failures(df: DataFrame, rules: Sequence[Rule], today: dt.date | None =
         entries.append(F.when(_broken(df, rule, today, rescued), entry))
     kind = "array<struct<rule:string,column:string,value:string>>"
     failed = F.array_compact(F.array(*entries)) if entries else F.array().cast(kind)
-    with _null_on_error(df.sparkSession):
-        return df.withColumn(_FAILED, failed)
+    return df.withColumn(_FAILED, failed)
 
 
 def violations(
@@ -217,11 +218,10 @@ def quality_report(
 ) -> DataFrame:
     """Per rule: ``failures`` and ``failure_rate``.  All rules are counted in one aggregation."""
     today = today or dt.date.today()
-    with _null_on_error(df.sparkSession):
-        counts = df.agg(
-            F.count(F.lit(1)).alias("rows"),
-            *[F.count_if(_broken(df, r, today, rescued)).alias(f"f{i}") for i, r in enumerate(rules)],
-        )
+    counts = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count_if(_broken(df, r, today, rescued)).alias(f"f{i}") for i, r in enumerate(rules)],
+    )
     lines = F.array(
         *[
             F.struct(F.lit(r.name).alias("rule"), F.col(f"f{i}").alias("failures"))

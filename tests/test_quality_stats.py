@@ -2,7 +2,9 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallybook.functions.rule_text import safe_predicate
 from tallybook.operators.profile import (
     complexity_score,
     describe_input,
@@ -21,7 +23,7 @@ from tallybook.operators.projections import (
     select_fields,
     stamp,
 )
-from tallybook.operators.quality import quality_report, quarantine, rules_from_dict, violations
+from tallybook.operators.quality import business_rule, enum_set, quality_report, quarantine, rules_from_dict, violations
 from tallybook.operators.stats import (
     alert_flags,
     issue_severity,
@@ -232,3 +234,41 @@ def test_listings(spark):
     assert [r["upload_id"] for r in recent_uploads(reg, status="x", limit=0).collect()] == ["u3", "u1"]
     names = spark.createDataFrame([(" b",), ("a",), ("b ",), ("",), (None,)], "n string")
     assert [r["n"] for r in sorted_names(names, "n").collect()] == ["a", "b"]
+
+
+@pytest.mark.parametrize("rule, text", [
+    ("a * 2 > 0", "try_multiply(a, 2) > 0"),
+    ("a - b - 1 <= -3 * b", "try_subtract(try_subtract(a, b), 1) <= try_multiply(-3, b)"),
+    ("t + 1 > b", "try_add(try_cast(t AS DOUBLE), 1) > b"),
+    ("t > 5 AND t = 'x - 1'", "try_cast(t AS DOUBLE) > 5 AND t = 'x - 1'"),
+    ("t NOT BETWEEN 1 AND 2 OR t IN (1, 2)", "try_cast(t AS DOUBLE) NOT BETWEEN 1 AND 2 OR try_cast(t AS DOUBLE) IN (1, 2)"),
+    ("CAST(t AS DECIMAL(10,2)) / b > 1 OR t::int IS NOT NULL", "try_divide(try_cast(t AS DECIMAL(10,2)), b) > 1 OR try_cast(t AS int) IS NOT NULL"),
+    ("CASE WHEN a / b > 1 THEN a ELSE -b END * 2 = abs(t)", "try_multiply(CASE WHEN try_divide(a, b) > 1 THEN a ELSE try_subtract(0, b) END, 2) = abs(try_cast(t AS DOUBLE))"),
+    ("t >= DATE '2024-01-01' AND d + INTERVAL 1 DAY > t", "try_cast(t AS DATE) >= DATE '2024-01-01' AND try_add(d, INTERVAL 1 DAY) > try_cast(t AS DATE)"),
+    ("substring(t, 1 + 1, 2) || '-' = `odd name`", "substring(t, try_add(1, 1), 2) || '-' = `odd name`"),
+    ("a # b", "a # b"),
+])
+def test_rules_by_their_try_forms(rule, text):
+    schema = T._parse_datatype_string("a int, b bigint, t string, d date")
+    assert safe_predicate(rule, schema) == text
+
+
+def test_rules_do_not_wrap_and_leave_the_session_alone(spark):
+    df = spark.sql(
+        "SELECT 1 AS id, 2147483647 AS x, 9223372036854775807L AS y, CAST(9e37 AS DECIMAL(38,0)) AS z, 'seven' AS t"
+        " UNION ALL SELECT 2, -3, -3L, CAST(-3 AS DECIMAL(38,0)), '-3'"
+    )
+    rules = [business_rule(n, r) for n, r in (
+        ("int", "x * 2 > 0"), ("long", "y + 1 > 0"), ("decimal", "z * z - z > 0 AND z > 0"), ("zero", "x / (x - x) > 0"), ("text", "t > 0"), ("cast", "CAST(t AS INT) > 0"),
+    )]
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    got = {(r["id"], r["rule"]) for r in violations(df, rules, "id").collect()}
+    assert got == {(2, n) for n in ("int", "long", "decimal", "text", "cast")}
+    assert {r["rule"]: r["failures"] for r in quality_report(df, rules).collect()} == {"int": 1, "long": 1, "decimal": 1, "zero": 0, "text": 1, "cast": 1}
+    assert spark.conf.get("spark.sql.ansi.enabled") == before
+
+
+def test_enums_are_exact(spark):
+    df = spark.sql("SELECT 9007199254740993L AS n, CAST('9007199254740993.5' AS DECIMAL(30,1)) AS d, 0.5D AS f UNION ALL SELECT 7, 7, 7")
+    rules = [enum_set("n", [9007199254740992, "7.0"]), enum_set("d", ["9007199254740993.5", 7.5, 8]), enum_set("f", ["0.5", "x"])]
+    assert sorted((r["n"], r["rule"]) for r in violations(df, rules, "n").collect()) == [(7, "enum_d"), (7, "enum_f"), (9007199254740993, "enum_n")]
