@@ -11,6 +11,8 @@ from tallybook.functions.keys import key_head
 from tallybook.functions.text import field, quoted
 from tallybook.operators.skew import HotKeys, distinct_keys, hot_keys, lookup_join, own_partitioning
 from tallybook.operators.tables import latest_per_key
+from tallybook.sources.files import scratch_folder
+from tallybook.sources.splits import written
 
 _ID = "__order_id"
 _KEY = "__merge_key"
@@ -53,7 +55,6 @@ def resolve_fallback(
     order_id: Column | None = None,
     order: Sequence[str] = (),
     hot_rows: int | None = None,
-    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``__merge_key`` to secondary rows: the primary key they belong to.
 
@@ -62,27 +63,24 @@ def resolve_fallback(
     rows with one order id the smallest key is taken, and of several secondary rows claiming the same
     primary row the last by ``order`` is kept.  Rows that find nothing keep their own key.
 
-    ``primary_keys`` and ``secondary`` hold each key once.  ``source`` may be the frame that
-    ``secondary`` was reduced from, where frequent order ids are cheaper to look for.
+    ``primary_keys`` and ``secondary`` hold each key once.  Keys are resolved apart from the rows: one join of the bare keys of both
+    sides, of which only what found no partner is written, and a table (secondary key, primary key) of the rows that the
+    order id rescues.  Both are narrow and lie in scratch folders, so each wide row is read once and meets the small table once.
     """
+    spark = secondary.sparkSession
     head = key_head(field(key))
     by_id = F.coalesce(order_id, head) if order_id is not None else head
-    base = primary_keys.select(field(key))
-    rows_of = secondary if source is None else source
-    free = (
-        base.join(rows_of.select(field(key)).distinct(), key, "left_anti")
-        .select(head.alias(_ID), field(key).alias(_KEY))
-        .where(F.col(_ID).isNotNull())
-    )
+    ours = primary_keys.select(field(key), F.lit(True).alias("__ours"))
+    theirs = secondary.select(field(key), by_id.alias(_ID), F.lit(True).alias("__theirs"))
+    alone = ours.join(theirs, key, "full_outer").where(F.col("__ours").isNull() | F.col("__theirs").isNull())
+    alone = written(alone, scratch_folder(spark, "unmatched") + "/keys")[0]
+    free = alone.where("__ours").select(head.alias(_ID), field(key).alias(_KEY)).where(F.col(_ID).isNotNull())
     free = free.groupBy(*own_partitioning(free, [_ID])).agg(F.min(_KEY).alias(_KEY)).drop("__dealt")
-    rows = secondary.join(base.withColumn("__matched", F.lit(True)), key, "left")
-    # Rows that need no retry get an id of their own that matches nothing, so that they spread over
-    # all tasks instead of meeting at a null id.
-    retried = F.when(F.col("__matched").isNull(), by_id)
-    rows = rows.withColumn(_ID, F.coalesce(retried, F.concat(F.lit("\0"), field(key)))).drop("__matched")
-    hot = HotKeys() if hot_rows is None else hot_keys(rows_of.select(by_id.alias(_ID)), [_ID], hot_rows)
-    found = lookup_join(rows, free, [_ID], "left", hot=HotKeys(hot.hashes)).drop(_ID)
-    resolved = found.withColumn(_KEY, F.coalesce(_KEY, field(key)))
+    retried = alone.where(F.col("__theirs") & F.col(_ID).isNotNull()).select(field(key), _ID)
+    hot = HotKeys() if hot_rows is None else hot_keys(retried, [_ID], hot_rows)
+    found = lookup_join(retried, free, [_ID], "inner", hot=HotKeys(hot.hashes)).select(field(key), _KEY)
+    found = written(found, scratch_folder(spark, "resolved") + "/keys")[0]
+    resolved = secondary.join(found, key, "left").withColumn(_KEY, F.coalesce(_KEY, field(key)))
     # All rows claiming one primary row shrink to one per task here, before the shuffle that the
     # merge needs anyway.
     return latest_per_key(resolved, [_KEY], order)

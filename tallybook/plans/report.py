@@ -28,8 +28,9 @@ from tallybook.functions.predicates import scan_filtered
 from tallybook.functions.reasons import with_reasons
 from tallybook.functions.text import field, quoted
 from tallybook.operators.joins import resolve_fallback
-from tallybook.operators.skew import distinct_keys
 from tallybook.operators.tables import latest_per_key, upsert
+from tallybook.sources.files import scratch_folder
+from tallybook.sources.splits import written
 
 ORDER_DATE = "order_date"
 TOTAL_SALES = "total_sales"
@@ -103,11 +104,8 @@ def _prepare(
     unique: bool,
     fallback: bool,
     order_id: str | None,
-) -> tuple[DataFrame, DataFrame]:
-    """Filter, prune, one row per key, then the formulas that need nothing from other sources.
-
-    Also returns the pruned rows as they were before they became one per key.
-    """
+) -> DataFrame:
+    """Filter, prune, one row per key, then the formulas that need nothing from other sources."""
     df = scan_filtered(df, _by_base(definition.conditions).get(source, ()))
     key_fields = _by_base(definition.mapping_keys).get(source, ())
     if on_numbers:
@@ -124,7 +122,6 @@ def _prepare(
     )
     for c in join_columns:
         pruned = pruned.where(field(c).isNotNull())
-    all_rows = pruned
     if not unique:
         pruned = latest_per_key(pruned, join_columns, [_raw(source, o) for o in order])
     kinds = cells_of(pruned)
@@ -145,7 +142,7 @@ def _prepare(
     if fallback:
         needed_later |= {_raw(source, o) for o in order}
     kept = [c for c in pruned.columns if not c.startswith("__raw_") or c in needed_later]
-    return pruned.select(*[field(c) for c in kept]), all_rows
+    return pruned.select(*[field(c) for c in kept])
 
 
 def _key_text(columns: Sequence[str]) -> Column:
@@ -194,7 +191,7 @@ def build_report(
 
     frames_by_key: list[DataFrame] = []
     for source in plan.sources:
-        prepared, all_rows = _prepare(
+        prepared = _prepare(
             source, frames[source], definition, plan, join_columns, on_numbers,
             order.get(source, ()), source in unique, fallback, order_ids.get(source),
         )
@@ -206,7 +203,7 @@ def build_report(
             ranks = [_raw(source, o) for o in order.get(source, ())]
             key = join_columns[0]
             prepared = resolve_fallback(
-                frames_by_key[0], prepared, key, order_id, ranks, hot_rows, all_rows
+                frames_by_key[0], prepared, key, order_id, ranks, hot_rows
             ).withColumnsRenamed({key: own_key, "__merge_key": key})
         else:
             prepared = prepared.withColumn(own_key, _key_text(join_columns))
@@ -315,22 +312,66 @@ def report_key(report: DataFrame) -> Column:
     return F.coalesce(*[F.concat(F.lit(f"{c}="), field(c)) for c in keys])
 
 
+def changed_sources(
+    sources: Mapping[str, DataFrame], changed: Mapping[str, DataFrame], definition: ReportDefinition
+) -> dict[str, DataFrame]:
+    """The rows of all sources that share a mapping key with a changed row.
+
+    ``changed`` holds, per source, the rows that were added or altered, and as they were before where their key or filter
+    fields changed.  Only keys of changed rows are gathered; where they are few, Spark broadcasts them and no source is shuffled.
+    """
+    fields, given = _by_base(definition.mapping_keys), _by_base(changed)
+    key = lambda s, df: mapping_key(df, fields.get(s, ()), row_id="_id")
+    keys = reduce(DataFrame.union, [df.select(key(s, df).alias("__changed")) for s, df in given.items()]).where("__changed is not null").distinct()
+    spark = keys.sparkSession
+    keys = written(keys, scratch_folder(spark, "changed") + "/keys")[0]
+    return {s: df.join(keys, key(s, df) == F.col("__changed"), "left_semi") for s, df in _by_base(sources).items()}
+
+
 def refresh_report(
-    stored: DataFrame, sources: Mapping[str, DataFrame], definition: ReportDefinition, **options
+    stored: DataFrame,
+    sources: Mapping[str, DataFrame],
+    definition: ReportDefinition,
+    changed: Mapping[str, DataFrame] | None = None,
+    **options,
 ) -> DataFrame:
     """Rebuild a report onto its stored rows: recalculated columns are replaced, others survive.
 
     A stored row is replaced when any of its source keys occurs in the fresh report, also in a row that has
     another primary key now.  Rows whose keys no longer occur stay as they are.
+
+    ``changed`` limits the work to keys of changed source rows (see ``changed_sources``): every other stored row stays as it is and
+    is not shuffled where the touched keys are few enough for Spark to broadcast them.  The order-id fallback looks beyond
+    a key, so it needs all rows.  The fresh rows are written once, and stored rows meet their keys in a narrow join.
     """
+    if changed is not None:
+        if options.get("fallback"):
+            raise ValueError("a report with order-id fallback cannot be refreshed by changed keys alone")
+        sources = changed_sources(sources, changed, definition)
     fresh = build_report(sources, definition, **options)
-    key = "__report_key"
-    named, new = stored.withColumn(key, report_key(stored)), fresh.withColumn(key, report_key(fresh))
-    same = named.join(distinct_keys(new.where(field(key).isNotNull()), [key]), key, "left_semi").select(*named.columns)
-    rest = stored
-    for name in (c for c in stored.columns if c.endswith("_mapping_key") and c in fresh.columns):
-        rest = rest.join(distinct_keys(fresh.where(field(name).isNotNull()), [name]), name, "left_anti").select(*[field(c) for c in stored.columns])
-    return upsert(same, new, key).drop(key).unionByName(rest, allowMissingColumns=True)
+    key, spark = "__report_key", fresh.sparkSession
+    new = written(fresh.withColumn(key, report_key(fresh)), scratch_folder(spark, "fresh") + "/report")[0]
+    named = stored.withColumn(key, report_key(stored))
+    shared = [c for c in stored.columns if c.endswith("_mapping_key") and c in fresh.columns]
+
+    def entries(df: DataFrame, *more: str) -> DataFrame:
+        """A row's own key and its source keys, each with its name."""
+        cells = [F.struct(F.lit(c).alias("name"), field(c).alias("value")) for c in (key, *shared)]
+        return df.select(*more, F.explode(F.array(*cells)).alias("entry")).select(*more, "entry.*").where("value is not null")
+
+    occurring = entries(new).distinct()
+    own = F.col("name") == key
+    touched = (
+        entries(named, key).join(occurring, ["name", "value"], "left_semi").groupBy(key)
+        .agg(F.bool_or(own).alias("__same"))
+    )
+    touched = written(touched, scratch_folder(spark, "touched") + "/keys")[0]
+    if changed is None:
+        live = named.join(touched.where("NOT __same"), key, "left_anti")
+        return upsert(live, new, key, unique=True).drop(key)
+    again = named.join(touched.where("__same"), key, "left_semi")
+    kept = named.join(touched, key, "left_anti")  # few touched keys are broadcast, so these rows stay where they are
+    return upsert(again, new, key, unique=True).unionByName(kept, allowMissingColumns=True).drop(key)
 
 
 def build_dashboard(

@@ -38,7 +38,7 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.parametrize(
-    "name, scans", [("collection_processed", 2), ("upsert_orders", 4), ("archive_split", 2), ("dq_quarantine", 2), ("report_three_sources", 4), ("report_fallback_key", 5), ("dq_violations", 1)]
+    "name, scans", [("collection_processed", 2), ("upsert_orders", 4), ("archive_split", 2), ("dq_quarantine", 2), ("report_three_sources", 4), ("report_fallback_key", 3), ("report_refresh", 3), ("dq_violations", 1)]
 )
 def test_inputs_are_not_read_again_and_again(spark, name, scans):
     assert plan_of(QUERIES[name](spark, FOLDER)).count("FileScan") <= scans
@@ -102,3 +102,8 @@ def test_change_table_plan_does_not_grow_with_batches(spark, tmp_path):
     assert changed and all("__place" in line and "GreaterThan" in line or "(__place" in line for line in changed)
     assert {r["k"]: r["n"] for r in table.current().collect()} == {0: 10, 1: 99, 2: 7, 3: 8, 4: 9}
     assert table.clean() == 12 and table.current().count() == 5
+
+
+def test_fallback_and_refresh_shuffle_wide_rows_little(spark):
+    assert plan_of(QUERIES["report_fallback_key"](spark, FOLDER)).count("Exchange hashpartitioning") <= 4
+    assert plan_of(QUERIES["report_refresh"](spark, FOLDER)).count("Exchange hashpartitioning") <= 4

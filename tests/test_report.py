@@ -8,6 +8,7 @@ from tallybook.plans.report import (
     assign_formulas,
     build_dashboard,
     build_report,
+    changed_sources,
     refresh_report,
     report_columns,
 )
@@ -256,3 +257,27 @@ def test_refresh_leaves_no_stale_rows(spark):
         assert len(keys) == len(set(keys))
     notes = {r["one_mapping_key"]: r["note"] for r in got}
     assert notes["7"] == "kept" and notes["99"] == "left" and notes["3"] is None
+
+
+def test_refresh_by_changed_keys_equals_a_whole_refresh(spark):
+    definition = ReportDefinition.from_dict({
+        "report_name": "r",
+        "formulas": [{"logicNameKey": "A", "formulaText": "one.v"}, {"logicNameKey": "B", "formulaText": "two.w"}],
+        "mapping_keys": {"one": ["k"], "two": ["k"]},
+        "delta_columns": [{"delta_column_name": "GAP", "value": "A - B"}],
+    })
+    one, two = spark.range(400).selectExpr("id AS k", "id * 1.0D AS v"), spark.range(100, 500).selectExpr("id AS k", "id * 2.0D AS w")
+    stored = build_report({"one": one, "two": two}, definition, stamp=False).withColumn("note", F.lit("kept"))
+    altered = spark.range(4).selectExpr("id * 130 AS k", "-1.0D AS v")  # 390 is one of them, 520 none before
+    added = spark.createDataFrame([(450, 7.0), (900, 8.0)], "k long, w double")
+    now = {"one": one.join(altered, "k", "left_anti").union(altered), "two": two.join(added, "k", "left_anti").union(added)}
+    whole = refresh_report(stored, now, definition, stamp=False)
+    few = refresh_report(stored, now, definition, changed={"one": altered, "two": added}, stamp=False)
+    assert rows(few) == rows(whole) and few.count() == 501
+    assert {r["note"] for r in few.where("one_mapping_key = '390' OR two_mapping_key = '450'").collect()} == {"kept"}
+    reduced = changed_sources(now, {"one": altered, "two": added}, definition)
+    assert {s: df.count() for s, df in reduced.items()} == {"one": 4, "two": 5}
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LeftAnti, BuildRight") >= 1 and "BroadcastHashJoin" in plan
+    with pytest.raises(ValueError):
+        refresh_report(stored, now, definition, changed={"one": altered}, fallback=True)
