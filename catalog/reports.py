@@ -9,7 +9,7 @@ from catalog.registry import query, table
 from tallybook.config import ReportDefinition
 from tallybook.functions.formula import calculated_columns
 from tallybook.operators.stats import alert_flags, reason_breakdown, recon_summary
-from tallybook.plans.report import build_dashboard, build_report, refresh_report
+from tallybook.plans.report import build_dashboard, build_report, keyed_source, refresh_report, source_accounts
 
 
 def line_totals(spark: SparkSession, sf: str) -> DataFrame:
@@ -405,3 +405,56 @@ def recon_totals(spark: SparkSession, sf: str) -> DataFrame:
 """)
 def recon_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return alert_flags(order_summary(spark, sf), minutes=95)
+
+
+@query("""
+    WITH e AS (SELECT event_id, user_id, event_type, value, CASE WHEN event_id % 9 <> 4 THEN user_id END AS k FROM events)
+    SELECT 'events' AS source, count(*) AS read, count(*) FILTER (event_type = 'signup') AS filtered,
+        count(*) FILTER (event_type <> 'signup' AND k IS NULL) AS skipped,
+        count(k) FILTER (event_type <> 'signup') - count(DISTINCT k) FILTER (event_type <> 'signup') AS superseded,
+        count(DISTINCT k) FILTER (event_type <> 'signup') AS merged FROM e
+    UNION ALL SELECT 'customer', count(*), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), count(*) FROM customer
+""")
+def report_accounts(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of every source row: rows without mapping key vanish from the report, not from the numbers."""
+    sources, definition = customer_events(spark, sf)
+    return source_accounts(sources, definition)
+
+
+@query("""
+    SELECT event_id, CASE WHEN event_id % 9 <> 4 AND event_type <> 'signup' THEN CAST(user_id AS VARCHAR) END AS events_mapping_key FROM events
+""")
+def report_keys_of_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The report key written back to the rows of a source."""
+    sources, definition = customer_events(spark, sf)
+    return keyed_source("events", sources["events"], definition).select("event_id", "events_mapping_key")
+
+
+def customer_events(spark: SparkSession, sf: str):
+    """Customers against their events, some of which have no user."""
+    events = table(spark, sf, "events").withColumn("user_id", F.when(F.col("event_id") % 9 != 4, F.col("user_id")))
+    definition = ReportDefinition.from_dict({
+        "report_name": "customer_events",
+        "formulas": [{"logicNameKey": "BALANCE", "formulaText": "customer.c_acctbal"}, {"logicNameKey": "SPENT", "formulaText": "events.value"}],
+        "mapping_keys": {"customer": ["c_custkey"], "events": ["user_id"]},
+        "conditions": {"events": [{"column": "event_type", "operator": "not_equal", "value": "signup"}]},
+    })
+    return {"customer": table(spark, sf, "customer"), "events": events}, definition
+
+
+@query(f"""
+    WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 0 THEN o_totalprice + 1000 ELSE o_totalprice END AS price FROM orders)
+    SELECT CAST(o_orderkey AS VARCHAR) AS orders_mapping_key, price AS total_sales, line_net,
+        CASE WHEN o_orderkey % 100 = 0 THEN 'new' ELSE 'old' END AS state
+    FROM o JOIN {LINES} ON o_orderkey = l_orderkey
+""")
+def report_refresh_changed(spark: SparkSession, sf: str) -> DataFrame:
+    """One order in a hundred has another price: only their keys are computed again, every other row stays."""
+    orders, lines = table(spark, sf, "orders"), line_totals(spark, sf)
+    definition = order_definition(status=None)
+    stored = build_report({"orders": orders, "lineitem": lines}, definition, unique=["orders", "lineitem"], stamp=False).withColumn("total_before", F.col("total_sales"))
+    altered = orders.where("o_orderkey % 100 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1000)
+    now = {"orders": orders.where("o_orderkey % 100 <> 0").unionByName(altered), "lineitem": lines}
+    fresh = refresh_report(stored, now, definition, changed={"orders": altered}, unique=["orders", "lineitem"], stamp=False)
+    state = F.when(F.col("total_sales") == F.col("total_before"), "old").otherwise("new").alias("state")
+    return fresh.where("lineitem_mapping_key IS NOT NULL AND orders_mapping_key IS NOT NULL").select("orders_mapping_key", "total_sales", "line_net", state)

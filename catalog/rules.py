@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from catalog.registry import query, table
 from catalog.scalars import labelled_documents
 from tallybook.operators.profile import (
+    folded_profile,
+    load_sketches,
     complexity_score,
     describe_input,
     load_summary,
@@ -298,3 +300,24 @@ def dq_large_numbers(spark: SparkSession, sf: str) -> DataFrame:
         business_rule("long", "y + 1 > 0"), business_rule("decimal", "z * z > z"),
     ]
     return violations(lines, rules, "row_id", TODAY).select("row_id", "rule", "value")
+
+
+def _bound_sql(name: str) -> str:
+    return f"""SELECT '{name}' AS column_name, count({name}) AS non_null_count, count(*) - count({name}) AS null_count,
+        CAST(min({name}) AS VARCHAR) AS min_value, CAST(max({name}) AS VARCHAR) AS max_value, true AS close FROM lineitem"""
+
+
+@query("\n    UNION ALL ".join(_bound_sql(n) for n in ("l_orderkey", "l_linenumber", "l_returnflag")))
+def profile_of_three_loads(spark: SparkSession, sf: str) -> DataFrame:
+    """Three loads folded from their sketches; ``close``: distinct counts and quantiles are within the stated error of the exact ones."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    loads = [load_sketches(lines.where(F.pmod("l_orderkey", F.lit(3)) == k), f"load {k}") for k in range(3)]
+    folded = folded_profile(loads[0].unionByName(loads[1]).unionByName(loads[2]))
+    exact = profile_columns(lines).select("column_name", F.col("distinct_count").alias("exact"))
+    rank = lines.agg(F.percentile("l_orderkey", [0.2, 0.3, 0.45, 0.55, 0.7, 0.8]).alias("p"))
+    near = F.abs(F.col("distinct_count") - F.col("exact")) <= 0.08 * F.col("exact")
+    middle = (F.col("column_name") != "l_orderkey") | (
+        F.col("q25").between(F.col("p")[0], F.col("p")[1]) & F.col("q50").between(F.col("p")[2], F.col("p")[3]) & F.col("q75").between(F.col("p")[4], F.col("p")[5])
+    )
+    met = folded.join(exact, "column_name").join(rank.withColumn("column_name", F.explode(F.array(*[F.lit(c) for c in lines.columns]))), "column_name")
+    return met.select("column_name", "non_null_count", "null_count", "min_value", "max_value", (near & middle).alias("close"))

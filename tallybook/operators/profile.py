@@ -80,6 +80,62 @@ def profile_columns(df: DataFrame, approx: bool = False) -> DataFrame:
     return wide.select(F.explode(lines).alias("line")).select("line.*")
 
 
+QUANTILES = (0.25, 0.5, 0.75)
+
+
+def load_sketches(df: DataFrame, load: str) -> DataFrame:
+    """What one load adds to a table's profile: a row per column, to be appended to those of earlier loads.
+
+    Rows, filled cells, smallest and largest value, and two mergeable sketches: of distinct values, and of quantiles for number
+    columns.  One pass, no shuffle of values; ``folded_profile`` gives the profile of any loads together.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    names = _profiled(df)
+    figures: list[Column] = [F.count(F.lit(1)).alias("rows")]
+    for i, n in enumerate(names):
+        c, numeric = field(n), isinstance(kinds[n], T.NumericType)
+        figures += [
+            F.count(c).alias(f"filled{i}"), F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}"),
+            F.hll_sketch_agg(c.cast("string"), HLL_BITS).alias(f"distinct{i}"),
+            (F.kll_sketch_agg_double(c.cast("double")) if numeric else F.lit(None).cast("binary")).alias(f"quantiles{i}"),
+        ]
+    wide = df.agg(*figures)
+    lines = []
+    for i, n in enumerate(names):
+        number = lambda c: F.col(c).cast("double") if isinstance(kinds[n], T.NumericType) else F.lit(None).cast("double")  # noqa: B023, E731
+        lines.append(F.struct(
+            F.lit(load).alias("load"), F.lit(i).alias("position"), F.lit(n).alias("column_name"), F.col("rows"), F.col(f"filled{i}").alias("filled"),
+            number(f"min{i}").alias("low"), F.col(f"min{i}").cast("string").alias("min_value"),
+            number(f"max{i}").alias("high"), F.col(f"max{i}").cast("string").alias("max_value"),
+            F.col(f"distinct{i}").alias("distinct"), F.when(F.col(f"filled{i}") > 0, F.col(f"quantiles{i}")).alias("quantiles"),
+        ))
+    return wide.select(F.explode(F.array(*lines)).alias("line")).select("line.*")
+
+
+HLL_BITS = 12
+"""Logarithm of the registers of a distinct sketch; its standard error is about 1.04 / sqrt(2^12), 1.6 %."""
+
+
+def folded_profile(sketches: DataFrame, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+    """Profile of several loads from their sketches alone: no load is read again.
+
+    Counts, smallest and largest values are exact; ``distinct_count`` and the quantiles (``q25`` and so on, of number
+    columns) are within the sketches' error, whatever the number of loads.
+    """
+    filled = F.col("filled") > 0
+    folded = sketches.groupBy("column_name").agg(
+        F.max("position").alias("position"), F.sum("rows").alias("rows"), F.sum("filled").alias("filled"),
+        F.min(F.when(filled, F.struct("low", "min_value"))).alias("least"), F.max(F.when(filled, F.struct("high", "max_value"))).alias("most"),
+        F.hll_union_agg("distinct").alias("distinct"), F.count("quantiles").alias("n"), F.kll_merge_agg_double("quantiles").alias("quantiles"),
+    )
+    return folded.select(
+        "position", "column_name", F.col("filled").alias("non_null_count"), (F.col("rows") - F.col("filled")).alias("null_count"),
+        F.hll_sketch_estimate("distinct").alias("distinct_count"), F.col("least.min_value").alias("min_value"), F.col("most.max_value").alias("max_value"),
+        F.coalesce(F.try_divide(F.col("rows") - F.col("filled"), F.col("rows")), F.lit(0.0)).alias("null_share"),
+        *[F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("quantiles", F.lit(q))).alias(f"q{round(100 * q)}") for q in quantiles],
+    )
+
+
 def _null_cells(columns: Sequence[str]) -> Column:
     """Number of null cells in a row."""
     return reduce(lambda a, b: a + b, [field(c).isNull().cast("long") for c in columns])

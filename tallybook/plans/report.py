@@ -24,7 +24,7 @@ from tallybook.functions.formula import (
     parse_all,
 )
 from tallybook.functions.keys import integral_fields, mapping_key
-from tallybook.functions.predicates import scan_filtered
+from tallybook.functions.predicates import condition_filter, scan_filtered
 from tallybook.functions.reasons import with_reasons
 from tallybook.functions.text import field, quoted
 from tallybook.operators.joins import resolve_fallback
@@ -312,6 +312,34 @@ def report_key(report: DataFrame) -> Column:
     return F.coalesce(*[F.concat(F.lit(f"{c}="), field(c)) for c in keys])
 
 
+def keyed_source(source: str, df: DataFrame, definition: ReportDefinition) -> DataFrame:
+    """The source's rows with their report key, ``<source>_mapping_key``: null where a key field is missing or a filter leaves the row out."""
+    key = mapping_key(df, _by_base(definition.mapping_keys).get(base_name(source), ()), row_id="_id")
+    passes = condition_filter(df, _by_base(definition.conditions).get(base_name(source), ()))
+    return df.withColumn(f"{base_name(source)}_mapping_key", key if passes is None else F.when(passes, key))
+
+
+def source_accounts(sources: Mapping[str, DataFrame], definition: ReportDefinition) -> DataFrame:
+    """What becomes of each source's rows in a report: ``read`` = ``filtered`` + ``skipped`` + ``superseded`` + ``merged``.
+
+    ``filtered`` rows fail the conditions, ``skipped`` ones have no mapping key, ``superseded`` ones share their key with a later row,
+    ``merged`` is the number of keys that reach the report.  One shuffle of keys a source, combined in each task before.
+    """
+    lines = []
+    for source, df in _by_base(sources).items():
+        key = mapping_key(df, _by_base(definition.mapping_keys).get(source, ()), row_id="_id")
+        passes = condition_filter(df, _by_base(definition.conditions).get(source, ()))
+        passes = F.lit(True) if passes is None else F.coalesce(passes, F.lit(False))
+        per_key = df.select(passes.alias("passes"), F.when(passes, key).alias("key")).groupBy("passes", "key").agg(F.count(F.lit(1)).alias("n"))
+        has_key = F.col("key").isNotNull()
+        total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+        lines.append(per_key.agg(
+            F.lit(source).alias("source"), total(F.lit(True)).alias("read"), total(~F.col("passes")).alias("filtered"),
+            total(F.col("passes") & ~has_key).alias("skipped"), (total(has_key) - F.count_if(has_key)).alias("superseded"), F.count_if(has_key).alias("merged"),
+        ))
+    return reduce(DataFrame.union, lines)
+
+
 def changed_sources(
     sources: Mapping[str, DataFrame], changed: Mapping[str, DataFrame], definition: ReportDefinition
 ) -> dict[str, DataFrame]:

@@ -8,6 +8,8 @@ from tallybook.functions.rule_text import safe_predicate
 from tallybook.operators.profile import (
     complexity_score,
     describe_input,
+    folded_profile,
+    load_sketches,
     load_summary,
     null_fraction,
     overall_quality,
@@ -272,3 +274,19 @@ def test_enums_are_exact(spark):
     df = spark.sql("SELECT 9007199254740993L AS n, CAST('9007199254740993.5' AS DECIMAL(30,1)) AS d, 0.5D AS f UNION ALL SELECT 7, 7, 7")
     rules = [enum_set("n", [9007199254740992, "7.0"]), enum_set("d", ["9007199254740993.5", 7.5, 8]), enum_set("f", ["0.5", "x"])]
     assert sorted((r["n"], r["rule"]) for r in violations(df, rules, "n").collect()) == [(7, "enum_d"), (7, "enum_f"), (9007199254740993, "enum_n")]
+
+
+def test_profile_of_loads_equals_that_of_their_union(spark):
+    df = spark.range(3000).selectExpr("id", "IF(id % 4 = 0, NULL, id * 0.5) AS v", "IF(id < 1000, NULL, concat('t', id % 50)) AS t", "date_add(DATE'2024-01-01', CAST(id % 90 AS INT)) AS d")
+    loads = [df.where(f"id >= {a} AND id < {b}") for a, b in ((0, 1000), (1000, 1100), (1100, 3000), (9000, 9001))]
+    sketches = [load_sketches(d, str(i)) for i, d in enumerate(loads)]
+    folded = {r["column_name"]: r for r in folded_profile(sketches[0].union(sketches[1]).union(sketches[2]).union(sketches[3])).collect()}
+    exact = {r["column_name"]: r for r in profile_columns(df).collect()}
+    assert set(folded) == set(exact)
+    for name, e in exact.items():
+        f = folded[name]
+        assert all(f[c] == e[c] for c in ("position", "non_null_count", "null_count", "min_value", "max_value", "null_share"))
+        assert abs(f["distinct_count"] - e["distinct_count"]) <= 0.08 * e["distinct_count"]
+    assert abs(folded["id"]["q50"] - 1500) < 100 and abs(folded["v"]["q25"] - 375) < 50 and folded["t"]["q75"] is None
+    nothing = folded_profile(load_sketches(df.limit(0), "0")).where("column_name = 'v'").first()
+    assert (nothing["non_null_count"], nothing["distinct_count"], nothing["min_value"], nothing["q50"]) == (0, 0, None, None)
