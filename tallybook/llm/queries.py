@@ -11,6 +11,7 @@ from tallybook.llm.common import table
 from tallybook.llm.decontam import leaks
 from tallybook.llm.language import identify_languages
 from tallybook.llm.neardup import near_duplicates
+from tallybook.llm.oracles import ORACLES
 from tallybook.llm.packing import pack
 from tallybook.llm.pagetext import main_texts
 from tallybook.llm.quality import quality_scores
@@ -24,7 +25,7 @@ from tallybook.llm.urlfilter import url_verdicts
 from tallybook.sources.files import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
