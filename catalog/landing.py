@@ -18,6 +18,7 @@ from tallybook.sources.files import (
     read_any,
     read_delimited,
     read_inferred,
+    read_split_records,
     scratch_folder,
     write_summary,
 )
@@ -341,6 +342,20 @@ def source_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(bad).withColumn("failed", F.array_join("failed_rules", "+")).drop("failed_rules")
 
 
+@query("""
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, length(t) AS n_chars, md5(t) AS md5
+    FROM (SELECT doc_id, source, replace(text, chr(13), ' ') || chr(10) || '"' || lang || '", ' AS t FROM documents)
+""")
+def csv_split_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with line breaks, quotes and commas through a delimited file whose records lie over the ends of its splits."""
+    folder = scratch_folder(spark, "records")
+    text = F.concat(F.replace("text", F.lit("\r"), F.lit(" ")), F.lit('\n"'), "lang", F.lit('", '))
+    docs = table(spark, sf, "documents").select("doc_id", "source", text.alias("t"))
+    docs.repartition(2).write.options(header=True, quote='"', escape='"', ignoreTrailingWhiteSpace=False, ignoreLeadingWhiteSpace=False).csv(f"{folder}/in")
+    found = read_split_records(spark, f"{folder}/in")
+    return found.select("doc_id", "source", F.length("t").cast("long").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("md5"))
+
+
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "events").schema
     return file_source(spark, sf, schema, "events.parquet")

@@ -17,7 +17,7 @@ from tallybook.functions.text import clean_strings, field, parse_amount
 from tallybook.operators.projections import cast_to_schema, rename_columns, replace_cells
 from tallybook.operators.quality import failed_names, rules_from_dict, with_failures
 from tallybook.operators.tables import change_counts, change_labels, latest_per_key, upsert, without_repeats
-from tallybook.sources.files import read_delimited, scratch_folder
+from tallybook.sources.files import read_delimited, read_split_records, scratch_folder
 from tallybook.sources.landing import header_gate, normalize_header, normalize_headers
 from tallybook.sources.splits import counted, write_split, written
 
@@ -32,7 +32,7 @@ class SourceConfig:
 
     ``mapping`` goes from the file's headers (as written or cleaned) to fields; ``types`` declares date, timestamp, decimal, int or long
     for fields that are no texts.  ``dedupe_keys`` and ``order`` choose among rows of one delivery, ``upsert_key`` (one field or
-    several) the row they replace.  ``rescued`` names the column that keeps cells which cannot be read as their type.
+    several) the row they replace.  ``multiline`` allows line breaks in cells, ``"split"`` without one task per file.  ``rescued`` names the column that keeps cells which cannot be read as their type.
     """
 
     mapping: Mapping[str, str]
@@ -46,7 +46,7 @@ class SourceConfig:
     amount_locale: str = "en_IN"
     delimiter: str = ","
     encoding: str = "UTF-8"
-    multiline: bool = False
+    multiline: bool | str = False
     rescued: str = "_rescued"
 
     @property
@@ -69,7 +69,7 @@ class SourceConfig:
             amount_locale=config.get("amount_locale", "en_IN"),
             delimiter=config.get("delimiter", ","),
             encoding=config.get("encoding", "UTF-8"),
-            multiline=bool(config.get("multiline", False)),
+            multiline=config.get("multiline") or False,
         )
 
 
@@ -141,9 +141,10 @@ def load_source(
     later row with their upsert key.  A cell that cannot be read keeps its text in ``config.rescued``, breaks the rules
     of its field, and is counted in ``rescued_cells``.  Rows without key are left out of the table.
     """
-    landed = read_delimited(
-        spark, path, config.delimiter, config.encoding, multiline=config.multiline, malformed=_MALFORMED
-    )
+    if config.multiline == "split":
+        landed = read_split_records(spark, path, config.delimiter, malformed=_MALFORMED)
+    else:
+        landed = read_delimited(spark, path, config.delimiter, config.encoding, multiline=config.multiline, malformed=_MALFORMED)
     named = normalize_headers(landed.drop(_MALFORMED))
     if config.registered:
         header_gate(named, config.registered)

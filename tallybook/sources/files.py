@@ -6,10 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallybook.functions.text import quoted
+
 MEGABYTE = 2**20
 
 
@@ -42,6 +44,51 @@ def read_delimited(
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
+def read_split_records(
+    spark: SparkSession,
+    path: str,
+    delimiter: str = ",",
+    schema: T.StructType | str | None = None,
+    malformed: str | None = None,
+) -> DataFrame:
+    """Header text file (UTF-8) whose quoted cells may hold line breaks, read by many tasks however large a file is.
+
+    Lines are read as they lie in the splits of a file.  A line begins a record when the quotes before it are even in number: a
+    prefix sum over the splits of a file (one small row each), then over the lines of a split.  Lines of one record are put
+    together again, also across splits, and parsed by ``from_csv``.  Every quote opens or closes a cell or is doubled within
+    one; a file with single quotes inside bare cells is for ``read_delimited``.  Rows are those of ``multiline=True``: line breaks
+    inside cells become ``\\n``, blank lines are left out, ``malformed`` takes the text of records with too few or too many cells.
+    """
+    if schema is None:
+        schema = read_delimited(spark, path, delimiter, multiline=True).schema  # reads the header alone
+    elif isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    lines = spark.read.text(path).select("value", place.alias("at"), F.monotonically_increasing_id().alias("line"))
+    lines = lines.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    earlier = Window.partitionBy("at.file").orderBy("at.split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("at").agg(F.sum("quotes").alias("all"), F.min("line").alias("first"))
+    splits = splits.select("at", "first", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("before"))
+    in_split = Window.partitionBy("at").orderBy("line")
+    upto = in_split.rowsBetween(Window.unboundedPreceding, -1)
+    read = lines.join(splits, "at").withColumn("open", (F.col("before") + F.coalesce(F.sum("quotes").over(upto), F.lit(0))) % 2 == 1)
+    begins = F.when(~F.col("open"), F.col("line"))
+    read = read.withColumn("record", F.last(begins, ignorenulls=True).over(in_split.rowsBetween(Window.unboundedPreceding, 0)))
+    # Lines at the start of a split that go on with a record of an earlier split: its number is the last one before.
+    last = read.groupBy("at").agg(F.max("record").alias("latest"))
+    last = last.select("at", F.last("latest", ignorenulls=True).over(earlier).alias("carried"))
+    read = read.join(last, "at").select("at.file", "line", "value", "at.split", F.coalesce("record", "carried").alias("record"), ((F.col("at.split") == 0) & (F.col("line") == F.col("first"))).alias("lead"))
+    ordered = F.array_sort(F.collect_list(F.struct("split", "line", "value")))
+    records = read.groupBy("file", "record").agg(ordered.alias("lines"), F.bool_or("lead").alias("header"))
+    text = F.array_join(F.transform("lines", lambda x: x["value"]), "\n")
+    bad = malformed or "__malformed"
+    wanted = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
+    layout = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in wanted.fields)
+    parsed = records.where(~F.col("header")).select(text.alias("text")).where(F.trim("text") != "").select(F.from_csv("text", layout, options).alias("row"))
+    return parsed.select("row.*") if malformed else parsed.select(*[F.col("row")[f.name].alias(f.name) for f in schema.fields])
+
+
 def read_inferred(
     spark: SparkSession,
     path: str,

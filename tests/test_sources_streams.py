@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tallybook.sources.files import (
     read_any,
     read_delimited,
     read_inferred,
+    read_split_records,
     scratch_folder,
     write_summary,
 )
@@ -308,3 +310,34 @@ def test_split_is_written_in_one_pass(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(part" in plan
     nothing = write_split(numbers.where("id < 0"), f"{tmp_path}/nothing", "part", **counted("part", "low"))
     assert nothing.figures == {"low": 0} and nothing.part("low").count() == 0
+
+
+def test_records_with_line_breaks_are_read_by_many_tasks(spark, tmp_path):
+    """Cells with quotes, separators and line breaks over the ends of splits: the rows of the plain multi-line reader."""
+    rng = random.Random(1)
+
+    def cell():
+        text = "".join(rng.choice(["a", "b", " ", ",", '"', "\n", "\n\n", "é"]) for _ in range(rng.randint(0, 12)))
+        return '"' + text.replace('"', '""') + '"' if set(text) & set(',"\n') or rng.random() < 0.3 else text
+
+    (tmp_path / "in").mkdir()
+    for f in range(2):
+        body = "".join(f"{k},{cell()},{cell()}\n" for k in range(500))
+        (tmp_path / "in" / f"f{f}.csv").write_text(f'k,"odd name",t\n{body}7,short\n\n"8","{"long, " * 900}\n","last"\n')
+    (tmp_path / "in" / "empty.csv").write_text('k,"odd name",t\n')
+    path, size = f"{tmp_path}/in", "spark.sql.files.maxPartitionBytes"
+    want = rows(read_delimited(spark, path, multiline=True, malformed="_bad"))
+    spark.conf.set(size, "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 4
+        assert rows(read_split_records(spark, path, malformed="_bad")) == want
+        assert len(want) == 1004 and sum(r["_bad"] is not None for r in want) == 2
+        typed = read_split_records(spark, path, schema="k int, n string, t string")
+        assert typed.where("k = 8").count() == 4 and typed.columns == ["k", "n", "t"]
+    finally:
+        spark.conf.unset(size)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    config = SourceConfig.from_dict({"types": {"k": "int"}, "load": {"upsert_key": "k"}, "multiline": "split"})
+    counts = rows(load_source(spark, path, config, folder=f"{tmp_path}/work").counts)[0]
+    assert (counts["read"], counts["malformed"]) == (1004, 2) and counts["inserted"] == 500
