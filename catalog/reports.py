@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from catalog.registry import query, table
 from tallybook.config import ReportDefinition
 from tallybook.functions.formula import calculated_columns
 from tallybook.operators.stats import alert_flags, reason_breakdown, recon_summary
+from tallybook.plans.batch import build_reports
 from tallybook.plans.report import build_dashboard, build_report, keyed_source, refresh_report, source_accounts
 
 
@@ -458,3 +462,23 @@ def report_refresh_changed(spark: SparkSession, sf: str) -> DataFrame:
     fresh = refresh_report(stored, now, definition, changed={"orders": altered}, unique=["orders", "lineitem"], stamp=False)
     state = F.when(F.col("total_sales") == F.col("total_before"), "old").otherwise("new").alias("state")
     return fresh.where("lineitem_mapping_key IS NOT NULL AND orders_mapping_key IS NOT NULL").select("orders_mapping_key", "total_sales", "line_net", state)
+
+
+def _run_sql(name: str, status: str, threshold: int) -> str:
+    return f"""SELECT '{name}' AS report_name, CAST(o.o_orderkey AS VARCHAR) AS orders_mapping_key,
+            CAST(l.l_orderkey AS VARCHAR) AS lineitem_mapping_key, o.o_totalprice AS total_sales, l.line_net,
+            coalesce(o.o_totalprice, 0) - coalesce(l.line_net, 0) AS sales_delta,
+            CASE WHEN abs(coalesce(o.o_totalprice, 0) - coalesce(l.line_net, 0)) > {threshold} THEN 'AMOUNT_DIFF' ELSE '' END AS reason,
+            CASE WHEN abs(coalesce(o.o_totalprice, 0) - coalesce(l.line_net, 0)) > {threshold} THEN 'UNRECONCILED' ELSE 'RECONCILED' END
+                AS reconciliation_status
+        FROM (SELECT * FROM orders WHERE o_orderstatus <> '{status}') o FULL JOIN {LINES} l ON o.o_orderkey = l.l_orderkey"""
+
+
+@query(" UNION ALL ".join([_run_sql("closed", "F", 50_000), _run_sql("open", "O", 10_000), _run_sql("all", "-", 100_000)]))
+def reports_in_one_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Three reports over orders and line totals from one reading of each source."""
+    wanted = {"closed": ("F", 50_000), "open": ("O", 10_000), "all": (None, 100_000)}
+    definitions = [dataclasses.replace(order_definition(threshold, status), name=name) for name, (status, threshold) in wanted.items()]
+    sources = {"orders": table(spark, sf, "orders"), "lineitem": line_totals(spark, sf)}
+    found = build_reports(sources, definitions, stamp=False)
+    return reduce(DataFrame.union, [df.withColumn("report_name", F.lit(name)) for name, df in found.items()])

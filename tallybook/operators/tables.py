@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +28,18 @@ def _orderable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.VariantType))
 
 
+def last_row(kinds: Mapping[str, T.DataType], columns: Sequence[str], order: Sequence[str] = (), among: Column | None = None) -> Column:
+    """Aggregate: the columns of the last row by ``order`` as a struct, ties broken by the other columns; only rows ``among`` count."""
+    only = (lambda c: c) if among is None else (lambda c: F.when(among, c))
+    first = [o for o in order if o in columns]
+    complete = first + [c for c in columns if c not in first and _orderable(kinds[c])]
+    if len(complete) == len(columns):
+        return F.max(only(F.struct(*[field(c) for c in complete])))
+    # what cannot be ordered decides ties by its printed form, so that no run differs
+    printed = [F.to_json(F.struct(field(c))) for c in columns if not _orderable(kinds[c])]
+    return F.max_by(F.struct(*[field(c) for c in columns]), only(F.struct(*[field(c) for c in complete], *printed)))
+
+
 def latest_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), copies: str | None = None, weight: str | None = None
 ) -> DataFrame:
@@ -46,20 +58,12 @@ def latest_per_key(
     shown = [field(copies)] if copies else []
     if not rest:
         return df.groupBy(*[field(c) for c in wanted]).agg(*counts) if counts else df.distinct()
-    first = [o for o in order if o in rest]
-    plain = [c for c in rest if c not in first and _orderable(kinds[c])]
-    complete = first + plain
     if len(rest) == 1 and isinstance(kinds[rest[0]], (T.NumericType, T.DatetimeType)):
         # a single fixed-width value needs no struct, so this aggregates by hash
         return df.groupBy(*[field(k) for k in keys]).agg(F.max(field(rest[0])).alias(rest[0]), *counts).select(
             *[field(c) for c in wanted], *shown
         )
-    if len(complete) == len(rest):
-        best = F.max(F.struct(*[field(c) for c in complete]))
-    else:
-        # what cannot be ordered decides ties by its printed form, so that no run differs
-        printed = [F.to_json(F.struct(field(c))) for c in rest if not _orderable(kinds[c])]
-        best = F.max_by(F.struct(*[field(c) for c in rest]), F.struct(*[field(c) for c in complete], *printed))
+    best = last_row(kinds, rest, order)
     grouped = df.groupBy(*[field(k) for k in keys]).agg(best.alias("__row"), *counts)
     return grouped.select(
         *[field(c) if c in keys else F.col(f"__row.{quoted(c)}").alias(c) for c in wanted], *shown

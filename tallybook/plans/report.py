@@ -93,6 +93,38 @@ def _raw(source: str, name: str) -> str:
     return f"__raw_{source}__{name}"
 
 
+def _wanted(source: str, df: DataFrame, plan: Assignment, order: Sequence[str], order_id: str | None) -> list[str]:
+    """The columns of a source that a report reads beside its key."""
+    wanted = [n for f in plan.owned(source) for s, n in plan.table[f][1].fields if n in df.columns]
+    wanted += [ORDER_DATE] if ORDER_DATE in df.columns else []
+    wanted += [o for o in order if o in df.columns] + ([order_id] if order_id in df.columns else [])
+    return list(dict.fromkeys(wanted))
+
+
+def _own_formulas(pruned: DataFrame, source: str, plan: Assignment, wanted: Sequence[str]) -> DataFrame:
+    """Add the formulas that need nothing from other sources."""
+    kinds = cells_of(pruned)
+    row = {n: kinds[_raw(source, n)] for n in wanted}
+    late = plan.late(source)
+    own = [n for n in plan.owned(source) if n not in late]
+    calculated: dict = {}
+    for level in dependency_levels({n: [d for d in plan.inputs(n) if d in own] for n in own}):
+        new = [
+            formula_column(*plan.table[n], row, calculated).alias(CALCULATED_PREFIX + n)
+            for n in level
+        ]
+        pruned = pruned.select("*", *new)
+        kinds = cells_of(pruned)
+        calculated |= {n: kinds[CALCULATED_PREFIX + n] for n in level}
+    return pruned
+
+
+def _needed_later(source: str, plan: Assignment, wanted: Sequence[str], order_id: str | None = None) -> set[str]:
+    """Raw columns that are used after the sources have met."""
+    late = {_raw(source, n) for f in plan.late(source) for _, n in plan.table[f][1].fields if n in wanted}
+    return late | {_raw(source, n) for n in (ORDER_DATE, order_id) if n in wanted}
+
+
 def _prepare(
     source: str,
     df: DataFrame,
@@ -112,10 +144,7 @@ def _prepare(
         keys = [field(n).cast("long") for n in key_fields]
     else:
         keys = [mapping_key(df, key_fields, row_id="_id")]
-    wanted = [n for f in plan.owned(source) for s, n in plan.table[f][1].fields if n in df.columns]
-    wanted += [ORDER_DATE] if ORDER_DATE in df.columns else []
-    wanted += [o for o in order if o in df.columns] + ([order_id] if order_id in df.columns else [])
-    wanted = list(dict.fromkeys(wanted))
+    wanted = _wanted(source, df, plan, order, order_id)
     pruned = df.select(
         *[k.alias(c) for k, c in zip(keys, join_columns)],
         *[field(n).alias(_raw(source, n)) for n in wanted],
@@ -124,21 +153,8 @@ def _prepare(
         pruned = pruned.where(field(c).isNotNull())
     if not unique:
         pruned = latest_per_key(pruned, join_columns, [_raw(source, o) for o in order])
-    kinds = cells_of(pruned)
-    row = {n: kinds[_raw(source, n)] for n in wanted}
-    late = plan.late(source)
-    own = [n for n in plan.owned(source) if n not in late]
-    calculated: dict = {}
-    for level in dependency_levels({n: [d for d in plan.inputs(n) if d in own] for n in own}):
-        new = [
-            formula_column(*plan.table[n], row, calculated).alias(CALCULATED_PREFIX + n)
-            for n in level
-        ]
-        pruned = pruned.select("*", *new)
-        kinds = cells_of(pruned)
-        calculated |= {n: kinds[CALCULATED_PREFIX + n] for n in level}
-    needed_later = {_raw(source, n) for f in late for _, n in plan.table[f][1].fields}
-    needed_later |= {_raw(source, n) for n in (ORDER_DATE, order_id) if n in wanted}
+    pruned = _own_formulas(pruned, source, plan, wanted)
+    needed_later = _needed_later(source, plan, wanted, order_id)
     if fallback:
         needed_later |= {_raw(source, o) for o in order}
     kept = [c for c in pruned.columns if not c.startswith("__raw_") or c in needed_later]
@@ -151,6 +167,13 @@ def _key_text(columns: Sequence[str]) -> Column:
     return F.when(present, F.concat_ws("_", *parts)) if len(parts) > 1 else parts[0]
 
 
+def _join_columns(sources: Sequence[str], frames: Mapping[str, DataFrame], key_fields: Mapping[str, Sequence[str]], text: bool = False) -> tuple[list[str], bool]:
+    """Names of the join columns, and whether keys are joined as whole numbers."""
+    widths = {len(key_fields.get(s, ())) for s in sources}
+    on_numbers = not text and len(widths) == 1 and all(integral_fields(frames[s], key_fields.get(s, ())) for s in sources)
+    return [f"__key{i}" for i in range(widths.pop() if on_numbers else 1)], on_numbers
+
+
 def build_report(
     sources: Mapping[str, DataFrame],
     definition: ReportDefinition,
@@ -181,13 +204,7 @@ def build_report(
     unique = {base_name(u) for u in unique}
     key_fields = _by_base(definition.mapping_keys)
 
-    widths = {len(key_fields.get(s, ())) for s in plan.sources}
-    on_numbers = (
-        not fallback
-        and len(widths) == 1
-        and all(integral_fields(frames[s], key_fields.get(s, ())) for s in plan.sources)
-    )
-    join_columns = [f"__key{i}" for i in range(widths.pop() if on_numbers else 1)]
+    join_columns, on_numbers = _join_columns(plan.sources, frames, key_fields, text=fallback)
 
     frames_by_key: list[DataFrame] = []
     for source in plan.sources:
@@ -208,7 +225,11 @@ def build_report(
         else:
             prepared = prepared.withColumn(own_key, _key_text(join_columns))
         frames_by_key.append(prepared)
-    merged = _merge(frames_by_key, join_columns)
+    return _finished(_merge(frames_by_key, join_columns), plan, definition, stamp)
+
+
+def _finished(merged: DataFrame, plan: Assignment, definition: ReportDefinition, stamp: bool) -> DataFrame:
+    """Merged rows with late formulas, order date, deltas and reasons."""
     merged = _late_formulas(merged, plan)
     dates = [_raw(s, ORDER_DATE) for s in reversed(plan.sources)]
     kinds = cells_of(merged)
@@ -248,6 +269,12 @@ def _merge(frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
     met = reduce(DataFrame.union, parts).groupBy(*[field(c) for c in on]).agg(
         *[F.first(f"__source{j}", ignorenulls=True).alias(f"__source{j}") for j in places]
     )
+    return _rows_of(met, on, cells, kinds)
+
+
+def _rows_of(met: DataFrame, on: Sequence[str], cells: Sequence[Sequence[str]], kinds: Sequence[T.StructType]) -> DataFrame:
+    """Report rows of keys with one struct ``__source<place>`` per source that has the key."""
+    places = range(len(cells))
     at = [F.col(f"__source{j}") for j in places]
 
     def row(wanted: Collection[int]) -> Column:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybook.config import ReportDefinition
+from tallybook.plans.batch import build_reports
 from tallybook.plans.report import (
     assign_formulas,
     build_dashboard,
@@ -281,3 +282,55 @@ def test_refresh_by_changed_keys_equals_a_whole_refresh(spark):
     assert plan.count("LeftAnti, BuildRight") >= 1 and "BroadcastHashJoin" in plan
     with pytest.raises(ValueError):
         refresh_report(stored, now, definition, changed={"one": altered}, fallback=True)
+
+
+def family():
+    def one(name, formulas, conditions=None, keys=("sales", "pos", "bank"), deltas=()):
+        fields = {"sales": ["id"], "pos": ["ref"], "bank": ["utr"]}
+        return ReportDefinition.from_dict({
+            "report_name": name, "formulas": [{"logicNameKey": n, "formulaText": t} for n, t in formulas],
+            "mapping_keys": {k: fields[k] for k in keys}, "conditions": conditions or {},
+            "delta_columns": [{"delta_column_name": n, "value": v} for n, v in deltas],
+        })
+
+    both = [("TOTAL", "sales.amount"), ("POS_NET", "pos.net")]
+    kind = lambda *values: {"sales": [{"column": "kind", "operator": "in", "value": list(values)}]}
+    return [
+        one("plain", both, keys=("sales", "pos"), deltas=[("GAP", "TOTAL - POS_NET")]),
+        one("sold", both, kind("sale"), ("sales", "pos"), [("GAP", "TOTAL - POS_NET")]),
+        one("other_columns", [("TOTAL", "sales.amount + sales.tax"), ("POS_NET", "pos.net - TOTAL")], kind("sale", "refund"), ("sales", "pos")),
+        one("three", [*both, ("PAID", "bank.paid - POS_NET")], kind("refund")),
+        one("pos_first", [("POS_NET", "pos.net"), ("TOTAL", "sales.amount")], keys=("sales", "pos")),
+    ]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_reports_in_one_run_equal_single_ones(spark, kind):
+    sales = spark.createDataFrame(
+        [(1, 5.0, 1.0, "sale", 1, {"a": 1}), (1, 7.0, 1.0, "refund", 2, None), (1, 7.0, 2.0, "sale", 2, {"b": 2}), (2, 3.0, None, None, 1, None),
+         (None, 9.0, 9.0, "sale", 1, None), (3, None, 1.0, "refund", 1, None), (3, None, 1.0, "refund", 1, None), (6, 1.0, 1.0, "sale", 1, None)],
+        "id long, amount double, tax double, kind string, at int, more map<string,int>",
+    ).withColumn("id", F.col("id").cast(kind))
+    pos = spark.createDataFrame([(1, 2.0), (1, 4.0), (3, 1.0), (4, 8.0), (5, None)], "ref long, net double").withColumn("ref", F.col("ref").cast(kind))
+    bank = spark.createDataFrame([(1, 2.0), (4, 6.0), (7, 1.0), (None, 1.0)], "utr long, paid double").withColumn("utr", F.col("utr").cast(kind))
+    sources, order = {"sales": sales, "pos": pos, "bank": bank}, {"sales": ["at"], "pos": ["net"]}
+    found = build_reports(sources, family(), order=order, stamp=False)
+    assert list(found) == ["plain", "sold", "other_columns", "three", "pos_first"]
+    for definition in family():
+        alone = build_report(sources, definition, order=order, stamp=False)
+        assert found[definition.name].columns == alone.columns
+        assert found[definition.name].dtypes == alone.dtypes
+        assert rows(found[definition.name]) == rows(alone)
+    plan = found["sold"]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") == 1
+    assert list(build_reports(sources, family(), names=["sold"], stamp=False)) == ["sold"]
+
+
+def test_reports_in_one_run_of_no_rows_and_repeated_names(spark):
+    empty = {"sales": spark.createDataFrame([], "id long, amount double, tax double, kind string"), "pos": spark.createDataFrame([], "ref long, net double")}
+    for df in build_reports(empty, [d for d in family() if d.name != "three"]).values():
+        assert df.count() == 0
+    with pytest.raises(ValueError, match="differ"):
+        build_reports(empty, [family()[0], family()[0]])
+    with pytest.raises(ValueError, match="bank"):
+        build_reports(empty, family())
