@@ -17,6 +17,7 @@ from tallybook.operators.joins import (
     settlement_match,
     unmatched,
 )
+from tallybook.operators.stored import store
 from tallybook.operators.tables import (
     archive_processed,
     change_counts,
@@ -32,6 +33,7 @@ from tallybook.operators.tables import (
 )
 from tallybook.plans.collection import process_collection
 from tallybook.plans.match import match_sources
+from tallybook.sources.files import scratch_folder
 
 
 def as_double(df: DataFrame, *names: str) -> DataFrame:
@@ -130,6 +132,25 @@ def upsert_orders(spark: SparkSession, sf: str) -> DataFrame:
     return as_double(kept, "version")
 
 
+@query(f"""
+    SELECT coalesce(s.o_orderkey, f.o_orderkey)::DOUBLE AS o_orderkey, coalesce(f.o_totalprice, s.o_totalprice) AS o_totalprice, s.note,
+        coalesce(f.o_orderstatus, s.o_orderstatus) AS o_orderstatus, CASE WHEN f.o_orderkey IS NOT NULL THEN 2.0 END::DOUBLE AS version
+    FROM (SELECT *, 'old' AS note FROM orders WHERE o_orderstatus <> 'O') s FULL JOIN {FRESH} f ON s.o_orderkey = f.o_orderkey
+    UNION ALL SELECT NULL, o_totalprice, 'old', o_orderstatus, NULL FROM orders WHERE o_orderstatus <> 'O' AND o_orderpriority = '2-HIGH'
+    UNION ALL SELECT NULL, o_totalprice, NULL, o_orderstatus, 3.0 FROM orders WHERE o_orderpriority = '5-LOW'
+""")
+def upsert_stored_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The upsert of orders onto a table in buckets, in two versions; both sides bring rows without key."""
+    stored, incoming = order_tables(spark, sf)
+    orders = table(spark, sf, "orders").withColumn("o_orderkey", F.lit(None).cast("long"))
+    old = orders.where("o_orderstatus <> 'O' AND o_orderpriority = '2-HIGH'").withColumn("note", F.lit("old"))
+    new = orders.where("o_orderpriority = '5-LOW'").withColumn("version", F.lit(3))
+    first = store(stored.unionByName(old), scratch_folder(spark, "orders"), "o_orderkey")
+    later = first.upsert(incoming, ["version"]).upsert(new, ["version"])
+    kept = later.table().select("o_orderkey", "o_totalprice", "note", "o_orderstatus", "version")
+    return as_double(kept, "o_orderkey", "version")
+
+
 CHANGES = f"""(SELECT f.o_orderkey, CASE WHEN s.o_orderkey IS NULL THEN 'insert'
             WHEN s.o_totalprice <> f.o_totalprice THEN 'update' ELSE 'unchanged' END AS change,
             CASE WHEN s.o_totalprice <> f.o_totalprice THEN 'o_totalprice' ELSE '' END AS changed_fields

@@ -114,11 +114,20 @@ def _same_key(key: str) -> Column:
     return (F.col(f"e.{quoted(key)}") == F.col(f"i.{quoted(key)}")) & (F.col(f"e.{_DEALT}") == F.col(f"i.{_DEALT}"))
 
 
-def _merged(
-    existing: DataFrame, incoming: DataFrame, key: str, insert_only: Sequence[str]
+def merged_rows(
+    existing: DataFrame, incoming: DataFrame, key: str, insert_only: Sequence[str] = (), all_keyed: bool = False
 ) -> DataFrame:
-    """Full outer join of two tables, one row per key; incoming values win where an incoming row exists."""
-    both = _marked(existing, key, 1).alias("e").join(_marked(incoming, key, 2).alias("i"), _same_key(key), "full_outer")
+    """Full outer join of two tables, one row per key; incoming values win where an incoming row exists.
+
+    ``all_keyed`` says that no row lacks its key: the join is then by the key alone, so a table that lies in buckets of it stays there.
+    """
+    if all_keyed:
+        there = {_PRESENT: F.lit(True)}
+        sides = existing.withColumns(there).alias("e"), incoming.withColumns(there).alias("i")
+        on = F.col(f"e.{quoted(key)}") == F.col(f"i.{quoted(key)}")
+    else:
+        sides, on = (_marked(existing, key, 1).alias("e"), _marked(incoming, key, 2).alias("i")), _same_key(key)
+    both = sides[0].join(sides[1], on, "full_outer")
     arrived = F.col(f"i.{_PRESENT}").isNotNull()
     known = F.col(f"e.{_PRESENT}").isNotNull()
     out: list[Column] = []
@@ -160,7 +169,7 @@ def upsert(
     the row is new; ``unique`` says that ``incoming`` holds each key once already.  Both sides hold
     each key once when they meet, so no key is ever hot in the join; rows without key pass it spread by a hash.
     """
-    return _merged(existing, _last_rows(incoming, key, order, unique), key, insert_only)
+    return merged_rows(existing, _last_rows(incoming, key, order, unique), key, insert_only)
 
 
 def change_labels(
