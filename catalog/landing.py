@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -238,6 +240,43 @@ def load_profile(spark: SparkSession, sf: str) -> DataFrame:
     return loaded_orders(spark, sf).profile.drop("position")
 
 
+@query("""
+    WITH d AS (SELECT *, o_orderkey % 40 = 5 AS ragged, o_orderkey % 35 = 4 AS twelve, o_orderkey % 28 = 7 AS someday, o_orderstatus = 'F' AS blank FROM orders)
+    SELECT CASE WHEN ragged THEN 'malformed' WHEN twelve OR o_totalprice > 300000 THEN 'quarantined' ELSE 'good' END AS verdict,
+        CASE WHEN NOT ragged THEN CAST(o_orderkey AS VARCHAR) END AS payment_ref,
+        CASE WHEN NOT ragged AND NOT twelve THEN o_totalprice END AS amount,
+        CASE WHEN NOT ragged AND NOT someday THEN o_orderdate END AS settled_on,
+        CASE WHEN NOT ragged AND NOT blank THEN o_orderpriority END AS remark,
+        CASE WHEN ragged THEN '' ELSE concat_ws('+', CASE WHEN twelve THEN 'amount=twelve' END, CASE WHEN someday THEN 'settled_on=someday' END) END AS lost,
+        CASE WHEN NOT ragged AND (twelve OR o_totalprice > 300000) THEN 'range_amount' ELSE '' END AS failed_rules,
+        CASE WHEN NOT ragged THEN 1 - (twelve::INT + someday::INT + blank::INT)::DOUBLE / 4 END AS score
+    FROM d
+""")
+def load_judged(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row of a file that is loaded with rules, wherever it went: ragged lines, unreadable cells, broken ranges."""
+    key = F.col("o_orderkey")
+    line = F.concat_ws(
+        ",", key.cast("string"), F.when(key % 35 == 4, "twelve").otherwise(F.col("o_totalprice").cast("decimal(12,2)").cast("string")),
+        F.when(key % 28 == 7, "someday").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")),
+        F.when(F.col("o_orderstatus") == "F", "  ").otherwise(F.col("o_orderpriority")), F.when(key % 40 == 5, "surplus"),
+    )
+    folder = scratch_folder(spark, "judged")
+    lines = table(spark, sf, "orders").select(line.alias("o_orderkey,o_totalprice,o_orderdate,remark"))
+    lines.repartition(3).write.options(header=True, quote="", escapeQuotes=False, sep="\x01").csv(f"{folder}/in")
+    loaded = load_file(spark, f"{folder}/in", f"{folder}/table", LOAD_NAMES, LOAD_TYPES, stamp=False, rules=[valid_range("amount", 0, 300_000)])
+    lost = F.array_join(F.transform("_rescued", lambda c: F.concat(c["field"], F.lit("="), c["value"])), "+")
+    parts = [
+        loaded.table.withColumns({"verdict": F.lit("good"), "failed_rules": F.lit("")}),
+        loaded.quarantined.withColumns({"verdict": F.lit("quarantined"), "failed_rules": F.array_join("failed_rules", "+")}),
+        loaded.malformed.select(F.lit("malformed").alias("verdict"), F.lit("").alias("failed_rules")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(
+        "verdict", F.col("payment_ref").cast("string").alias("payment_ref"), F.col("amount").cast("double").alias("amount"),
+        F.col("settled_on").cast("timestamp_ntz").alias("settled_on"), "remark", F.coalesce(lost, F.lit("")).alias("lost"), "failed_rules",
+        F.col("_data_quality_score").alias("score"),
+    )
+
+
 ORDER_SOURCE = {
     "registered": ["order_ref", "settlement_amount", "ordered_on", "state", "batch", "remark"],
     "mapping": {"Order Ref.": "payment_ref", "Settlement Amount": "amount", "Ordered On": "settled_on"},

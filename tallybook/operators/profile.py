@@ -141,9 +141,10 @@ def _null_cells(columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a + b, [field(c).isNull().cast("long") for c in columns])
 
 
-def row_quality(df: DataFrame) -> DataFrame:
-    """Add the share of filled cells of each row as ``_data_quality_score``."""
-    score = F.lit(1.0) - _null_cells(df.columns) / F.lit(len(df.columns))
+def row_quality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Add the share of filled cells of each row, or of some ``columns`` of it, as ``_data_quality_score``."""
+    columns = df.columns if columns is None else columns
+    score = F.lit(1.0) - _null_cells(columns) / F.lit(len(columns))
     return df.withColumn(QUALITY, score)
 
 

@@ -143,6 +143,23 @@ def test_load_file(spark, tmp_path):
     assert loaded.quality.first()[0] == 0.625
 
 
+def test_load_file_with_rules(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("Ref,Amt,Day,Note\n1,10.5,2024-01-02, a \n,,,\nx,7,bad,\n2,-1,,b\n3,twelve,,\n4,1,2,3,4\n5,2\n")
+    names, types = {"Ref": "ref", "Amt": "amount", "Day": "day"}, {"ref": "int", "amount": "decimal", "day": "date"}
+    loaded = load_file(spark, f"{tmp_path}/in.csv", f"{tmp_path}/out", names, types, rules=[valid_range("amount", 0)])
+    assert loaded.counts == {"read": 7, "malformed": 2, "empty": 1, "quarantined": 2, "good": 2, "rescued_cells": 3}
+    got = rows(loaded.table.drop("_processing_timestamp"), "amount")
+    assert [(r["ref"], r["Note"], r["_data_quality_score"], r["_rescued"]) for r in got] == [
+        (1, "a", 1.0, None), (None, None, 0.25, [{"field": "ref", "value": "x"}, {"field": "day", "value": "bad"}]),
+    ]
+    bad = rows(loaded.quarantined, "ref")
+    assert [(r["ref"], r["failed_rules"]) for r in bad] == [(2, ["range_amount"]), (3, ["range_amount"])]
+    assert sorted(r[0] for r in loaded.malformed.collect()) == ["4,1,2,3,4", "5,2"]
+    again = load_file(spark, f"{tmp_path}/in.csv", f"{tmp_path}/out", names, types, rules=[])
+    assert again.counts["quarantined"] == 0 and again.table.count() == 6
+    assert "_rescued" not in {r["column_name"] for r in again.profile.collect()}
+
+
 def test_match_sources(spark, tmp_path):
     day = dt.datetime
     trm = spark.createDataFrame([(1, 10.0, day(2024, 1, 1)), (2, 5.0, day(2024, 1, 2)), (3, 1.0, day(2024, 2, 1))], "id int, amt double, day timestamp_ntz")
