@@ -9,6 +9,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallybook.config import Rule
 from tallybook.functions.text import clean_strings, field
@@ -66,6 +67,7 @@ def load_file(
     rules: Sequence[Rule] | None = None,
     folder: str | None = None,
     today: dt.date | None = None,
+    known: T.StructType | None = None,
 ) -> Loaded:
     """Append a cleaned file to a table and profile the table as written.
 
@@ -74,11 +76,12 @@ def load_file(
     With ``rules`` (an empty list counts) each row is typed and judged once and written by its verdict to ``folder``, by default one in the
     shared folder the cluster names: rows that break a rule are set aside with ``failed_rules``, lines with too few or too many
     cells with their text, and a cell that cannot be read keeps its text in ``_rescued`` and breaks the rules of its column.
-    Only good rows are appended; read = malformed + empty + quarantined + good.
+    Only good rows are appended; read = malformed + empty + quarantined + good.  ``known`` is the schema of the table before, where the
+    caller has it (``Loaded.table.schema`` of the last load): the files already there are then not opened to find it.
     """
     if rules is None:
         raw = read_delimited(spark, path, multiline=multiline)
-        table = append_evolving(clean_rows(raw, mapping, types, stamp), target)
+        table = append_evolving(clean_rows(raw, mapping, types, stamp), target, known)
         return Loaded(table, profile_columns(table), overall_quality(table))
     raw = read_delimited(spark, path, multiline=multiline, malformed=_MALFORMED)
     rescued = F.coalesce(F.size(field(RESCUED)), F.lit(0))
@@ -87,7 +90,7 @@ def load_file(
         read=F.count(F.lit(1)), rescued_cells=F.sum(F.when(field(_VERDICT) != "malformed", F.greatest(rescued, F.lit(0)))), **counted(_VERDICT, *VERDICTS),
     )
     good = split.part("good").drop("failed_rules", _MALFORMED)
-    table = append_evolving(good.withColumn("_processing_timestamp", F.current_timestamp()) if stamp else good, target)
+    table = append_evolving(good.withColumn("_processing_timestamp", F.current_timestamp()) if stamp else good, target, known)
     malformed = split.part("malformed").select(field(_MALFORMED))
     cells = table.drop(RESCUED)
     return Loaded(table, profile_columns(cells), overall_quality(cells), split.part("quarantined").drop(_MALFORMED), malformed, dict(split.figures))

@@ -162,10 +162,22 @@ def landing_manifest(
     )
 
 
-def append_evolving(df: DataFrame, path: str) -> DataFrame:
-    """Append rows whose columns may be new; returns the whole table under the merged schema."""
+def append_evolving(df: DataFrame, path: str, known: T.StructType | None = None) -> DataFrame:
+    """Append rows whose columns may be new; returns the whole table under the merged schema.
+
+    Without ``known``, the schema of the table before, Spark reads the footers of all its files to merge them; with it none is
+    read.  A column that comes with another type than the table's raises before anything is written.
+    """
+    if known is None:
+        df.write.mode("append").parquet(path)
+        return df.sparkSession.read.option("mergeSchema", True).parquet(path)
+    kinds = {f.name: f.dataType for f in known.fields}
+    other = [f.name for f in df.schema.fields if kinds.get(f.name, f.dataType) != f.dataType]
+    if other:
+        raise ValueError(f"columns {other} have another type in {path!r}")
     df.write.mode("append").parquet(path)
-    return df.sparkSession.read.option("mergeSchema", True).parquet(path)
+    fields = [*known.fields, *[f for f in df.schema.fields if f.name not in kinds]]
+    return df.sparkSession.read.schema(T.StructType(fields)).parquet(path)
 
 
 def write_summary(df: DataFrame, path: str, fmt: str = "json") -> None:

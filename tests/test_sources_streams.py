@@ -129,6 +129,15 @@ def test_scratch_folder(spark):
     assert scratch_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
+def test_appending_under_a_known_schema(spark, tmp_path):
+    first = append_evolving(spark.createDataFrame([(1,)], "a int"), f"{tmp_path}/t")
+    second = append_evolving(spark.createDataFrame([("x", 2)], "b string, a int"), f"{tmp_path}/t", first.schema)
+    assert second.columns == ["a", "b"] and rows(second, "a") == rows(append_evolving(second.limit(0), f"{tmp_path}/t").select("a", "b"), "a")
+    with pytest.raises(ValueError, match="another type"):
+        append_evolving(spark.createDataFrame([("x",)], "a string"), f"{tmp_path}/t", second.schema)
+    assert spark.read.schema(second.schema).parquet(f"{tmp_path}/t").count() == 2
+
+
 def test_load_file(spark, tmp_path):
     (tmp_path / "in.csv").write_text("Ref,Amt,Day,Note\n1,10.5,2024-01-02, a \n,,,\nx,7,bad,\n")
     names, types = {"Ref": "ref", "Amt": "amount", "Day": "day"}, {"ref": "int", "amount": "decimal", "day": "date"}
