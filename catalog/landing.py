@@ -45,6 +45,16 @@ from tallybook.streaming.streams import (
 )
 
 
+# Bytes of text that go to one landed file: two splits of Spark's usual size.
+FILE_BYTES = 256 * 2**20
+
+
+def dealt(df: DataFrame, text: str, least: int) -> DataFrame:
+    """Rows dealt out to ``least`` files or more, so that no file holds much over ``FILE_BYTES`` of ``text``, however large the table."""
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return df.repartition(max(least, -(-size // FILE_BYTES)))
+
+
 def written_csv(df: DataFrame, spark: SparkSession, label: str) -> str:
     path = f"{scratch_folder(spark, label)}/landed.csv"
     df.write.options(header=True, quote='"', escape='"').csv(path)
@@ -390,7 +400,7 @@ def csv_split_records(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch_folder(spark, "records")
     text = F.concat(F.replace("text", F.lit("\r"), F.lit(" ")), F.lit('\n"'), "lang", F.lit('", '))
     docs = table(spark, sf, "documents").select("doc_id", "source", text.alias("t"))
-    docs.repartition(2).write.options(header=True, quote='"', escape='"', ignoreTrailingWhiteSpace=False, ignoreLeadingWhiteSpace=False).csv(f"{folder}/in")
+    dealt(docs, "t", 2).write.options(header=True, quote='"', escape='"', ignoreTrailingWhiteSpace=False, ignoreLeadingWhiteSpace=False).csv(f"{folder}/in")
     found = read_split_records(spark, f"{folder}/in")
     return found.select("doc_id", "source", F.length("t").cast("long").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("md5"))
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import landing
 from tallybook.config import CollectionConfig, ReportDefinition
 from tallybook.operators.quality import valid_range
 from tallybook.plans.collection import UNIQUE_ID, process_collection
@@ -367,3 +368,21 @@ def test_records_with_line_breaks_are_read_by_many_tasks(spark, tmp_path):
     config = SourceConfig.from_dict({"types": {"k": "int"}, "load": {"upsert_key": "k"}, "multiline": "split"})
     counts = rows(load_source(spark, path, config, folder=f"{tmp_path}/work").counts)[0]
     assert (counts["read"], counts["malformed"]) == (1004, 2) and counts["inserted"] == 500
+
+
+def _documents(spark, folder, n):
+    """A table of documents with breaks, quotes, commas and gaps, and the rows expected of it."""
+    texts = [None if k % 50 == 7 else ('x "y", \n' * (k % 40)) + f"end {k}" for k in range(n)]
+    data = [(k, "en" if k % 2 else "de", f"s{k % 3}", t) for k, t in enumerate(texts)]
+    spark.createDataFrame(data, "doc_id long, lang string, source string, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+
+
+def test_split_records_land_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    """A larger table gives more files, not larger ones, so no writing task reads half of it."""
+    _documents(spark, tmp_path, 600)
+    monkeypatch.setattr(landing, "scratch_folder", lambda s, label: f"{tmp_path}/work/{label}")
+    monkeypatch.setattr(landing, "FILE_BYTES", 10_000, raising=False)
+    found = landing.csv_split_records(spark, str(tmp_path))
+    assert found.count() == 600 and found.where("md5 is null").count() == 12
+    parts = list((tmp_path / "work" / "records" / "in").glob("part-*.csv"))
+    assert len(parts) > 8 and max(p.stat().st_size for p in parts) < 30_000
