@@ -14,6 +14,7 @@ from tallybook.operators.profile import (
     load_sketches,
     complexity_score,
     describe_input,
+    exact_quantiles,
     load_summary,
     null_fraction,
     overall_quality,
@@ -314,7 +315,7 @@ def profile_of_three_loads(spark: SparkSession, sf: str) -> DataFrame:
     loads = [load_sketches(lines.where(F.pmod("l_orderkey", F.lit(3)) == k), f"load {k}") for k in range(3)]
     folded = folded_profile(loads[0].unionByName(loads[1]).unionByName(loads[2]))
     exact = profile_columns(lines).select("column_name", F.col("distinct_count").alias("exact"))
-    rank = lines.agg(F.percentile("l_orderkey", [0.2, 0.3, 0.45, 0.55, 0.7, 0.8]).alias("p"))
+    rank = exact_quantiles(lines, "l_orderkey", [0.2, 0.3, 0.45, 0.55, 0.7, 0.8])
     near = F.abs(F.col("distinct_count") - F.col("exact")) <= 0.08 * F.col("exact")
     middle = (F.col("column_name") != "l_orderkey") | (
         F.col("q25").between(F.col("p")[0], F.col("p")[1]) & F.col("q50").between(F.col("p")[2], F.col("p")[3]) & F.col("q75").between(F.col("p")[4], F.col("p")[5])

@@ -4,10 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalog import rules
 from tallybook.functions.rule_text import safe_predicate
 from tallybook.operators.profile import (
     complexity_score,
     describe_input,
+    exact_quantiles,
     folded_profile,
     load_sketches,
     load_summary,
@@ -290,3 +292,25 @@ def test_profile_of_loads_equals_that_of_their_union(spark):
     assert abs(folded["id"]["q50"] - 1500) < 100 and abs(folded["v"]["q25"] - 375) < 50 and folded["t"]["q75"] is None
     nothing = folded_profile(load_sketches(df.limit(0), "0")).where("column_name = 'v'").first()
     assert (nothing["non_null_count"], nothing["distinct_count"], nothing["min_value"], nothing["q50"]) == (0, 0, None, None)
+
+
+def test_exact_quantiles_are_those_of_percentile(spark):
+    """Repeated values, gaps, few rows, no rows; places between two values, on one, and at both ends."""
+    asked = [0.0, 0.2, 0.3, 0.45, 0.5, 0.77, 1.0]
+    tables = [
+        [k * 7 % 101 for k in range(500)] + [50] * 700 + [None] * 30, [5], [1, 2], [-3, -3, 8, None], [], [None, None],
+    ]
+    for values in tables:
+        df = spark.createDataFrame([(v,) for v in values], "v long").repartition(3)
+        want = df.agg(F.percentile("v", asked).alias("p")).first()["p"]
+        assert exact_quantiles(df, "v", asked).first()["p"] == want
+    halves = spark.range(1001).select((F.col("id") / 8).alias("odd name"))
+    assert exact_quantiles(halves, "odd name", [0.333]).first()["p"] == halves.agg(F.percentile("odd name", F.array(F.lit(0.333)))).first()[0]
+
+
+def test_profile_of_loads_gathers_no_values_in_one_task(spark, tmp_path):
+    lines = spark.range(3000).select((F.col("id") % 997).alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit("A").alias("l_returnflag"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = rules.profile_of_three_loads(spark, str(tmp_path))
+    assert "percentile(" not in found._jdf.queryExecution().toString()
+    assert [r["close"] for r in rows(found)] == [True] * 3
