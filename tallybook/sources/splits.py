@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -30,12 +31,37 @@ class Split:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
 
+# Files that a task may hold open, one per verdict; rows of further verdicts are sorted first, as all rows would be otherwise.
+OPEN_FILES = 8
+_OPEN = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+@contextmanager
+def _files_held_open(spark: SparkSession) -> Iterator[None]:
+    """While rows are written by verdict, each task holds a file per verdict open instead of sorting (and spilling) its rows by it.
+
+    A number that the session sets itself is left alone.
+    """
+    own = spark.conf.get(_OPEN, None)
+    if own is None:
+        spark.conf.set(_OPEN, str(OPEN_FILES))
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(_OPEN)
+
+
 def written(df: DataFrame, path: str, mode: str = "error", by: str | None = None, **figures: Column) -> tuple[DataFrame, dict[str, int]]:
     """The frame, written and read back, with figures (aggregates) observed by the one job that writes it."""
     seen = Observation()
     watched = df.observe(seen, *[c.alias(n) for n, c in figures.items()]) if figures else df
     writer = watched.write.mode(mode)
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    if by:
+        with _files_held_open(df.sparkSession):
+            writer.partitionBy(by).parquet(path)
+    else:
+        writer.parquet(path)
     fields = [f for f in df.schema.fields if f.name != by] + [f for f in df.schema.fields if f.name == by]
     found = seen.get if figures else {}
     return df.sparkSession.read.schema(T.StructType(fields)).parquet(path), {n: found.get(n) or 0 for n in figures}

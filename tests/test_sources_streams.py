@@ -3,6 +3,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from catalog import landing
@@ -386,3 +387,28 @@ def test_split_records_land_in_files_of_bounded_size(spark, tmp_path, monkeypatc
     assert found.count() == 600 and found.where("md5 is null").count() == 12
     parts = list((tmp_path / "work" / "records" / "in").glob("part-*.csv"))
     assert len(parts) > 8 and max(p.stat().st_size for p in parts) < 30_000
+
+
+def test_rows_are_not_sorted_by_verdict_before_they_are_written(spark, tmp_path, monkeypatch):
+    """Each task holds a file per verdict open while it writes; the session's own settings stay as they were, also after an error."""
+    name, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+    write = DataFrameWriter.parquet
+
+    def watched(self, *args, **kwargs):
+        seen.append(spark.conf.get(name, None))
+        return write(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    numbers = spark.range(1000).withColumn("part", F.concat(F.lit("p"), F.col("id") % 20))
+    parts = write_split(numbers, f"{tmp_path}/split", "part", **counted("part", "p3"))
+    assert rows(parts.part("p3")) == [{"id": k} for k in sorted(range(3, 1000, 20), key=str)] and parts.figures == {"p3": 50}
+    assert int(seen[0]) > 1 and spark.conf.get(name, None) is None
+    with pytest.raises(Exception, match="already exists"):
+        write_split(numbers, f"{tmp_path}/split", "part")
+    assert spark.conf.get(name, None) is None
+    spark.conf.set(name, "3")
+    try:
+        write_split(numbers, f"{tmp_path}/own", "part")
+        assert seen[-1] == "3" and spark.conf.get(name) == "3"
+    finally:
+        spark.conf.unset(name)
