@@ -65,7 +65,7 @@ def written_csv(df: DataFrame, spark: SparkSession, label: str) -> str:
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Texts with line breaks, quotes and commas survive."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    path = written_csv(docs.repartition(4), spark, "csv")
+    path = written_csv(dealt(docs, "text", 4), spark, "csv")
     read = read_delimited(spark, path, multiline=True)
     return read.select("doc_id", "lang", F.md5("text").alias("text_hash"))
 

@@ -389,6 +389,17 @@ def test_split_records_land_in_files_of_bounded_size(spark, tmp_path, monkeypatc
     assert len(parts) > 8 and max(p.stat().st_size for p in parts) < 30_000
 
 
+def test_texts_with_breaks_land_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    """The multi-line reader keeps a file in one task: a larger table gives more files, not larger ones."""
+    _documents(spark, tmp_path, 600)
+    monkeypatch.setattr(landing, "scratch_folder", lambda s, label: f"{tmp_path}/work/{label}")
+    monkeypatch.setattr(landing, "FILE_BYTES", 10_000, raising=False)
+    found = landing.csv_roundtrip(spark, str(tmp_path))
+    assert found.count() == 600 and found.where("text_hash is null").count() == 12
+    parts = list((tmp_path / "work" / "csv" / "landed.csv").glob("part-*.csv"))
+    assert len(parts) > 8 and max(p.stat().st_size for p in parts) < 30_000
+
+
 def test_rows_are_not_sorted_by_verdict_before_they_are_written(spark, tmp_path, monkeypatch):
     """Each task holds a file per verdict open while it writes; the session's own settings stay as they were, also after an error."""
     name, seen = "spark.sql.maxConcurrentOutputFileWriters", []
