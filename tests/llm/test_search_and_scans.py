@@ -9,10 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallybook.llm import topk
 from tallybook.llm.pagetext import main_texts, read_page
 from tallybook.llm.quality import class_prior, quality_scores
 from tallybook.llm.secrets import redacted, secrets
-from tallybook.llm.topk import SortedLists, top_k
+from tallybook.llm.topk import NO_FLOOR, SortedLists, top_k
 from tallybook.llm.urlfilter import url_verdicts
 from tests.llm.conftest import messy_rows
 
@@ -52,6 +53,33 @@ def test_the_bound_stops_before_the_lists_end():
     assert ids.tolist() == [7, 9] and scores.tolist() == [4800, 4800] and read < 0.05 * vectors.size
 
 
+def test_top_k_sends_no_vectors_to_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in np.float32(rng.normal(0, 0.3, 4))]) for k in range(600)] + [(k, [0.25] * 4) for k in (50, 50, 51, 51)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    plans, kept = [], topk.keep
+    monkeypatch.setattr(topk, "keep", lambda x, label: plans.append(plan(x)) or kept(x, label))
+    monkeypatch.setattr(topk, "GROUP_BYTES", 100)
+    got = top_k(df, df.where("vec_id % 50 = 0 AND (vec_id <> 50 OR embedding[0] = 0.25)"), 5, block_rows=40, query_rows=2)
+    assert not [x for x in [*plans, plan(got)] if "Broadcast" in x or "Join" in x]
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 5)
+
+
+@pytest.mark.parametrize("most", [40, 3000, 2**22, 2**28])  # float32, float64 and whole numbers
+def test_queries_of_a_pack_find_what_each_finds_alone(most):
+    rng = np.random.default_rng(most)
+    ids = np.sort(rng.integers(0, 300, 500))
+    vectors = np.concatenate([rng.integers(-most, most + 1, (300, 5)), np.full((200, 5), most // 2)])
+    query_ids = np.array([7, int(ids[400]), 1000, 1001, 1002])
+    queries = np.concatenate([rng.integers(-most, most + 1, (3, 5)), np.zeros((1, 5), np.int64), np.full((1, 5), most // 3)])
+    floors = np.array([NO_FLOOR, NO_FLOOR, int(np.sort(vectors @ queries[2])[-2]), NO_FLOOR, NO_FLOOR])
+    place, found, scores, _ = SortedLists(ids, vectors).best(query_ids, queries, 4, floors)
+    for k, (query_id, query, floor) in enumerate(zip(query_ids, queries, floors)):
+        best = sorted((-int(x), int(i)) for x, i in zip(vectors @ query, ids) if i != query_id and x >= floor)[:4]
+        assert [(-x, i) for x, i in zip(scores[place == k].tolist(), found[place == k].tolist())] == best
+
+
 def test_quality(spark, messy, nothing):
     random.seed(2)
     words = [f"{a}{b}" for a in ("ba", "de", "lo", "mi", "ra", "tu") for b in ("n", "st", "ve", "lla", "rk")]
